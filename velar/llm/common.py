@@ -16,6 +16,8 @@ LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 LETTERS = bytes(
     b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256)
 )
+#: Turns \x09-\x0D into \x20.
+SPACES = bytes(32 if 9 <= b <= 13 else b for b in range(256))
 
 
 def scratch(spark: SparkSession) -> str:
@@ -60,3 +62,17 @@ def texts(docs: DataFrame, *keep: str, text_col: str = "text") -> DataFrame:
 def binaries(column: pa.Array) -> list[bytes]:
     """Python bytes of a column; null becomes empty."""
     return [x or b"" for x in column.to_pylist()]
+
+
+def word_pieces(text: bytes, table: bytes | None, size: int = 1 << 20) -> Iterator[list[bytes]]:
+    """The words of text after translation by table, in order, from pieces of about size bytes that end at a space."""
+    if len(text) <= size:
+        yield (text.translate(table) if table else text).split()
+        return
+    text = text.translate(table) if table else text.translate(SPACES)
+    at = 0
+    while at < len(text):
+        end = text.find(b" ", at + size)
+        end = len(text) if end < 0 else end
+        yield text[at:end].split()
+        at = end
