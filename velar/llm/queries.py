@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, simhash, toxicity
+from . import decontaminate, lines, simhash, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,17 @@ def _fold(column: str, n: int):
     return F.crc32(F.col(column).cast("string").cast("binary")) % n
 
 
+def op1_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_lines, n_removed, kept_sha256: each document without lines that repeat or nearly repeat an earlier one."""
+    found = lines.deduplicated(_table(spark, sf_dir, "documents"), most=1, least=16)
+    return found.select(
+        "doc_id",
+        F.col("_lines").alias("n_lines"),
+        F.col("_removed").alias("n_removed"),
+        F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"),
+    )
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id within reach of links of 2 bits)."""
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"), ngram=3, distance=2)
@@ -78,6 +89,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_lines": op1_lines,
     "op3_simhash": op3_simhash,
     "op4_decontaminate": op4_decontaminate,
     "op8_toxicity": op8_toxicity,
