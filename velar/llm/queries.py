@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, lines, simhash, toxicity
+from . import decontaminate, lines, packing, simhash, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -88,11 +88,17 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, piece, start, n_tokens, bucket, batch, slot: one row for each piece of at most 2048 tokens."""
+    return packing.packed(_table(spark, sf_dir, "documents"), context=2048, buckets=8, token_budget=65536)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lines": op1_lines,
     "op3_simhash": op3_simhash,
     "op4_decontaminate": op4_decontaminate,
     "op8_toxicity": op8_toxicity,
+    "op10_packing": op10_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {
