@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import pytest
 
@@ -24,10 +25,12 @@ def brute(rows, most, least):
         return s
 
     names = list(first)
+    bags = {x: Counter(x) for x in names}
     for x in names:
         for y in names:
-            if x < y and min(len(x), len(y)) >= least and abs(len(x) - len(y)) <= most and distance(x, y) <= most:
-                root[find(x)] = find(y)
+            if x < y and min(len(x), len(y)) >= least and abs(len(x) - len(y)) <= most:
+                if (bags[x] - bags[y]).total() <= most and distance(x, y) <= most:
+                    root[find(x)] = find(y)
     best = {}
     for s in names:
         best[find(s)] = min(best.get(find(s), first[s]), first[s])

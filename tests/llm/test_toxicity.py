@@ -6,12 +6,12 @@ from velar.llm import toxicity
 from .data import DOCS, corpus
 
 
-def planted(n=600, seed=3):
+def planted(n=600, seed=3, size=40):
     rng = random.Random(seed)
     words = [f"word{i:03d}" for i in range(150)]
     rows, labels = [], []
     for i in range(n):
-        w = rng.choices(words, k=40)
+        w = rng.choices(words, k=size)
         bad = i % 8 == 0
         if bad:
             w[3:3] = rng.choices(["vilebad", "nastybad", "gruesome"], k=3)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, lines, packing, simhash, toxicity
+from . import decontaminate, language, licenses, lines, packing, quality, simhash, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -74,6 +74,24 @@ FROM w LEFT JOIN h ON w.doc_id = h.doc_id LEFT JOIN t ON w.doc_id = t.doc_id
 """
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, quality."""
+    found, _ = quality.judged(_table(spark, sf_dir, "documents"))
+    failed = (F.col("n_words") < 50) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50)
+    return found.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        failed.alias("base_failed"), (~failed & (F.col("quality") >= 0.5)).alias("kept"), "quality",
+    )
+
+
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, lang_pred, score; learned from documents outside the held-out fold only."""
+    docs = _table(spark, sf_dir, "documents")
+    model = language.train(docs.where(F.coalesce(_fold("doc_id", 3) != 1, F.lit(False))))
+    found = language.predicted(docs, model)
+    return found.select("doc_id", F.coalesce(_fold("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, held_out, score, predicted; labels come from documents outside the held-out fold only."""
     docs = _table(spark, sf_dir, "documents")
@@ -88,6 +106,22 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score: base places and rule detections."""
+    found = licenses.scanned(_table(spark, sf_dir, "documents"))
+    joined = lambda *sets: F.array_join(F.array_sort(F.array_distinct(F.concat(*sets))), ",")
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size("places").cast("long").alias("n_base"),
+        F.array_min("places.word").alias("first_word"),
+        F.array_max("places.word").alias("last_word"),
+        joined(F.col("places.label")).alias("base_labels"),
+        joined(F.col("places.label"), F.col("spans.label")).alias("labels"),
+        F.coalesce(F.array_max("spans.priority") / F.lit(100.0), F.when(F.size("places") > 0, 0.5).otherwise(0.0)).alias("score"),
+    )
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, piece, start, n_tokens, bucket, batch, slot: one row for each piece of at most 2048 tokens."""
     return packing.packed(_table(spark, sf_dir, "documents"), context=2048, buckets=8, token_budget=65536)
@@ -97,7 +131,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lines": op1_lines,
     "op3_simhash": op3_simhash,
     "op4_decontaminate": op4_decontaminate,
+    "op5_quality": op5_quality,
+    "op6_language": op6_language,
     "op8_toxicity": op8_toxicity,
+    "op9_licenses": op9_licenses,
     "op10_packing": op10_packing,
 }
 
