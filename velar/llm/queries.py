@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, licenses, lines, packing, quality, simhash, toxicity
+from . import decontaminate, language, licenses, lines, lm, packing, quality, simhash, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -92,6 +92,12 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(_fold("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ce_target, ce_background, score; the target are documents labelled as of good quality."""
+    good = _table(spark, sf_dir, "labels").where("quality = 1")
+    return lm.scored(_table(spark, sf_dir, "documents"), good)
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, held_out, score, predicted; labels come from documents outside the held-out fold only."""
     docs = _table(spark, sf_dir, "documents")
@@ -133,6 +139,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_decontaminate": op4_decontaminate,
     "op5_quality": op5_quality,
     "op6_language": op6_language,
+    "op7_lm_score": op7_lm_score,
     "op8_toxicity": op8_toxicity,
     "op9_licenses": op9_licenses,
     "op10_packing": op10_packing,
