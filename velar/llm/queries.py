@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, licenses, lines, lm, packing, quality, simhash, toxicity
+from . import decontaminate, language, licenses, lines, lm, packing, quality, simhash, spans, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +30,32 @@ def op1_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256: words outside windows of 13 that a smaller doc_id has as well."""
+    found = spans.deduplicated(_table(spark, sf_dir, "documents"), width=13)
+    return found.select(
+        "doc_id",
+        F.col("_words").alias("n_words"),
+        F.col("_removed").alias("n_removed"),
+        F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"),
+    )
+
+
+OP2_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+k AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS p
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d WHERE len(w) >= 13)),
+m AS (SELECT p, min(doc_id) AS first FROM k GROUP BY p HAVING min(doc_id) < max(doc_id)),
+g AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS j FROM k JOIN m ON k.p = m.p WHERE doc_id > first),
+x AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS j FROM d),
+a AS (SELECT x.doc_id, string_agg(word, ' ' ORDER BY x.j) AS kept, count(*) AS n
+  FROM x ANTI JOIN g ON x.doc_id = g.doc_id AND x.j = g.j GROUP BY x.doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed,
+  sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN a ON d.doc_id = a.doc_id
+"""
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id within reach of links of 2 bits)."""
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"), ngram=3, distance=2)
@@ -135,6 +161,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lines": op1_lines,
+    "op2_spans": op2_spans,
     "op3_simhash": op3_simhash,
     "op4_decontaminate": op4_decontaminate,
     "op5_quality": op5_quality,
@@ -146,5 +173,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_spans": OP2_SQL,
     "op4_decontaminate": OP4_SQL,
 }
