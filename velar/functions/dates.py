@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from velar.functions.spans import let
+
 #: Month names, the two-digit year that ends the 2000s, and the open band.
 ES_MONTHS = "enero febrero marzo abril mayo junio julio agosto septiembre octubre noviembre diciembre".split()
 EN_MONTHS = "January February March April May June July August September October November December".split()
@@ -50,11 +52,6 @@ def _month_number(token: Column, english: bool) -> Column:
     return F.try_element_at(F.create_map(*[F.lit(x) for pair in names.items() for x in pair]), F.lower(token))
 
 
-def _let(value: Column, fn) -> Column:
-    """fn of the value, which is worked out once instead of wherever fn uses it."""
-    return F.get(F.transform(F.array(value), fn), F.lit(0))
-
-
 def _numeric_date(t: Column, english: Column) -> Column:
     """Date and order of a numeric one: struct<d,day_first>."""
 
@@ -65,7 +62,7 @@ def _numeric_date(t: Column, english: Column) -> Column:
         return F.struct(F.when(day_first | month_first, _date(x["y"], month, day)).alias("d"), day_first.alias("day_first"))
 
     a, b, y = (_part(t, NUMERIC, i) for i in (1, 3, 4))
-    return _let(F.struct(_int(a).alias("a"), _int(b).alias("b"), _year(y).alias("y")), read)
+    return let(F.struct(_int(a).alias("a"), _int(b).alias("b"), _year(y).alias("y")), read)
 
 
 def _named_date(t: Column, pattern: str, day: int | None, month: int, year: int, english: bool) -> Column:
@@ -86,11 +83,11 @@ def shift_date(text: Column, days: Column, language: Column) -> Column:
         def written(d: Column) -> Column:
             return F.when(F.year(d).between(1, 9999), write(d, F.dayofmonth(d), F.month(d), F.year(d).cast("string")))
 
-        return _let(F.date_add(x["d"], days.cast("int")), written)
+        return let(F.date_add(x["d"], days.cast("int")), written)
 
     def en_name(month: Column, token: Column) -> Column:
         full = F.lower(token).isin([m.lower() for m in EN_MONTHS])
-        return _let(_name(EN_MONTHS, month), lambda n: F.when(full, n).otherwise(F.substring(n, 1, 3)))
+        return let(_name(EN_MONTHS, month), lambda n: F.when(full, n).otherwise(F.substring(n, 1, 3)))
 
     def numeric(t: Column):
         def write(d, day, month, year, x):
@@ -99,16 +96,16 @@ def shift_date(text: Column, days: Column, language: Column) -> Column:
             sep = _part(t, NUMERIC, 2)
             return F.concat(F.lpad(first.cast("string"), 2, "0"), sep, F.lpad(second.cast("string"), 2, "0"), sep, shown)
 
-        return _let(_numeric_date(t, english), lambda x: later(x, lambda *p: write(*p, x)))
+        return let(_numeric_date(t, english), lambda x: later(x, lambda *p: write(*p, x)))
 
     def named(t, pattern, day, month, year, en, write):
-        return _let(_named_date(t, pattern, day, month, year, en), lambda x: later(x, lambda d, dd, m, y: write(dd.cast("string"), m, y, x["token"])))
+        return let(_named_date(t, pattern, day, month, year, en), lambda x: later(x, lambda d, dd, m, y: write(dd.cast("string"), m, y, x["token"])))
 
     def whole(t: Column) -> Column:
         es = lambda m: _name(ES_MONTHS, m)
         iso = F.struct(_date(*[_int(_part(t, ISO, i)) for i in (1, 2, 3)]).alias("d"))
         return (
-            F.when(t.rlike(ISO), _let(iso, lambda x: later(x, lambda d, *_: F.date_format(d, "yyyy-MM-dd"))))
+            F.when(t.rlike(ISO), let(iso, lambda x: later(x, lambda d, *_: F.date_format(d, "yyyy-MM-dd"))))
             .when(t.rlike(NUMERIC), numeric(t))
             .when(~english & t.rlike(ES_LONG), named(t, ES_LONG, 1, 2, 3, False, lambda d, m, y, _: F.concat_ws(" de ", d, es(m), y)))
             .when(~english & t.rlike(ES_MONTH), named(t, ES_MONTH, None, 1, 2, False, lambda d, m, y, _: F.concat_ws(" de ", es(m), y)))
@@ -117,7 +114,7 @@ def shift_date(text: Column, days: Column, language: Column) -> Column:
             .when(english & t.rlike(EN_MONTH), named(t, EN_MONTH, None, 1, 2, True, lambda d, m, y, k: F.concat_ws(" ", en_name(m, k), y)))
         )
 
-    return _let(F.trim(text), whole)
+    return let(F.trim(text), whole)
 
 
 ES_YEARS, ES_MONTHS_OLD = r"(?iu)\A(\d{1,3})\s+años(\s+de\s+edad)?\z", r"(?iu)\A(\d{1,2})\s+meses(\s+de\s+edad)?\z"

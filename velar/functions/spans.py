@@ -11,7 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 PLACE = "struct<start:int,end:int>"
-BLANK = r"(?U)\s"
+GLUED = r".,;:\-–—()\[\]"  # signs taken off the first and last token as well
 
 
 def find_all(text: Column, pattern: str, group: int = 0) -> Column:
@@ -43,22 +43,41 @@ def piece(text: Column, start: Column, end: Column) -> Column:
     return F.substring(text, start + 1, end - start)
 
 
+def let(value: Column, fn) -> Column:
+    """fn of the value, which is worked out once instead of wherever fn uses it."""
+    return F.get(F.transform(F.array(value), fn), F.lit(0))
+
+
 def trimmed(text: Column, start: Column, end: Column) -> Column:
     """The span without white space at its ends, as struct<start,end>."""
-    part = piece(text, start, end)
-    lead = F.length(part) - F.length(F.regexp_replace(part, rf"\A{BLANK.replace('(?U)', '')}+", ""))
-    tail = F.length(part) - F.length(F.regexp_replace(part, rf"{BLANK.replace('(?U)', '')}+\z", ""))
-    return F.struct(F.least(start + lead, end).alias("start"), F.greatest(end - tail, F.least(start + lead, end)).alias("end"))
+
+    def cut(part: Column) -> Column:
+        lead, tail = F.length(F.regexp_extract(part, r"(?U)\A\s+", 0)), F.length(F.regexp_extract(part, r"(?U)\s+\z", 0))
+        first = F.least(start + lead, end)
+        return F.struct(first.alias("start"), F.greatest(end - tail, first).alias("end"))
+
+    return let(piece(text, start, end), cut)
 
 
 def without_edges(text: Column, start: Column, end: Column, words: list[str], signs: str) -> Column:
-    """The span without white space and tokens at its ends that are among words once signs are off, in lower case."""
-    part = piece(text, start, end)
+    """The span without white space, tokens and signs at its ends that say nothing.
+
+    Tokens go that are among words once signs are off, in any letter case; then signs stuck to the first and last one.
+    """
     some = "|".join(f"\\Q{w}\\E" for w in sorted(words, key=lambda w: (-len(w), w)))
     token = f"[{signs}]*(?:{some})?[{signs}]*"
-    flags = "(?iuU)"
-    behind = F.regexp_extract(part, rf"{flags}(?:(?:\A|(?<=\s)){token}(?=\s|\z)\s*)+\z", 0)
-    shorter = F.substring(part, F.lit(1), F.length(part) - F.length(behind))
-    shorter = F.regexp_replace(shorter, r"(?U)\s+\z", "")
-    ahead = F.length(F.regexp_extract(shorter, rf"{flags}\A\s*(?:{token}(?:\s+|\z))+", 0))
-    return F.struct((start + ahead).alias("start"), (start + F.length(shorter)).alias("end"))
+    behind = rf"(?iuU)(?:(?:\A|(?<=\s)){token}(?=\s|\z)\s*)+\z"
+    ahead = rf"(?iuU)\A\s*(?:{token}(?:\s+|\z))+"
+
+    def tail_off(part: Column) -> Column:
+        return F.regexp_replace(F.substring(part, F.lit(1), F.length(part) - F.length(F.regexp_extract(part, behind, 0))), rf"(?U)[\s{GLUED}]+\z", "")
+
+    def head_off(part: Column) -> Column:
+        def cut(skip: Column) -> Column:
+            more = F.length(F.regexp_extract(F.substring(part, skip + 1, F.length(part)), rf"\A[{GLUED}]+", 0))
+            first = F.least(start + skip + more, start + F.length(part))
+            return F.struct(first.alias("start"), (start + F.length(part)).alias("end"))
+
+        return let(F.length(F.regexp_extract(part, ahead, 0)), cut)
+
+    return let(let(piece(text, start, end), tail_off), head_off)
