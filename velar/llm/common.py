@@ -16,6 +16,7 @@ LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 LETTERS = bytes(
     b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256)
 )
+BATCH_BYTES = 8 << 20
 #: Turns \x09-\x0D into \x20.
 SPACES = bytes(32 if 9 <= b <= 13 else b for b in range(256))
 
@@ -54,8 +55,19 @@ def mapped(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch
     return df.mapInArrow(run, schema)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the bytes of a batch that goes to Python at once, where the session has Spark's own 64 MB.
+
+    Up to eight workers of an executor would hold that much, and what they make of it, together.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name) in ("67108864b", "64MB", "67108864"):
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def texts(docs: DataFrame, *keep: str, text_col: str = "text") -> DataFrame:
     """The columns keep, and the text as bytes, with no other column of docs."""
+    small_batches(docs.sparkSession)
     return docs.select(*[F.col(c) for c in keep], F.col(text_col).cast("binary").alias("text"))
 
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LETTERS, binaries, word_pieces
+from .common import LETTERS, binaries, small_batches, word_pieces
 from .fm_index import FMIndex
 
 SEPARATOR, FIRST = 1, 2
@@ -109,24 +109,33 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int
 
 
 def occurrences(
-    docs: DataFrame, benchmark: DataFrame, width: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", block_bytes: int = 8 << 20
+    docs: DataFrame,
+    benchmark: DataFrame,
+    width: int = 10,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    item_col: str = "item_id",
+    block_bytes: int = 8 << 20,
+    cutting: bool = False,
 ) -> DataFrame:
     """(id_col, text binary, n_words, spans, items): per row of docs the merged spans of words that test phrases cover.
 
     items lists, in order as strings, the items with a window in the text. Null text has no words; an item without
     words or with null text has no windows; a null item id is searched but not named. Repeated rows each get a row.
-    An empty benchmark finds nothing. Other columns are not read.
+    An empty benchmark finds nothing. Other columns are not read. With cutting, text is what is left without the spans.
     """
+    small_batches(docs.sparkSession)
     kind = dict(docs.select(F.col(id_col)).dtypes)[id_col]
     out = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"), F.lit(None).cast("long").alias("n_words"), F.array().cast(SPANS).alias("spans"), F.array().cast("array<string>").alias("items"))
     spark = docs.sparkSession
     blocks = [Phrases(items, width) for items in _blocks(benchmark, item_col, text_col, block_bytes)] or [Phrases([], width)]
-    for phrases in blocks:
+    for left, phrases in zip(range(len(blocks))[::-1], blocks):
         held = spark.sparkContext.broadcast(phrases)
 
-        def run(batches, held=held):
+        def run(batches, held=held, cutting=cutting and not left):
             for batch in batches:
-                sizes, hits = held.value.search(binaries(batch.column(1)))
+                whole = batch.column(1)
+                sizes, hits = held.value.search(binaries(whole))
                 spans, items = [], []
                 for hit, old, names in zip(hits, batch.column(3).to_pylist(), batch.column(4).to_pylist()):
                     if hit is not None:
@@ -135,14 +144,17 @@ def occurrences(
                         names = sorted({*hit[1], *names})
                     spans.append(old)
                     items.append(names)
+                if cutting:
+                    parts = [cut(t.as_py(), [(s["start"], s["end"]) for s in x]) if x else t.as_py() for t, x in zip(whole, spans)]
+                    whole = pa.array(parts, whole.type)
                 kinds = [batch.schema.field(i).type for i in (3, 4)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(spans, kinds[0]), pa.array(items, kinds[1])], names=["id", "text", "n_words", "spans", "items"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), whole, pa.array(sizes, pa.int64()), pa.array(spans, kinds[0]), pa.array(items, kinds[1])], names=["id", "text", "n_words", "spans", "items"])
 
         out = out.mapInArrow(run, f"id {kind}, text binary, n_words long, spans {SPANS}, items array<string>")
     return out.withColumnRenamed("id", id_col)
 
 
-def cut(data: bytes, spans: list[tuple[int, int]]) -> str:
+def cut(data: bytes, spans: list[tuple[int, int]]) -> bytes:
     """A text without the words of the spans; what stands between kept words stays as it is."""
     flat = data.translate(LETTERS)
     keep, at, word, k, out = 0, 0, 0, 0, []
@@ -157,7 +169,7 @@ def cut(data: bytes, spans: list[tuple[int, int]]) -> str:
         if word == spans[k][1] - 1:
             keep, k = end, k + 1
         word, at = word + 1, end
-    return (b"".join(out) + data[keep:]).decode()
+    return b"".join(out) + data[keep:]
 
 
 def cleaned(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
@@ -166,14 +178,6 @@ def cleaned(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     The row's other columns travel as one struct, so that names can't clash and no join is needed.
     """
     text_col = options.get("text_col", "text")
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text_col).alias("text"))
-    found = occurrences(packed, benchmark, **{**options, "id_col": "row", "text_col": "text"})
-
-    @F.pandas_udf("string")
-    def without(text, spans):
-        import pandas as pd
-
-        return pd.Series([cut(bytes(t), [(s["start"], s["end"]) for s in x]) if len(x) else None for t, x in zip(text, spans)], dtype=object)
-
-    new = F.when(F.size("spans") > 0, without("text", "spans")).otherwise(F.col(f"row.`{text_col}`"))
-    return found.select(*[(new if c == text_col else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col]).alias("row"), F.col(text_col).alias("text"))
+    found = occurrences(packed, benchmark, **{**options, "id_col": "row", "text_col": "text", "cutting": True})
+    return found.select(*[(F.col("text").cast("string") if c == text_col else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])

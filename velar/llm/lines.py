@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binaries, texts, written
+from .common import binaries, small_batches, texts, written
 from .edits import Neighbours, signatures, within
 from .graph import components
 
@@ -260,8 +260,9 @@ def deduplicated(docs: DataFrame, most: int = 1, least: int = 16, dense: int = 6
     document: their equal lines at equal numbers are one occurrence. A null id comes before all others, as one
     document. Lines under `least` characters go only if equal.
     """
+    small_batches(docs.sparkSession)
     gone = removals(docs, most, least, dense, id_col, text_col)
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("key"), F.col(text_col).cast("binary").alias("text"))
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col]).alias("row"), F.col(id_col).alias("key"), F.col(text_col).cast("binary").alias("text"))
     joined = packed.join(gone, F.col("key").eqNullSafe(F.col("id")), "left").select("row", "text", "gone")
     kind = joined.schema["row"].dataType.simpleString()
 
