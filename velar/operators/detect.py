@@ -137,11 +137,12 @@ def all_spans(text: Column, language: str, categories: list[str], custom: list[s
 
 
 def resolved(text: Column, found: Column) -> Column:
-    """Disjoint spans, in order, from overlapping ones.
+    """Spans of which the stronger won, from overlapping ones.
 
     Sorted by start, longest first, each meets the last one kept. Apart: both stay. Same category: they become one.
     Otherwise the one with the lower layer, then the higher score, then the greater length wins whole, and what the
-    other one covers beyond it stays as a remnant, without outer white space, if it has two characters.
+    other one covers beyond it stays as a remnant, without outer white space, if it has two characters. As only the last one kept is looked
+    at, three or more that overlap each other may leave two that still do; edits are made from left to right.
     """
     keyed = F.transform(found, lambda s: F.struct(s["start"].alias("a"), (-s["end"]).alias("b"), s["layer"].alias("c"), (-s["score"]).alias("d"), s["detector"].alias("e"), s.alias("s")))
     ordered = F.transform(F.array_sort(keyed), lambda x: x["s"])
