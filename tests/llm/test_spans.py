@@ -52,9 +52,8 @@ def test_against_brute_force(spark, monkeypatch, vocabulary, chunk):
     assert sum(w[2] for w in want) > 500
 
 
-def test_joined_by_a_shuffle_and_nothing(spark, monkeypatch):
+def test_other_seed_and_nothing(spark, monkeypatch):
     monkeypatch.setattr(spans, "FEWEST_CHUNKS", 3)
-    monkeypatch.setattr(spans, "BROADCAST_ROWS", 0)
     rows = rows_of(5, 30)
     docs = spark.createDataFrame(rows, DOCS)
     got = sorted(((r.doc_id, r._words, r._removed) for r in spans.deduplicated(docs).collect()), key=str)

@@ -31,7 +31,6 @@ from .common import small_batches, word_pieces, written
 
 MINIMIZER = 7
 CHUNK_BYTES, FEWEST_CHUNKS = 8 << 20, 48
-BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 32 << 20  # of documents' spans; beyond, they are joined by a shuffle
 BRANCH = 1  # tag of a node that is known to branch; 0: a run's end
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -249,10 +248,14 @@ def paths(docs: DataFrame, width: int = 13, id_col: str = "doc_id", text_col: st
 
 
 def repeated_spans(docs: DataFrame, width: int = 13, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, mark, start, size, first_id): spans of words whose windows all begin in first_id as well, a smaller id."""
+    """(id, mark, start, size, first_id): spans of words whose windows all begin in first_id as well, a smaller id.
+
+    The first places are written before the join, whose two sides are then plain exchanges: adaptive execution splits
+    a path that stands in very many places.
+    """
     found = written(paths(docs, width, id_col, text_col))
-    first = found.groupBy("key").agg(F.min("id").alias("first_id"), F.max("id").alias("z")).where("first_id < z")
-    return found.join(first.drop("z"), "key").where("id > first_id").select("id", "mark", "start", "size", "first_id")
+    first = found.groupBy("key").agg(F.min("id").alias("first_id"), F.max("id").alias("z")).where("first_id < z").drop("z")
+    return found.join(written(first), "key").where("id > first_id").select("id", "mark", "start", "size", "first_id")
 
 
 def deduplicated(docs: DataFrame, width: int = 13, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -263,12 +266,10 @@ def deduplicated(docs: DataFrame, width: int = 13, id_col: str = "doc_id", text_
     windows don't repeat by that alone. Rows without an id neither lose words nor take them. Null text stays null. An empty table gives an empty result.
     """
     spans = repeated_spans(docs, width, id_col, text_col)
-    by_id = written(spans.groupBy("id", "mark").agg(F.collect_list(F.struct("start", "size")).alias("gone")))
-    size = by_id.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("gone")).alias("spans")).first()
-    few = size["n"] <= BROADCAST_ROWS and 16 * (size["spans"] or 0) <= BROADCAST_BYTES
+    by_id = spans.groupBy("id", "mark").agg(F.collect_list(F.struct("start", "size")).alias("gone"))
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col]).alias("row"), F.col(id_col).cast("long").alias("key"), F.col(text_col).cast("binary").alias("text"))
     same = (F.col("key") == F.col("id")) & (F.xxhash64("text") == F.col("mark"))
-    joined = packed.join(F.broadcast(by_id) if few else by_id, same, "left").select("row", "text", "gone")
+    joined = packed.join(by_id, same, "left").select("row", "text", "gone")
 
     def run(batches):
         for batch in batches:
