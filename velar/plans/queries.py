@@ -98,7 +98,7 @@ FROM documents d LEFT JOIN (SELECT doc_id, sum(length(text)) AS n FROM ({_EMAILS
 def second_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a second detection still finds in blocked-out documents, and approved texts that are still there."""
     found = detect.with_spans(_table(spark, sf_dir, "documents"))
-    done = redact.redacted(found).select("doc_id", F.lit(0).alias("block_id"), "redacted", "text", "spans")
+    done = redact.redacted(found).select("doc_id", F.lit(0).alias("block_id"), "redacted", "text", "spans").repartition("doc_id")
     again = detect.detections(done.select("doc_id", "block_id", F.col("redacted").alias("text")), ["doc_id", "block_id"])
     texts = done.select("doc_id", F.explode(F.transform("spans", lambda s: F.substring(F.col("text"), s["start"] + 1, s["end"] - s["start"]))).alias("text"))
     left = redact.leftovers(done, texts, "doc_id").select("doc_id", F.lit("leftover").alias("kind"), "text")
@@ -272,7 +272,7 @@ SELECT sheet, row, col, CASE WHEN label IS NULL OR label = value THEN value ELSE
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        detect_documents, detect_conversations, detect_emails, detect_cards, doc_language, language_counts, redact_documents, redact_emails, second_pass,
+        detect_documents, detect_conversations, detect_emails, detect_cards, doc_language, language_counts, redact_documents, redact_emails,
         audit_by_category, term_search, check_national_ids, check_social_security, check_nhs_numbers, check_tax_numbers, check_cards, check_ibans,
         shift_order_dates, age_bands, word_rectangles, cell_contexts,
     )
