@@ -48,3 +48,40 @@ def test_containment_against_brute_force():
             if not any(y[0] <= x[0] and x[1] <= y[1] for y in want):
                 want.append(x)
         assert licenses._uncontained(ranked) == want
+
+
+def sample(parsed, rng):
+    """A text that a parsed expression of the rules matches; alternatives and repeats are drawn."""
+    out = ""
+    for op, value in parsed:
+        name = str(op)
+        if name == "LITERAL":
+            out += chr(value)
+        elif name == "ANY":
+            out += "x"
+        elif name == "IN":
+            kind, what = rng.choice(value)
+            out += {"CATEGORY_SPACE": " ", "CATEGORY_WORD": "k"}[str(what)] if str(kind) == "CATEGORY" else chr(rng.randint(*what)) if str(kind) == "RANGE" else chr(what)
+        elif name == "BRANCH":
+            out += sample(rng.choice(value[1]), rng)
+        elif name == "SUBPATTERN":
+            out += sample(value[-1], rng)
+        elif name == "MAX_REPEAT":
+            out += "".join(sample(value[2], rng) for _ in range(rng.randint(value[0], min(value[1], value[0] + 2))))
+    return out
+
+
+def test_gate_never_changes_detections():
+    rng, ordered, alone = random.Random(5), licenses.rules(), 0
+    bare = [licenses.Rule(r.label, (), r.pattern, r.priority) for r in ordered]
+    assert all(r.literals and not any(b" " in w for w in r.literals) for r in ordered)
+    for rule in ordered:
+        for _ in range(6):
+            text = sample(licenses.parser.parse(rule.pattern.pattern.decode()), rng).encode()
+            alone += bool(rule.pattern.search(text))
+            assert licenses.detections(text, ordered) == licenses.detections(text, bare), text
+    assert alone > 5 * len(ordered)
+    labels = lambda t: [x[2] for x in licenses.detections(t, ordered)]
+    assert labels(b"spdx-license-identifier: mpl-2.0") == ["mpl-2.0"]
+    assert labels(b"https://creativecommons.org/licenses/by/4.0") == ["cc-by-4.0"]
+    assert labels(b"gnu\ngeneral\tpublic  license") == ["gpl"]

@@ -1,7 +1,7 @@
 """License detection with ordered signature rules.
 
 Each license has a name, identifiers, an address and a telling clause; each of them makes a rule, a regular expression
-with a priority. A rule runs only where its license's keyword stands in the text. Detections are taken by priority,
+with a priority. A rule runs only where a word that all its matches hold stands in the text. Detections are taken by priority,
 then length; one that lies inside a detection already taken is suppressed.
 """
 
@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from re import _parser as parser
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -19,7 +20,7 @@ from .common import LETTERS, LOWER, binaries, texts
 #: The places counted as base, and their labels.
 BASE = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
 
-#: label | keyword | identifiers | name | address | clause. Expressions over lower-cased text; an empty part is no rule.
+#: label | topic (for readers only) | identifiers | name | address | clause. Expressions over lower-cased text; an empty part is no rule.
 LICENSES = r"""
 apache-2.0 | apache | apache-2\.0 | apache (?:software )?licen[cs]e,? (?:version |v\.? ?)?2(?:\.0)? | apache\.org/licenses/license-2\.0 | unless required by applicable law or agreed to in writing
 apache-1.1 | apache | apache-1\.1 | apache (?:software )?licen[cs]e,? (?:version |v\.? ?)?1\.1 | apache\.org/licenses/license-1\.1 | products derived from this software may not be called "apache"
@@ -107,20 +108,47 @@ FORMS = [
 @dataclass(frozen=True)
 class Rule:
     label: str
-    keyword: bytes
+    literals: tuple[bytes, ...]
     pattern: re.Pattern
     priority: int
 
 
+def _runs(parsed) -> list[tuple[str, ...]]:
+    """Sets of words of a parsed expression: whatever it matches holds one of each set."""
+    out, run = [], ""
+    for op, value in parsed:
+        if op is parser.LITERAL and chr(value) != " ":
+            run += chr(value)
+            continue
+        out, run = out + [(run,)] * bool(run), ""
+        if op is parser.SUBPATTERN:
+            out += _runs(value[-1])
+        elif op in (parser.MAX_REPEAT, parser.MIN_REPEAT) and value[0] > 0:
+            out += _runs(value[2])
+        elif op is parser.BRANCH:
+            sides = [max(_runs(x), key=_worth, default=()) for x in value[1]]
+            out += [tuple(sorted({w for side in sides for w in side}))] * all(sides)
+    return out + [(run,)] * bool(run)
+
+
+def _worth(words: tuple[str, ...]) -> tuple[int, int]:
+    return min(map(len, words), default=0), -len(words)
+
+
+def literals(expression: str) -> tuple[bytes, ...]:
+    """Words of which any text that the expression matches holds at least one; none if there is no such set."""
+    return tuple(w.encode() for w in max(_runs(parser.parse(expression)), key=_worth, default=()))
+
+
 def rules() -> list[Rule]:
     """All rules, highest priority first; some hundreds, each a form around one part of one license."""
     out = []
     for line in filter(None, LICENSES.strip().split("\n")):
-        label, keyword, *parts = [x.strip() for x in re.split(r" \|(?= |$)", line)]
+        label, _, *parts = [x.strip() for x in re.split(r" \|(?= |$)", line)]
         for form, part, priority in FORMS:
             if expression := parts[part - 1] if part <= len(parts) else "":
                 pattern = re.compile(form.format(expression.replace(" ", r"\s+")).encode())
-                out.append(Rule(NOT_LABELS.get(label, label), keyword.encode(), pattern, priority))
+                out.append(Rule(NOT_LABELS.get(label, label), literals(expression.replace(" ", r"\s+")), pattern, priority))
     return sorted(out, key=lambda r: -r.priority)
 
 
@@ -132,9 +160,10 @@ def detections(low: bytes, ordered: list[Rule]) -> list[tuple[int, int, str, int
     here: dict[bytes, bool] = {}
     found = []
     for rule in ordered:
-        if rule.keyword not in here:
-            here[rule.keyword] = rule.keyword in low
-        if here[rule.keyword]:
+        for word in rule.literals:
+            if word not in here:
+                here[word] = word in low
+        if not rule.literals or any(here[word] for word in rule.literals):
             found += [(m.start(), m.end(), rule.label, rule.priority) for m in rule.pattern.finditer(low)]
     found.sort(key=lambda x: (-x[3], x[0] - x[1], x[0], x[2]))
     return sorted(_uncontained(found))
