@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from velar.operators import detect, redact, search
-from velar.plans import catalog
+from velar.plans import catalog, grammar, recognizers
 
 ES = (
     "Paciente: María García López, DNI 12345678Z, nacida el 03/04/1980. Tel. 612 345 678, correo maria@ejemplo.es. IBAN ES91 2100 0418 4502 0005 1332. "
@@ -102,14 +102,95 @@ def test_edits_that_overlap(spark):
     assert df.select(redact.substituted(F.col("t"), F.col("e")).alias("x")).first().x == "abXY████ghi"
 
 
+def test_leftovers_and_residuals(spark):
+    done = spark.createDataFrame([(1, 0, "Call ████ or"), (1, 1, "ann lee"), (2, 0, None)], "doc_id long, block_id int, redacted string")
+    texts_ = spark.createDataFrame([(1, "OR ANN"), (1, "bob"), (1, "or ann "), (2, "x")], "doc_id long, text string")
+    assert sorted((r.doc_id, r.text) for r in redact.leftovers(done, texts_, "doc_id", "block_id").collect()) == [(1, "OR ANN"), (1, "or ann")]
+    cases = [("de la y", True), ("Fdo.:", True), ("nº (DNI)", True), ("abc", True), ("Juan de la Cruz", False), ("a b c d", True), ("12345", False)]
+    df = spark.createDataFrame(cases, "text string, want boolean")
+    assert df.where(redact.is_orphan(F.col("text")) != F.col("want")).collect() == []
+    again = [
+        (1, 0, 5, "email", "a@b.org"), (1, 1, 0, "email", "A@B.org "), (1, 0, 30, "date", "01/02/2024"), (1, 0, 40, "birth_or_age", "45-49 años"), (1, 0, 45, "birth_or_age", "47 años"),
+        (1, 0, 50, "person", "Dr. ████"), (1, 0, 60, "logo", "some logo"), (1, 0, 70, "person", "No One"), (2, 0, 0, "person", "de la"), (2, 0, 9, "phone", "612345678"),
+    ]
+    df = spark.createDataFrame(again, "doc_id long, block_id int, start int, category string, text string").withColumn("language", F.lit("es"))
+    rejected = spark.createDataFrame([(1, "NO ONE")], "doc_id long, text string")
+    got = lambda **o: sorted((r.doc_id, r.text) for r in redact.residuals(df, rejected, "doc_id", **o).collect())
+    assert got(dates="shift", ages="band") == [(1, "45-49 años"), (1, "a@b.org"), (2, "612345678")]
+    assert got(most=1) == [(1, "a@b.org"), (2, "612345678")] and len(got(most=None)) == 5
+
+
+def test_audit_record_has_no_values(spark):
+    found = spark.createDataFrame([(1, "d0", "email"), (1, "d1", "email"), (1, "d2", "iban"), (2, "d0", "email")], "doc_id long, det_id string, category string")
+    yes = spark.createDataFrame([(1, "d0"), (1, "d2"), (1, "d9"), (1, "d0")], "doc_id long, det_id string")
+    results = spark.createDataFrame([(1, "secret text", 2), (2, "b", 0), (3, "", 0)], "doc_id long, content string, zones int")
+    left = spark.createDataFrame([(1, "secret")], "doc_id long, text string")
+    more = spark.createDataFrame([(1, "email"), (1, "email"), (1, "date")], "doc_id long, category string")
+    rows = {r.doc_id: r.record.asDict(True) for r in redact.audit_records(results, found, yes, left, more, "doc_id", ["email", "iban"], 1, 2, 3, "shift").collect()}
+    one = rows[1]["redaction"]
+    assert (one["total"], one["approved"], one["rejected"], one["dates"], one["ages"]) == (2 + 2 + 3, 2, 1, "shifted", "blocked")
+    assert one["by_category"] == {"email": {"detected": 2, "redacted": 1}, "iban": {"detected": 1, "redacted": 1}}
+    assert rows[1]["second_pass"] == {"leftovers": 1, "residuals": 3, "residuals_by_category": {"date": 1, "email": 2}}
+    assert rows[3]["redaction"]["total"] == 3 and all(len(r["sha256"]) == 64 for r in rows.values()) and "secret" not in str(rows)
+
+
+def test_approvals_by_number(spark):
+    df = spark.createDataFrame([(1, 0, "a@b.org c@d.org"), (1, 1, "none"), (1, 2, "e@f.org"), (2, 0, "g@h.org")], "doc_id long, block_id int, text string")
+    yes = spark.createDataFrame([(1, "d1"), (1, "d2"), (1, "d7")], "doc_id long, det_id string")
+    kept = redact.with_approved_spans(detect.with_spans(df, ["email"]), yes, "doc_id", "block_id")
+    got = {(r.doc_id, r.block_id): (r.redacted, r.edits) for r in redact.redacted(kept).collect()}
+    assert got == {(1, 0): ("a@b.org ███████", 1), (1, 1): ("none", 0), (1, 2): ("███████", 1), (2, 0): ("g@h.org", 0)}
+
+
+def test_further_layers(spark):
+    ner = [(0, 12, "person", 2, 0.85, "ner"), (20, 23, "person", 2, 0.9, "ner"), (24, 33, "place_or_postcode", 2, 0.2, "ner"), (36, 40, "person", 2, 0.9, "ner")]
+    llm = [(14, 19, "person", 3, 0.5, "llm"), (45, 52, "email", 3, 0.5, "llm")]
+    text = "Paciente Ana meets X 1, Barcelona    Tel.   a@b.org"
+    df = spark.createDataFrame([(1, text, ner, llm)], f"doc_id long, text string, ner {detect.EMPTY}, llm {detect.EMPTY}").withColumn("lang", F.lit("es"))
+    rows = detect.detections(df, ["doc_id"], language_col="lang", named="ner", proposed="llm").collect()
+    assert sorted((r.layer, r.category, r.text) for r in rows) == [(1, "email", "a@b.org"), (2, "person", "Ana"), (3, "person", "eets")]
+
+
+def test_each_pattern_runs_once(spark):
+    df = texts(spark)
+    plan = detect.detections(df, ["doc_id"])._jdf.queryExecution().optimizedPlan().toString()
+    for r in (recognizers.SPANISH[0], recognizers.SPANISH[6], recognizers.ENGLISH[4]):
+        languages = (r in recognizers.SPANISH) + (r in recognizers.ENGLISH)
+        assert plan.count(r.regex()) == 2 * languages, r  # to find it, and to cut the text there
+    assert "size(spans" not in plan
+
+
+def test_scores_with_context(spark):
+    cases = [("código postal 28013", "postcode", 0.5), ("28013", None, None), ("matrícula M 1234 AB", "old_plate", 0.65), ("sanitaria XX123456", "health_card_any", 0.55), ("su CP: 35001", "island_postcode", 0.85)]
+    df = spark.createDataFrame([(i, t) for i, (t, *_) in enumerate(cases)], "doc_id long, text string").withColumn("lang", F.lit("es"))
+    got = {}
+    for r in detect.detections(df, ["doc_id"], categories=["place_or_postcode", "plate", "es_health_card"], language_col="lang").collect():
+        got.setdefault(r.doc_id, []).append((r.detector, r.score))
+    for i, (_, detector, score) in enumerate(cases):
+        assert (detector, score) in got[i] if detector else i not in got, (i, got)
+
+
+def test_gates_never_lose_a_match():
+    import re
+
+    for r in {*recognizers.SPANISH, *recognizers.ENGLISH}:
+        assert all(re.fullmatch("[a-záéíóúñü]+", w) for w in r.words), r
+    tokens = lambda t: set(re.findall("[a-záéíóúñü]+", t.lower()))
+    for label in [*recognizers.ES_RECORD, *recognizers.ES_HEALTH_CARD, *recognizers.ES_CASE, *recognizers.ES_ACCOUNT, *recognizers.EN_RECORD, *recognizers.EN_CASE, *recognizers.ES_STREETS, *recognizers.ES_SIGNATURES, *recognizers.ES_COMPANY_FORMS]:
+        words = set(grammar.tokens_of([label]))
+        for spelling in {label, label.replace(".", ""), label.upper()}:
+            assert tokens(spelling) & words, (label, spelling)
+            assert re.search("(?i)" + grammar.any_of([label]).replace(r"\s", " "), spelling) or re.fullmatch(r"\w\.", label), (label, spelling)
+
+
 def test_metrics(spark):
     truth = spark.createDataFrame([(1, "email", "a@b.c"), (1, "person", "John  Smith"), (2, "person", "Ann Lee")], "doc_id int, category string, value string")
     got = spark.createDataFrame([(1, "email", "A@b.c"), (1, "person", "john smith jr"), (1, "person", "Bob"), (2, "phone", "12")], "doc_id int, category string, text string")
-    rows = {r.category: (r.truths, r.covered, r.detections, r.right, r.sensitivity, r.precision) for r in redact.evaluated(truth, got, "doc_id").collect()}
-    assert rows["person"] == (2, 1, 2, 1, 0.5, 0.5) and rows["phone"] == (0, 0, 1, 0, None, 0.0) and rows[None][:4] == (3, 2, 4, 2)
+    rows = {r.category: (r.truths, r.covered, r.detections, r.right, r.sensitivity, r.precision, r.missed) for r in redact.evaluated(truth, got, "doc_id").collect()}
+    assert rows["person"] == (2, 1, 2, 1, 0.5, 0.5, ["Ann Lee"]) and rows["phone"] == (0, 0, 1, 0, None, 0.0, None) and rows[None][:4] == (3, 2, 4, 2)
 
 
-@pytest.mark.parametrize("terms,want", [(["ana", "ANA ", ""], [("ana", 0, 3), ("ana", 4, 7)]), ([], [])])
+@pytest.mark.parametrize("terms,want", [(["ana", "ANA ", "", "ana"], [("ANA", 0, 3), ("ANA", 4, 7), ("ana", 0, 3), ("ana", 4, 7)]), ([], [])])
 def test_terms(spark, terms, want):
     df = spark.createDataFrame([(1, "Ana anamnesis"), (2, None)], "doc_id int, text string")
     got = search.term_hits(df, terms, ["doc_id"]).collect()

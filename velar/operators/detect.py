@@ -1,7 +1,8 @@
 """Detection of personal data: text blocks -> typed, disjoint spans, in one narrow stage of built-in expressions.
 
 Of every recognizer the spans are found, checked, classified and filtered; the fold over all spans of a block, in
-order of place, lets the stronger of two that overlap win without leaving a character uncovered.
+order of place, lets the stronger of two that overlap win without leaving a character uncovered. A text's tokens and
+whether it has digits are worked out once; a recognizer's pattern runs only on texts that can match it.
 """
 
 from __future__ import annotations
@@ -12,17 +13,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from velar.functions import checks, spans
-from velar.functions.language import detection_language
+from velar.functions.language import language_of, latin_words
 from velar.plans import recognizers as R
 from velar.plans.catalog import ALIASES, GROUP_OF
 
 SPAN = "struct<start:int,end:int,category:string,layer:int,score:double,detector:string>"
 EMPTY = f"array<{SPAN}>"
-SHORTEST, NEAR_TOKENS = 2, 5
-
-
-def _moved(s: Column, place: Column) -> Column:
-    return _span(place["start"], place["end"], s["category"], s["layer"], s["score"], s["detector"])
+SHORTEST, NEAR_TOKENS, NEAR_CHARS, SHORTEST_NAME = 2, 5, 120, 3
+SIX_DIGITS = r"\p{Nd}(?:[^\p{L}\p{Nd}]{0,3}\p{Nd}){5}"
 
 
 def known_categories(categories: Iterable[str] | None) -> list[str]:
@@ -33,90 +31,102 @@ def known_categories(categories: Iterable[str] | None) -> list[str]:
     return [c for c in GROUP_OF if c in asked]
 
 
-def _span(start, end, category, layer, score, detector) -> Column:
+def span(start, end, category, layer, score, detector) -> Column:
     return F.struct(start.alias("start"), end.alias("end"), category.alias("category"), layer.alias("layer"), score.alias("score"), detector.alias("detector"))
 
 
-def _gate(text: Column, r: R.Recognizer) -> Column:
-    """A cheap test that a match of the recognizer can't fail."""
-    return {"digit": text.rlike(r"\p{Nd}"), "": F.lit(True)}.get(r.gate, F.contains(text, F.lit(r.gate)))
-
+def _moved(s: Column, place: Column) -> Column:
+    return span(place["start"], place["end"], s["category"], s["layer"], s["score"], s["detector"])
 
-def _matches(text: Column, i: int, r: R.Recognizer) -> Column:
-    """struct<i,gaps,hits,values> of one recognizer, null without a match."""
-    regex, values = r.regex(), F.lit(None).cast("array<string>")
-    if r.group:
-        values = F.regexp_extract_all(text, F.lit(regex), F.lit(r.group))
-    found = F.struct(F.lit(i).alias("i"), F.split(text, regex, -1).alias("gaps"), F.regexp_extract_all(text, F.lit(regex), F.lit(0)).alias("hits"), values.alias("values"))
-    return F.when(_gate(text, r) & text.rlike(regex), found)
 
+def _words(values: Iterable[str]) -> Column:
+    """A literal array of words."""
+    return F.split(F.lit(" ".join(values)), " ")
 
-def _by_index(table: dict[tuple[str, ...], list[int]], i: Column, test, default: Column) -> Column:
-    """test(names) for the recognizers in table, else the default."""
-    out = None
-    for names, ids in table.items():
-        out = F.when(i.isin(ids), test(names)) if out is None else out.when(i.isin(ids), test(names))
-    return default if out is None else out.otherwise(default)
 
+def features(text: Column) -> Column:
+    """struct<tokens,digit,digits>: what the gates of the recognizers look at."""
+    tokens = latin_words(text)
+    return F.struct(tokens.alias("tokens"), text.rlike(r"\p{Nd}").alias("digit"), text.rlike(SIX_DIGITS).alias("digits"))
 
-def recognized(text: Column, wanted: list[R.Recognizer], language: str, categories: list[str]) -> Column:
-    """Spans of the recognizers: found, checked, classified, and above the threshold.
 
-    Each recognizer only adds its matches to the plan; what follows is written once for all of them.
-    """
-    matches = F.filter(F.array(*[_matches(text, i, r) for i, r in enumerate(wanted)]), lambda m: m.isNotNull())
-    steps = lambda m: F.zip_with(
+def _matches(text: Column, has: Column, i: int, r: R.Recognizer) -> Column:
+    """struct<i,gaps,hits,values> of one recognizer, null without a match."""
+    regex = F.lit(r.regex())
+    values = F.regexp_extract_all(text, regex, F.lit(r.group)) if r.group else F.lit(None).cast("array<string>")
+    found = lambda hits: F.when(F.size(hits) > 0, F.struct(F.lit(i).alias("i"), F.split(text, r.regex(), -1).alias("gaps"), hits.alias("hits"), values.alias("values")))
+    gate = has[r.gate] if r.gate in ("digit", "digits") else F.contains(text, F.lit(r.gate)) if r.gate else F.lit(True)
+    if r.words:
+        gate = F.arrays_overlap(has["tokens"], _words(r.words)) & gate
+    return F.when(gate, spans.let(F.regexp_extract_all(text, regex, F.lit(0)), found))
+
+
+def _places(m: Column) -> Column:
+    """array<struct<start,end,i>>: gaps and hits alternate, so that their lengths add up to places; a value ends its hit."""
+    steps = F.zip_with(
         F.zip_with(F.slice(m["gaps"], F.lit(1), F.size(m["hits"])), m["hits"], lambda g, h: F.struct(F.length(g).alias("gap"), F.length(h).alias("size"))),
         F.coalesce(m["values"], m["hits"]),
         lambda x, v: x.withField("value", F.length(v)),
     )
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,i:int>>").alias("out"))
 
-    def places(m: Column) -> Column:
-        def step(acc: Column, x: Column) -> Column:
-            end = acc["at"] + x["gap"] + x["size"]
-            place = F.struct((end - x["value"]).alias("start"), end.alias("end"), m["i"].alias("i"))
-            return F.struct(end.alias("at"), F.array_append(acc["out"], place).alias("out"))
+    def step(acc: Column, x: Column) -> Column:
+        end = acc["at"] + x["gap"] + x["size"]
+        place = F.struct((end - x["value"]).alias("start"), end.alias("end"), m["i"].alias("i"))
+        return F.struct(end.alias("at"), F.array_append(acc["out"], place).alias("out"))
 
-        return F.aggregate(steps(m), start, step, lambda acc: acc["out"])
+    return F.aggregate(steps, start, step, lambda acc: acc["out"])
 
+
+def classified(category: Column, text: Column, start: Column, language: str) -> Column:
+    """A person behind a clinician's cue is a clinician, a date behind a birth cue is a birth date."""
+    before = lambda n: spans.piece(text, F.greatest(start - n, F.lit(0)), start)
+    return (
+        F.when((category == "person") & before(R.CLINICIAN_REACH).rlike(R.CLINICIAN_BEFORE[language]), "clinician")
+        .when((category == "date") & before(R.BIRTH_REACH).rlike(R.BIRTH_BEFORE[language]), "birth_or_age")
+        .otherwise(category)
+    )
+
+
+def recognized(text: Column, has: Column, wanted: list[R.Recognizer], language: str, categories: list[str]) -> Column:
+    """Spans of the recognizers: found, checked, classified, and above the threshold.
+
+    Each recognizer only adds its matches to the plan; what follows is written once for all of them.
+    """
+    matches = F.filter(F.array(*[_matches(text, has, i, r) for i, r in enumerate(wanted)]), lambda m: m.isNotNull())
     tests: dict[tuple[str, ...], list[int]] = {}
-    needs: dict[tuple[str, ...], list[int]] = {}
     for i, r in enumerate(wanted):
         if r.check:
             tests.setdefault(r.check, []).append(i)
-        if r.needs:
-            needs.setdefault(r.needs, []).append(i)
-    piece = lambda s: spans.piece(text, s["start"], s["end"])
-    before = lambda s, n: spans.piece(text, F.greatest(s["start"] - n, F.lit(0)), s["start"])
-    near = lambda s: F.slice(F.reverse(F.split(F.lower(F.trim(before(s, 120))), r"\s+")), 1, NEAR_TOKENS)
-
-    def stands(s: Column) -> Column:
-        checked = _by_index(tests, s["i"], lambda names: _any(checks.CHECKS[c](piece(s)) for c in names), F.lit(True))
-        needed = _by_index(needs, s["i"], lambda words: F.exists(near(s), lambda t: _any(t.contains(w) for w in words)), F.lit(True))
-        return (s["start"] < s["end"]) & checked & needed
-
     lookup = lambda values, i: F.get(F.array(*[F.lit(v) for v in values]), i)
-    score = [1.0 if r.sure else max(r.score, R.BOOSTED) if r.needs else r.score for r in wanted]
-
-    def classified(s: Column) -> Column:
-        plain_ = lookup([r.category for r in wanted], s["i"])
-        category = (
-            F.when((plain_ == "person") & before(s, R.CLINICIAN_REACH).rlike(R.CLINICIAN_BEFORE[language]), "clinician")
-            .when((plain_ == "date") & before(s, R.BIRTH_REACH).rlike(R.BIRTH_BEFORE[language]), "birth_or_age")
-            .otherwise(plain_)
-        )
-        return _span(s["start"], s["end"], category, F.lit(1), lookup(score, s["i"]), lookup([r.name for r in wanted], s["i"]))
-
-    found = F.filter(F.flatten(F.transform(matches, places)), stands)
-    return F.filter(F.transform(found, classified), lambda s: s["category"].isin(categories) & (s["score"] >= R.THRESHOLD))
-
 
-def _any(tests: Iterable[Column]) -> Column:
-    out = None
-    for t in tests:
-        out = t if out is None else out | t
-    return out
+    def passes(i: Column, value: Column) -> Column:
+        """Whether the value passes one of its recognizer's tests; one without tests passes."""
+        out = F.lit(True)
+        for names, ids in tests.items():
+            some = None
+            for c in names:
+                some = checks.CHECKS[c](value) if some is None else some | checks.CHECKS[c](value)
+            out = F.when(i.isin(ids), some).otherwise(out)
+        return out
+
+    def near(s: Column) -> Column:
+        """Whether a context word of its recognizer is part of one of the tokens just before."""
+        words = F.split(lookup([" ".join(r.near) for r in wanted], s["i"]), " ")
+        before = spans.piece(text, F.greatest(s["start"] - NEAR_CHARS, F.lit(0)), s["start"])
+        tokens = F.slice(F.reverse(F.split(F.lower(F.trim(before)), r"\s+")), 1, NEAR_TOKENS)
+        return lookup([bool(r.near) for r in wanted], s["i"]) & F.exists(tokens, lambda t: F.exists(words, lambda w: F.contains(t, w)))
+
+    def judged(s: Column) -> Column:
+        base, sure = lookup([r.score for r in wanted], s["i"]), lookup([r.sure for r in wanted], s["i"])
+        raised = F.least(F.greatest(base + R.BOOST, F.lit(R.BOOSTED)), F.lit(1.0))
+        score = F.round(F.when(sure, 1.0).when(near(s), raised).otherwise(base), 2)
+        stands = (s["start"] < s["end"]) & spans.let(spans.piece(text, s["start"], s["end"]), lambda v: passes(s["i"], v))
+        category = classified(lookup([r.category for r in wanted], s["i"]), text, s["start"], language)
+        return F.when(stands, span(s["start"], s["end"], category, F.lit(1), score, lookup([r.name for r in wanted], s["i"])))
+
+    found = F.transform(F.flatten(F.transform(matches, _places)), judged)
+    return F.filter(found, lambda s: s["category"].isin(categories) & (s["score"] >= R.THRESHOLD))
 
 
 def _could(r: R.Recognizer, categories: list[str]) -> bool:
@@ -124,18 +134,40 @@ def _could(r: R.Recognizer, categories: list[str]) -> bool:
     return r.category in categories or also in categories
 
 
-def all_spans(text: Column, language: str, categories: list[str], custom: list[str]) -> Column:
+def all_spans(text: Column, has: Column, language: str, categories: list[str], custom: list[str]) -> Column:
     """Spans of all recognizers of a language that can give an asked category; only those are built into the plan."""
     wanted = [r for r in (R.ENGLISH if language == "en" else R.SPANISH) if _could(r, categories)]
-    parts = [recognized(text, wanted, language, categories)] if wanted else []
+    parts = [recognized(text, has, wanted, language, categories)] if wanted else []
     terms = sorted({t.strip() for t in custom if t and t.strip()}, key=lambda t: (-len(t), t))
     if terms and "custom_term" in categories:
         pattern = r"(?iuU)(?<!\w)(?:" + "|".join(spans.literal(t, False) for t in terms) + r")(?!\w)"
-        own = lambda s: _span(s["start"], s["end"], F.lit("custom_term"), F.lit(1), F.lit(1.0), F.lit("custom"))
+        own = lambda s: span(s["start"], s["end"], F.lit("custom_term"), F.lit(1), F.lit(1.0), F.lit("custom"))
         parts.append(F.transform(spans.find_all(text, pattern), own))
     return F.flatten(F.array(*parts)) if parts else F.array().cast(EMPTY)
 
 
+def outside_spans(text: Column, found: Column, language: str, categories: list[str], allow: list[str]) -> Column:
+    """Spans of a second layer (named entities of some model) made fit to join the first layer's.
+
+    They are classified and filtered like those, lose words of forms and single allowed words at their ends, and go if
+    fewer than three characters, a word of forms, or fewer letters than half of what is left.
+    """
+    singles = [a for a in allow if " " not in a]
+
+    def fit(s: Column) -> Column:
+        category = classified(s["category"], text, s["start"], language)
+        place = spans.without_edges(text, s["start"], s["end"], R.NOISE[language] + singles, R.EDGE_SIGNS)
+        return spans.let(place, lambda t: span(t["start"], t["end"], category, F.lit(2), F.round(F.least(s["score"], F.lit(1.0)), 2), s["detector"]))
+
+    def stands(s: Column) -> Column:
+        bare = F.lower(F.regexp_replace(spans.piece(text, s["start"], s["end"]), rf"(?U)\A[\s{R.EDGE_SIGNS}]+|[\s{R.EDGE_SIGNS}]+\z", ""))
+        letters = F.length(F.regexp_replace(bare, r"\P{L}", ""))
+        size = F.length(bare)
+        return s["category"].isin(categories) & (s["score"] >= R.THRESHOLD) & (size >= SHORTEST_NAME) & ~bare.isin(R.NOISE[language]) & (letters * 2 >= size)
+
+    return F.filter(F.transform(found, fit), stands)
+
+
 def resolved(text: Column, found: Column) -> Column:
     """Spans of which the stronger won, from overlapping ones.
 
@@ -158,7 +190,7 @@ def resolved(text: Column, found: Column) -> Column:
     def step(acc: Column, d: Column) -> Column:
         last = F.try_element_at(acc, F.lit(-1))
         rest = F.slice(acc, F.lit(1), F.size(acc) - 1)
-        union = _span(last["start"], F.greatest(last["end"], d["end"]), last["category"], F.least(last["layer"], d["layer"]), F.greatest(last["score"], d["score"]), last["detector"])
+        union = span(last["start"], F.greatest(last["end"], d["end"]), last["category"], F.least(last["layer"], d["layer"]), F.greatest(last["score"], d["score"]), last["detector"])
         wins = F.concat(rest, remnant(last, last["start"], d["start"]), F.array(d), remnant(last, d["end"], last["end"]))
         return (
             F.when((F.size(acc) == 0) | (d["start"] >= last["end"]), F.array_append(acc, d))
@@ -167,17 +199,17 @@ def resolved(text: Column, found: Column) -> Column:
             .otherwise(F.concat(acc, remnant(d, last["end"], d["end"])))
         )
 
-    return F.aggregate(ordered, none, step)
+    return F.when(F.size(found) < 2, found).otherwise(F.aggregate(ordered, none, step))
 
 
-def cleaned(text: Column, found: Column, language: Column | str) -> Column:
+def cleaned(text: Column, found: Column, language: Column) -> Column:
     """Spans without labels, particles and signs at their ends; custom terms stay whole; short rests go."""
     words = {k: R.EDGE_WORDS + R.NOISE[k] for k in R.NOISE}
 
     def clean(s: Column) -> Column:
         edges = {k: spans.without_edges(text, s["start"], s["end"], words[k], R.EDGE_SIGNS) for k in words}
-        cut = edges[language] if isinstance(language, str) else F.when(language == "en", edges["en"]).otherwise(edges["es"])
-        return spans.let(cut, lambda t: F.when(s["category"] == "custom_term", s).otherwise(_moved(s, t)))
+        cut = F.when(language == "en", edges["en"]).otherwise(edges["es"])
+        return F.when(s["category"] == "custom_term", s).otherwise(spans.let(cut, lambda t: _moved(s, t)))
 
     return F.filter(F.transform(found, clean), lambda s: s["end"] - s["start"] >= SHORTEST)
 
@@ -196,31 +228,63 @@ def plain(text: Column) -> Column:
 
 
 def with_spans(
-    blocks: DataFrame, categories: Iterable[str] | None = None, custom: Iterable[str] = (), allow: Iterable[str] = (), text_col: str = "text", language_col: str | None = None
+    blocks: DataFrame,
+    categories: Iterable[str] | None = None,
+    custom: Iterable[str] = (),
+    allow: Iterable[str] = (),
+    text_col: str = "text",
+    language_col: str | None = None,
+    named: str | None = None,
+    proposed: str | None = None,
 ) -> DataFrame:
     """blocks with `language` and `spans`: the disjoint detections of each text. No shuffle, no Python.
 
     language_col holds 'es' or 'en' (others count as 'es'); without it each text decides for itself. categories None
     asks for all of them, an empty list for none. allow holds whole texts, in any case, that are never detections.
+    named and proposed are columns of spans of further layers, array<SPAN>: named entities of a model (layer 2) join the
+    recognizers' spans; proposals of a language model (layer 3, see operators.layers) are resolved against the outcome.
     Null and blank texts have no detections.
     """
     chosen, custom = known_categories(categories), list(custom)
-    language = F.col(language_col) if language_col else detection_language(F.col(text_col))
-    base = blocks.withColumn("language", F.when(language == "en", "en").otherwise("es")).withColumn("_plain", plain(F.col(text_col)))
-    text = F.col("_plain")
-    by_language = {k: all_spans(text, k, chosen, custom) for k in ("es", "en")}
-    raw = F.when(F.coalesce(F.trim(text), F.lit("")) == "", F.array().cast(EMPTY)).when(F.col("language") == "en", by_language["en"]).otherwise(by_language["es"])
-    base = base.withColumn("_raw", raw)
     allowed = sorted({a.strip().lower() for a in allow if a and a.strip()})
+    base = blocks.withColumn("_plain", plain(F.col(text_col)))
+    text, has = F.col("_plain"), F.col("_has")
+    base = base.withColumn("_has", features(text))
+    language = F.col(language_col) if language_col else language_of(F.col("_has.tokens"), F.col(text_col))
+    base = base.withColumn("language", F.when(language == "en", "en").otherwise("es"))
+    blank = F.coalesce(F.trim(text), F.lit("")) == ""
+
+    def of(k: str) -> Column:
+        own = all_spans(text, has, k, chosen, custom)
+        return F.concat(own, outside_spans(text, F.coalesce(F.col(named), F.array().cast(EMPTY)), k, chosen, allowed)) if named else own
+
+    raw = F.when(blank, F.array().cast(EMPTY)).when(F.col("language") == "en", of("en")).otherwise(of("es"))
+    base = base.withColumn("_raw", raw)
     found = F.col("_raw")
+    unlisted = lambda s: ~F.lower(F.trim(spans.piece(text, s["start"], s["end"]))).isin(allowed)
     if allowed:
-        found = F.filter(found, lambda s: ~F.lower(F.trim(spans.piece(text, s["start"], s["end"]))).isin(allowed))
-    base = base.withColumn("_kept", resolved(text, found))
-    return base.withColumn("spans", cleaned(text, F.col("_kept"), F.col("language"))).drop("_plain", "_raw", "_kept")
+        found = F.filter(found, unlisted)
+    base = base.withColumn("_kept", resolved(text, found)).withColumn("spans", cleaned(text, F.col("_kept"), F.col("language")))
+    if proposed:
+        more = F.filter(F.coalesce(F.col(proposed), F.array().cast(EMPTY)), lambda s: s["category"].isin(chosen))
+        base = base.withColumn("_all", F.when(blank, F.col("spans")).otherwise(F.concat("spans", more)))
+        base = base.withColumn("_kept", resolved(text, F.col("_all"))).withColumn("spans", cleaned(text, F.col("_kept"), F.col("language"))).drop("_all")
+    return base.drop("_plain", "_raw", "_kept", "_has")
+
+
+def exploded(found: DataFrame, keys: list[str], text_col: str = "text") -> DataFrame:
+    """One row per detection of with_spans(): keys, language, start, end, category, layer, score, detector, text, context.
+
+    Rows without a detection are generated as null and dropped after: a plain explode would have the optimizer test the
+    number of detections below, and so find them all twice.
+    """
+    rows = found.select(*keys, "language", F.col(text_col).alias("_text"), F.explode_outer("spans").alias("s")).where("s is not null")
+    value = spans.piece(F.col("_text"), F.col("s.start"), F.col("s.end"))
+    return rows.select(*keys, "language", "s.*", value.alias("text"), context(plain(F.col("_text")), F.col("s.start"), F.col("s.end")).alias("context"))
 
 
 def detections(blocks: DataFrame, keys: list[str], text_col: str = "text", **options) -> DataFrame:
     """One row per detection: keys, language, start, end, category, layer, score, detector, text, context."""
-    found = with_spans(blocks.select(*keys, *([] if text_col in keys else [text_col]), *([options["language_col"]] if options.get("language_col") else [])), text_col=text_col, **options)
-    rows = found.select(*keys, "language", F.col(text_col).alias("_text"), F.explode("spans").alias("s"))
-    return rows.select(*keys, "language", "s.*", spans.piece(F.col("_text"), F.col("s.start"), F.col("s.end")).alias("text"), context(plain(F.col("_text")), F.col("s.start"), F.col("s.end")).alias("context"))
+    used = [options[k] for k in ("language_col", "named", "proposed") if options.get(k)]
+    narrow = blocks.select(*dict.fromkeys([*keys, text_col, *used]))
+    return exploded(with_spans(narrow, text_col=text_col, **options), keys, text_col)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -15,6 +16,15 @@ from velar.operators import detect, redact, search
 TERMS = ["Apache License", "the", "MIT"]
 
 
+def job_secret(spark: SparkSession) -> str:
+    """The secret of shifts, from spark.velar.secret; a session without one draws its own, kept nowhere else."""
+    found = spark.conf.get("spark.velar.secret", None)
+    if not found:
+        found = secrets.token_hex(16)
+        spark.conf.set("spark.velar.secret", found)
+    return found
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -79,7 +89,7 @@ FROM (SELECT doc_id, lang, text, list_slice(regexp_extract_all(lower(text), '[a-
 def redact_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document with all detections approved: dates moved by its own shift, ages banded, the rest blocked."""
     found = detect.with_spans(_table(spark, sf_dir, "documents"))
-    done = redact.redacted(found, shift_days(F.col("doc_id"), "registered"), dates="shift", ages="band")
+    done = redact.redacted(found, shift_days(F.col("doc_id"), job_secret(spark)), dates="shift", ages="band")
     return done.select("doc_id", "language", F.size("spans").alias("n_spans"), "redacted")
 
 
