@@ -1,6 +1,6 @@
 import random
 
-from velar.llm.edits import Neighbours, segments, signatures, within
+from velar.llm.edits import alike, character_classes, segments, signatures, within
 
 
 def distance(a, b):
@@ -40,13 +40,18 @@ def test_segments_cover():
             assert s[0][0] == 0 and all(x + y == z for (x, y), (z, _) in zip(s, s[1:])) and sum(s[-1]) == n
 
 
-def test_neighbours_meet_exactly_within_one_edit():
-    rng, keys = random.Random(2), Neighbours()
+def test_characters_bound_the_distance_and_alike_joins_all():
+    rng = random.Random(2)
     for _ in range(3000):
-        a = "".join(rng.choices("ab", k=rng.randint(1, 14)))
-        b = edited(rng, a, rng.randint(1, 2), "ab")
-        if a == b or not b:
-            continue
-        (am, ao, aw), (bm, bo, bw) = keys.keys(a), keys.keys(b)
-        meet = bool({*am.tolist()} & {*bm.tolist()}) or bw in ao.tolist() or aw in bo.tolist()
-        assert meet == (distance(a, b) <= 1), (a, b)
+        a = "".join(rng.choices("abxyzé19", k=rng.randint(0, 30)))
+        b = edited(rng, a, rng.randint(0, 3), "abxq7")
+        assert (character_classes(a) ^ character_classes(b)).bit_count() <= 2 * distance(a, b)
+    for most in (0, 1, 2, 3):
+        lines = ["".join(rng.choices("ab", k=rng.randint(1, 12))) for _ in range(70)] + [f"page {k}" for k in range(40)] + ["", ""]
+        root = list(range(len(lines)))
+        for i, j in alike(lines, most):
+            assert distance(lines[i], lines[j]) <= most
+            root = [root[j] if x == root[i] else x for x in root]
+        for i, x in enumerate(lines):
+            for j in range(i):
+                assert root[i] == root[j] or distance(x, lines[j]) > most

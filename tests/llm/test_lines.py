@@ -53,8 +53,9 @@ def tables(seed):
     return [r[:2] for r in rows] + [(1000 + i, f"{c}\n{rng.choice(crowd)}") for i, c in enumerate(crowd)]
 
 
-@pytest.mark.parametrize("most,dense", [(1, 64), (1, 4), (2, 64), (0, 64)])
-def test_against_brute_force(spark, most, dense):
+@pytest.mark.parametrize("most,dense,block", [(1, 64, 2000), (1, 4, 2000), (2, 64, 2000), (2, 4, 2000), (2, 4, 15), (3, 1, 40), (0, 64, 2000)])
+def test_against_brute_force(spark, monkeypatch, most, dense, block):
+    monkeypatch.setattr(lines, "BLOCK_LINES", block)
     rows = tables(most + 3)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id: r.text for r in lines.deduplicated(docs, most, 16, dense).collect()}
@@ -72,7 +73,8 @@ def test_odd_rows(spark):
         (5, "x" * 300000 + "\n" + "x" * 300001, "f", 7),
     ]
     docs = spark.createDataFrame(rows, "doc_id long, text string, id string, h long")
-    got = sorted((tuple(r) for r in lines.deduplicated(docs).collect()), key=lambda r: r[3])
+    clash = docs.selectExpr("*", "'old' as _lines", "7 as _removed")
+    got = sorted((tuple(r) for r in lines.deduplicated(clash).collect()), key=lambda r: r[3])
     assert got == [
         (1, "", "a", 1, 2, 2),
         (1, "other", "b", 2, 2, 1),

@@ -84,40 +84,41 @@ def signatures(line: str, most: int, least: int) -> tuple[list[int], list[int]]:
     return index, probes
 
 
-PRIMES, BASES = (2147483647, 2147483629), (48271, 69621)
-
-
-class Neighbours:
-    """Keys of all strings one edit away, in time linear in a line's length, from two polynomial hashes."""
-
-    def __init__(self) -> None:
-        self.powers = [np.ones(1, np.uint64) for _ in PRIMES]
-
-    def _powers(self, n: int, k: int) -> np.ndarray:
-        p, have = np.uint64(PRIMES[k]), self.powers[k]
-        while len(have) < n:
-            step = np.uint64(pow(BASES[k], len(have), PRIMES[k]))
-            have = np.concatenate((have, have * step % p))
-        self.powers[k] = have
-        return have[:n]
-
-    def keys(self, line: str) -> tuple[np.ndarray, np.ndarray, int]:
-        """Keys of the line with one place masked (a key for each place), with one character out, and of itself."""
-        chars = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
-        n, masked, out, own = len(chars), 0, 0, 0
-        for k in range(2):
-            p = np.uint64(PRIMES[k])
-            terms = chars * self._powers(n, k) % p
-            sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(terms) % p))
-            inverse = np.uint64(pow(BASES[k], -1, PRIMES[k]))
-            rest = (sums[-1] + p - sums[1:]) % p * inverse % p
-            shift = np.uint64(32 * k)
-            masked = masked + ((sums[-1] + p - terms) % p << shift)
-            out = out + ((sums[:-1] + rest) % p << shift)
-            own = own + (int(sums[-1]) << 32 * k)
-        places = np.arange(n, dtype=np.uint64)
-        mix = 0x9E3779B97F4A7C15
-        masked = (masked ^ (places + np.uint64(1)) * np.uint64(mix)) + np.uint64(n * mix & FULL)
-        out = out + np.uint64((n - 1) * mix & FULL)
-        own = (own + n * mix) & FULL
-        return masked.view(np.int64), np.unique(out).view(np.int64), int(np.uint64(own).view(np.int64))
+def character_classes(line: str) -> int:
+    """64 bits: which classes of code points (by remainder) the line has. An edit changes two of them at most."""
+    out = 0
+    for c in set(line):
+        out |= 1 << (ord(c) * 0x9E3779B1 >> 7 & WIDTH - 1)
+    return out
+
+
+def _counts(lines: list[str]) -> np.ndarray:
+    """How often each line has code points of each of 64 classes, at most 127."""
+    out = np.zeros((len(lines), WIDTH), np.int16)
+    for i, line in enumerate(lines):
+        codes = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        out[i] = np.minimum(np.bincount(codes * 0x9E3779B1 >> 7 & WIDTH - 1, minlength=WIDTH), 127)
+    return out
+
+
+def alike(lines: list[str], most: int) -> list[tuple[int, int]]:
+    """Pairs (i, j) of places within `most` edits, enough of them to join all that such pairs join.
+
+    Each line in turn meets those that nothing has joined yet, by counts of characters (an edit changes their sum of
+    differences by two at most) and then by edit distance; those found are next in turn.
+    """
+    counts, left, queue, out = _counts(lines), np.arange(len(lines)), [], []
+    while len(left) or queue:
+        if not queue:
+            queue, left = [int(left[0])], left[1:]
+        i = queue.pop()
+        if not len(left):
+            continue
+        near = np.flatnonzero(np.abs(counts[left] - counts[i]).sum(1) <= 2 * most)
+        good = np.array([within(lines[i], lines[j], most) for j in left[near].tolist()], bool)
+        found = left[near[good]] if len(near) else left[:0]
+        out += [(i, j) for j in found.tolist()]
+        queue += found.tolist()
+        if len(found):
+            left = np.delete(left, near[good])
+    return out

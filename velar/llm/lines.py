@@ -6,12 +6,17 @@ number) of a class stays, its others go.
 
 A line is cut into most + 1 segments; two lines within `most` edits share one unchanged. Every line is indexed under
 its length and segments and probes those substrings that could be another line's segment; rows of one hash meet in
-one partition, sorted, and are paired there as a stream. Pairs are verified by edit distance on the lines themselves,
-fetched by their coordinates. A hash with more than `dense` lines isn't paired out: for one edit, its lines go to
-their linear number of one-edit neighbours instead and are linked where those coincide, which finds the same links.
-For more edits dense hashes are paired like others.
+one partition, sorted, and are paired there as a stream. A row carries which of 64 classes of characters the line has:
+an edit changes two of them at most, so that most pairs that only share a segment go at once. Pairs are verified by edit
+distance on the lines themselves, fetched by their coordinates.
 
-A line is known by a 64-bit hash; among n different lines n^2 / 2^65 equal hashes are to be expected.
+A hash with more than `dense` lines isn't paired out. Its lines are dealt into blocks of about BLOCK_LINES, each two
+blocks meet in a task, and there a line is compared with those that nothing has joined yet, by counts of characters
+first: what a task holds is bounded, no pair that could join two classes is left out, and lines that are alike cost a
+linear number of comparisons. Only a dense hash whose lines are mostly not alike costs the square of its lines.
+
+Equal lines are equal by 128 bits of hash. Candidates are named by 64 of them; where two different lines share those,
+one of the two isn't looked at for edits.
 """
 
 from __future__ import annotations
@@ -25,14 +30,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import binaries, small_batches, texts, written
-from .edits import Neighbours, signatures, within
+from .edits import alike, character_classes, signatures, within
 from .graph import components
 
-BROADCAST_ROWS = 200_000  # of (doc_id, lines) up to which a text is fetched without a shuffle
+BLOCK_LINES = 2000
 
 
-def _key(line: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(line) - (1 << 63)
+def _keys(line: bytes) -> tuple[int, int]:
+    """128 bits of hash as two signed longs."""
+    digest = xxhash.xxh3_128_intdigest(line)
+    return (digest & (1 << 64) - 1) - (1 << 63), (digest >> 64) - (1 << 63)
 
 
 def split(text: bytes) -> Iterator[tuple[int, bytes]]:
@@ -43,35 +50,40 @@ def split(text: bytes) -> Iterator[tuple[int, bytes]]:
 
 
 def line_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, line, h): every line that isn't blank, by its number and hash."""
+    """(id, line, h, g): every line that isn't blank, by its number and the two halves of its hash."""
     kind = dict(docs.select(F.col(id_col)).dtypes)[id_col]
 
     def run(batches):
         for batch in batches:
-            owner, number, key = [], [], []
+            owner, number, keys = [], [], []
             for k, text in enumerate(binaries(batch.column(1))):
                 for i, line in split(text):
                     owner.append(k)
                     number.append(i)
-                    key.append(_key(line))
+                    keys.append(_keys(line))
             ids = batch.column(0).take(pa.array(owner, pa.int64()))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(number, pa.int32()), pa.array(key, pa.int64())], names=["id", "line", "h"])
+            h, g = zip(*keys) if keys else ((), ())
+            yield pa.RecordBatch.from_arrays([ids, pa.array(number, pa.int32()), pa.array(h, pa.int64()), pa.array(g, pa.int64())], names=["id", "line", "h", "g"])
 
     source = texts(docs, id_col, text_col=text_col).withColumnRenamed(id_col, "id")
-    return source.mapInArrow(run, f"id {kind}, line int, h long")
+    return source.mapInArrow(run, f"id {kind}, line int, h long, g long")
 
 
 def signature_table(docs: DataFrame, most: int, least: int, text_col: str = "text") -> DataFrame:
-    """(sig, h, probe): the hashes under which each line is indexed (probe 0) or looks (1), once per task and line."""
+    """(sig, h, probe, has): the hashes under which each line is indexed (probe 0) or looks (1), and its classes of
+    characters, once per task and line.
+    """
 
     def run(batches):
         seen: set[int] = set()
         for batch in batches:
-            sig, key, probe = [], [], []
+            sig, key, probe, has = [], [], [], []
             for text in binaries(batch.column(0)):
                 for _, raw in split(text):
-                    h = _key(raw)
-                    if len(raw) < least or h in seen:
+                    if len(raw) < least:
+                        continue
+                    h = _keys(raw)[0]
+                    if h in seen:
                         continue
                     if len(seen) > 1 << 20:
                         seen.clear()
@@ -80,99 +92,105 @@ def signature_table(docs: DataFrame, most: int, least: int, text_col: str = "tex
                     if len(line) < least:
                         continue
                     index, probes = signatures(line, most, least)
+                    n = len(index) + len(probes)
                     sig += index + probes
-                    key += [h] * (len(index) + len(probes))
+                    key += [h] * n
                     probe += [0] * len(index) + [1] * len(probes)
-            yield pa.RecordBatch.from_arrays([pa.array(sig, pa.int64()), pa.array(key, pa.int64()), pa.array(probe, pa.int8())], names=["sig", "h", "probe"])
+                    has += [character_classes(line)] * n
+            columns = [pa.array(sig, pa.int64()), pa.array(key, pa.int64()), pa.array(probe, pa.int8()), pa.array(np.array(has, np.uint64).view(np.int64))]
+            yield pa.RecordBatch.from_arrays(columns, names=["sig", "h", "probe", "has"])
 
-    return texts(docs, text_col=text_col).mapInArrow(run, "sig long, h long, probe byte")
+    return texts(docs, text_col=text_col).mapInArrow(run, "sig long, h long, probe byte, has long")
 
 
-def candidates(signed: DataFrame, dense: int) -> DataFrame:
-    """(a, b): pairs of lines that meet under a hash, one of them indexed there; (a, null): members of dense hashes.
+def candidates(signed: DataFrame, most: int, dense: int) -> DataFrame:
+    """(a, b, sig): pairs of lines that meet under a hash, one of them indexed there, whose characters allow it, without
+    sig; and the members a of dense hashes, with sig and without b.
 
     Reads each partition sorted by hash; what it holds at a time is a batch and at most `dense` rows of a hash.
     """
 
-    def pairs(sig, h, probe):
+    def pairs(sig, h, probe, has):
         a, b = [], []
         for step in range(1, len(sig)):
             same = np.flatnonzero(sig[step:] == sig[:-step])
             if not len(same):
                 break
-            good = same[(h[same] != h[same + step]) & ((probe[same] == 0) | (probe[same + step] == 0))]
+            near = np.bitwise_count((has[same] ^ has[same + step]).view(np.uint64)) <= 2 * most
+            good = same[near & (h[same] != h[same + step]) & ((probe[same] == 0) | (probe[same + step] == 0))]
             a.append(np.minimum(h[good], h[good + step]))
             b.append(np.maximum(h[good], h[good + step]))
         return np.concatenate(a) if a else h[:0], np.concatenate(b) if b else h[:0]
 
     def run(batches):
-        rest = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int8)]
+        rest = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int8), np.zeros(0, np.int64)]
         full = None  # the hash at hand if it is known to be dense
-        empty = True
+        state: dict = {}
+
+        def cut(rows, full, last):
+            """Rows to pair, members of dense hashes; the rows of the last hash wait for the next batch."""
+            sig = rows[0]
+            if not len(sig):
+                state.update(rest=rows, full=full)
+                return rows, (sig, sig)
+            starts = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1])))
+            counts = np.diff(np.concatenate((starts, [len(sig)])))
+            many = counts > dense
+            if full is not None and sig[0] == full:
+                many[0] = True
+            wait, heavy = len(sig) - int(counts[-1]), np.repeat(many, counts)
+            light = ~heavy
+            if last:
+                state.update(rest=None, full=None)
+            elif many[-1]:
+                state.update(rest=[x[:0] for x in rows], full=int(sig[-1]))
+            else:
+                state.update(rest=[x[wait:] for x in rows], full=None)
+                light[wait:] = False
+            return [x[light] for x in rows], (rows[1][heavy], sig[heavy])
+
+        def emit(light, heavy):
+            a, b = pairs(*light)
+            left, right = np.zeros(len(heavy[0]), np.int64), np.zeros(len(a), np.int64)
+            first = np.concatenate((np.ones(len(a), bool), np.zeros(len(heavy[0]), bool)))
+            columns = [pa.array(np.concatenate((a, heavy[0]))), pa.array(np.concatenate((b, left)), mask=~first), pa.array(np.concatenate((right, heavy[1])), mask=first)]
+            return pa.RecordBatch.from_arrays(columns, names=["a", "b", "sig"])
+
         for batch in batches:
-            empty = False
             cols = [np.concatenate((r, batch.column(i).to_numpy(zero_copy_only=False))) for i, r in enumerate(rest)]
-            new = np.concatenate(([True], (cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1]) | (cols[2][1:] != cols[2][:-1])))
-            sig, h, probe = (c[new] for c in cols)
-            yield from emit(*split_dense(sig, h, probe, full, last=False))
+            new = np.concatenate(([True], np.any([x[1:] != x[:-1] for x in cols[:3]], axis=0)))
+            yield emit(*cut([c[new] for c in cols], full, False))
             rest, full = state["rest"], state["full"]
-        if not empty:
-            yield from emit(*split_dense(*rest, full, last=True))
-
-    state: dict = {}
-
-    def split_dense(sig, h, probe, full, last):
-        """Rows to pair, members of dense hashes; the rows of the last hash wait for the next batch."""
-        if not len(sig):
-            state.update(rest=[sig, h, probe], full=full)
-            return (sig, h, probe), h
-        starts = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1])))
-        counts = np.diff(np.concatenate((starts, [len(sig)])))
-        many = counts > dense
-        if full is not None and sig[0] == full:
-            many[0] = True
-        wait = len(sig) - int(counts[-1])
-        heavy = np.repeat(many, counts)
-        if last:
-            state.update(rest=None, full=None)
-            return (sig[~heavy], h[~heavy], probe[~heavy]), np.unique(h[heavy])
-        if many[-1]:
-            state.update(rest=[x[:0] for x in (sig, h, probe)], full=int(sig[-1]))
-            return (sig[~heavy], h[~heavy], probe[~heavy]), np.unique(h[heavy])
-        state.update(rest=[x[wait:] for x in (sig, h, probe)], full=None)
-        light = ~heavy
-        light[wait:] = False
-        return (sig[light], h[light], probe[light]), np.unique(h[heavy])
-
-    def emit(rows, heavy):
-        a, b = pairs(*rows)
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate((a, heavy))), pa.array(np.concatenate((b, np.zeros(len(heavy), np.int64))), mask=np.concatenate((np.zeros(len(a), bool), np.ones(len(heavy), bool))))], names=["a", "b"])
-
-    tasks = int(signed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = signed.repartition(tasks, "sig").sortWithinPartitions("sig", "h", "probe")
-    return ordered.mapInArrow(run, "a long, b long")
+        if state:
+            yield emit(*cut(rest, full, True))
+
+    ordered = signed.repartition("sig").sortWithinPartitions("sig", "h", "probe")
+    return ordered.mapInArrow(run, "a long, b long, sig long")
 
 
 def fetched(docs: DataFrame, places: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(h, text): the lines at places (id, line, h), each once. A place whose line has another hash gives no row."""
-    wanted = written(places.groupBy("id").agg(F.collect_list(F.struct("line", "h")).alias("lines")))
-    few = wanted.count() <= BROADCAST_ROWS and (wanted.agg(F.sum(F.size("lines")).alias("n")).first()["n"] or 0) <= 4 * BROADCAST_ROWS
+    """(h, g, text): the lines at places (id, line, h), each h once. A place whose line has another hash gives no row."""
+    wanted = places.groupBy("id").agg(F.collect_list(F.struct("line", "h")).alias("lines"))
     source = texts(docs, id_col, text_col=text_col).withColumnRenamed(id_col, "key")
-    joined = source.join(F.broadcast(wanted) if few else wanted, F.col("key").eqNullSafe(F.col("id"))).select("text", "lines")
+    joined = source.join(wanted, F.col("key").eqNullSafe(F.col("id"))).select("text", "lines")
 
     def run(batches):
         for batch in batches:
-            keys, out = [], []
+            h, g, out = [], [], []
             for text, lines in zip(binaries(batch.column(0)), batch.column(1).to_pylist()):
                 at = dict(split(text))
                 for x in lines:
                     line = at.get(x["line"])
-                    if line is not None and _key(line) == x["h"]:
-                        keys.append(x["h"])
-                        out.append(line)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(out, pa.binary())], names=["h", "text"])
+                    if line is not None:
+                        a, b = _keys(line)
+                        if a == x["h"]:
+                            h.append(a)
+                            g.append(b)
+                            out.append(line)
+            yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(g, pa.int64()), pa.array(out, pa.binary())], names=["h", "g", "text"])
 
-    return joined.mapInArrow(run, "h long, text binary").groupBy("h").agg(F.first("text").alias("text"))
+    found = joined.mapInArrow(run, "h long, g long, text binary").groupBy("h").agg(F.min(F.struct("g", "text")).alias("x"))
+    return found.select("h", "x.g", "x.text")
 
 
 def verified(pairs: DataFrame, lines: DataFrame, most: int) -> DataFrame:
@@ -190,63 +208,58 @@ def verified(pairs: DataFrame, lines: DataFrame, most: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def neighbour_pairs(lines: DataFrame) -> DataFrame:
-    """(a, b): stars over lines that share a masked form, or of which one is the other with a character out."""
+def dense_links(members: DataFrame, lines: DataFrame, most: int) -> DataFrame:
+    """(a, b): links that join all lines within `most` edits among those of one sig; members has sig and h."""
+    sized = members.groupBy("sig").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK_LINES)).cast("int").alias("blocks"))
+    dealt = members.join(sized, "sig").join(lines.select("h", "text"), "h").withColumn("own", F.pmod(F.xxhash64("h"), F.col("blocks")).cast("int"))
+    other = F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.array_remove(F.sequence(F.lit(0), F.col("blocks") - 1), F.col("own")))
+    met = dealt.withColumn("other", F.explode(other)).select("sig", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "h", "text")
 
-    def run(batches):
-        keys = Neighbours()
-        for batch in batches:
-            for h, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                masked, out, own = keys.keys(text.decode(errors="replace"))
-                key = np.concatenate((masked, out, [own]))
-                side = np.repeat(np.array([0, 1, 2], np.int8), [len(masked), len(out), 1])
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.full(len(key), h)), pa.array(side)], names=["key", "h", "side"])
-
-    keys = written(lines.mapInArrow(run, "key long, h long, side byte"))
-    masked = keys.where("side = 0")
-    hub = masked.groupBy("key").agg(F.min("h").alias("a"), F.max("h").alias("z")).where("a < z")
-    alike = masked.join(hub, "key").select("a", F.col("h").alias("b"))
-    shorter = keys.where("side = 2").select("key", F.col("h").alias("a"))
-    longer = keys.where("side = 1").select("key", F.col("h").alias("b")).join(shorter, "key").select("a", "b")
-    both = alike.unionByName(longer)
-    return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
+    def compare(table: pa.Table) -> pa.Table:
+        h = table.column("h").to_numpy()
+        at = np.array(alike([t.decode(errors="replace") for t in table.column("text").to_pylist()], most), np.int64).reshape(-1, 2)
+        return pa.table({"a": pa.array(h[at[:, 0]], pa.int64()), "b": pa.array(h[at[:, 1]], pa.int64())})
+
+    return met.groupBy("sig", "lo", "hi").applyInArrow(compare, "a long, b long")
 
 
 def classes(docs: DataFrame, most: int = 1, least: int = 16, dense: int = 64, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """The line table, and (h, first_id, first_line) of each line whose class has other occurrences.
+    """The line table, and (h, g, first_id, first_line) of each line whose class has other occurrences.
 
     first_id and first_line are the place of the class's occurrence that stays.
     """
     lines = written(line_table(docs, id_col, text_col))
-    places = written(lines.groupBy("h").agg(F.min(F.struct("id", "line")).alias("place"), F.count(F.lit(1)).alias("n")))
-    found = written(candidates(signature_table(docs, most, least, text_col), dense if most == 1 else 1 << 30).distinct())
+    places = written(lines.groupBy("h", "g").agg(F.min(F.struct("id", "line")).alias("place"), F.count(F.lit(1)).alias("n")))
+    found = written(candidates(signature_table(docs, most, least, text_col), most, dense).distinct())
     named = found.select(F.col("a").alias("h")).unionByName(found.where("b is not null").select(F.col("b").alias("h"))).distinct()
     needed = places.join(named, "h").select("place.id", "place.line", "h")
     content = written(fetched(docs, needed, id_col, text_col))
-    pairs = found.where("b is not null")
-    if most == 1:
-        crowded = found.where("b is null").select(F.col("a").alias("h"))
-        pairs = pairs.unionByName(neighbour_pairs(content.join(crowded, "h"))).distinct()
-    groups = components(verified(pairs, content, most))
-    shared = places.join(groups, places.h == groups.node, "left").select("h", "place", "n", F.coalesce("component", "h").alias("component"))
-    shared = written(shared.where("n > 1 or component is not null").join(shared.groupBy("component").agg(F.sum("n").alias("total"), F.min("place").alias("first")).where("total > 1"), "component").select("h", "first.id", "first.line").toDF("h", "first_id", "first_line"))
-    return lines, shared
+    crowded = written(found.where("b is null").select("sig", F.col("a").alias("h")))
+    links = verified(found.where("b is not null").select("a", "b"), content, most).unionByName(dense_links(crowded, content, most))
+    groups = components(links)
+    known = content.select("h", "g").join(groups, F.col("h") == F.col("node")).select("h", "g", "component")
+    joined = places.join(known, ["h", "g"], "left").select("h", "g", "place", "n", F.coalesce("component", "h").alias("component"), F.col("component").isNotNull().alias("linked"))
+    shared = written(joined.where("n > 1 or linked"))
+    first = shared.groupBy("component", "linked").agg(F.sum("n").alias("total"), F.min("place").alias("first")).where("total > 1")
+    by_component = shared.where("linked").join(first.where("linked").select("component", "first"), "component").select("h", "g", "first")
+    alone = shared.where("not linked").select("h", "g", F.col("place").alias("first"))  # equal lines only
+    return lines, written(by_component.unionByName(alone).select("h", "g", F.col("first.id").alias("first_id"), F.col("first.line").alias("first_line")))
 
 
 def removals(docs: DataFrame, most: int = 1, least: int = 16, dense: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, gone): for each id that loses lines, the (line, h) of those that go."""
+    """(id, gone): for each id that loses lines, the (line, h, g) of those that go."""
     lines, shared = classes(docs, most, least, dense, id_col, text_col)
     stays = F.col("id").eqNullSafe(F.col("first_id")) & (F.col("line") == F.col("first_line"))
-    return lines.join(shared, "h").where(~stays).groupBy("id").agg(F.collect_list(F.struct("line", "h")).alias("gone"))
+    return lines.join(shared, ["h", "g"]).where(~stays).groupBy("id").agg(F.collect_list(F.struct("line", "h", "g")).alias("gone"))
 
 
-def _without(text: bytes, gone: set[tuple[int, int]]) -> tuple[bytes, int, int]:
+def _without(text: bytes, gone: set[tuple[int, int, int]]) -> tuple[bytes, int, int]:
     """The text without those lines, its number of lines before, and of lines that went."""
     keep, n, out = [], 0, 0
     for i, line in enumerate(text.split(b"\n")):
         bare = line.strip()
         n += bool(bare)
-        if bare and (i, _key(bare)) in gone:
+        if bare and gone and (i, *_keys(bare)) in gone:
             out += 1
         else:
             keep.append(line)
@@ -254,13 +267,15 @@ def _without(text: bytes, gone: set[tuple[int, int]]) -> tuple[bytes, int, int]:
 
 
 def deduplicated(docs: DataFrame, most: int = 1, least: int = 16, dense: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with all its columns and rows, lines that repeat an earlier one gone from the text; and three columns more.
+    """docs with all its columns and rows, lines that repeat an earlier one gone from the text; and two columns more.
 
-    _lines and _removed count lines that aren't blank. Null text stays null. Rows that repeat an id count as one
-    document: their equal lines at equal numbers are one occurrence. A null id comes before all others, as one
-    document. Lines under `least` characters go only if equal.
+    _lines and _removed count lines that aren't blank; columns of docs with these names give way to them. Null text
+    stays null. Rows that repeat an id count as one document: their equal lines at equal numbers are one occurrence. A
+    null id comes before all others, as one document. Lines under `least` characters go only if equal. Very long texts
+    and lines are read whole. An empty table gives an empty result.
     """
     small_batches(docs.sparkSession)
+    docs = docs.drop("_lines", "_removed")
     gone = removals(docs, most, least, dense, id_col, text_col)
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col]).alias("row"), F.col(id_col).alias("key"), F.col(text_col).cast("binary").alias("text"))
     joined = packed.join(gone, F.col("key").eqNullSafe(F.col("id")), "left").select("row", "text", "gone")
@@ -270,7 +285,7 @@ def deduplicated(docs: DataFrame, most: int = 1, least: int = 16, dense: int = 6
         for batch in batches:
             out, n, removed = [], [], []
             for text, gone in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                kept, a, b = _without(text or b"", {(x["line"], x["h"]) for x in gone or ()})
+                kept, a, b = _without(text or b"", {(x["line"], x["h"], x["g"]) for x in gone or ()})
                 out.append(None if text is None else kept)
                 n.append(a)
                 removed.append(b)
