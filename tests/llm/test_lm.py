@@ -8,36 +8,35 @@ from .data import DOCS, corpus
 
 
 def brute(rows, targets, weight):
-    data = [(i, t.encode().translate(lm.LOWER) if t else b"") for i, t in rows]
-    grams = lambda t: [(b"    " + t)[k : k + 5] for k in range(len(t))]
+    docs = [(i, ["<>", *(t.encode().translate(lm.LOWER).split() if t else []), "<>"]) for i, t in rows]
+    docs = [(i, w if len(w) > 2 else []) for i, w in docs]
     counts = [Counter(), Counter()]
-    for i, t in data:
-        for g in grams(t):
-            counts[0][g] += 1
-            counts[1][g] += i in targets
-    letters = len({g[-1] for g in counts[0]})
-    seen = [[Counter(), Counter()] for _ in range(2)]
-    for side in range(2):
-        for g, n in counts[side].items():
-            for k in range(1, 6):
-                seen[side][0][g[-k:]] += n
-                seen[side][1][k, g[-k:-1]] += n
-
-    def p(side, g):
-        low = 1 / letters if len(g) == 1 else p(side, g[1:])
-        return (seen[side][0][g] + weight * low) / (seen[side][1][len(g), g[:-1]] + weight)
-
+    totals = [0, 0]
+    grams = lambda w: [*w[1:], *zip(w, w[1:])]
+    for i, w in docs:
+        for side in range(2 if i in targets else 1):
+            counts[side].update(grams(w))
+            totals[side] += len(w[1:])
+    words = len({x for _, w in docs for x in w})
     out = []
-    for i, t in data:
-        loss = [sum(-math.log(p(s, g)) for g in grams(t)) / len(t) if t else None for s in (1, 0)]
-        out.append((i, len(t), *loss))
+    for i, w in docs:
+        own, losses = Counter(grams(w)), []
+        for side in (1, 0):
+            c = counts[side] - own if side == 0 or i in targets else counts[side]
+            n = totals[side] - (len(w[1:]) if side == 0 or i in targets else 0)
+            loss = 0.0
+            for v, x in zip(w, w[1:]):
+                low = (c[x] + weight / words) / (n + weight)
+                loss -= math.log((c[v, x] + weight * low) / (c[v] + weight))
+            losses.append(loss / len(w[1:]) if w else None)
+        out.append((i, max(0, len(w) - 1), *losses))
     return sorted(out, key=str)
 
 
 @pytest.mark.parametrize("chunk_bytes", [1 << 24, 2000])
 def test_against_brute_force(spark, monkeypatch, chunk_bytes):
-    monkeypatch.setattr(lm, "PIECE", 700)
-    rows = corpus(n=20, seed=6, vocabulary=15) + [(3, "again", None, None, None), (None, "no id", None, None, None)]
+    monkeypatch.setattr(lm, "HELD", 50)
+    rows = corpus(n=20, seed=6, vocabulary=15) + [(3, "again", None, None, None), (None, "no id", None, None, None), (None, "\vA\fa b", None, None, None)]
     docs = spark.createDataFrame(rows, DOCS).selectExpr("*", "1 as target", "'x' as chunk")
     ids = spark.createDataFrame([(i,) for i in (0, 2, 3, 3, 5, 9, None, 12345)], "doc_id long")
     got = sorted(((r.doc_id, r.n_tokens, r.ce_target, r.ce_background) for r in lm.scored(docs, ids, 4.0, chunk_bytes).collect()), key=str)
@@ -47,6 +46,20 @@ def test_against_brute_force(spark, monkeypatch, chunk_bytes):
         assert g[2:] == (None, None) if w[2] is None else g[2:] == pytest.approx(w[2:], rel=1e-9)
 
 
+def test_copies_and_topics_are_told_apart(spark):
+    import random
+
+    rng = random.Random(4)
+    sides = [[f"{side}{k}" for k in range(60)] for side in "xy"]
+    text = lambda side: " ".join(rng.choices(sides[side], k=40))
+    rows = [(i, text(i % 2)) for i in range(200)]
+    rows += [(1000 + i, rows[i][1]) for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in lm.scored(docs, docs.where("doc_id % 2 = 0 and doc_id < 60")).collect()}
+    assert all((got[i].score > got[j].score) for i in range(100, 200, 2) for j in range(101, 200, 2))
+    assert max(got[1000 + i].ce_background for i in range(20)) < min(got[i].ce_background for i in range(20, 200))
+
+
 def test_nothing(spark):
     docs = spark.createDataFrame(corpus(n=8), DOCS)
     assert lm.scored(docs.limit(0), docs).count() == 0

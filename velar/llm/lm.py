@@ -1,171 +1,163 @@
 """Documents scored by cross-entropy difference (Moore and Lewis, 2010).
 
-Two n-gram models of the same order, smoothing and vocabulary: one of target documents, one of all documents. A token
-is a byte of the UTF-8 text after A-Z became a-z; the vocabulary is every byte value in the corpus. A document's score
-is the mean over its tokens of the background's loss minus the target's: above zero it looks more like the target.
-
-Counts of all n-grams come from all documents. A chance of order k leans on the one of order k - 1 with `weight`
-pseudo-counts, down to the uniform one, and is worked out by joins of the n-gram tables. Nothing of the model is sent
-whole to any task: documents are dealt into chunks of about `chunk_bytes`, each chunk asks for its different n-grams,
-a join answers, and the chunk's documents are scored from the answers.
+Two word-pair models of the same smoothing and vocabulary: one of target documents, one of all documents. A token is a
+word of the text after A-Z became a-z, or the boundary that stands before and after a document's words; the vocabulary
+is every token of the corpus. A document's score is the mean over its tokens of the background's loss minus the
+target's: above zero it looks more like the target. Each document is scored by the models of all other documents: its
+own counts are taken out first, so that being part of a model, as targets are, says nothing about a document.
+
+    p1(w) = (c(w) + weight / V) / (N + weight)        p(w | v) = (c(v w) + weight p1(w)) / (c(v) + weight)
+
+Nothing of a model is sent whole to any task: documents are dealt into chunks of about `chunk_bytes`. Each chunk sends its
+different words and pairs with their counts, one row each; the sums of those that other chunks have as well go back to
+the chunks that sent them, and a chunk knows the counts of all others by itself. The tables grow with the corpus.
+A word or pair is known by 63 bits of hash.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, binaries, written
-
-ORDER = 5
-PIECE = 1 << 21  # bytes looked at together
-HELD = 1 << 21  # different n-grams that a task holds before it passes them on
-TARGET_ROWS = 2_000_000  # ids up to which the target's list goes to every task
-
-
-def grams(data: np.ndarray) -> np.ndarray:
-    """The n-grams that end at each byte but the first ORDER - 1, as numbers."""
-    key = data[: len(data) - ORDER + 1].astype(np.int64)
-    for i in range(1, ORDER):
-        key = key << 8 | data[i : len(data) - ORDER + 1 + i]
-    return key
-
-
-def pieces(text: bytes):
-    """n-grams of a text with leading spaces, one for each byte, in parts."""
-    data = np.frombuffer(b" " * (ORDER - 1) + text.translate(LOWER), np.uint8)
-    for at in range(0, len(text), PIECE):
-        yield grams(data[at : at + PIECE + ORDER - 1])
-
-
-def summed(key: np.ndarray, *values: np.ndarray) -> list[np.ndarray]:
-    """Different keys, and the sums of values by key."""
-    order = np.argsort(key, kind="stable")
-    key = key[order]
-    first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
-    return [key[first], *(np.add.reduceat(v[order], first) if len(first) else v[:0] for v in values)]
-
-
-def gram_counts(docs: DataFrame) -> DataFrame:
-    """(gram, n, n_target) over the columns text (binary) and target (boolean) of docs; n counts every document."""
+from .common import LOWER, binaries, small_batches, texts, word_pieces, written
+
+LOWERED = bytes(32 if 9 <= b <= 13 else b for b in LOWER)
+BOUNDARY = np.uint64(0x51ED270B7A64C8F2)
+HELD = 1 << 20  # different words that a task holds before it passes them on
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+
+
+def tokens(text: bytes) -> np.ndarray:
+    """Hashes of a text's words with the boundary on both sides; none for a text without words."""
+    parts = [np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)) for words in word_pieces(text, LOWERED)]
+    if not sum(map(len, parts)):
+        return np.zeros(0, np.uint64)
+    return np.concatenate(([BOUNDARY], *parts, [BOUNDARY]))
+
+
+def _one(token: np.ndarray) -> np.ndarray:
+    return token >> np.uint64(1) << np.uint64(1)
+
+
+def _two(before: np.ndarray, token: np.ndarray) -> np.ndarray:
+    x = before * _MIX + token
+    x = (x ^ x >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ x >> np.uint64(32) | np.uint64(1)
+
+
+class Chunk:
+    """The tokens of a chunk's documents in one row: each with its document, the one before it, and their keys."""
+
+    def __init__(self, table: pa.Table) -> None:
+        rows = [tokens(text) for part in table.column("text").chunks for text in binaries(part)]
+        self.sizes = np.array([max(0, len(x) - 1) for x in rows], np.int64)  # tokens that are predicted
+        self.owner = np.repeat(np.arange(len(rows)), self.sizes)
+        self.target = np.array(table.column("target").to_pylist(), bool)
+        now = np.concatenate([x[1:] for x in rows]) if rows else np.zeros(0, np.uint64)
+        before = np.concatenate([x[:-1] for x in rows]) if rows else now
+        self.keys, at = np.unique(np.concatenate((_one(now), _two(before, now))), return_inverse=True)
+        self.word, self.pair = at[: len(now)], at[len(now) :]
+        self.before = np.searchsorted(self.keys, _one(before))
+        in_target = self.target[self.owner]
+        both, size = np.concatenate((in_target, in_target)), len(self.keys)
+        self.n, self.n_target = np.bincount(at, minlength=size), np.bincount(at[both], minlength=size)
+
+    def own(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Sorted codes of (document, place of a key) and how often each occurs."""
+        return np.unique(self.owner * (len(self.keys) + 1) + at, return_counts=True)
+
+    def losses(self, totals: tuple[int, int, int], weight: float) -> list[np.ndarray]:
+        """Sum of each document's losses under the target and under the background; totals: vocabulary, tokens, targets."""
+        codes, counts = self.own(self.word)
+        code = lambda at: self.owner * (len(self.keys) + 1) + at
+        word = counts[np.searchsorted(codes, code(self.word))]
+        before = counts[np.searchsorted(codes, code(self.before))]  # every token before another is predicted somewhere, too
+        codes, counts = self.own(self.pair)
+        pair = counts[np.searchsorted(codes, code(self.pair))]
+        size, mine = self.sizes[self.owner], self.target[self.owner]
+        out = []
+        for n, total, part in ((self.n_target, totals[2], mine), (self.n, totals[1], np.ones(len(mine), bool))):
+            left = lambda at, own: n[at] - own * part  # noqa: B023, E731
+            p1 = (left(self.word, word) + weight / totals[0]) / (total - size * part + weight)
+            p2 = (left(self.pair, pair) + weight * p1) / (left(self.before, before) + weight)
+            out.append(np.bincount(self.owner, -np.log(p2), minlength=len(self.sizes)))
+        return out
+
+
+def vocabulary(docs: DataFrame) -> tuple[int, int, int]:
+    """Different tokens, tokens, and tokens of target documents, of the columns text (binary) and target of docs."""
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        seen, n, t = np.zeros(0, np.uint64), 0, 0
+        waiting, held = [], 0
 
-    def table(parts):
-        key, n, t = summed(*(np.concatenate(x) for x in zip(*parts)))
-        return key, n, t
+        def rows(words, n, t):
+            key = np.concatenate((words.view(np.int64), [0]))
+            none = np.zeros(len(words), np.int64)
+            kind = np.concatenate((np.ones(len(words), bool), [False]))
+            return pa.RecordBatch.from_arrays([pa.array(key, mask=~kind), pa.array(np.append(none, n)), pa.array(np.append(none, t))], names=["word", "n", "n_target"])
 
-    def run(batches):
-        parts, size = [], 0
-        waiting, held = [], 0
         for batch in batches:
             for text, target in zip(binaries(batch.column(0)), batch.column(1).to_pylist()):
-                for key in pieces(text):
-                    waiting.append(key << 1 | bool(target))
-                    held += len(key)
-                    if held >= PIECE:
-                        parts.append(_unique(waiting))
-                        size += len(parts[-1][0])
-                        waiting, held = [], 0
-                        if size > HELD:
-                            parts = [table(parts)]
-                            size = len(parts[0][0])
-                        if size > HELD:
-                            yield _batch(["gram", "n", "n_target"], *parts[0])
-                            parts, size = [], 0
-        if waiting:
-            parts.append(_unique(waiting))
-        if parts:
-            yield _batch(["gram", "n", "n_target"], *table(parts))
-
-    found = docs.select("text", "target").mapInArrow(run, "gram long, n long, n_target long")
-    return found.groupBy("gram").agg(F.sum("n").alias("n"), F.sum("n_target").alias("n_target"))
-
-
-def _unique(waiting):
-    marked, n = np.unique(np.concatenate(waiting), return_counts=True)
-    return summed(marked >> 1, n, n * (marked & 1))
-
-
-def _batch(names, *columns):
-    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
-
-
-def chances(counts: DataFrame, weight: float) -> DataFrame:
-    """(gram, target, background): natural logarithms of the last byte's chance after those before it."""
-    letters = counts.select(F.col("gram").bitwiseAND(F.lit(255)).alias("c")).distinct().count()  # at most 256
-    below = None
-    for k in range(1, ORDER + 1):
-        mask = (1 << 8 * k) - 1
-        level = counts.groupBy(F.col("gram").bitwiseAND(F.lit(mask)).alias("gram")).agg(F.sum("n").alias("n"), F.sum("n_target").alias("n_target"))
-        before = F.shiftright("gram", 8)
-        context = level.groupBy(before.alias("context")).agg(F.sum("n").alias("all"), F.sum("n_target").alias("all_target"))
-        joined = level.withColumn("context", before).join(context, "context")
-        if below is None:
-            joined = joined.withColumns({"p": F.lit(1.0 / max(1, letters)), "p_target": F.lit(1.0 / max(1, letters))})
-        else:
-            joined = joined.withColumn("suffix", F.col("gram").bitwiseAND(F.lit(mask >> 8))).join(below, "suffix")
-        p = lambda n, all_, low: (F.col(n) + F.lit(weight) * F.col(low)) / (F.col(all_) + F.lit(weight))
-        level = joined.select("gram", p("n", "all", "p").alias("p"), p("n_target", "all_target", "p_target").alias("p_target"))
-        below = level.withColumnRenamed("gram", "suffix")
-    return level.select("gram", F.log("p_target").alias("target"), F.log("p").alias("background"))
+                row = tokens(text)[1:]
+                n, t = n + len(row), t + len(row) * bool(target)
+                waiting.append(_one(row))
+                held += len(row)
+                if held >= HELD:
+                    seen, waiting, held = np.union1d(seen, np.concatenate(waiting)), [], 0
+                    if len(seen) >= HELD:
+                        yield rows(seen, n, t)
+                        seen, n, t = seen[:0], 0, 0
+        yield rows(np.union1d(seen, np.concatenate(waiting)) if waiting else seen, n, t)
+
+    found = docs.select("text", "target").mapInArrow(run, "word long, n long, n_target long")
+    by_word = found.groupBy("word").agg(F.sum("n").alias("n"), F.sum("n_target").alias("n_target"))
+    row = by_word.agg(F.count("word").alias("words"), F.sum("n").alias("n"), F.sum("n_target").alias("t")).first()
+    return row["words"], row["n"] or 0, row["t"] or 0
 
 
 def scored(
-    docs: DataFrame, target_ids: DataFrame, weight: float = 4.0, chunk_bytes: int = 16 << 20, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, target_ids: DataFrame, weight: float = 4.0, chunk_bytes: int = 8 << 20, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """(id_col, n_tokens, ce_target, ce_background, score): one row per row of docs, losses in nats a token.
 
-    target_ids names the target documents in its column id_col; ids that repeat, are null or name no document add
-    nothing. Null and empty texts have no tokens and null losses. Rows that repeat count each. Without any target the
-    target model is the uniform one. An empty table gives an empty result.
+    n_tokens counts words and one boundary. target_ids names the target documents in its column id_col; ids that
+    repeat, are null or name no document add nothing. Null and empty texts have no tokens and null losses. Rows that
+    repeat count each. Without any target the target model is the uniform one. A text is held whole, however long.
+    Other columns are not read. An empty table gives an empty result.
     """
+    small_batches(docs.sparkSession)
     kind = dict(docs.select(F.col(id_col)).dtypes)[id_col]
-    plain = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
+    plain = texts(docs, id_col, text_col=text_col).withColumnRenamed(id_col, "id")
     marks = target_ids.select(F.col(id_col).alias("id")).where("id is not null").distinct().withColumn("target", F.lit(True))
-    few = marks.count() <= TARGET_ROWS
-    flagged = plain.join(F.broadcast(marks) if few else marks, "id", "left").select("text", F.coalesce("target", F.lit(False)).alias("target"))
-    counts = written(gram_counts(flagged))
-    table = written(chances(counts, weight))
+    flagged = plain.join(marks, "id", "left").select("id", "text", F.coalesce("target", F.lit(False)).alias("target"))
+    totals = vocabulary(flagged)
     total = plain.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     chunks = max(1, -(-total // chunk_bytes))
-    dealt = plain.withColumn("chunk", F.pmod(F.xxhash64("id", "text"), F.lit(chunks)))
+    dealt = flagged.withColumn("chunk", F.pmod(F.xxhash64("id", "text"), F.lit(chunks)).cast("int"))
 
     def ask(whole: pa.Table) -> pa.Table:
-        seen, parts, size = np.zeros(0, np.int64), [], 0
-        for text in _texts(whole):
-            for key in pieces(text):
-                parts.append(key)
-                size += len(key)
-                if size >= PIECE:
-                    seen, parts, size = np.union1d(seen, np.concatenate(parts)), [], 0
-        seen = np.union1d(seen, np.concatenate(parts)) if parts else seen
-        chunk = whole.column("chunk")[0].as_py()
-        return pa.table({"chunk": pa.array(np.full(len(seen), chunk, np.int64)), "gram": pa.array(seen)})
+        chunk = Chunk(whole)
+        number = np.full(len(chunk.keys), whole.column("chunk")[0].as_py(), np.int32)
+        counts = [pa.array(x.astype(np.int32)) for x in (chunk.n, chunk.n_target)]
+        return pa.table({"chunk": pa.array(number), "gram": pa.array(chunk.keys.view(np.int64)), "n": counts[0], "n_target": counts[1]})
 
     def score(whole: pa.Table, answers: pa.Table) -> pa.Table:
-        gram = answers.column("gram").to_numpy()
-        order = np.argsort(gram)
-        gram, losses = gram[order], [answers.column(c).to_numpy()[order] for c in ("target", "background")]
-        n, sums = [], ([], [])
-        for text in _texts(whole):
-            n.append(len(text))
-            here = [0.0, 0.0]
-            for key in pieces(text):
-                at = np.searchsorted(gram, key)
-                for k in range(2):
-                    here[k] -= float(losses[k][at].sum())
-            for k in range(2):
-                sums[k].append(here[k] / len(text) if len(text) else None)
-        return pa.table({"id": whole.column("id"), "n_tokens": pa.array(n, pa.int64()), "ce_target": pa.array(sums[0], pa.float64()), "ce_background": pa.array(sums[1], pa.float64())})
-
-    asked = dealt.groupBy("chunk").applyInArrow(ask, "chunk long, gram long")
-    answers = asked.join(table, "gram").select("chunk", "gram", "target", "background")
+        chunk = Chunk(whole)
+        at = np.searchsorted(chunk.keys, answers.column("gram").to_numpy().view(np.uint64))
+        chunk.n[at], chunk.n_target[at] = answers.column("n").to_numpy(), answers.column("n_target").to_numpy()
+        size = np.maximum(chunk.sizes, 1)
+        losses = [pa.array(x / size, mask=chunk.sizes == 0) for x in chunk.losses(totals, weight)]
+        return pa.table({"id": whole.column("id"), "n_tokens": pa.array(chunk.sizes), "ce_target": losses[0], "ce_background": losses[1]})
+
+    asked = dealt.groupBy("chunk").applyInArrow(ask, "chunk int, gram long, n int, n_target int")
+    same = Window.partitionBy("gram")
+    summed = asked.select("chunk", "gram", F.sum("n").over(same).alias("n"), F.sum("n_target").over(same).alias("n_target"), F.count(F.lit(1)).over(same).alias("senders"))
+    answers = written(summed.where("senders > 1").drop("senders"))
     out = dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(score, f"id {kind}, n_tokens long, ce_target double, ce_background double")
     return out.select(F.col("id").alias(id_col), "n_tokens", "ce_target", "ce_background", (F.col("ce_background") - F.col("ce_target")).alias("score"))
-
-
-def _texts(whole: pa.Table):
-    for part in whole.column("text").chunks:
-        for x in part:
-            yield x.as_py() or b""
