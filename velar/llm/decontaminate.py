@@ -5,12 +5,14 @@ shard into runs, and runs shorter than the shortest phrase hold none. The remain
 separator between them, are indexed; all test phrases are searched backwards through wavelet-tree ranks, occurrences
 are located from sampled suffix positions, and their spans are merged per document.
 
-Phrases come in blocks of bounded size (block_bytes of benchmark text), each one sent to the tasks and searched in a
-pass of its own within the same stage; nothing is shuffled, and a benchmark of any size gives the same result.
+Phrases come in blocks of bounded size (block_bytes of benchmark text). One block at a time is on the driver and is sent
+to the tasks, and is searched in a pass of its own; between passes what was found is written and read again. Nothing is
+shuffled. A benchmark of any size gives the same result, with a pass over the documents for each block.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
@@ -18,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LETTERS, binaries, small_batches, word_pieces
+from .common import LETTERS, binaries, scratch, small_batches, word_pieces, written
 from .fm_index import FMIndex
 
 SEPARATOR, FIRST = 1, 2
@@ -98,14 +100,19 @@ def merged(spans: np.ndarray) -> np.ndarray:
 SPANS = "array<struct<start:int,end:int>>"
 
 
-def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int):
-    """The items as (name, text), a block of about block_bytes at a time."""
+def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int) -> Iterator[tuple[int, list]]:
+    """How many blocks follow, and the items (name, text) of each block of about block_bytes, one block after another."""
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).cast("binary").alias("text")).where("text is not null")
     total = items.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
-    n = -(-total // block_bytes)
+    n = max(1, -(-total // block_bytes))
+    if n > 1:
+        path = scratch(benchmark.sparkSession)
+        items.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(n))).write.partitionBy("block").parquet(path)
+        items = benchmark.sparkSession.read.parquet(path)
     for k in range(n):
-        part = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k) if n > 1 else items
-        yield sorted(((r["item"], bytes(r["text"])) for r in part.toLocalIterator()), key=lambda x: (x[0] or "", x[1]))
+        part = items.where(F.col("block") == k) if n > 1 else items
+        rows = part.select("item", "text").collect()  # block_bytes, as far as hashes deal evenly
+        yield n - 1 - k, sorted(((r["item"], bytes(r["text"])) for r in rows), key=lambda x: (x[0] or "", x[1]))
 
 
 def occurrences(
@@ -118,39 +125,44 @@ def occurrences(
     block_bytes: int = 8 << 20,
     cutting: bool = False,
 ) -> DataFrame:
-    """(id_col, text binary, n_words, spans, items): per row of docs the merged spans of words that test phrases cover.
+    """(id_col, n_words, spans, items): per row of docs the merged spans of words that test phrases cover.
 
     items lists, in order as strings, the items with a window in the text. Null text has no words; an item without
-    words or with null text has no windows; a null item id is searched but not named. Repeated rows each get a row.
-    An empty benchmark finds nothing. Other columns are not read. With cutting, text is what is left without the spans.
+    words or with null text has no windows; a null item id is searched but not named. Repeated rows each get a row;
+    phrases found at one place by several items name each. An empty benchmark finds nothing, empty docs give no rows.
+    Very long texts are searched whole. Other columns are not read. With cutting there is also the text, binary, without
+    the words of the spans.
     """
     small_batches(docs.sparkSession)
     kind = dict(docs.select(F.col(id_col)).dtypes)[id_col]
     out = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"), F.lit(None).cast("long").alias("n_words"), F.array().cast(SPANS).alias("spans"), F.array().cast("array<string>").alias("items"))
     spark = docs.sparkSession
-    blocks = [Phrases(items, width) for items in _blocks(benchmark, item_col, text_col, block_bytes)] or [Phrases([], width)]
-    for left, phrases in zip(range(len(blocks))[::-1], blocks):
-        held = spark.sparkContext.broadcast(phrases)
+    for left, items in _blocks(benchmark, item_col, text_col, block_bytes):
+        held = spark.sparkContext.broadcast(Phrases(items, width))
+        names = ["id", "n_words", "spans", "items", *(["text"] if left or cutting else [])]
 
-        def run(batches, held=held, cutting=cutting and not left):
+        def run(batches, held=held, cutting=cutting and not left, names=names):
             for batch in batches:
                 whole = batch.column(1)
                 sizes, hits = held.value.search(binaries(whole))
                 spans, items = [], []
-                for hit, old, names in zip(hits, batch.column(3).to_pylist(), batch.column(4).to_pylist()):
+                for hit, old, known in zip(hits, batch.column(3).to_pylist(), batch.column(4).to_pylist()):
                     if hit is not None:
                         all_ = np.concatenate((hit[0], np.array([(s["start"], s["end"]) for s in old], np.int64).reshape(-1, 2)))
                         old = [{"start": a, "end": b} for a, b in merged(all_).tolist()]
-                        names = sorted({*hit[1], *names})
+                        known = sorted({*hit[1], *known})
                     spans.append(old)
-                    items.append(names)
-                if cutting:
-                    parts = [cut(t.as_py(), [(s["start"], s["end"]) for s in x]) if x else t.as_py() for t, x in zip(whole, spans)]
-                    whole = pa.array(parts, whole.type)
+                    items.append(known)
                 kinds = [batch.schema.field(i).type for i in (3, 4)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), whole, pa.array(sizes, pa.int64()), pa.array(spans, kinds[0]), pa.array(items, kinds[1])], names=["id", "text", "n_words", "spans", "items"])
+                columns = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(spans, kinds[0]), pa.array(items, kinds[1])]
+                if cutting:
+                    whole = pa.array([cut(t.as_py(), [(s["start"], s["end"]) for s in x]) if x else t.as_py() for t, x in zip(whole, spans)], whole.type)
+                yield pa.RecordBatch.from_arrays([*columns, whole][: len(names)], names=names)
 
-        out = out.mapInArrow(run, f"id {kind}, text binary, n_words long, spans {SPANS}, items array<string>")
+        out = out.select("id", "text", "n_words", "spans", "items").mapInArrow(run, f"id {kind}, n_words long, spans {SPANS}, items array<string>" + ", text binary" * (len(names) > 4))
+        if left:
+            out = written(out)
+            held.destroy()
     return out.withColumnRenamed("id", id_col)
 
 
