@@ -5,7 +5,8 @@ most `context` entries; dynamic programming over it chooses the `buckets` upper
 all. Inside a bucket every batch holds as many pieces, padded to the bucket's bound, as fit `token_budget`.
 
 A bucket may hold most of all pieces, so places in it are not counted in one task: pieces are dealt into slices by a
-hash, counted by slice, and numbered within their slice from the sum of the slices before it.
+hash of where they were read, written with them, so that rows with equal or null ids spread as well. Slices are counted,
+and pieces are numbered within their slice from the sum of the slices before it.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -68,9 +70,10 @@ def _ranks(path: str) -> bytes:
 
 
 def pieces(docs: DataFrame, context: int, tokenizer: str = TOKENIZER, pattern: str = PATTERN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, piece, start, n_tokens): each document's tokens in runs of at most context; without tokens one empty piece.
+    """(id, piece, start, n_tokens, at): each document's tokens in runs of at most context; without tokens one empty piece.
 
-    The vocabulary file is read by the driver and sent to the tasks, which need no file of their own.
+    at is a hash of the row's place in its task, another one for every piece. The vocabulary file is read by the driver
+    and sent to the tasks, which need no file of their own.
     """
     held = docs.sparkSession.sparkContext.broadcast((_ranks(tokenizer), pattern))
     kind = dict(docs.select(F.col(id_col)).dtypes)[id_col]
@@ -81,6 +84,7 @@ def pieces(docs: DataFrame, context: int, tokenizer: str = TOKENIZER, pattern: s
         data, pattern = held.value
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, data.splitlines()) if a}
         encode = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        before = TaskContext.get().partitionId() << 40
         for batch in batches:
             sizes = np.array([_count(encode, t.decode(errors="replace")) for t in binaries(batch.column(1))], np.int64)
             each = np.maximum(1, -(-sizes // context))
@@ -88,10 +92,13 @@ def pieces(docs: DataFrame, context: int, tokenizer: str = TOKENIZER, pattern: s
             piece = np.arange(len(owner)) - np.repeat(np.cumsum(each) - each, each)
             start = piece * context
             n = np.minimum(context, sizes[owner] - start)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner)), pa.array(piece), pa.array(start), pa.array(n)], names=["id", "piece", "start", "n_tokens"])
+            at = (np.arange(before, before + len(owner), dtype=np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+            at, before = (at ^ at >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9), before + len(owner)
+            columns = [batch.column(0).take(pa.array(owner)), pa.array(piece), pa.array(start), pa.array(n), pa.array(at.view(np.int64))]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "piece", "start", "n_tokens", "at"])
 
     source = texts(docs, id_col, text_col=text_col).withColumnRenamed(id_col, "id")
-    return source.mapInArrow(run, f"id {kind}, piece long, start long, n_tokens long")
+    return source.mapInArrow(run, f"id {kind}, piece long, start long, n_tokens long, at long")
 
 
 def _count(encode, text: str, size: int = 1 << 20) -> int:
@@ -112,8 +119,9 @@ def packed(
     """(id_col, piece, start, n_tokens, bucket, batch, slot): where each piece goes.
 
     bucket is its upper bound, batch counts from 0 within the bucket, slot from 0 within the batch. Null and empty
-    texts keep one row with no tokens and null places. Every row of docs counts, repeated ones and null ids as well;
-    equal rows take places in any order. Other columns aren't read. The same rows give the same batches.
+    texts keep one row with no tokens and null places. Every row of docs counts, repeated ones and null ids as well.
+    Very long texts are tokenised whole, in parts. Other columns aren't read. Rows read in the same order and tasks give
+    the same batches. An empty table gives an empty result.
     """
     if token_budget < context:
         raise ValueError("token_budget must hold a piece of context tokens")
@@ -122,12 +130,12 @@ def packed(
     uppers = bounds(histogram, buckets)
     slices = max(1, -(-sum(histogram.values()) // SLICE_ROWS))
     fitting = F.array_min(F.filter(F.array(*[F.lit(x) for x in uppers]).cast("array<long>"), lambda x: x >= F.col("n_tokens")))
-    placed = cut.withColumn("bucket", F.when(F.col("n_tokens") > 0, fitting)).withColumn("_at", F.xxhash64("id", "piece"))
-    placed = placed.withColumn("_slice", F.pmod("_at", F.lit(slices)))
+    placed = cut.withColumn("bucket", F.when(F.col("n_tokens") > 0, fitting))
+    placed = placed.withColumn("_slice", F.pmod("at", F.lit(slices)))
     sizes = placed.where("bucket is not null").groupBy("bucket", "_slice").agg(F.count(F.lit(1)).alias("_n"))
     before = F.sum("_n").over(Window.partitionBy("bucket").orderBy("_slice")) - F.col("_n")
     offsets = sizes.select("bucket", "_slice", before.alias("_before"))
-    number = F.row_number().over(Window.partitionBy("bucket", "_slice").orderBy("_at", "id", "piece", "n_tokens")) - 1
+    number = F.row_number().over(Window.partitionBy("bucket", "_slice").orderBy("at")) - 1
     full = placed.where("bucket is not null").withColumn("_number", number).join(offsets, ["bucket", "_slice"])
     rank, capacity = F.col("_number") + F.col("_before"), F.floor(F.lit(token_budget) / F.col("bucket"))
     columns = [F.col("id").alias(id_col), "piece", "start", "n_tokens", "bucket"]
