@@ -193,9 +193,10 @@ def base_places(text: bytes) -> tuple[int, list[tuple[int, str]]]:
     flat, found = b" " + b" ".join(words) + b" ", []
     for phrase, label in BASE.items():
         needle = b" " + phrase.encode() + b" "
-        at = flat.find(needle)
+        at, word, counted = flat.find(needle), 0, 0
         while at >= 0:
-            found.append((flat.count(b" ", 0, at), label))
+            word, counted = word + flat.count(b" ", counted, at), at  # counts on from the last place
+            found.append((word, label))
             at = flat.find(needle, at + 1)
     return len(words), sorted(found)
 
@@ -203,7 +204,9 @@ def base_places(text: bytes) -> tuple[int, list[tuple[int, str]]]:
 def scanned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, n_words, places, spans): per row of docs the base places, and the detections in bytes of the text.
 
-    Null text counts as empty. Repeated rows each get a row; other columns are not read.
+    Null text counts as empty. Repeated rows each get a row; other columns are not read. Of detections of equal
+    priority, length and place the first label by alphabet stands. Very long texts are read whole, in time linear in
+    their length and number of places. An empty table gives an empty result.
     """
     kind = dict(docs.select(F.col(id_col)).dtypes)[id_col]
     places_type, spans_type = "array<struct<word:long,label:string>>", "array<struct<start:long,end:long,label:string,priority:int>>"
