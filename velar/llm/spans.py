@@ -32,6 +32,7 @@ from .common import small_batches, word_pieces, written
 MINIMIZER = 7
 CHUNK_BYTES, FEWEST_CHUNKS = 8 << 20, 48
 BRANCH = 1  # tag of a node that is known to branch; 0: a run's end
+TAGS = (np.uint8, np.uint64)  # of minimizers, and of the words beside a node
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -115,7 +116,7 @@ class Chunk:
         """Different nodes, sorted, with tags of the words before and after; BRANCH for both where they differ here."""
         starts, ends = self.runs(repeated)
         at, node = self.nodes(starts, ends)
-        tag = (self.hashes >> np.uint64(32)).astype(np.uint32) | np.uint32(2)
+        tag = self.hashes | np.uint64(2)
         before, after = tag[at - 1], tag[np.minimum(at + self.width - 1, len(tag) - 1)] if len(at) else tag[:0]
         firsts = np.concatenate(([0], np.cumsum(ends - starts + 2)))
         before[firsts[:-1]], after[firsts[1:] - 1] = 0, 0
@@ -127,7 +128,7 @@ class Chunk:
         many = np.zeros(len(first), bool)
         for x in (before, after):
             many |= np.minimum.reduceat(x, first) != np.maximum.reduceat(x, first)
-        return node[first], np.where(many, np.uint32(BRANCH), before[first]), np.where(many, np.uint32(BRANCH), after[first])
+        return node[first], np.where(many, np.uint64(BRANCH), before[first]), np.where(many, np.uint64(BRANCH), after[first])
 
     def paths(self, repeated: np.ndarray, branching: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Hash, document id, hash of its text, first word and number of words of each compacted path."""
@@ -183,7 +184,7 @@ def _ask(chunk: int, buckets: int, value: np.ndarray, before: np.ndarray, after:
 def _tell(asked: pa.Table, kind: int) -> pa.Table:
     """To each chunk those of its values that repeat (kind 0) or branch (kind 1)."""
     chunks = asked.column("chunk").to_numpy()
-    parts = [[np.frombuffer(x, t) for x in asked.column(c).to_pylist()] for c, t in (("value", np.uint64), ("before", np.uint32), ("after", np.uint32))]
+    parts = [[np.frombuffer(x, t) for x in asked.column(c).to_pylist()] for c, t in (("value", np.uint64), *((c, TAGS[kind]) for c in ("before", "after")))]
     owner = np.repeat(np.arange(len(chunks)), [len(x) for x in parts[0]])
     value, before, after = (np.concatenate(x) for x in parts)
     order = np.argsort(value, kind="stable")
@@ -225,7 +226,7 @@ def paths(docs: DataFrame, width: int = 13, id_col: str = "doc_id", text_col: st
     def first(table: pa.Table) -> pa.Table:
         chunk = Chunk(table, width)
         value, many = chunk.values()
-        return _ask(chunk.number, chunks, value, many.astype(np.uint32), np.zeros(len(value), np.uint32))
+        return _ask(chunk.number, chunks, value, many.astype(TAGS[0]), np.zeros(len(value), TAGS[0]))
 
     def second(table: pa.Table, told: pa.Table) -> pa.Table:
         if not table.num_rows or not told.num_rows:
@@ -263,8 +264,10 @@ def deduplicated(docs: DataFrame, width: int = 13, id_col: str = "doc_id", text_
 
     A word goes if it lies in a window of `width` words that also begins in a document with a smaller id. _words and
     _removed count words. id_col must be a whole number. Rows that repeat an id are one document to each other: their
-    windows don't repeat by that alone. Rows without an id neither lose words nor take them. Null text stays null. An empty table gives an empty result.
+    windows don't repeat by that alone. Rows without an id neither lose words nor take them. Null text stays null. Very
+    long texts are read whole. Columns of docs named _words or _removed give way. An empty table gives an empty result.
     """
+    docs = docs.drop("_words", "_removed")
     spans = repeated_spans(docs, width, id_col, text_col)
     by_id = spans.groupBy("id", "mark").agg(F.collect_list(F.struct("start", "size")).alias("gone"))
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col]).alias("row"), F.col(id_col).cast("long").alias("key"), F.col(text_col).cast("binary").alias("text"))
