@@ -1,9 +1,10 @@
 """Toxicity scores from non-negative positive-unlabelled learning.
 
 A linear model over hashed words and word beginnings is trained in numpy from confirmed toxic texts and from texts
-whose labels are not looked at. With class prior p the risk is p R+(toxic) + max(0, R-(unlabelled) - p R-(toxic)):
+without a label. With class prior p the risk is p R+(toxic) + max(0, R-(unlabelled) - p R-(toxic)):
 the second part, the estimated risk on clean text, can't be negative; where a step makes it so, the step goes back
-along its gradient instead (Kiryo et al., 2017). The prior is the share of toxic rows among all labelled training rows.
+along its gradient instead (Kiryo et al., 2017). The prior is a parameter; where none is given, it is
+the share of toxic rows among all labelled training rows, which is the only use of labels that say clean.
 """
 
 from __future__ import annotations
@@ -125,41 +126,53 @@ def fit(
     return Model(w.astype(np.float32), float(b - (z[cut - 1] + z[cut]) / 2))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, most_toxic: int, most_unlabelled: int) -> tuple[list, list, float]:
-    """Feature rows of at most so many toxic labelled documents and of so many labelled ones whatever their label.
+def training_rows(docs: DataFrame, labels: DataFrame, most_toxic: int, most_unlabelled: int) -> tuple[list, list, float]:
+    """Feature rows of at most so many toxic labelled documents and of so many without a label; the labels' toxic share.
 
-    labels has doc_id and toxic, one row per label; null labels and null ids are left out. Rows are chosen by a hash
-    of doc_id, so that a rerun takes the same ones. The prior comes from all labels.
+    labels has doc_id and toxic, one row per label; null labels and null ids are left out. Documents without a label are
+    topped up with labelled ones, whatever their label, where they are fewer than asked for. Documents are drawn by a
+    hash of doc_id, so that a rerun takes the same ones; of rows that repeat an id one is taken.
     """
     known = labels.select("doc_id", "toxic").where("doc_id is not null and toxic is not null")
     total = known.agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("toxic") == 1).cast("long")).alias("toxic")).first()
     if not total["n"]:
         return [], [], 0.0
-    order = [F.xxhash64(F.col("doc_id")), F.col("doc_id")]
-    drawn = known.where("toxic = 1").orderBy(*order).limit(most_toxic).select("doc_id", F.lit(True).alias("p"))
-    drawn = drawn.unionByName(known.orderBy(*order).limit(most_unlabelled).select("doc_id", F.lit(False).alias("p")))
+    marks = known.groupBy("doc_id").agg((F.max("toxic") == 1).alias("toxic"))
+    drawn = marks.where("toxic").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_toxic).select("doc_id", F.lit(True).alias("p"))
+    ids = docs.select("doc_id").where("doc_id is not null").distinct().join(marks.select("doc_id", F.lit(True).alias("labelled")), "doc_id", "left")
+    order = [F.coalesce("labelled", F.lit(False)), F.xxhash64("doc_id"), F.col("doc_id")]
+    drawn = drawn.unionByName(ids.orderBy(*order).limit(most_unlabelled).select("doc_id", F.lit(False).alias("p")))
     features = Features()
 
     def run(batch: pa.RecordBatch):
-        rows = [features(t).tobytes() for t in binaries(batch.column(1))]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], names=["p", "f"])
+        rows = [features(t).tobytes() for t in binaries(batch.column(2))]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, pa.binary())], names=["doc_id", "p", "f"])
 
-    chosen = texts(docs, "doc_id").join(F.broadcast(drawn), "doc_id").select("p", "text")  # at most the two bounds
-    rows = mapped(chosen, run, "p boolean, f binary").collect()
+    kind = dict(docs.select("doc_id").dtypes)["doc_id"]
+    chosen = texts(docs, "doc_id").join(F.broadcast(drawn), "doc_id").select("doc_id", "p", "text")  # at most the two bounds
+    once = mapped(chosen, run, f"doc_id {kind}, p boolean, f binary").groupBy("doc_id", "p").agg(F.min("f").alias("f"))
     sides = {True: [], False: []}
-    for r in sorted(rows, key=lambda r: (r["p"], bytes(r["f"]))):
+    for r in sorted(once.select("p", "f").collect(), key=lambda r: (r["p"], bytes(r["f"]))):
         sides[r["p"]].append(np.frombuffer(r["f"], np.int32))
     return sides[True], sides[False], (total["toxic"] or 0) / total["n"]
 
 
-def train(docs: DataFrame, labels: DataFrame, most_toxic: int = 3000, most_unlabelled: int = 9000, **options) -> Model:
-    """A model from the documents that labels names. The sample's two bounds are the only ones."""
-    positive, unlabelled, prior = labelled_sample(docs, labels, most_toxic, most_unlabelled)
-    return fit(positive, unlabelled, prior, **options)
+def train(docs: DataFrame, labels: DataFrame, most_toxic: int = 3000, most_unlabelled: int = 9000, prior: float | None = None, **options) -> Model:
+    """A model from the documents that labels names as toxic and from documents without a label.
+
+    prior is the share of toxic documents among those without a label; None takes it from the labels. The sample's two
+    bounds are the only ones.
+    """
+    positive, unlabelled, share = training_rows(docs, labels, most_toxic, most_unlabelled)
+    return fit(positive, unlabelled, share if prior is None else prior, **options)
 
 
 def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, score): one row per row of docs, score in 0 to 1; a null or empty text has the model's bias alone."""
+    """(id_col, score): one row per row of docs, score in 0 to 1; a null or empty text has the model's bias alone.
+
+    Repeated rows each get a row. Very long texts are read whole. Other columns are not read. An empty table gives an
+    empty result.
+    """
     held = docs.sparkSession.sparkContext.broadcast(model)
     kind = dict(docs.select(F.col(id_col)).dtypes)[id_col]
     features = Features()
