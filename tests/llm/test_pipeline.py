@@ -8,8 +8,8 @@ import corpus_pipeline
 from velar.llm import packing, toxicity
 from .data import DOCS, corpus
 from .test_decontaminate import words
+from .test_jaccard import brute as groups
 from .test_lines import brute as without_lines
-from .test_simhash import brute as groups
 from .test_toxicity import planted
 
 
@@ -50,8 +50,8 @@ def test_run_against_brute_force(spark, tmp_path):
     model, features = toxicity.train(read("documents"), read("labels")), toxicity.Features()
     docs = [(r[0], r[1]) for r in rows if r[1] is None or model.score(features(r[1].encode())) < 0.5]
     assert 15 < len(rows) - len(docs) < 60
-    docs = list(without_lines(docs, 1, 16).items())
-    docs = [(i, t) for (i, t), (_, c) in zip(docs, groups(docs, 5, 2).values()) if i == c]
+    docs = list(without_lines(docs, 2, 16).items())
+    docs = [(i, t) for (i, t), (_, c) in zip(docs, groups(docs, 0.8)[0]) if i == c]
     docs = [(i, decontaminated(t, bench)) for i, t in docs]
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(packing.TOKENIZER, "rb"))}
     encode = tiktoken.Encoding("own", pat_str=packing.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary

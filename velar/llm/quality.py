@@ -164,7 +164,8 @@ def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, rounds: i
 def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, LabelModel]:
     """(id_col, MEASURES, vote_<rule>..., quality): the posterior of each row of docs; and the model behind it.
 
-    An empty table gives an empty result and the model's start.
+    Repeated rows each get a row and count each. Posteriors are equal for equal votes, so ties need no rule. Very long
+    texts are read whole. An empty table gives an empty result and the model's start.
     """
     found = measured(docs, id_col, text_col)
     voted = written(found.withColumns({f"vote_{k}": F.coalesce(v, F.lit(0)).cast("int") for k, v in rules().items()}))

@@ -21,7 +21,7 @@ def _fold(column: str, n: int):
 
 def op1_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_lines, n_removed, kept_sha256: each document without lines that repeat or nearly repeat an earlier one."""
-    found = lines.deduplicated(_table(spark, sf_dir, "documents"), most=1, least=16)
+    found = lines.deduplicated(_table(spark, sf_dir, "documents"), most=2, least=16)
     return found.select(
         "doc_id",
         F.col("_lines").alias("n_lines"),
@@ -119,7 +119,7 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ce_target, ce_background, score; the target are documents labelled as of good quality."""
+    """doc_id, n_tokens, ce_target, ce_background, score; the target is the documents labelled as of good quality."""
     good = _table(spark, sf_dir, "labels").where("quality = 1")
     return lm.scored(_table(spark, sf_dir, "documents"), good)
 
@@ -128,7 +128,8 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, held_out, score, predicted; labels come from documents outside the held-out fold only."""
     docs = _table(spark, sf_dir, "documents")
     labels = _table(spark, sf_dir, "labels").where(F.col("doc_id").isNotNull())
-    model = toxicity.train(docs, labels.where(_fold("doc_id", 5) != 0))
+    learned = _fold("doc_id", 5) != 0
+    model = toxicity.train(docs.where(learned), labels.where(learned))
     found = toxicity.scored(docs, model)
     return found.select(
         "doc_id",

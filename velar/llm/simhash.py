@@ -6,6 +6,10 @@ fingerprints, so a posting is a set of positions: the eight bytes form k + 2 blo
 unchanged, and each pair of blocks is a posting key. Every pair of fingerprints that meets in a posting is tallied
 byte by byte, kept if it reaches the minimum, and verified by its Hamming distance.
 
+Fingerprints stand for similarity only near to identity: sets of shingles with a Jaccard similarity of 0.8 have
+fingerprints some ten bits apart, where no byte is guaranteed to agree, so that the count filter has nothing to hold on
+to. kept(similarity=...) therefore takes candidates from MinHash keys and lets whole sets decide (velar.llm.jaccard).
+
 A posting with more than `dense` different fingerprints (near copies by the thousand) isn't paired out. Its members
 go to all points within half the distance: two fingerprints are at most k bits apart exactly if they share a point
 at most ceil(k/2) and floor(k/2) bits away. A point has a bounded number of members and links them to the least one.
@@ -21,6 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import jaccard
 from .common import LOWER, binaries, mapped, texts, written
 from .graph import components
 
@@ -126,16 +131,14 @@ def near_duplicates(
     return prints.join(class_of, "fp", "left").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
-def kept(docs: DataFrame, **options) -> DataFrame:
+def kept(docs: DataFrame, similarity: float | None = None, **options) -> DataFrame:
     """The rows of docs whose id is the smallest of its near-duplicate group, with all columns.
 
-    Rows that repeat an id are kept or go together; null ids stay, as nothing can name them.
+    Groups come from near_duplicates(), or with a similarity from pairs of shingle sets with that Jaccard similarity or
+    more. Rows that repeat an id are kept or go together; null ids stay, as nothing can name them. Texts without words
+    are alike. Very long texts are read whole. An empty table gives an empty result.
     """
     id_col = options.get("id_col", "doc_id")
-    gone = (
-        near_duplicates(docs, **options)
-        .where(F.col(id_col) != F.col("component_id"))
-        .select(F.col(id_col).alias("_gone"))
-        .distinct()
-    )
+    found = near_duplicates(docs, **options) if similarity is None else jaccard.near_duplicates(docs, similarity=similarity, **options)
+    gone = found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone")).distinct()
     return docs.join(gone, docs[id_col] == F.col("_gone"), "left_anti")
