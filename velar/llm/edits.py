@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import xxhash
 
 WIDTH = 64
-FULL = (1 << WIDTH) - 1
+FULL, TOP = (1 << WIDTH) - 1, 1 << WIDTH - 1
 
 
 def within(a: str, b: str, most: int) -> bool:
@@ -63,13 +65,10 @@ def segments(length: int, most: int) -> list[tuple[int, int]]:
     return out
 
 
-def signatures(line: str, most: int, least: int) -> tuple[list[int], list[int]]:
-    """Hashes under which a line is indexed, and further ones under which it looks for lines as long or shorter.
-
-    Two lines of at least `least` characters within `most` edits share a hash that at least one of them is indexed
-    under. Of a segment's possible places only those are probed where the edits left and right of it can add up.
-    """
-    n, index, probes = len(line), [], []
+@lru_cache(1 << 14)
+def layout(n: int, most: int, least: int) -> tuple[tuple[tuple[int, int, int], ...], tuple[tuple[int, int, int], ...]]:
+    """(start, end, seed) of the substrings under which a line of n characters is indexed, and of those it looks for."""
+    index, probes = [], []
     for shorter in range(0, most + 1):
         length = n - shorter
         if length < least:
@@ -79,16 +78,42 @@ def signatures(line: str, most: int, least: int) -> tuple[list[int], list[int]]:
             lowest = max(0, start - i, start + shorter - (most - i))
             highest = min(n - size, start + i, start + shorter + (most - i))
             for at in range(lowest, highest + 1):
-                key = xxhash.xxh64_intdigest(line[at : at + size].encode(), seed) - (1 << 63)
-                (index if not shorter and at == start else probes).append(key)
-    return index, probes
+                (index if not shorter and at == start else probes).append((at, at + size, seed))
+    return tuple(index), tuple(probes)
+
+
+def signatures(line: str, most: int, least: int) -> tuple[list[int], list[int]]:
+    """Hashes under which a line is indexed, and further ones under which it looks for lines as long or shorter.
+
+    Two lines of at least `least` characters within `most` edits share a hash that at least one of them is indexed
+    under. Of a segment's possible places only those are probed where the edits left and right of it can add up.
+    """
+    data, digest = line.encode(errors="replace"), xxhash.xxh64_intdigest
+    index, probes = layout(len(line), most, least)
+    if len(data) == len(line):  # a byte is a character
+        return [digest(data[a:b], s) - TOP for a, b, s in index], [digest(data[a:b], s) - TOP for a, b, s in probes]
+    part = lambda a, b: line[a:b].encode(errors="replace")
+    return [digest(part(a, b), s) - TOP for a, b, s in index], [digest(part(a, b), s) - TOP for a, b, s in probes]
+
+
+class _Bits(dict):
+    """The class of each character, as one of 64 bits."""
+
+    def __missing__(self, c: str) -> int:
+        bit = 1 << (ord(c) * 0x9E3779B1 >> 7 & WIDTH - 1)
+        if len(self) < 1 << 16:
+            self[c] = bit
+        return bit
+
+
+_BITS = _Bits()
 
 
 def character_classes(line: str) -> int:
-    """64 bits: which classes of code points (by remainder) the line has. An edit changes two of them at most."""
+    """64 bits: which classes of code points the line has. An edit changes two of them at most."""
     out = 0
     for c in set(line):
-        out |= 1 << (ord(c) * 0x9E3779B1 >> 7 & WIDTH - 1)
+        out |= _BITS[c]
     return out
 
 

@@ -38,8 +38,8 @@ BLOCK_LINES = 2000
 
 def _keys(line: bytes) -> tuple[int, int]:
     """128 bits of hash as two signed longs."""
-    digest = xxhash.xxh3_128_intdigest(line)
-    return (digest & (1 << 64) - 1) - (1 << 63), (digest >> 64) - (1 << 63)
+    digest = xxhash.xxh3_128_digest(line)
+    return int.from_bytes(digest[:8], "big", signed=True), int.from_bytes(digest[8:], "big", signed=True)
 
 
 def split(text: bytes) -> Iterator[tuple[int, bytes]]:
@@ -51,7 +51,7 @@ def split(text: bytes) -> Iterator[tuple[int, bytes]]:
 
 def line_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, line, h, g): every line that isn't blank, by its number and the two halves of its hash."""
-    kind = dict(docs.select(F.col(id_col)).dtypes)[id_col]
+    kind, digest = dict(docs.select(F.col(id_col)).dtypes)[id_col], xxhash.xxh3_128_digest
 
     def run(batches):
         for batch in batches:
@@ -60,10 +60,10 @@ def line_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 for i, line in split(text):
                     owner.append(k)
                     number.append(i)
-                    keys.append(_keys(line))
+                    keys.append(digest(line))
             ids = batch.column(0).take(pa.array(owner, pa.int64()))
-            h, g = zip(*keys) if keys else ((), ())
-            yield pa.RecordBatch.from_arrays([ids, pa.array(number, pa.int32()), pa.array(h, pa.int64()), pa.array(g, pa.int64())], names=["id", "line", "h", "g"])
+            h, g = np.frombuffer(b"".join(keys), ">i8").astype(np.int64).reshape(-1, 2).T
+            yield pa.RecordBatch.from_arrays([ids, pa.array(number, pa.int32()), pa.array(h), pa.array(g)], names=["id", "line", "h", "g"])
 
     source = texts(docs, id_col, text_col=text_col).withColumnRenamed(id_col, "id")
     return source.mapInArrow(run, f"id {kind}, line int, h long, g long")
