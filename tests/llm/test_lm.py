@@ -1,4 +1,5 @@
 import math
+import random
 from collections import Counter
 
 import pytest
@@ -7,37 +8,53 @@ from velar.llm import lm
 from .data import DOCS, corpus
 
 
+def spelled(words, low):
+    """For each word the byte trigrams of its bytes and of the space behind it."""
+    data, at, out = b"  " + low + b" ", 2, []
+    for w in words:
+        at = data.index(w, at)
+        out.append([data[k - 2 : k + 1] for k in range(at, at + len(w) + 1)])
+        at += len(w)
+    return out
+
+
 def brute(rows, targets, weight):
-    docs = [(i, ["<>", *(t.encode().translate(lm.LOWER).split() if t else []), "<>"]) for i, t in rows]
-    docs = [(i, w if len(w) > 2 else []) for i, w in docs]
-    counts = [Counter(), Counter()]
-    totals = [0, 0]
-    grams = lambda w: [*w[1:], *zip(w, w[1:])]
-    for i, w in docs:
+    docs = []
+    for i, t in rows:
+        low = (t or "").encode().translate(lm.LOWERED)
+        words = low.split()
+        docs.append((i, words, spelled(words, low)))
+    counts, grams = [Counter(), Counter()], [Counter(), Counter()]
+    for i, words, spelling in docs:
         for side in range(2 if i in targets else 1):
-            counts[side].update(grams(w))
-            totals[side] += len(w[1:])
-    words = len({x for _, w in docs for x in w})
+            counts[side].update(words)
+            for s in spelling:
+                for g in s:
+                    grams[side].update([(3, g), ("c3", g[:2]), (2, g[1:]), ("c2", g[1:2]), (1, g[2:]), "all"])
     out = []
-    for i, w in docs:
-        own, losses = Counter(grams(w)), []
+    for i, words, spelling in docs:
+        own, losses = Counter(words), []
         for side in (1, 0):
-            c = counts[side] - own if side == 0 or i in targets else counts[side]
-            n = totals[side] - (len(w[1:]) if side == 0 or i in targets else 0)
-            loss = 0.0
-            for v, x in zip(w, w[1:]):
-                low = (c[x] + weight / words) / (n + weight)
-                loss -= math.log((c[v, x] + weight * low) / (c[v] + weight))
-            losses.append(loss / len(w[1:]) if w else None)
-        out.append((i, max(0, len(w) - 1), *losses))
+            mine = side == 0 or i in targets
+            n = counts[side].total() - (len(words) if mine else 0)
+            g, loss = grams[side], 0.0
+            for w, s in zip(words, spelling):
+                p = 1.0
+                for x in s:
+                    one = (g[1, x[2:]] + weight / 256) / (g["all"] + weight)
+                    two = (g[2, x[1:]] + weight * one) / (g["c2", x[1:2]] + weight)
+                    p *= (g[3, x] + weight * two) / (g["c3", x[:2]] + weight)
+                loss -= math.log((counts[side][w] - (own[w] if mine else 0) + weight * p) / (n + weight))
+            losses.append(loss / len(words) if words else None)
+        out.append((i, len(words), *losses))
     return sorted(out, key=str)
 
 
 @pytest.mark.parametrize("chunk_bytes", [1 << 24, 2000])
 def test_against_brute_force(spark, monkeypatch, chunk_bytes):
-    monkeypatch.setattr(lm, "HELD", 50)
-    rows = corpus(n=20, seed=6, vocabulary=15) + [(3, "again", None, None, None), (None, "no id", None, None, None), (None, "\vA\fa b", None, None, None)]
-    docs = spark.createDataFrame(rows, DOCS).selectExpr("*", "1 as target", "'x' as chunk")
+    monkeypatch.setattr(lm, "KNOWN", 20)
+    rows = corpus(n=20, seed=6, vocabulary=15) + [(3, "again", None, None, None), (None, "no id", None, None, None), (None, "\vA\fa  é b", None, None, None)]
+    docs = spark.createDataFrame(rows, DOCS).selectExpr("*", "1 as mark", "'x' as chunk")
     ids = spark.createDataFrame([(i,) for i in (0, 2, 3, 3, 5, 9, None, 12345)], "doc_id long")
     got = sorted(((r.doc_id, r.n_tokens, r.ce_target, r.ce_background) for r in lm.scored(docs, ids, 4.0, chunk_bytes).collect()), key=str)
     want = brute([r[:2] for r in rows], {0, 2, 3, 5, 9}, 4.0)
@@ -47,12 +64,10 @@ def test_against_brute_force(spark, monkeypatch, chunk_bytes):
 
 
 def test_copies_and_topics_are_told_apart(spark):
-    import random
-
     rng = random.Random(4)
     sides = [[f"{side}{k}" for k in range(60)] for side in "xy"]
-    text = lambda side: " ".join(rng.choices(sides[side], k=40))
-    rows = [(i, text(i % 2)) for i in range(200)]
+    text = lambda k: " ".join(rng.choices(sides[k % 2], k=40)) + f" only{k} here{k} there{k} now{k}"
+    rows = [(i, text(i)) for i in range(200)]
     rows += [(1000 + i, rows[i][1]) for i in range(20)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id: r for r in lm.scored(docs, docs.where("doc_id % 2 = 0 and doc_id < 60")).collect()}
@@ -63,5 +78,6 @@ def test_copies_and_topics_are_told_apart(spark):
 def test_nothing(spark):
     docs = spark.createDataFrame(corpus(n=8), DOCS)
     assert lm.scored(docs.limit(0), docs).count() == 0
-    got = lm.scored(docs, docs.limit(0)).where("n_tokens > 0").selectExpr("max(ce_target) as a", "min(ce_target) as b").first()
-    assert got.a == pytest.approx(got.b)
+    same = spark.createDataFrame([(1, "ab cd"), (2, "ef"), (3, "gh ij kl")], "doc_id long, text string")
+    got = [r.ce_target for r in lm.scored(same, docs.limit(0)).collect()]
+    assert got == pytest.approx([3 * math.log(256)] * 3)
