@@ -15,7 +15,7 @@ EN = (
     "at 12 High Street on January 5, 2024. Card 4111 1111 1111 1111, Invoice no. AB-12345 of the and."
 )
 WANT = {
-    0: {("person", "María García López"), ("es_national_id", "12345678Z"), ("birth_or_age", "03/04/1980"), ("phone", "612 345 678"), ("email", "maria@ejemplo.es"), ("iban", "ES91 2100 0418 4502 0005 1332"), ("clinician", "Dr. Juan Pérez Ruiz"), ("professional_reg", "28/12345"), ("address", "Calle Mayor 12, 3º"), ("date", "12 de marzo de 2024"), ("birth_or_age", "47 años")},
+    0: {("person", "María García López"), ("es_national_id", "12345678Z"), ("birth_or_age", "03/04/1980"), ("phone", "612 345 678"), ("email", "maria@ejemplo.es"), ("iban", "ES91 2100 0418 4502 0005 1332"), ("clinician", "Juan Pérez Ruiz"), ("professional_reg", "28/12345"), ("address", "Calle Mayor 12, 3º"), ("date", "12 de marzo de 2024"), ("birth_or_age", "47 años")},
     1: {("person", "John Smith"), ("uk_nhs", "943 476 5919"), ("birth_or_age", "12/04/1980"), ("us_ssn_itin", "123-45-6789"), ("phone", "212-555-1234"), ("email", "a.b@c.org"), ("clinician", "Jane Doe"), ("address", "12 High Street"), ("date", "January 5, 2024"), ("payment_card", "4111 1111 1111 1111"), ("case_reference", "AB-12345")},
 }
 

@@ -1,10 +1,10 @@
-"""Literal term search, word boxes of spans, and the context of spreadsheet cells."""
+"""Literal term search, and the context, values and clipping of spreadsheet cells."""
 
 from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from velar.functions import spans
@@ -12,12 +12,12 @@ from velar.functions import spans
 MOST_TERMS = 100
 
 
-def term_hits(blocks: DataFrame, terms: Iterable[str], keys: list[str], text_col: str = "text") -> DataFrame:
+def term_hits(blocks: DataFrame, terms: Iterable[str], keys: list[str], text_col: str = "text", most: int | None = MOST_TERMS) -> DataFrame:
     """(keys, term, start, end): every place of each literal term, in any letter case, inside words as well.
 
-    Terms are trimmed; the first hundred different ones count. Overlapping places of one term count once.
+    Terms are trimmed; the first `most` different ones count, None for all. Overlapping places of one term count once.
     """
-    chosen = list(dict.fromkeys(t.strip() for t in terms if t and t.strip()))[:MOST_TERMS]
+    chosen = list(dict.fromkeys(t.strip() for t in terms if t and t.strip()))[:most]
     text = F.col(text_col)
     if not chosen:
         return blocks.select(*keys, F.lit("").alias("term"), F.lit(0).alias("start"), F.lit(0).alias("end")).where("false")
@@ -26,13 +26,6 @@ def term_hits(blocks: DataFrame, terms: Iterable[str], keys: list[str], text_col
     return each.select(*keys, "term", "p.start", "p.end")
 
 
-def span_rectangles(found: DataFrame, words: DataFrame, keys: list[str]) -> DataFrame:
-    """One rectangle per span and line: the words (start, end, line, x0, y0, x1, y1) that meet (span_id, start, end)."""
-    s = found.select(*keys, "span_id", F.col("start").alias("_s"), F.col("end").alias("_e"))
-    met = words.join(s, keys).where((F.col("start") < F.col("_e")) & (F.col("end") > F.col("_s")))
-    return met.groupBy(*keys, "span_id", "line").agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
-
-
 def with_cell_context(cells: DataFrame, sheet: list[str]) -> DataFrame:
     """cells (sheet keys, row, col, value, is_formula) with `text` and the value's place value_start, value_end in it.
 
@@ -48,3 +41,30 @@ def with_cell_context(cells: DataFrame, sheet: list[str]) -> DataFrame:
     text = F.when(label.isNotNull(), F.concat(label, F.lit(": "), F.col("value"))).otherwise(F.col("value"))
     done = joined.withColumn("text", text).withColumn("value_end", F.length("text"))
     return done.withColumn("value_start", F.col("value_end") - F.length("value")).drop("_head", "_left")
+
+
+def clipped(spans: Column, value_start: Column, value_end: Column) -> Column:
+    """Spans of a cell's text cut to its value, which the context in front of it is no part of; empty ones go."""
+    cut = F.transform(spans, lambda s: s.withField("start", F.greatest(s["start"], value_start)).withField("end", F.least(s["end"], value_end)))
+    return F.filter(cut, lambda s: s["start"] < s["end"])
+
+
+def visible_value(kind: Column, value: Column, number_format: Column) -> Column:
+    """What a cell shows: value is its text, a number, or for kind 'date' a timestamp in ISO form.
+
+    Dates are day first, with a time if it isn't midnight; kind 'time' is a time alone. A whole number with a format of
+    nothing but zeros is padded to as many digits. Everything else shows as it is.
+    """
+    at = F.try_to_timestamp(value)
+    midnight = F.date_format(at, "HHmmss") == "000000"
+    date = F.when(midnight, F.date_format(at, "dd/MM/yyyy")).otherwise(F.date_format(at, "dd/MM/yyyy HH:mm:ss"))
+    whole = F.regexp_replace(value, r"\.0+$", "")
+    padded = F.lpad(whole, F.greatest(F.length(number_format), F.length(whole)), F.lit("0"))
+    zeros = number_format.rlike("^0+$") & whole.rlike("^[0-9]+$")
+    return (
+        F.when((kind == "date") & at.isNotNull(), date)
+        .when((kind == "time") & at.isNotNull(), F.date_format(at, "HH:mm:ss"))
+        .when((kind == "number") & zeros, padded)
+        .when((kind == "number") & whole.rlike("^-?[0-9]+$"), whole)
+        .otherwise(value)
+    )

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from velar.functions import checks
 from velar.functions.dates import age_band, shift_date, shift_days
 from velar.functions.language import EN_WORDS, ES_WORDS, detection_language, document_language
-from velar.operators import detect, redact, search
+from velar.operators import detect, geometry, redact, search
+from velar.plans import sample_queries
 
 TERMS = ["Apache License", "the", "MIT"]
 
@@ -59,8 +60,9 @@ def detect_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _PLAIN = r"translate(text, chr(13) || chr(10) || chr(9), '   ')"
-_EMAILS = rf"""SELECT doc_id, rtrim(ltrim(m, '.,;:-–—()[]+'), '.,;:-–—()[]') AS text FROM (
-  SELECT doc_id, unnest(regexp_extract_all({_PLAIN}, '[\p{{L}}\p{{N}}_.+-]+@[\p{{L}}\p{{N}}_-]+\.[\p{{L}}\p{{N}}_.-]{{2,}}')) AS m FROM documents)"""
+_EMAIL = r"[\p{L}\p{N}_.+-]+@[\p{L}\p{N}_-]+\.[\p{L}\p{N}_.-]{2,}"
+_BARE = "rtrim(ltrim(x, '.,;:-–—()[]+'), '.,;:-–—()[]')"
+_EMAILS = rf"SELECT doc_id, {_BARE} AS text FROM (SELECT doc_id, unnest(regexp_extract_all({_PLAIN}, '{_EMAIL}')) AS x FROM documents)"
 _CARDS = rf"""SELECT doc_id, m AS text FROM (
   SELECT doc_id, m, reverse(regexp_replace(m, '[\s-]', '', 'g')) AS r FROM (
     SELECT doc_id, unnest(regexp_extract_all({_PLAIN}, '\b[3-6]\d{{3}}(?:[\s-]?\d{{4}}){{2}}[\s-]?\d{{1,7}}\b')) AS m FROM documents))
@@ -94,26 +96,18 @@ def redact_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def redact_emails(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Length and number of blocks of each document after its e-mail addresses are blocked out."""
+    """Length, number of blocks and hash of each document after its e-mail addresses are blocked out."""
     found = detect.with_spans(_table(spark, sf_dir, "documents"), categories=["email"])
     done = redact.redacted(found)
-    blocks = F.length("redacted") - F.length(F.regexp_replace("redacted", redact.BLOCK, ""))
-    return done.select("doc_id", F.length("redacted").alias("n_chars"), blocks.alias("n_blocks"))
+    blocks = F.length("redacted") - F.length(F.replace("redacted", F.lit(redact.BLOCK), F.lit("")))
+    return done.select("doc_id", F.length("redacted").alias("n_chars"), blocks.alias("n_blocks"), F.sha2(F.col("redacted").cast("binary"), 256).alias("sha256"))
 
 
-_REDACTED = f"""SELECT d.doc_id, CAST(length(text) AS INT) AS n_chars, CAST(coalesce(n, 0) AS INT) AS n_blocks
-FROM documents d LEFT JOIN (SELECT doc_id, sum(length(text)) AS n FROM ({_EMAILS}) GROUP BY doc_id) e ON d.doc_id = e.doc_id"""
-
-
-def second_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What a second detection still finds in blocked-out documents, and approved texts that are still there."""
-    found = detect.with_spans(_table(spark, sf_dir, "documents"))
-    done = redact.redacted(found).select("doc_id", F.lit(0).alias("block_id"), "redacted", "text", "spans").repartition("doc_id")
-    again = detect.detections(done.select("doc_id", "block_id", F.col("redacted").alias("text")), ["doc_id", "block_id"])
-    texts = done.select("doc_id", F.explode(F.transform("spans", lambda s: F.substring(F.col("text"), s["start"] + 1, s["end"] - s["start"]))).alias("text"))
-    left = redact.leftovers(done, texts, "doc_id").select("doc_id", F.lit("leftover").alias("kind"), "text")
-    more = redact.residuals(again, texts.where("false"), "doc_id").select("doc_id", F.lit("residual").alias("kind"), "text")
-    return left.unionByName(more)
+_REDACTED = rf"""WITH m AS (SELECT doc_id, text, string_split_regex({_PLAIN}, '{_EMAIL}') AS gaps, list_transform(regexp_extract_all({_PLAIN}, '{_EMAIL}'), lambda x: {{'m': x, 't': {_BARE}}}) AS hits FROM documents),
+p AS (SELECT doc_id, text, gaps, list_transform(hits, lambda h: substr(h.m, 1, strpos(h.m, h.t) - 1) || repeat('█', CAST(greatest(4, length(h.t)) AS INT)) || substr(h.m, strpos(h.m, h.t) + length(h.t))) AS masks,
+  coalesce(list_sum(list_transform(hits, lambda h: length(h.t))), 0) AS n FROM m),
+r AS (SELECT doc_id, n, text, CASE WHEN len(masks) = 0 THEN text ELSE array_to_string(list_transform(range(1, len(gaps) + 1), lambda i: gaps[i] || coalesce(masks[i], '')), '') END AS red FROM p)
+SELECT doc_id, CAST(length(text) AS INT) AS n_chars, CAST(CASE WHEN text IS NOT NULL THEN n END AS INT) AS n_blocks, sha256(red) AS sha256 FROM r"""
 
 
 def audit_by_category(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -249,7 +243,7 @@ def word_rectangles(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("l_linenumber") + 1).cast("double").alias("x1"), (F.col("l_quantity") + 1).alias("y1"),
     )
     s = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.lit(1).alias("span_id"), (F.col("o_orderkey") % 30).cast("int").alias("start"), (F.col("o_orderkey") % 30 + 25).cast("int").alias("end"))
-    return search.span_rectangles(s, w, ["doc_id"])
+    return geometry.span_rectangles(s, w, ["doc_id"])
 
 
 _RECTANGLES = """SELECT o_orderkey AS doc_id, 1 AS span_id, CAST((l_linenumber - 1) // 3 AS INT) AS line, min(CAST(l_linenumber AS DOUBLE)) AS x0, min(l_quantity) AS y0,
@@ -286,7 +280,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         audit_by_category, term_search, check_national_ids, check_social_security, check_nhs_numbers, check_tax_numbers, check_cards, check_ibans,
         shift_order_dates, age_bands, word_rectangles, cell_contexts,
     )
-}
+} | sample_queries.QUERIES
 
 ORACLE_SQL: dict[str, str] = {
     "detect_emails": _COUNTED.format(_EMAILS),
@@ -301,4 +295,5 @@ ORACLE_SQL: dict[str, str] = {
     "word_rectangles": _RECTANGLES,
     "cell_contexts": _CELLS,
     **_CHECKS,
+    **sample_queries.ORACLE_SQL,
 }

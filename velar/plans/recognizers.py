@@ -217,8 +217,16 @@ EDGE_WORDS = "de del la las los el y e en a con por n nº no núm num nro".split
 EDGE_SIGNS = r".:;,–—\-ºª()\[\]"
 #: Words of forms and letters that are labels, not data, by language (this project's own list).
 NOISE = {
-    "es": "informe teléfono telefono tfno tel fax correo email e-mail fecha nombre apellidos paciente domicilio dirección direccion edad sexo diagnóstico tratamiento motivo antecedentes exploración factura contrato total importe señor señora don doña dña sr sra dni nif nie nhc cip nuss cif iban historia episodio servicio consulta urgencias".split(),
-    "en": "report phone telephone tel fax email e-mail date name patient address age sex diagnosis treatment history invoice contract total amount subject attention dear sincerely regards page confidential mobile cell contact nhs ssn itin mr mrs ms miss dob mrn ref hospital clinic department".split(),
+    "es": (
+        "informe teléfono telefono tfno tel fax correo email e-mail fecha nombre apellidos paciente domicilio dirección direccion edad sexo urgencias alta ingreso "
+        "diagnóstico tratamiento motivo antecedentes exploración evolución anamnesis alergias historia episodio consulta fdo firmado firma dr dra d don doña dña señor señora sr sra "
+        "col dni nif nie nhc cip tis nuss cif iban factura contrato total subtotal importe iva expediente procedimiento autos protocolo póliza pedido albarán presupuesto "
+        "referencia finca parcela cliente proveedor cuenta tarjeta vehículo matrícula asunto destinatario remitente trabajador trabajadora empresa observaciones"
+    ).split(),
+    "en": (
+        "report phone telephone tel fax email e-mail date name patient address age sex diagnosis treatment history invoice contract total subtotal amount balance account subject attention "
+        "dear sincerely regards page confidential mobile cell contact nhs ssn itin mr mrs ms miss dob mrn ref reference hospital clinic department signed signature notes remarks"
+    ).split(),
 }
 #: What is left beside a blocked place and is no personal data by itself.
 ORPHANS = "de del la las los el y e en a con por fdo dr dra nº no col tel tfno cip nhc dni nuss correo paciente".split()
