@@ -50,15 +50,22 @@ def features(text: Column) -> Column:
     return F.struct(tokens.alias("tokens"), text.rlike(r"\p{Nd}").alias("digit"), text.rlike(SIX_DIGITS).alias("digits"))
 
 
-def _matches(text: Column, has: Column, i: int, r: R.Recognizer) -> Column:
-    """struct<i,gaps,hits,values> of one recognizer, null without a match."""
-    regex = F.lit(r.regex())
-    values = F.regexp_extract_all(text, regex, F.lit(r.group)) if r.group else F.lit(None).cast("array<string>")
-    found = lambda hits: F.when(F.size(hits) > 0, F.struct(F.lit(i).alias("i"), F.split(text, r.regex(), -1).alias("gaps"), hits.alias("hits"), values.alias("values")))
-    gate = has[r.gate] if r.gate in ("digit", "digits") else F.contains(text, F.lit(r.gate)) if r.gate else F.lit(True)
-    if r.words:
-        gate = F.arrays_overlap(has["tokens"], _words(r.words)) & gate
-    return F.when(gate, spans.let(F.regexp_extract_all(text, regex, F.lit(0)), found))
+def _matches(text: str, has: str, wanted: list[R.Recognizer]) -> Column:
+    """array<struct<i,gaps,hits,values>>: of each recognizer with matches in the column, by its number.
+
+    One SQL text, as building as many Columns piece by piece takes seconds.
+    """
+    parts = []
+    for i, r in enumerate(wanted):
+        regex = f'r"{r.regex()}"'
+        values = f"regexp_extract_all({text}, {regex}, {r.group})" if r.group else "cast(null as array<string>)"
+        gates = [f"{has}.{r.gate}" if r.gate in ("digit", "digits") else f"contains({text}, '{r.gate}')"] if r.gate else []
+        if r.words:
+            gates.insert(0, f"arrays_overlap({has}.tokens, split('{' '.join(r.words)}', ' '))")
+        found = f"struct({i} as i, split({text}, {regex}, -1) as gaps, h as hits, {values} as values)"
+        hits = f"get(transform(array(regexp_extract_all({text}, {regex}, 0)), h -> case when size(h) > 0 then {found} end), 0)"
+        parts.append(f"case when {' and '.join(gates) or 'true'} then {hits} end")
+    return F.expr(f"filter(array({', '.join(parts)}), m -> m is not null)")
 
 
 def _places(m: Column) -> Column:
@@ -88,17 +95,21 @@ def classified(category: Column, text: Column, start: Column, language: str) ->
     )
 
 
-def recognized(text: Column, has: Column, wanted: list[R.Recognizer], language: str, categories: list[str]) -> Column:
+def recognized(text_col: str, has: str, wanted: list[R.Recognizer], language: str, categories: list[str]) -> Column:
     """Spans of the recognizers: found, checked, classified, and above the threshold.
 
     Each recognizer only adds its matches to the plan; what follows is written once for all of them.
     """
-    matches = F.filter(F.array(*[_matches(text, has, i, r) for i, r in enumerate(wanted)]), lambda m: m.isNotNull())
+    text, matches = F.col(text_col), _matches(text_col, has, wanted)
     tests: dict[tuple[str, ...], list[int]] = {}
     for i, r in enumerate(wanted):
         if r.check:
             tests.setdefault(r.check, []).append(i)
-    lookup = lambda values, i: F.get(F.array(*[F.lit(v) for v in values]), i)
+    
+    def lookup(values: list, i: Column) -> Column:
+        """The i-th of the values, which are of one kind."""
+        text = "array(" + ", ".join(f"'{v}'" if isinstance(v, str) else f"{v}d" if isinstance(v, float) else str(v).lower() for v in values) + ")"
+        return F.get(F.expr(text), i)
 
     def passes(i: Column, value: Column) -> Column:
         """Whether the value passes one of its recognizer's tests; one without tests passes."""
@@ -134,15 +145,15 @@ def _could(r: R.Recognizer, categories: list[str]) -> bool:
     return r.category in categories or also in categories
 
 
-def all_spans(text: Column, has: Column, language: str, categories: list[str], custom: list[str]) -> Column:
+def all_spans(text_col: str, has: str, language: str, categories: list[str], custom: list[str]) -> Column:
     """Spans of all recognizers of a language that can give an asked category; only those are built into the plan."""
     wanted = [r for r in (R.ENGLISH if language == "en" else R.SPANISH) if _could(r, categories)]
-    parts = [recognized(text, has, wanted, language, categories)] if wanted else []
+    parts = [recognized(text_col, has, wanted, language, categories)] if wanted else []
     terms = sorted({t.strip() for t in custom if t and t.strip()}, key=lambda t: (-len(t), t))
     if terms and "custom_term" in categories:
         pattern = r"(?iuU)(?<!\w)(?:" + "|".join(spans.literal(t, False) for t in terms) + r")(?!\w)"
         own = lambda s: span(s["start"], s["end"], F.lit("custom_term"), F.lit(1), F.lit(1.0), F.lit("custom"))
-        parts.append(F.transform(spans.find_all(text, pattern), own))
+        parts.append(F.transform(spans.find_all(F.col(text_col), pattern), own))
     return F.flatten(F.array(*parts)) if parts else F.array().cast(EMPTY)
 
 
@@ -248,14 +259,14 @@ def with_spans(
     chosen, custom = known_categories(categories), list(custom)
     allowed = sorted({a.strip().lower() for a in allow if a and a.strip()})
     base = blocks.withColumn("_plain", plain(F.col(text_col)))
-    text, has = F.col("_plain"), F.col("_has")
+    text = F.col("_plain")
     base = base.withColumn("_has", features(text))
     language = F.col(language_col) if language_col else language_of(F.col("_has.tokens"), F.col(text_col))
     base = base.withColumn("language", F.when(language == "en", "en").otherwise("es"))
     blank = F.coalesce(F.trim(text), F.lit("")) == ""
 
     def of(k: str) -> Column:
-        own = all_spans(text, has, k, chosen, custom)
+        own = all_spans("_plain", "_has", k, chosen, custom)
         return F.concat(own, outside_spans(text, F.coalesce(F.col(named), F.array().cast(EMPTY)), k, chosen, allowed)) if named else own
 
     raw = F.when(blank, F.array().cast(EMPTY)).when(F.col("language") == "en", of("en")).otherwise(of("es"))

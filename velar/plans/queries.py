@@ -103,7 +103,7 @@ def redact_emails(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", F.length("redacted").alias("n_chars"), blocks.alias("n_blocks"), F.sha2(F.col("redacted").cast("binary"), 256).alias("sha256"))
 
 
-_REDACTED = rf"""WITH m AS (SELECT doc_id, text, string_split_regex({_PLAIN}, '{_EMAIL}') AS gaps, list_transform(regexp_extract_all({_PLAIN}, '{_EMAIL}'), lambda x: {{'m': x, 't': {_BARE}}}) AS hits FROM documents),
+_REDACTED = rf"""WITH m AS (SELECT doc_id, text, string_split_regex(text, '{_EMAIL}') AS gaps, list_transform(regexp_extract_all(text, '{_EMAIL}'), lambda x: {{'m': x, 't': {_BARE}}}) AS hits FROM documents),
 p AS (SELECT doc_id, text, gaps, list_transform(hits, lambda h: substr(h.m, 1, strpos(h.m, h.t) - 1) || repeat('█', CAST(greatest(4, length(h.t)) AS INT)) || substr(h.m, strpos(h.m, h.t) + length(h.t))) AS masks,
   coalesce(list_sum(list_transform(hits, lambda h: length(h.t))), 0) AS n FROM m),
 r AS (SELECT doc_id, n, text, CASE WHEN len(masks) = 0 THEN text ELSE array_to_string(list_transform(range(1, len(gaps) + 1), lambda i: gaps[i] || coalesce(masks[i], '')), '') END AS red FROM p)

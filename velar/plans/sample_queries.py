@@ -252,7 +252,7 @@ def shift_long_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
 _LONG_DATES = f"""WITH o AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS a, CAST(o_orderkey % 151 + 30 AS INT) AS d FROM orders),
 m AS (SELECT o_orderkey, a, a + d AS b, CAST(date_trunc('month', a) AS DATE) + 14 + d AS c, {ES_MONTHS} AS es FROM o)
 SELECT o_orderkey, CAST(day(b) AS STRING) || ' de ' || es[month(b)] || ' de ' || CAST(year(b) AS STRING) AS es_day, es[month(c)] || ' de ' || CAST(year(c) AS STRING) AS es_month,
-  strftime(b, '%d-%m-%y') AS es_short, strftime(b, '%-d %B %Y') AS en_day, strftime(c, CASE WHEN month(a) = 5 THEN '%B %Y' ELSE '%b %Y' END) AS en_month,
+  strftime(b, '%d-%m-%y') AS es_short, strftime(b, '%-d %B %Y') AS en_day, CASE WHEN month(a) = 5 THEN strftime(c, '%B %Y') ELSE strftime(c, '%b %Y') END AS en_month,
   CASE WHEN day(a) > 12 THEN strftime(b, '%m/%d/%Y') END AS en_number FROM m"""
 
 
