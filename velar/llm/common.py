@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from velar.sources.tables import scratch, written  # noqa: F401
+
 #: Byte tables. A word of kind "space" is a run without \x20 and \x09-\x0D, which is what bytes.split() yields.
 #: A word of kind "letters" is a run of digits, a-z and every non-ASCII byte, after A-Z became a-z.
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -21,30 +21,6 @@ BATCH_BYTES = 8 << 20
 SPACES = bytes(32 if 9 <= b <= 13 else b for b in range(256))
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder name below the shared folder named by spark.checkpoint.dir.
-
-    Only where that setting is absent, and the session runs inside one machine, is a folder of our own set.
-    """
-    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not top:
-        if not spark.sparkContext.master.startswith("local["):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        top = tempfile.mkdtemp(prefix="velar-")
-        spark.conf.set("spark.checkpoint.dir", top)
-    return f"{top}/velar-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame) -> DataFrame:
-    """The rows of df, written once to the shared folder and read again from there.
-
-    Cuts the lineage: a lost executor costs a re-read and not a recomputation.
-    """
-    path = scratch(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def mapped(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """mapInArrow with a function of one batch."""
 
