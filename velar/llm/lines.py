@@ -253,17 +253,12 @@ def removals(docs: DataFrame, most: int = 1, least: int = 16, dense: int = 64, i
     return lines.join(shared, ["h", "g"]).where(~stays).groupBy("id").agg(F.collect_list(F.struct("line", "h", "g")).alias("gone"))
 
 
-def _without(text: bytes, gone: set[tuple[int, int, int]]) -> tuple[bytes, int, int]:
-    """The text without those lines, its number of lines before, and of lines that went."""
-    keep, n, out = [], 0, 0
-    for i, line in enumerate(text.split(b"\n")):
-        bare = line.strip()
-        n += bool(bare)
-        if bare and gone and (i, *_keys(bare)) in gone:
-            out += 1
-        else:
-            keep.append(line)
-    return (b"\n".join(keep) if out else text), n, out
+def _without(text: bytes, gone: dict[int, set[tuple[int, int]]]) -> tuple[bytes, int, int]:
+    """The text without the lines of those numbers and hashes, its number of lines before, and of lines that went."""
+    lines = text.split(b"\n")
+    n = sum(map(bool, map(bytes.strip, lines)))
+    out = {i for i, keys in gone.items() if i < len(lines) and (bare := lines[i].strip()) and _keys(bare) in keys}
+    return (b"\n".join([x for i, x in enumerate(lines) if i not in out]) if out else text), n, len(out)
 
 
 def deduplicated(docs: DataFrame, most: int = 1, least: int = 16, dense: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -285,7 +280,10 @@ def deduplicated(docs: DataFrame, most: int = 1, least: int = 16, dense: int = 6
         for batch in batches:
             out, n, removed = [], [], []
             for text, gone in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                kept, a, b = _without(text or b"", {(x["line"], x["h"], x["g"]) for x in gone or ()})
+                keys: dict[int, set[tuple[int, int]]] = {}
+                for x in gone or ():
+                    keys.setdefault(x["line"], set()).add((x["h"], x["g"]))
+                kept, a, b = _without(text or b"", keys)
                 out.append(None if text is None else kept)
                 n.append(a)
                 removed.append(b)
