@@ -193,6 +193,24 @@ FROM ({" UNION ALL ".join(rows)}) c, (SELECT count(*) AS s FROM supplier) x,
   (SELECT string_agg(v, '|' ORDER BY v) AS m FROM (SELECT 'Villa ' || lpad(CAST(s_suppkey AS STRING), 6, '0') AS v FROM supplier ORDER BY v LIMIT 3)) y"""
 
 
+def evaluate_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sensitivity and precision, in thousandths, by category and for all, over a clinical report for each customer.
+
+    Of its seventeen values the name of a place needs a model of named entities.
+    """
+    made = written(samples.reports(_table(spark, sf_dir, "customer"), "c_custkey"))
+    truth = made.select("doc", F.explode("truth").alias("t")).select("doc", "t.category", "t.value")
+    rows = redact.evaluated(truth, detect.detections(made.select("doc", "text"), ["doc"]), "doc")
+    rate = lambda c: F.round(F.col(c) * 1000).cast("int").alias(c)
+    return rows.select("category", "truths", "covered", "detections", "right", rate("sensitivity"), rate("precision"))
+
+
+_REPORTS = f"""SELECT category, CAST(sum(t) AS BIGINT) AS truths, CAST(sum(c) AS BIGINT) AS covered, CAST(sum(c) AS BIGINT) AS detections, CAST(sum(c) AS BIGINT) AS right,
+  CAST(round(1000.0 * sum(c) / sum(t)) AS INT) AS sensitivity, CASE WHEN sum(c) > 0 THEN 1000 END AS precision
+FROM (SELECT category, (SELECT count(*) FROM customer) AS t, CASE WHEN category = 'place_or_postcode' THEN 0 ELSE (SELECT count(*) FROM customer) END AS c FROM (VALUES {", ".join(f"('{c}')" for _, c, _ in samples.REPORT)}) v(category))
+GROUP BY ROLLUP (category)"""
+
+
 def allowed_and_own_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Detections with terms of one's own, and without texts that are allowed: every customer with an even key asks alike."""
     text = F.concat(F.lit("proyecto Alfa"), F.col("c_custkey") % 7, F.lit(" con Alfa1 y alfa2, escribir a u"), F.col("c_custkey") % 5, F.lit("@x.org"))
@@ -357,7 +375,7 @@ _CLIPPED = "SELECT o_orderkey, CAST(greatest(o_orderkey % 20, 6) AS INT) AS span
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        find_spanish, find_english, detect_blocks, redact_approved, leftovers_of_letters, residuals_of_letters, audit_of_letters, second_pass, audit_all_categories, evaluate_texts,
+        find_spanish, find_english, detect_blocks, redact_approved, leftovers_of_letters, residuals_of_letters, audit_of_letters, second_pass, audit_all_categories, evaluate_texts, evaluate_reports,
         allowed_and_own_terms, proposals, profiles_of_customers, shift_long_dates, page_texts, pages_for_ocr, letterheads, recognised_words, page_edits, cell_values, clipped_cells,
     )
 }
@@ -372,6 +390,7 @@ ORACLE_SQL: dict[str, str] = {
     "audit_of_letters": _AUDIT_OF_LETTERS,
     "audit_all_categories": f"SELECT category, count(*) AS detected, count(*) FILTER (WHERE block % 2 = 0) AS redacted FROM ({samples.expected_sql('customer', 'c_custkey', 'es')}) GROUP BY category",
     "evaluate_texts": _evaluate_sql(),
+    "evaluate_reports": _REPORTS,
     "allowed_and_own_terms": _OWN_TERMS,
     "proposals": _PROPOSALS,
     "profiles_of_customers": _PROFILES,

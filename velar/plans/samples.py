@@ -160,3 +160,41 @@ def expected_sql(table: str, key: str, language: str) -> str:
         for place, (detector, category, score, value) in enumerate(t.expected()):
             parts.append(f"SELECT k AS key, {i} AS block, {place} AS place, '{detector}' AS detector, '{category}' AS category, {score} AS score, {value} AS value FROM t WHERE {t.where}")
     return f"WITH t AS (SELECT CAST({key} AS BIGINT) AS k FROM {table}) " + " UNION ALL ".join(parts)
+
+
+#: Words that reports are made of (this project's own).
+FIRST_NAMES = "Marta Jorge Nuria Pablo Irene Hugo Clara Iván Sonia Bruno Alba Óscar".split()
+LAST_NAMES = "Vidal Serrano Molina Ortega Campos Navarro Iglesias Rubio Castaño Peña Ibáñez Soler".split()
+STREETS = ["Calle Nueva 14", "Avenida del Puerto 3", "Plaza Mayor 21", "Paseo de la Estación 8", "Camino Viejo 112"]
+PLACES = ["Villanueva del Mar", "Puerto Real", "Fuente Clara", "Monteverde"]
+CENTRES = ["Hospital Santa Lucía", "Centro de Salud Norte", "Clínica Los Robles", "Hospital Universitario Central"]
+DEPARTMENTS = ["Servicio de Neumología", "Unidad de Traumatología", "Sección de Reumatología", "Servicio de Oftalmología"]
+
+
+def _pick(values: list[str], step: int) -> str:
+    listed = ", ".join(f"'{v}'" for v in values)
+    return f"element_at(array({listed}), CAST((k * {step} + {step}) % {len(values)} + 1 AS INT))"
+
+
+def _name(step: int) -> str:
+    return f"{_pick(FIRST_NAMES, step)} || ' ' || {_pick(LAST_NAMES, step + 2)} || ' ' || {_pick(LAST_NAMES, step + 6)}"
+
+
+#: What a report holds: the text before each value, the value's category, and the value.
+REPORT = [
+    ("INFORME DE ALTA\n", "health_centre", _pick(CENTRES, 1)), ("\n", "department", _pick(DEPARTMENTS, 3)), ("\n\nPaciente: ", "person", _name(1)),
+    ("\nDNI: ", "es_national_id", f"{_pad('10000000 + k', 8)} || {_letter('(10000000 + k) % 23')}"), ("  NHC: ", "medical_record", "CAST(200000 + k AS STRING)"),
+    ("  CIP: ", "es_health_card", f"'BBBBBBBBCD' || {_pad('k % 1000000', 6)}"), ("\nNUSS: ", "es_social_security", f"'28 ' || {_pad('10000000 + k', 8)} || ' ' || {_pad('(2810000000 + k) % 97', 2)}"),
+    ("\nFecha de nacimiento: ", "birth_or_age", f"{_DAY} || '/05/1971'"), ("\nDomicilio: ", "address", _pick(STREETS, 1)), (", ", "place_or_postcode", _pick(PLACES, 1)),
+    ("\nTeléfono: ", "phone", f"'6' || {_pad('k % 100', 2)} || ' 45 ' || {_pad('k % 89 + 10', 2)} || ' 12'"), ("  Correo: ", "email", "'paciente' || CAST(k AS STRING) || '@correo.example'"),
+    ("\n\nMotivo de consulta: tos desde hace tres semanas.\nAcude el ", "date", "CAST(k % 28 + 1 AS STRING) || ' de abril de 2023'"), (" con su hermano, D. ", "person", _name(5)),
+    (".\nExploración sin hallazgos. Control habitual.\nPróxima revisión: ", "date", f"{_DAY} || '/06/2023'"), (".\n\nFdo.: Dra. ", "clinician", _name(7)), (". Nº Col.: ", "professional_reg", f"'28/28/' || {_pad('k % 100000', 5)}"),
+]
+
+
+def reports(keys: DataFrame, key: str) -> DataFrame:
+    """(doc, text, truth): for each key a clinical report with seventeen values, and what they are."""
+    k = keys.select(F.col(key).cast("bigint").alias("k"))
+    parts = [x for before, _, sql in REPORT for x in (F.lit(before), F.expr(sql))]
+    truth = F.array(*[F.struct(F.lit(c).alias("category"), F.expr(sql).alias("value")) for _, c, sql in REPORT])
+    return k.select(F.col("k").alias("doc"), F.concat(*parts, F.lit(".\n")).alias("text"), truth.alias("truth"))
