@@ -12,6 +12,8 @@ from velar.functions.language import document_language
 from velar.operators import detect, geometry, layers, redact, search
 from velar.plans import samples
 from velar.plans.catalog import PROFILES, matching_profile
+from velar.sinks import ooxml as sink
+from velar.sources import ooxml
 from velar.sources.tables import written
 
 FEW = ["email", "phone", "es_national_id", "iban"]
@@ -372,11 +374,56 @@ def clipped_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _CLIPPED = "SELECT o_orderkey, CAST(greatest(o_orderkey % 20, 6) AS INT) AS span_start, CAST(least(o_orderkey % 20 + 4, 16) AS INT) AS span_end FROM orders WHERE greatest(o_orderkey % 20, 6) < least(o_orderkey % 20 + 4, 16)"
 
+def _shown(files: DataFrame) -> DataFrame:
+    """Blocks of files with their visible texts, numbers of files as key."""
+    found = ooxml.blocks(files)
+    text = F.when(F.col("kind").isNull(), F.col("text")).otherwise(search.visible_value(F.col("kind"), F.col("text"), F.col("number_format")))
+    return found.withColumn("text", text).withColumn("key", F.split("path", r"\.")[0].cast("bigint")).withColumn("file", F.split("path", r"\.")[1])
+
+
+def read_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paragraphs, and cells with their context, of a Word and an Excel file for each supplier."""
+    shown = written(_shown(samples.office_files(_table(spark, sf_dir, "supplier"), "s_suppkey")))
+    cells = shown.where("origin = 'cell'").withColumnRenamed("text", "value")
+    with_context = search.with_cell_context(cells, ["key", "sheet"])
+    columns = ["key", "file", "block_id", "origin", "row", "col", "text", "hidden"]
+    return shown.where("origin != 'cell'").select(*columns).unionByName(with_context.select(*columns))
+
+
+_MAIL = "'u' || CAST(k AS STRING) || '@x.org'"
+_CODE = "lpad(CAST(k AS STRING), 8, '0')"
+_DATE = "strftime(DATE '1899-12-30' + CAST(45292 + k % 300 + {} AS INT), '%d/%m/%Y')"
+
+
+def _file_rows(mail: str, context: bool) -> str:
+    head = (lambda name, value: f"'{name}: ' || {value}") if context else (lambda name, value: value)
+    word = [("body", f"'Escribir a ' || {mail} || ' & Cía'"), ("body", "'sin datos'"), ("body", f"'o a ' || {mail}"), ("header", f"'De ' || {mail}")]
+    excel = [("title", 0, 0, "'Datos'")] + [("cell", 1, i + 1, (f"'{left}: ' || " if context and left else "") + f"'{t}'") for i, (t, left) in enumerate((("Correo", ""), ("Fecha", "Correo"), ("Clave", "Fecha")))]
+    for i, t in enumerate((f"'a ' || {mail} || '!'", "'nada'")):
+        excel += [("cell", i + 2, 1, head("Correo", t)), ("cell", i + 2, 2, head("Fecha", _DATE.format(i))), ("cell", i + 2, 3, head("Clave", _CODE))]
+    excel.append(("footer", 1, 1, f"'por ' || {mail}"))
+    rows = [f"SELECT k AS key, 'docx' AS file, {i} AS block_id, '{o}' AS origin, CAST(NULL AS INT) AS row, CAST(NULL AS INT) AS col, {t} AS text, CAST(NULL AS BOOLEAN) AS hidden FROM t" for i, (o, t) in enumerate(word)]
+    rows += [f"SELECT k, 'xlsx', {i}, '{o}', {r}, {c}, {t}, false FROM t" for i, (o, r, c, t) in enumerate(excel)]
+    return "WITH t AS (SELECT CAST(s_suppkey AS BIGINT) AS k FROM supplier) " + " UNION ALL ".join(rows)
+
+
+def redact_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same files with their e-mail addresses taken out, written and read again; and how many packages still hold one."""
+    files = written(samples.office_files(_table(spark, sf_dir, "supplier"), "s_suppkey"))
+    found = written(detect.with_spans(_shown(files).withColumn("of_doc", F.lit("es")), categories=["email"], language_col="of_doc").select("path", "block_id", "text", "spans", "language"))
+    edits = found.select("path", "block_id", redact.edits_of(F.col("spans"), F.col("text"), F.col("language"), F.lit(0)).alias("edits")).where("size(edits) > 0")
+    done = written(sink.redacted_files(files, edits))
+    value = F.transform("spans", lambda s: F.substring(F.col("text"), s["start"] + 1, s["end"] - s["start"]))
+    left = sink.package_leftovers(done, found.select("path", F.explode(value).alias("text")).distinct()).groupBy("path").agg(F.count(F.lit(1)).alias("n"))
+    again = _shown(done.select("path", "content", "error")).join(left, "path", "left")
+    return again.select("key", "file", "block_id", "origin", "row", "col", "text", "hidden", F.coalesce("n", F.lit(0)).cast("int").alias("left_in_package"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         find_spanish, find_english, detect_blocks, redact_approved, leftovers_of_letters, residuals_of_letters, audit_of_letters, second_pass, audit_all_categories, evaluate_texts, evaluate_reports,
-        allowed_and_own_terms, proposals, profiles_of_customers, shift_long_dates, page_texts, pages_for_ocr, letterheads, recognised_words, page_edits, cell_values, clipped_cells,
+        allowed_and_own_terms, proposals, profiles_of_customers, shift_long_dates, page_texts, pages_for_ocr, letterheads, recognised_words, page_edits, cell_values, clipped_cells, read_files, redact_files,
     )
 }
 
@@ -402,4 +449,6 @@ ORACLE_SQL: dict[str, str] = {
     "page_edits": _EDITS,
     "cell_values": _CELL_VALUES,
     "clipped_cells": _CLIPPED,
+    "read_files": f"SELECT key, file, block_id, origin, row, col, text, hidden FROM ({_file_rows(_MAIL, True)})",
+    "redact_files": f"SELECT key, file, block_id, origin, row, col, text, hidden, 0 AS left_in_package FROM ({_file_rows(f'repeat({chr(39)}█{chr(39)}, length({_MAIL}))', False)})",
 }

@@ -7,11 +7,14 @@ the key k that Spark and other SQL engines read alike, so that the same expressi
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from xml.sax.saxutils import escape
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from velar.functions.checks import COMPANY_LETTERS, ID_LETTERS
+from velar.functions.checks import ID_LETTERS
+from velar.sinks.ooxml import packed
 
 PER_KEY = 100  # numbers of texts kept for each key
 
@@ -198,3 +201,59 @@ def reports(keys: DataFrame, key: str) -> DataFrame:
     parts = [x for before, _, sql in REPORT for x in (F.lit(before), F.expr(sql))]
     truth = F.array(*[F.struct(F.lit(c).alias("category"), F.expr(sql).alias("value")) for _, c, sql in REPORT])
     return k.select(F.col("k").alias("doc"), F.concat(*parts, F.lit(".\n")).alias("text"), truth.alias("truth"))
+
+
+_W = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
+_S = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
+_RELS = '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">{}</Relationships>'
+
+
+def _paragraph(text: str, more: str = "") -> str:
+    half = len(text) // 2
+    runs = "".join(f'<w:r><w:t xml:space="preserve">{escape(t)}</w:t></w:r>' for t in (text[:half], text[half:]))
+    return f'<w:p w:rsidR="00A1B2">{runs}{more}</w:p>'
+
+
+def word_file(lines: list[str], header: str, secret: str) -> bytes:
+    """A Word file with a paragraph for each line and one in the header; the secret stands where nobody sees it."""
+    gone = f'<w:del w:author="{secret}"><w:r><w:delText>{secret}</w:delText></w:r></w:del>'
+    return packed({
+        "word/document.xml": f"<w:document {_W}><w:body>{''.join(_paragraph(x, gone) for x in lines)}</w:body></w:document>".encode(),
+        "word/header1.xml": f"<w:hdr {_W}>{_paragraph(header)}</w:hdr>".encode(),
+        "word/comments.xml": f"<w:comments {_W}>{secret}</w:comments>".encode(),
+        "word/_rels/document.xml.rels": _RELS.format(f'<Relationship Id="r1" Target="mailto:{secret}" TargetMode="External"/><Relationship Id="r2" Target="header1.xml"/>').encode(),
+        "docProps/core.xml": f"<p>{secret}</p>".encode(),
+    })
+
+
+def excel_file(texts: list[str], day: int, code: int, header: str, secret: str) -> bytes:
+    """An Excel file with two headed rows: shared texts, a date by its number of days, a number with leading zeros."""
+    strings = "".join(f"<si><t>{escape(t)}</t></si>" for t in ["Correo", "Fecha", "Clave", *texts])
+    rows = '<row r="1"><c r="A1" t="s"><v>0</v></c><c r="B1" t="s"><v>1</v></c><c r="C1" t="s"><v>2</v></c></row>'
+    rows += "".join(f'<row r="{i + 2}"><c r="A{i + 2}" t="s"><v>{i + 3}</v></c><c r="B{i + 2}" s="1"><v>{day + i}</v></c><c r="C{i + 2}" s="2"><v>{code}</v></c></row>' for i in range(len(texts)))
+    return packed({
+        "xl/workbook.xml": f'<workbook {_S}><sheets><sheet name="Datos" r:id="r1"/></sheets></workbook>'.encode(),
+        "xl/_rels/workbook.xml.rels": _RELS.format('<Relationship Id="r1" Target="worksheets/one.xml"/>').encode(),
+        "xl/sharedStrings.xml": f"<sst {_S}>{strings}</sst>".encode(),
+        "xl/styles.xml": f'<styleSheet {_S}><numFmts><numFmt numFmtId="170" formatCode="00000000"/></numFmts><cellXfs><xf numFmtId="0"/><xf numFmtId="14"/><xf numFmtId="170"/></cellXfs></styleSheet>'.encode(),
+        "xl/worksheets/one.xml": f"<worksheet {_S}><sheetData>{rows}</sheetData><headerFooter><oddFooter>&amp;C{escape(header)}</oddFooter></headerFooter></worksheet>".encode(),
+        "xl/comments1.xml": f"<c>{secret}</c>".encode(),
+        "docProps/core.xml": f"<p>{secret}</p>".encode(),
+    })
+
+
+def office_files(keys: DataFrame, key: str) -> DataFrame:
+    """(path, content, error): for each key a Word file and an Excel file, made in the tasks."""
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for k in batch.column(0).to_pylist():
+                mail, day = f"u{k}@x.org", 45292 + k % 300  # days from the end of 1899: the year 2024
+                out.append((f"{k}.docx", word_file([f"Escribir a {mail} & Cía", "sin datos", f"o a {mail}"], f"De {mail}", mail)))
+                out.append((f"{k}.xlsx", excel_file([f"a {mail}!", "nada"], day, k, f"por {mail}", mail)))
+            paths, contents = zip(*out) if out else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(contents, pa.binary())], names=["path", "content"])
+
+    made = keys.select(F.col(key).cast("bigint").alias("k")).mapInArrow(run, "path string, content binary")
+    return made.withColumn("error", F.lit(None).cast("string"))
