@@ -151,9 +151,11 @@ def training_rows(docs: DataFrame, labels: DataFrame, most_toxic: int, most_unla
     kind = dict(docs.select("doc_id").dtypes)["doc_id"]
     chosen = texts(docs, "doc_id").join(F.broadcast(drawn), "doc_id").select("doc_id", "p", "text")  # at most the two bounds
     once = mapped(chosen, run, f"doc_id {kind}, p boolean, f binary").groupBy("doc_id", "p").agg(F.min("f").alias("f"))
+    rows = once.toArrow()  # as Arrow, as rows of Python objects would take several times the memory
+    keys, side, found = rows.column("doc_id").to_pylist(), rows.column("p").to_pylist(), rows.column("f")
     sides = {True: [], False: []}
-    for r in sorted(once.select("p", "f").collect(), key=lambda r: (r["p"], bytes(r["f"]))):
-        sides[r["p"]].append(np.frombuffer(r["f"], np.int32))
+    for i in sorted(range(len(keys)), key=lambda i: keys[i]):
+        sides[side[i]].append(np.frombuffer(found[i].as_buffer(), np.int32))
     return sides[True], sides[False], (total["toxic"] or 0) / total["n"]
 
 
