@@ -100,7 +100,7 @@ def _two_passes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame,
 
     Even keys leave the second detection in place; the redacted texts are written before they are looked at again.
     """
-    found = detect.with_spans(_letters(spark, sf_dir), categories=["email"], language_col="of_doc")
+    found = written(detect.with_spans(_letters(spark, sf_dir), categories=["email"], language_col="of_doc"))
     every = redact.numbered(detect.exploded(found, ["key", "block_id"]), "key", "block_id")
     yes = every.where("det_id != 'd1' or key % 2 = 1").select("key", "det_id")
     done = written(redact.redacted(redact.with_approved_spans(found, yes, "key", "block_id")).select("key", "block_id", "redacted", "of_doc"))
