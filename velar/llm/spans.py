@@ -4,27 +4,25 @@ A window of `width` words is an edge from its first width - 1 words to its last
 repeat in another document form the graph; along a path whose inner nodes have one way in and one way out, all edges
 occur in the same documents, so a path is compared once instead of each of its windows.
 
-1. Documents are dealt into chunks. Each chunk sends the minimizers of its windows (the least hash of the seven
-   7-word sequences in a window; equal windows have equal ones), a value once per chunk, to buckets by value; a bucket
-   tells the chunks which values occur in more than one document. Only windows with such a minimizer go on: whether
-   one does depends on its words alone, so that equal windows go on everywhere or nowhere.
-2. Each chunk sends the nodes of those windows with the words before and after; where a run begins or ends, a mark
-   stands for the word. A bucket tells which nodes branch: different words before, or after.
+1. Documents are dealt into chunks. Each chunk gives the minimizers of its windows (the least hash of the seven 7-word
+   sequences in a window; equal windows have equal ones), a row for each value; a window over the values says which
+   occur in more than one document. Only windows with such a minimizer go on: whether one does depends on its words
+   alone, so that equal windows go on everywhere or nowhere.
+2. Each chunk gives the nodes of those windows with hashes of the words before and after; where a run begins or ends, a
+   mark stands for the word. A window over the nodes says which branch: different words before, or after.
 3. Each chunk cuts its runs at branching nodes. What remains are the compacted paths: as every document that has one of
    their windows has the path, in full, a path is known by a 128-bit hash of its words, read at their coordinates.
 4. Paths are joined on that hash: those that a smaller document id also has are the spans to remove.
 
-Buckets and chunks exchange packed arrays. A hot value counts once per chunk, never once per document.
+A hot value or node has one row for each chunk, never one for each document.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import small_batches, word_pieces, written
@@ -32,7 +30,6 @@ from .common import small_batches, word_pieces, written
 MINIMIZER = 7
 CHUNK_BYTES, FEWEST_CHUNKS = 8 << 20, 48
 BRANCH = 1  # tag of a node that is known to branch; 0: a run's end
-TAGS = (np.uint8, np.uint64)  # of minimizers, and of the words beside a node
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -160,57 +157,6 @@ def _among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
     return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
 
 
-def _sliced(values: np.ndarray, buckets: int) -> Iterator[tuple[int, slice]]:
-    """Bucket and place of each stretch of sorted hashes; buckets are equal ranges of hashes."""
-    step = (1 << 64) // buckets + 1
-    at = np.searchsorted(values, np.array([k * step for k in range(1, buckets)], np.uint64)) if buckets > 1 else []
-    edges = [0, *np.asarray(at).tolist(), len(values)]
-    for k in range(buckets):
-        if edges[k] < edges[k + 1]:
-            yield k, slice(edges[k], edges[k + 1])
-
-
-ASKED = "bucket long, chunk long, value binary, before binary, after binary"
-TOLD = "chunk long, kind int, value binary"
-_ASKED = pa.schema([("bucket", pa.int64()), ("chunk", pa.int64()), ("value", pa.binary()), ("before", pa.binary()), ("after", pa.binary())])
-_TOLD = pa.schema([("chunk", pa.int64()), ("kind", pa.int32()), ("value", pa.binary())])
-
-
-def _ask(chunk: int, buckets: int, value: np.ndarray, before: np.ndarray, after: np.ndarray) -> pa.Table:
-    rows = [(k, chunk, value[s].tobytes(), before[s].tobytes(), after[s].tobytes()) for k, s in _sliced(value, buckets)]
-    return pa.table([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * 5, _ASKED)], schema=_ASKED)
-
-
-def _tell(asked: pa.Table, kind: int) -> pa.Table:
-    """To each chunk those of its values that repeat (kind 0) or branch (kind 1)."""
-    chunks = asked.column("chunk").to_numpy()
-    parts = [[np.frombuffer(x, t) for x in asked.column(c).to_pylist()] for c, t in (("value", np.uint64), *((c, TAGS[kind]) for c in ("before", "after")))]
-    owner = np.repeat(np.arange(len(chunks)), [len(x) for x in parts[0]])
-    value, before, after = (np.concatenate(x) for x in parts)
-    order = np.argsort(value, kind="stable")
-    value, before, after, owner = value[order], before[order], after[order], owner[order]
-    first = np.flatnonzero(np.concatenate(([True], value[1:] != value[:-1])))
-    counts = np.diff(np.concatenate((first, [len(value)])))
-    if kind == 0:
-        hit = (counts > 1) | (np.maximum.reduceat(before, first) > 0)
-    else:
-        hit = np.maximum.reduceat(before == BRANCH, first)
-        for x in (before, after):
-            hit |= np.minimum.reduceat(x, first) != np.maximum.reduceat(x, first)
-    hit = np.repeat(hit, counts)
-    value, owner = value[hit], owner[hit]
-    order = np.argsort(owner, kind="stable")
-    value, owner = value[order], owner[order]
-    edges = np.flatnonzero(np.diff(owner)) + 1
-    rows = [(int(chunks[o[0]]), kind, v.tobytes()) for v, o in zip(np.split(value, edges), np.split(owner, edges)) if len(o)]
-    return pa.table([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * 3, _TOLD)], schema=_TOLD)
-
-
-def _known(told: pa.Table, kind: int) -> np.ndarray:
-    found = [np.frombuffer(v, np.uint64) for v, k in zip(told.column("value").to_pylist(), told.column("kind").to_pylist()) if k == kind]
-    return np.sort(np.concatenate(found)) if found else np.zeros(0, np.uint64)
-
-
 def paths(docs: DataFrame, width: int = 13, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(key, id, mark, start, size): the compacted paths of windows that may repeat, at their places in words; mark is a hash of
     the whole text, which tells rows of one id apart.
@@ -221,31 +167,43 @@ def paths(docs: DataFrame, width: int = 13, id_col: str = "doc_id", text_col: st
     plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text")).where("id is not null")
     total = plain.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     chunks = max(FEWEST_CHUNKS, -(-total // CHUNK_BYTES))
-    dealt = plain.withColumn("chunk", F.pmod(F.xxhash64("id", "text"), F.lit(chunks))).withColumn("mark", F.xxhash64("text"))
+    dealt = plain.withColumn("chunk", F.pmod(F.xxhash64("id", "text"), F.lit(chunks)).cast("int")).withColumn("mark", F.xxhash64("text"))
+
+    def numbers(n: int, chunk: Chunk) -> pa.Array:
+        return pa.array(np.full(n, chunk.number, np.int32))
 
     def first(table: pa.Table) -> pa.Table:
         chunk = Chunk(table, width)
         value, many = chunk.values()
-        return _ask(chunk.number, chunks, value, many.astype(TAGS[0]), np.zeros(len(value), TAGS[0]))
+        return pa.table({"chunk": numbers(len(value), chunk), "value": pa.array(value.view(np.int64)), "many": pa.array(many)})
 
     def second(table: pa.Table, told: pa.Table) -> pa.Table:
         if not table.num_rows or not told.num_rows:
-            return _ASKED.empty_table()
+            return pa.table([pa.array([], t) for t in (pa.int32(), *[pa.int64()] * 3)], names=["chunk", "value", "before", "after"])
         chunk = Chunk(table, width)
-        return _ask(chunk.number, chunks, *chunk.branches(_known(told, 0)))
+        columns = chunk.branches(_known(told, 0))
+        return pa.table([numbers(len(columns[0]), chunk), *[pa.array(x.view(np.int64)) for x in columns]], names=["chunk", "value", "before", "after"])
 
     def third(table: pa.Table, told: pa.Table) -> pa.Table:
         names = ["key", "id", "mark", "start", "size"]
         if not table.num_rows or not told.num_rows:
             return pa.table([pa.array([], t) for t in (pa.binary(), *[pa.int64()] * 4)], names=names)
-        key, *numbers = Chunk(table, width).paths(_known(told, 0), _known(told, 1))
-        return pa.table([pa.array(key, pa.binary()), *[pa.array(x) for x in numbers]], names=names)
-
-    by_chunk = dealt.groupBy("chunk")
-    repeats = by_chunk.applyInArrow(first, ASKED).groupBy("bucket").applyInArrow(lambda t: _tell(t, 0), TOLD)
-    nodes = by_chunk.cogroup(repeats.groupBy("chunk")).applyInArrow(second, ASKED)
-    both = repeats.unionByName(nodes.groupBy("bucket").applyInArrow(lambda t: _tell(t, 1), TOLD))
-    return by_chunk.cogroup(both.groupBy("chunk")).applyInArrow(third, "key binary, id long, mark long, start long, size long")
+        key, *places = Chunk(table, width).paths(_known(told, 0), _known(told, 1))
+        return pa.table([pa.array(key, pa.binary()), *[pa.array(x) for x in places]], names=names)
+
+    by_chunk, same = dealt.groupBy("chunk"), Window.partitionBy("value")
+    asked = by_chunk.applyInArrow(first, "chunk int, value long, many boolean")
+    shared = (F.count(F.lit(1)).over(same) > 1) | F.max("many").over(same)
+    repeats = asked.withColumn("shared", shared).where("shared").select("chunk", "value", F.lit(0).alias("kind"))
+    nodes = by_chunk.cogroup(repeats.groupBy("chunk")).applyInArrow(second, "chunk int, value long, before long, after long")
+    differ = lambda c: (F.min(c).over(same) != F.max(c).over(same)) | F.max(F.col(c) == BRANCH).over(same)
+    branching = nodes.withColumn("branches", differ("before") | differ("after")).where("branches").select("chunk", "value", F.lit(1).alias("kind"))
+    return by_chunk.cogroup(repeats.unionByName(branching).groupBy("chunk")).applyInArrow(third, "key binary, id long, mark long, start long, size long")
+
+
+def _known(told: pa.Table, kind: int) -> np.ndarray:
+    value = told.column("value").to_numpy().view(np.uint64)
+    return np.sort(value[told.column("kind").to_numpy() == kind])
 
 
 def repeated_spans(docs: DataFrame, width: int = 13, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
