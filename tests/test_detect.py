@@ -7,21 +7,21 @@ from velar.operators import detect, redact, search
 from velar.plans import catalog, grammar, recognizers
 
 ES = (
-    "Paciente: María García López, DNI 12345678Z, nacida el 03/04/1980. Tel. 612 345 678, correo maria@ejemplo.es. IBAN ES91 2100 0418 4502 0005 1332. "
-    "Atendida por Dr. Juan Pérez Ruiz, colegiado nº 28/12345. Vive en Calle Mayor 12, 3º. Fecha 12 de marzo de 2024. Tiene 47 años. Lleva 3 años de tratamiento."
+    "Paciente: Lucía Ferrer Vega, DNI 47301928J, nacida el 03/04/1980. Tel. 612 345 678, correo lucia@ejemplo.es. IBAN ES66 2100 0731 6203 0045 8817. "
+    "Atendida por Dr. Tomás Rey Blanco, colegiado nº 41/20733. Vive en Calle Mayor 12, 3º. Fecha 12 de marzo de 2024. Tiene 47 años. Lleva 3 años de tratamiento."
 )
 EN = (
-    "Patient: John Smith, NHS 943 476 5919, DOB: 12/04/1980, SSN 123-45-6789. Call 212-555-1234 or mail a.b@c.org. Dr Jane Doe saw the patient "
-    "at 12 High Street on January 5, 2024. Card 4111 1111 1111 1111, Invoice no. AB-12345 of the and."
+    "Patient: John Smith, NHS 481 230 9751, DOB: 12/04/1980, SSN 412-38-4417. Call 312-555-0147 or mail a.b@c.org. Dr Jane Doe saw the patient "
+    "at 12 High Street on January 5, 2024. Card 4000 1234 5678 9017, Invoice no. QX-20733 of the and."
 )
 WANT = {
-    0: {("person", "María García López"), ("es_national_id", "12345678Z"), ("birth_or_age", "03/04/1980"), ("phone", "612 345 678"), ("email", "maria@ejemplo.es"), ("iban", "ES91 2100 0418 4502 0005 1332"), ("clinician", "Juan Pérez Ruiz"), ("professional_reg", "28/12345"), ("address", "Calle Mayor 12, 3º"), ("date", "12 de marzo de 2024"), ("birth_or_age", "47 años")},
-    1: {("person", "John Smith"), ("uk_nhs", "943 476 5919"), ("birth_or_age", "12/04/1980"), ("us_ssn_itin", "123-45-6789"), ("phone", "212-555-1234"), ("email", "a.b@c.org"), ("clinician", "Jane Doe"), ("address", "12 High Street"), ("date", "January 5, 2024"), ("payment_card", "4111 1111 1111 1111"), ("case_reference", "AB-12345")},
+    0: {("person", "Lucía Ferrer Vega"), ("es_national_id", "47301928J"), ("birth_or_age", "03/04/1980"), ("phone", "612 345 678"), ("email", "lucia@ejemplo.es"), ("iban", "ES66 2100 0731 6203 0045 8817"), ("clinician", "Tomás Rey Blanco"), ("professional_reg", "41/20733"), ("address", "Calle Mayor 12, 3º"), ("date", "12 de marzo de 2024"), ("birth_or_age", "47 años")},
+    1: {("person", "John Smith"), ("uk_nhs", "481 230 9751"), ("birth_or_age", "12/04/1980"), ("us_ssn_itin", "412-38-4417"), ("phone", "312-555-0147"), ("email", "a.b@c.org"), ("clinician", "Jane Doe"), ("address", "12 High Street"), ("date", "January 5, 2024"), ("payment_card", "4000 1234 5678 9017"), ("case_reference", "QX-20733")},
 }
 
 
 def texts(spark):
-    return spark.createDataFrame([(0, ES), (1, EN), (2, None), (3, " \n"), (4, "DNI 12345678A, card 4111 1111 1111 1112")], "doc_id long, text string")
+    return spark.createDataFrame([(0, ES), (1, EN), (2, None), (3, " \n"), (4, "DNI 47301928A, card 4000 1234 5678 9018")], "doc_id long, text string")
 
 
 def found(df, **options):
@@ -36,10 +36,10 @@ def test_both_languages_and_no_false_checks(spark):
 
 
 def test_switches_lists_and_names(spark):
-    assert found(texts(spark), categories=["dni_nie", "unknown"]) == {0: {("es_national_id", "12345678Z")}}
+    assert found(texts(spark), categories=["dni_nie", "unknown"]) == {0: {("es_national_id", "47301928J")}}
     assert found(texts(spark), categories=[]) == {}
     got = found(texts(spark), categories=["email", "personalizada"], custom=["colegiado", " ", "saw the"], allow=["A.B@C.ORG "])
-    assert got == {0: {("email", "maria@ejemplo.es"), ("custom_term", "colegiado")}, 1: {("custom_term", "saw the")}}
+    assert got == {0: {("email", "lucia@ejemplo.es"), ("custom_term", "colegiado")}, 1: {("custom_term", "saw the")}}
     assert len(catalog.GROUP_OF) == 29 and catalog.catalog(spark).count() == 29
 
 
@@ -89,7 +89,7 @@ def test_redaction_second_pass_and_audit(spark):
     spans_ = detect.with_spans(df)
     done = redact.redacted(spans_, F.lit(30), dates="shift", ages="band", terms=["tratamiento"]).cache()
     text = {r.doc_id: r.redacted for r in done.collect()}
-    assert text[2] is None and text[3] == " \n" and "12345678Z" not in text[0] and "45-49 años" in text[0] and "11 de abril de 2024" in text[0]
+    assert text[2] is None and text[3] == " \n" and "47301928J" not in text[0] and "45-49 años" in text[0] and "11 de abril de 2024" in text[0]
     assert "03/04/1980" not in text[0] and "tratamiento" not in text[0] and "February 4, 2024" in text[1]
     every = detect.detections(df, ["doc_id"])
     counts = {r.category: (r.detected, r.redacted) for r in redact.audit(every, every.where("doc_id = 0"), ["doc_id", "start"]).collect()}

@@ -6,46 +6,46 @@ from pyspark.sql import functions as F
 from velar.functions import checks, dates, language, spans
 
 GOOD = {
-    "national_id": ["12345678Z", "12.345.678-Z", "00000000t"],
+    "national_id": ["47301928J", "47.301.928-J", "00000000t"],
     "foreigner_id": ["X0000000T", "Y-0000001-S"],
-    "es_social_security": ["281234567840"],
+    "es_social_security": ["418320511792"],
     "es_phone": ["+34 612 345 678", "0034912345678", "912345678"],
     "es_postcode": ["01001", "52999"],
-    "iban": ["ES91 2100 0418 4502 0005 1332", "GB82WEST12345698765432", "MT84MALT011000012345MTLCAST001S"],
-    "es_company_id": ["A58818501", "B-5881850-1", "Q2826000H"],
-    "payment_card": ["4111 1111 1111 1111", "5500-0000-0000-0004"],
+    "iban": ["ES66 2100 0731 6203 0045 8817", "GB15VELR30491277310064", "MT84VELR31004000045120TEST07X"],
+    "es_company_id": ["A41730268", "B-7720513-6", "Q3128004C"],
+    "payment_card": ["4000 1234 5678 9017", "5300-1724-0000-5610"],
     "es_plate": ["1234 BCD", "M-1234-AB"],
-    "land_registry": ["9872023VH5797S0001WX"],
+    "land_registry": ["4417032CS8841N0003QK"],
     "es_passport": ["AAA123456", "ab 123456"],
-    "uk_nhs": ["943 476 5919", "9434765870"],
-    "uk_nino": ["AB 12 34 56 C"],
-    "us_ssn": ["123-45-6789"],
+    "uk_nhs": ["481 230 9751", "7319045621"],
+    "uk_nino": ["CE 47 30 19 B"],
+    "us_ssn": ["412-38-4417"],
     "us_itin": ["912-70-1234", "900-50-0000", "900-99-0000"],
     "uk_postcode": ["sw1a 1aa", "M11AE"],
     "us_zip": ["12345", "12345-6789"],
     "uk_phone": ["+44 20 7946 0958", "020 7946 0958"],
-    "us_phone": ["+1 (212) 555-1234", "2125551234"],
+    "us_phone": ["+1 (312) 555-0147", "3125550147"],
 }
 BAD = {
-    "national_id": ["12345678A", "1234567Z", ""],
+    "national_id": ["47301928A", "4730192J", ""],
     "foreigner_id": ["X0000000A", "W0000000T"],
-    "es_social_security": ["281234567841", "2812345678"],
+    "es_social_security": ["418320511793", "4183205117"],
     "es_phone": ["512345678", "61234567"],
     "es_postcode": ["00999", "53000", "1234"],
-    "iban": ["ES9121000418450200051333", "ES91"],
-    "es_company_id": ["A58818502", "Q28260008", "I58818501"],
-    "payment_card": ["4111111111111112", "411111111111"],
+    "iban": ["ES6621000731620300458818", "ES66"],
+    "es_company_id": ["A41730269", "Q31280043", "I41730268"],
+    "payment_card": ["4000123456789018", "400012345678"],
     "es_plate": ["1234 ABE", "ABC-1234-A"],
-    "land_registry": ["98720235797500010000", "9872023VH5797S0001W"],
+    "land_registry": ["44170328841000300000", "4417032CS8841N0003Q"],
     "es_passport": ["A123456", "AAA12345"],
-    "uk_nhs": ["9434765918", "943476591"],
+    "uk_nhs": ["4812309752", "481230975"],
     "uk_nino": ["DA123456C", "AO123456C", "GB123456A", "AB123456E"],
-    "us_ssn": ["000-12-3456", "666-12-3456", "900-12-3456", "123-00-4567", "123-45-0000"],
+    "us_ssn": ["000-38-4417", "666-38-4417", "900-38-4417", "412-00-4417", "412-38-0000"],
     "us_itin": ["912-66-1234", "912-93-1234", "812-70-1234"],
     "uk_postcode": ["SW1A1A", "1A 1AA"],
     "us_zip": ["1234", "12345-678"],
     "uk_phone": ["+44 20 79", "12"],
-    "us_phone": ["1125551234", "2121551234"],
+    "us_phone": ["1125550147", "3121550147"],
 }
 
 

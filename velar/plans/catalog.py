@@ -24,17 +24,37 @@ ALIASES = dict(
         GROUP_OF,
     )
 )
-_ALWAYS = "person es_national_id passport birth_or_age address phone email place_or_postcode iban payment_card us_ssn_itin custom_term".split()
 #: Named sets of categories; "everything" has all of them.
 PROFILES = {
     "everything": list(GROUP_OF),
-    "clinical": _ALWAYS + "es_health_card medical_record es_social_security uk_nhs date".split(),
-    "publication": _ALWAYS + "es_health_card medical_record es_social_security uk_nhs clinician professional_reg health_centre department organisation logo date".split(),
-    "teaching": _ALWAYS + "es_health_card medical_record es_social_security uk_nhs clinician professional_reg health_centre organisation logo date".split(),
-    "legal": _ALWAYS + "es_company_tax_id uk_nino case_reference land_registry plate organisation logo date".split(),
-    "company": _ALWAYS + "es_company_tax_id uk_nino es_social_security case_reference plate organisation logo".split(),
-    "invoices": _ALWAYS + "es_company_tax_id uk_nino case_reference organisation logo".split(),
-    "personal": _ALWAYS + "uk_nino es_social_security uk_nhs case_reference land_registry plate".split(),
+    "clinical": (
+        "person es_national_id passport birth_or_age address phone email place_or_postcode iban payment_card us_ssn_itin es_health_card medical_record "
+        "es_social_security uk_nhs date custom_term"
+    ).split(),
+    "publication": (
+        "person es_national_id passport birth_or_age address phone email place_or_postcode iban payment_card us_ssn_itin es_health_card medical_record "
+        "es_social_security uk_nhs clinician professional_reg health_centre department organisation logo date custom_term"
+    ).split(),
+    "teaching": (
+        "person es_national_id passport birth_or_age address phone email place_or_postcode iban payment_card us_ssn_itin es_health_card medical_record "
+        "es_social_security uk_nhs clinician professional_reg health_centre organisation logo date custom_term"
+    ).split(),
+    "legal": (
+        "person es_national_id passport birth_or_age address phone email place_or_postcode iban payment_card es_company_tax_id uk_nino us_ssn_itin "
+        "case_reference land_registry plate organisation logo date custom_term"
+    ).split(),
+    "company": (
+        "person es_national_id passport birth_or_age address phone email place_or_postcode iban payment_card es_company_tax_id uk_nino us_ssn_itin "
+        "es_social_security case_reference plate organisation logo custom_term"
+    ).split(),
+    "invoices": (
+        "person es_national_id passport birth_or_age address phone email place_or_postcode iban payment_card es_company_tax_id uk_nino us_ssn_itin "
+        "case_reference organisation logo custom_term"
+    ).split(),
+    "personal": (
+        "person es_national_id passport birth_or_age address phone email place_or_postcode iban payment_card uk_nino us_ssn_itin es_social_security uk_nhs "
+        "case_reference land_registry plate custom_term"
+    ).split(),
 }
 
 
