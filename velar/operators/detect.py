@@ -8,7 +8,9 @@ whether it has digits are worked out once; a recognizer's pattern runs only on t
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import lru_cache
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -256,31 +258,41 @@ def with_spans(
     recognizers' spans; proposals of a language model (layer 3, see operators.layers) are resolved against the outcome.
     Null and blank texts have no detections.
     """
-    chosen, custom = known_categories(categories), list(custom)
-    allowed = sorted({a.strip().lower() for a in allow if a and a.strip()})
-    base = blocks.withColumn("_plain", plain(F.col(text_col)))
-    text = F.col("_plain")
-    base = base.withColumn("_has", features(text))
+    chosen = tuple(known_categories(categories))
+    allowed = tuple(sorted({a.strip().lower() for a in allow if a and a.strip()}))
+    built = _expressions(id(SparkContext._gateway), chosen, tuple(custom), allowed, bool(named), bool(proposed))
+    none = F.array().cast(EMPTY)
+    base = blocks.withColumn("_plain", plain(F.col(text_col))).withColumns({f"_{k}": F.coalesce(F.col(c), none) for k, c in (("named", named), ("proposed", proposed)) if c})
+    base = base.withColumn("_has", features(F.col("_plain")))
     language = F.col(language_col) if language_col else language_of(F.col("_has.tokens"), F.col(text_col))
     base = base.withColumn("language", F.when(language == "en", "en").otherwise("es"))
+    for name, expression in built:
+        base = base.withColumn(name, expression)
+    return base.drop("_plain", "_has", "_named", "_proposed", "_raw", "_kept", "_all")
+
+
+@lru_cache(64)
+def _expressions(gateway: int, categories: tuple[str, ...], custom: tuple[str, ...], allowed: tuple[str, ...], named: bool, proposed: bool) -> list[tuple[str, Column]]:
+    """The columns that with_spans() adds one after another; kept, as building them takes a second or more.
+
+    They read _plain, _has, language, _named and _proposed. gateway tells one Java process from another.
+    """
+    text, language, none = F.col("_plain"), F.col("language"), F.array().cast(EMPTY)
     blank = F.coalesce(F.trim(text), F.lit("")) == ""
 
     def of(k: str) -> Column:
-        own = all_spans("_plain", "_has", k, chosen, custom)
-        return F.concat(own, outside_spans(text, F.coalesce(F.col(named), F.array().cast(EMPTY)), k, chosen, allowed)) if named else own
+        own = all_spans("_plain", "_has", k, list(categories), list(custom))
+        return F.concat(own, outside_spans(text, F.col("_named"), k, list(categories), list(allowed))) if named else own
 
-    raw = F.when(blank, F.array().cast(EMPTY)).when(F.col("language") == "en", of("en")).otherwise(of("es"))
-    base = base.withColumn("_raw", raw)
-    found = F.col("_raw")
-    unlisted = lambda s: ~F.lower(F.trim(spans.piece(text, s["start"], s["end"]))).isin(allowed)
+    raw, found = F.when(blank, none).when(language == "en", of("en")).otherwise(of("es")), F.col("_raw")
     if allowed:
-        found = F.filter(found, unlisted)
-    base = base.withColumn("_kept", resolved(text, found)).withColumn("spans", cleaned(text, F.col("_kept"), F.col("language")))
+        found = F.filter(found, lambda s: ~F.lower(F.trim(spans.piece(text, s["start"], s["end"]))).isin(*allowed))
+    clean = cleaned(text, F.col("_kept"), language)
+    out = [("_raw", raw), ("_kept", resolved(text, found)), ("spans", clean)]
     if proposed:
-        more = F.filter(F.coalesce(F.col(proposed), F.array().cast(EMPTY)), lambda s: s["category"].isin(chosen))
-        base = base.withColumn("_all", F.when(blank, F.col("spans")).otherwise(F.concat("spans", more)))
-        base = base.withColumn("_kept", resolved(text, F.col("_all"))).withColumn("spans", cleaned(text, F.col("_kept"), F.col("language"))).drop("_all")
-    return base.drop("_plain", "_raw", "_kept", "_has")
+        more = F.filter(F.col("_proposed"), lambda s: s["category"].isin(*categories))
+        out += [("_all", F.when(blank, F.col("spans")).otherwise(F.concat("spans", more))), ("_kept", resolved(text, F.col("_all"))), ("spans", clean)]
+    return out
 
 
 def exploded(found: DataFrame, keys: list[str], text_col: str = "text") -> DataFrame:
