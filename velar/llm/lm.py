@@ -70,7 +70,7 @@ class Chunk:
         small = np.zeros(256, np.int32)
         small[used] = np.arange(a, dtype=np.int32)
         letter = data != 32
-        told = np.flatnonzero(letter[2:] | letter[1:-1]) + 2  # bytes of words, and the space behind each
+        told = np.flatnonzero(letter[2:] | letter[1:-1]).astype(np.int32) + 2  # bytes of words, and the space behind each
         code = small[data]
         self.code = (code[told - 2] * a + code[told - 1]) * a + code[told]
         ends = np.flatnonzero(~letter[told])
@@ -140,7 +140,7 @@ class Chunk:
 
 
 def scored(
-    docs: DataFrame, target_ids: DataFrame, weight: float = 4.0, chunk_bytes: int = 16 << 20, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, target_ids: DataFrame, weight: float = 4.0, chunk_bytes: int = 8 << 20, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """(id_col, n_tokens, ce_target, ce_background, score): one row per row of docs, losses in nats a word.
 
