@@ -40,6 +40,15 @@ def test_non_negative_risk_without_negatives():
     assert np.mean(right) > 0.97
 
 
+def test_equal_rows_at_the_border_are_clean():
+    clean = [np.arange(100, 110, dtype=np.int32)] * 90
+    toxic = [np.array([1, 2, 3], np.int32)] * 10
+    for prior in (0.05, 0.1, 0.4):  # more than there are, too
+        model = toxicity.fit(toxic, clean + toxic, prior)
+        assert model.score(clean[0]) < 0.5 and model.score(np.zeros(0, np.int32)) < 0.5 <= model.score(toxic[0]), prior
+    assert toxicity.fit(toxic, clean, 0.4).score(clean[0]) < 0.5
+
+
 def test_odd_rows(spark):
     docs = spark.createDataFrame(corpus(), DOCS)
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")

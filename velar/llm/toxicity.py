@@ -76,7 +76,9 @@ def fit(
 ) -> Model:
     """Train by Adam on the non-negative risk with the logistic loss, over the buckets that select() leaves.
 
-    At the end the bias moves so that a share `prior` of the unlabelled rows scores 0.5 or more.
+    At the end the bias moves so that a share `prior` of the unlabelled rows scores 0.5 or more. Equal rows at that
+    border go together to the side that comes nearer to the share, and never to the toxic side if that were most rows:
+    rows without a telling bucket are equal.
     No toxic or no unlabelled rows: a constant model, which calls everything clean in the first case.
     """
     if not positive or not unlabelled:
@@ -122,8 +124,13 @@ def fit(
             b -= rate * (mb / c1) / (np.sqrt(vb / c2) + 1e-8)
     at = np.concatenate(([0], np.cumsum([len(x) for x in unl])))
     z = np.sort(_margin(w, b, np.concatenate(unl), at))
-    cut = min(len(z) - 1, max(1, round(len(z) * (1 - prior))))
-    return Model(w.astype(np.float32), float(b - (z[cut - 1] + z[cut]) / 2))
+    border = z[min(len(z) - 1, max(1, round(len(z) * (1 - prior)))) - 1]
+    low, high = np.searchsorted(z, border, "left"), np.searchsorted(z, border, "right")  # rows equal to the last clean one
+    with_them, wanted = len(z) - low, len(z) * prior
+    if 2 * with_them <= len(z) and abs(with_them - wanted) <= abs(len(z) - high - wanted):
+        high = low
+    cut = z[0] - 1 if high == 0 else z[-1] + 1 if high == len(z) else (z[high - 1] + z[high]) / 2
+    return Model(w.astype(np.float32), float(b - cut))
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, most_toxic: int, most_unlabelled: int) -> tuple[list, list, float]:
