@@ -8,8 +8,8 @@ occur in the same documents, so a path is compared once instead of each of its w
    sequences in a window; equal windows have equal ones), a row for each value; a window over the values says which
    occur in more than one document. Only windows with such a minimizer go on: whether one does depends on its words
    alone, so that equal windows go on everywhere or nowhere.
-2. Each chunk gives the nodes of those windows with hashes of the words before and after; where a run begins or ends, a
-   mark stands for the word. A window over the nodes says which branch: different words before, or after.
+2. Each chunk gives the nodes of those windows with one hash of the words before and after; where a run begins or ends,
+   a mark stands for the word. A window over the nodes says which branch: different words before, or after.
 3. Each chunk cuts its runs at branching nodes. What remains are the compacted paths: as every document that has one of
    their windows has the path, in full, a path is known by a 128-bit hash of its words, read at their coordinates.
 4. Paths are joined on that hash: those that a smaller document id also has are the spans to remove.
@@ -29,7 +29,7 @@ from .common import small_batches, word_pieces, written
 
 MINIMIZER = 7
 CHUNK_BYTES, FEWEST_CHUNKS = 8 << 20, 48
-BRANCH = 1  # tag of a node that is known to branch; 0: a run's end
+BRANCH = 1  # tag of a node that is known to branch
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -109,23 +109,21 @@ class Chunk:
         at = np.repeat(starts - np.concatenate(([0], np.cumsum(counts)[:-1])), counts) + np.arange(counts.sum())
         return at, _grams(self.hashes, self.width - 1)[at] if len(at) else np.zeros(0, np.uint64)
 
-    def branches(self, repeated: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Different nodes, sorted, with tags of the words before and after; BRANCH for both where they differ here."""
+    def branches(self, repeated: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Different nodes, sorted, each with one hash of the words before and after; BRANCH where it has several here."""
         starts, ends = self.runs(repeated)
         at, node = self.nodes(starts, ends)
-        tag = self.hashes | np.uint64(2)
-        before, after = tag[at - 1], tag[np.minimum(at + self.width - 1, len(tag) - 1)] if len(at) else tag[:0]
+        if not len(node):
+            return node, node
+        before, after = self.hashes[at - 1] | np.uint64(2), self.hashes[np.minimum(at + self.width - 1, len(self.hashes) - 1)] | np.uint64(2)
         firsts = np.concatenate(([0], np.cumsum(ends - starts + 2)))
         before[firsts[:-1]], after[firsts[1:] - 1] = 0, 0
+        tag = _mixed(before * _MIX + after) | np.uint64(2)
         order = np.argsort(node, kind="stable")
-        node, before, after = node[order], before[order], after[order]
-        if not len(node):
-            return node, before, after
+        node, tag = node[order], tag[order]
         first = np.flatnonzero(np.concatenate(([True], node[1:] != node[:-1])))
-        many = np.zeros(len(first), bool)
-        for x in (before, after):
-            many |= np.minimum.reduceat(x, first) != np.maximum.reduceat(x, first)
-        return node[first], np.where(many, np.uint64(BRANCH), before[first]), np.where(many, np.uint64(BRANCH), after[first])
+        many = np.minimum.reduceat(tag, first) != np.maximum.reduceat(tag, first)
+        return node[first], np.where(many, np.uint64(BRANCH), tag[first])
 
     def paths(self, repeated: np.ndarray, branching: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Hash, document id, hash of its text, first word and number of words of each compacted path."""
@@ -179,10 +177,10 @@ def paths(docs: DataFrame, width: int = 13, id_col: str = "doc_id", text_col: st
 
     def second(table: pa.Table, told: pa.Table) -> pa.Table:
         if not table.num_rows or not told.num_rows:
-            return pa.table([pa.array([], t) for t in (pa.int32(), *[pa.int64()] * 3)], names=["chunk", "value", "before", "after"])
+            return pa.table([pa.array([], t) for t in (pa.int32(), pa.int64(), pa.int64())], names=["chunk", "value", "tag"])
         chunk = Chunk(table, width)
         columns = chunk.branches(_known(told, 0))
-        return pa.table([numbers(len(columns[0]), chunk), *[pa.array(x.view(np.int64)) for x in columns]], names=["chunk", "value", "before", "after"])
+        return pa.table([numbers(len(columns[0]), chunk), *[pa.array(x.view(np.int64)) for x in columns]], names=["chunk", "value", "tag"])
 
     def third(table: pa.Table, told: pa.Table) -> pa.Table:
         names = ["key", "id", "mark", "start", "size"]
@@ -195,9 +193,9 @@ def paths(docs: DataFrame, width: int = 13, id_col: str = "doc_id", text_col: st
     asked = by_chunk.applyInArrow(first, "chunk int, value long, many boolean")
     shared = (F.count(F.lit(1)).over(same) > 1) | F.max("many").over(same)
     repeats = asked.withColumn("shared", shared).where("shared").select("chunk", "value", F.lit(0).alias("kind"))
-    nodes = by_chunk.cogroup(repeats.groupBy("chunk")).applyInArrow(second, "chunk int, value long, before long, after long")
-    differ = lambda c: (F.min(c).over(same) != F.max(c).over(same)) | F.max(F.col(c) == BRANCH).over(same)
-    branching = nodes.withColumn("branches", differ("before") | differ("after")).where("branches").select("chunk", "value", F.lit(1).alias("kind"))
+    nodes = by_chunk.cogroup(repeats.groupBy("chunk")).applyInArrow(second, "chunk int, value long, tag long")
+    differ = (F.min("tag").over(same) != F.max("tag").over(same)) | F.max(F.col("tag") == BRANCH).over(same)
+    branching = nodes.withColumn("branches", differ).where("branches").select("chunk", "value", F.lit(1).alias("kind"))
     return by_chunk.cogroup(repeats.unionByName(branching).groupBy("chunk")).applyInArrow(third, "key binary, id long, mark long, start long, size long")
 
 
