@@ -9,9 +9,10 @@ from collections import Counter
 import numpy as np
 import pytest
 import tiktoken
+from tokenizers import Tokenizer
 
-from velar.llm import language, licenses, packing, queries, toxicity
-from . import test_decontaminate, test_licenses, test_lines, test_lm, test_quality, test_simhash, test_spans
+from velar.llm import language, licenses, packing, queries, token_counts, toxicity
+from . import test_centroids, test_decontaminate, test_divergence, test_licenses, test_lines, test_lm, test_quality, test_simhash, test_spans
 from .data import DOCS, corpus
 
 TYPES = {
@@ -24,6 +25,9 @@ TYPES = {
     "op7_lm_score": "doc_id bigint, n_tokens bigint, ce_target double, ce_background double, score double",
     "op8_toxicity": "doc_id bigint, held_out boolean, score double, predicted int",
     "op9_licenses": "doc_id bigint, n_words bigint, n_base bigint, first_word bigint, last_word bigint, base_labels string, labels string, score double",
+    "op11_token_counts": "doc_id bigint, n_bytes bigint, n_tokens bigint, over_limit boolean",
+    "op12_divergence": "lang string, source string, part string, item string, value bigint, rank int",
+    "op13_centroids": "vec_id bigint, cluster int, distance bigint, cluster_inertia bigint, inertia bigint, centroid_sha256 string",
     "op10_packing": "doc_id bigint, piece bigint, start bigint, n_tokens bigint, bucket bigint, batch bigint, slot bigint",
 }
 
@@ -42,6 +46,8 @@ def folder(spark, tmp_path_factory):
     spark.createDataFrame(rows, DOCS).repartition(3).write.parquet(f"{top}/documents.parquet")
     spark.createDataFrame(bench, "item_id long, text string").write.parquet(f"{top}/benchmark.parquet")
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{top}/labels.parquet")
+    vectors = test_centroids.vectors(60, 64, 13)
+    spark.createDataFrame([(i, v, 1) for i, v in vectors], "vec_id long, embedding array<float>, label int").write.parquet(f"{top}/embeddings.parquet")
     return top, rows, bench, labels
 
 
@@ -193,6 +199,28 @@ def test_packing_query(spark, folder):
     assert max(places.values()) == 1 and all(slot < 65536 // bucket for bucket, _, slot in places)
 
 
+def test_token_counts_query(spark, folder):
+    library = Tokenizer.from_file(token_counts.default_tokenizer())
+    n = {r[0]: len(library.encode(r[1] or "", add_special_tokens=False).ids) for r in folder[1]}
+    want = [(r[0], len((r[1] or "").encode()), n[r[0]], n[r[0]] > 2048) for r in folder[1]]
+    assert run(spark, folder, "op11_token_counts") == sorted(want, key=str)
+
+
+def test_divergence_query(spark, folder):
+    want = test_divergence.brute([(r[2], r[1], None, r[3], None) for r in folder[1]], 30, 50)
+    assert run(spark, folder, "op12_divergence") == sorted(want, key=str)
+
+
+def test_centroids_query(spark, folder):
+    rows, ends = test_centroids.brute(test_centroids.vectors(60, 64, 13), 8, 10, 64, 1024)
+    marks = [hashlib.sha256(",".join(map(str, c)).encode()).hexdigest() for c in ends]
+    inertia = Counter()
+    for _, c, d in rows:
+        inertia[c] += d
+    want = [(i, c, d, inertia[c], inertia.total(), marks[c]) for i, c, d in rows]
+    assert run(spark, folder, "op13_centroids") == sorted(want, key=str)
+
+
 def test_null_and_repeated_ids_spread_over_slices(spark, monkeypatch):
     monkeypatch.setattr(packing, "SLICE_ROWS", 50)
     rows = [(None, f"only words {k}") for k in range(400)] + [(7, "the same row")] * 400

@@ -41,7 +41,7 @@ UNIT = 1_000_000_000
 
 def _rows(stripes: dict, schema: pa.Schema, share: int) -> pa.RecordBatch:
     langs, terms, dfs, sources, counts = [], [], [], [], []
-    for (lang, term), stripe in stripes.items():
+    for (lang, term, *_), stripe in stripes.items():
         langs.append(lang)
         terms.append(term)
         dfs.append(stripe.pop(None))
@@ -56,7 +56,7 @@ SCHEMA = "lang string, term binary, df long, sources array<string>, counts array
 ARROW = pa.schema([("lang", pa.string()), ("term", pa.binary()), ("df", pa.int64()), ("sources", pa.list_(pa.string())), ("counts", pa.list_(pa.int64())), ("share", pa.int32())])
 
 
-def stripes(docs: DataFrame, shares: int) -> DataFrame:
+def stripes(docs: DataFrame, shares: int, most: int = STRIPES) -> DataFrame:
     """(lang, term, df, sources, counts, share): stripes of each task, with the task's share where a stripe is a frequent one."""
 
     def run(batches):
@@ -74,7 +74,7 @@ def stripes(docs: DataFrame, shares: int) -> DataFrame:
                     else:
                         stripe[None] += 1
                         stripe[source] = stripe.get(source, 0) + n
-                if len(held) >= STRIPES:
+                if len(held) >= most:
                     yield _rows(held, ARROW, share)
                     held = {}
         yield _rows(held, ARROW, share)
@@ -98,9 +98,9 @@ def merged(rows: DataFrame, *more: str) -> DataFrame:
                     stripe[source] = stripe.get(source, 0) + n
             if len(held) > 1 and len(held) >= STRIPES // 10:  # rows come sorted, so only the last key can go on
                 last, going = held.popitem()
-                yield _rows({k[:2]: v for k, v in held.items()}, ARROW, -1)
+                yield _rows(held, ARROW, -1)
                 held = {last: going}
-        yield _rows({k[:2]: v for k, v in held.items()}, ARROW, -1)
+        yield _rows(held, ARROW, -1)
 
     keyed = rows if more else rows.withColumn("share", F.lit(-1))
     return keyed.repartition("lang", "term", *more).sortWithinPartitions("lang", "term", *more).mapInArrow(run, SCHEMA)
@@ -206,12 +206,12 @@ def _of_one(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "lang string, source string, item string, value long")
 
 
-def audited(docs: DataFrame, least: int = 30, top: int = 50, shares: int = 64, lang_col: str = "lang", source_col: str = "source", text_col: str = "text") -> DataFrame:
+def audited(docs: DataFrame, least: int = 30, top: int = 50, shares: int = 64, most: int = STRIPES, lang_col: str = "lang", source_col: str = "source", text_col: str = "text") -> DataFrame:
     """(lang, source, part, item, value, rank): pairs of sources and terms by how far their shares are apart.
 
     Terms in at least `least` documents of their language are kept. Part `pair` has every other source of the language,
     part `term` at most `top` terms that the source has more of than its language; both are ranked by value, then by item.
-    Null texts, languages and sources count as empty ones. Rows that repeat count each; very long texts are folded whole;
+    A task spills its stripes when it holds `most` of them. Null texts, languages and sources count as empty ones. Rows that repeat count each; very long texts are folded whole;
     ties go by the item's bytes; a group without kept terms has its pairs; an empty table gives an empty result. Other
     columns, whatever their names, aren't read. The result has a row for each pair of sources, and so does a language's
     list of sources, which goes to each of them; nothing else is collected.
@@ -221,7 +221,7 @@ def audited(docs: DataFrame, least: int = 30, top: int = 50, shares: int = 64, l
         *(F.coalesce(F.col(f"`{c}`"), F.lit("")).cast("string").alias(n) for c, n in ((lang_col, "lang"), (source_col, "source"))),
         F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary").alias("text"),
     )
-    folded = written(stripes(named, shares))
+    folded = written(stripes(named, shares, most))
     together = folded.where("share < 0").unionByName(merged(folded.where("share >= 0"), "share"))
     kept = merged(together).where(F.col("df") >= least)
     total = F.aggregate("counts", F.lit(0).cast("long"), lambda a, n: a + n)

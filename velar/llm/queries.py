@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -202,7 +203,45 @@ FROM y WHERE part = 'pair' OR rank <= 50
 
 def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """vec_id, cluster, distance, cluster_inertia, inertia, centroid_sha256: ten rounds from eight seeds, on integers."""
-    return centroids.clustered(_table(spark, sf_dir, "embeddings"), clusters=8, rounds=10, dim=64, scale=1024)
+    found, ends = centroids.clustered(_table(spark, sf_dir, "embeddings"), clusters=8, rounds=10, dim=64, scale=1024)
+    inertia = {r["cluster"]: r["n"] for r in found.groupBy("cluster").agg(F.sum("distance").alias("n")).collect()}
+    marks = [hashlib.sha256(",".join(map(str, c)).encode()).hexdigest() for c in ends]
+    rows = [(c, n, sum(inertia.values()), marks[c]) for c, n in inertia.items()]  # one for each cluster
+    sums = spark.createDataFrame(rows, "cluster int, cluster_inertia long, inertia long, centroid_sha256 string")
+    return found.join(F.broadcast(sums), "cluster").select(F.col("id").alias("vec_id"), "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
+def _op13_sql(clusters: int = 8, rounds: int = 10) -> str:
+    """Each round by two steps, written out: the nearest centroid of each vector, then the floor of each mean."""
+    steps = []
+    for k in range(rounds + 1):
+        steps.append(f"""
+a{k} AS MATERIALIZED (
+  SELECT r, vec_id, x, arg_min(c, d) AS c, min(d[1]) AS d FROM (
+    SELECT e.r, e.vec_id, e.x, m.c, [list_sum(list_transform(list_zip(e.x, m.x), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT, m.c] AS d
+    FROM e, c{k} m) GROUP BY r, vec_id, x)""")
+        if k < rounds:
+            steps.append(f"""
+c{k + 1} AS MATERIALIZED (
+  SELECT m.c, coalesce(f.x, m.x) AS x FROM c{k} m LEFT JOIN (
+    SELECT c, list(CAST(floor_ AS BIGINT) ORDER BY j) AS x FROM (
+      SELECT c, j, (sum(v) - (((sum(v) % count(*)) + count(*)) % count(*))) // count(*) AS floor_
+      FROM (SELECT c, unnest(x) AS v, unnest(range(1, len(x) + 1)) AS j FROM a{k}) GROUP BY c, j) GROUP BY c) f ON f.c = m.c)""")
+    return f"""
+WITH e AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda v: CAST(floor(CAST(v AS DOUBLE) * 1024) AS BIGINT)) AS x
+  FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda v: v IS NOT NULL AND isfinite(v))) = 64),
+c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY h, x) - 1 AS c, x FROM (SELECT sha256('3:' || vec_id) AS h, x FROM e ORDER BY h, x LIMIT {clusters})),
+{",".join(steps)}
+SELECT vec_id, CAST(a.c AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance,
+  CAST(sum(d) OVER (PARTITION BY a.c) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia,
+  sha256(array_to_string(m.x, ',')) AS centroid_sha256
+FROM a{rounds} a JOIN c{rounds} m ON a.c = m.c
+"""
+
+
+OP13_SQL = _op13_sql()
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -225,4 +264,5 @@ ORACLE_SQL: dict[str, str] = {
     "op2_spans": OP2_SQL,
     "op4_decontaminate": OP4_SQL,
     "op12_divergence": OP12_SQL,
+    "op13_centroids": OP13_SQL,
 }
