@@ -5,7 +5,8 @@ from collections import Counter
 import tiktoken
 
 import corpus_pipeline
-from velar.llm import packing, toxicity
+from velar.llm import packing, spans, toxicity
+from velar.llm.common import written
 from .data import DOCS, corpus
 from .test_decontaminate import words
 from .test_jaccard import brute as groups
@@ -69,10 +70,21 @@ def test_stages_bear_empty_tables_and_more_columns(spark, tmp_path):
     top = str(tmp_path)
     tables(spark, top)
     docs = spark.read.parquet(f"{top}/documents.parquet")
-    odd = docs.selectExpr("*", "doc_id as id", "text as row", "doc_id as h", "doc_id as fp", "'x' as spans")
+    names = ["id", "h", "fp", "_toxic", "_gone", "_lines", "_removed", "row", "c0", "a.b", "back`quote", "spans", "key", "part one"]
+    odd = docs.selectExpr("*", *(f"doc_id as `{c.replace('`', '``')}`" for c in names), "named_struct('in.ner', doc_id) as nested")
     for part in (odd.limit(0), odd.where("doc_id < 40 or doc_id > 1050")):
         for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
             new = stage(spark, part, top)
-            assert k == 4 or new.columns == part.columns
-            new.count()
-            part = new
+            if k == 4:
+                new.count()
+                break
+            assert new.columns == part.columns
+            part = written(new)
+            for r in part.collect():
+                assert all(r[c] == r["doc_id"] for c in names) and r["nested"][0] == r["doc_id"]
+
+
+def test_spans_and_lines_keep_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f g h i j k l m n", 5, 6), (2, "x a b c d e f g h i j k l m n", 7, 8)], "doc_id long, text string, _words long, `a.b` long")
+    assert sorted(tuple(r) for r in spans.deduplicated(docs, counts=False).collect()) == [(1, "a b c d e f g h i j k l m n", 5, 6), (2, "x", 7, 8)]
+    assert sorted(tuple(r) for r in spans.deduplicated(docs).collect()) == [(1, "a b c d e f g h i j k l m n", 6, 14, 0), (2, "x", 8, 15, 14)]

@@ -58,6 +58,6 @@ def test_odd_rows(spark):
     odd = spark.createDataFrame([(1, None, None), (None, 1, 1), (2, 1, 1), (2, 1, 1), (3, 1, 0)], "doc_id long, quality int, toxic int")
     assert toxicity.scored(docs, toxicity.train(docs, odd)).where("score between 0 and 1").count() == docs.count()
     assert toxicity.scored(docs.limit(0), model).count() == 0
-    assert toxicity.flagged(docs, model).where("_toxic").count() == 0
+    assert toxicity.kept(docs, model).count() == docs.count()
     clash = docs.withColumn("score", docs.doc_id).withColumn("p", docs.doc_id)
     assert toxicity.scored(clash, model).columns == ["doc_id", "score"]

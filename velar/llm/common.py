@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from velar.sources.tables import scratch, written  # noqa: F401
@@ -44,7 +44,22 @@ def small_batches(spark: SparkSession) -> None:
 def texts(docs: DataFrame, *keep: str, text_col: str = "text") -> DataFrame:
     """The columns keep, and the text as bytes, with no other column of docs."""
     small_batches(docs.sparkSession)
-    return docs.select(*[F.col(c) for c in keep], F.col(text_col).cast("binary").alias("text"))
+    return docs.select(*[F.col(quoted(c)).alias(c) for c in keep], F.col(quoted(text_col)).cast("binary").alias("text"))
+
+
+def quoted(name: str) -> str:
+    """A column's name as F.col takes it, whatever stands in it."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def packed(docs: DataFrame, text_col: str) -> Column:
+    """All columns but the text as one struct with fields of our own names, so that none can clash."""
+    return F.struct(F.lit(0).alias("c"), *[F.col(quoted(c)).alias(f"c{i}") for i, c in enumerate(docs.columns) if c != text_col])
+
+
+def unpacked(docs: DataFrame, text_col: str) -> list[Column]:
+    """The columns of docs from `row`, which packed() made, and a binary `text`."""
+    return [(F.col("text").cast("string") if c == text_col else F.col(f"row.c{i}")).alias(c) for i, c in enumerate(docs.columns)]
 
 
 def binaries(column: pa.Array) -> list[bytes]:

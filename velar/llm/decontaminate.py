@@ -19,8 +19,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .common import LETTERS, binaries, scratch, small_batches, word_pieces, written
+from .common import LETTERS, binaries, packed, quoted, scratch, small_batches, unpacked, word_pieces, written
 from .fm_index import FMIndex
 
 SEPARATOR, FIRST = 1, 2
@@ -134,12 +135,12 @@ def occurrences(
     the words of the spans.
     """
     small_batches(docs.sparkSession)
-    kind = dict(docs.select(F.col(id_col)).dtypes)[id_col]
-    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"), F.lit(None).cast("long").alias("n_words"), F.array().cast(SPANS).alias("spans"), F.array().cast("array<string>").alias("items"))
+    out = docs.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(text_col)).cast("binary").alias("text"), F.lit(None).cast("long").alias("n_words"), F.array().cast(SPANS).alias("spans"), F.array().cast("array<string>").alias("items"))
     spark = docs.sparkSession
     for left, items in _blocks(benchmark, item_col, text_col, block_bytes):
         held = spark.sparkContext.broadcast(Phrases(items, width))
         names = ["id", "n_words", "spans", "items", *(["text"] if left or cutting else [])]
+        schema = StructType([out.schema[c] for c in names[:4]])
 
         def run(batches, held=held, cutting=cutting and not left, names=names):
             for batch in batches:
@@ -159,7 +160,7 @@ def occurrences(
                     whole = pa.array([cut(t.as_py(), [(s["start"], s["end"]) for s in x]) if x else t.as_py() for t, x in zip(whole, spans)], whole.type)
                 yield pa.RecordBatch.from_arrays([*columns, whole][: len(names)], names=names)
 
-        out = out.select("id", "text", "n_words", "spans", "items").mapInArrow(run, f"id {kind}, n_words long, spans {SPANS}, items array<string>" + ", text binary" * (len(names) > 4))
+        out = out.select("id", "text", "n_words", "spans", "items").mapInArrow(run, schema.add("text", "binary") if len(names) > 4 else schema)
         if left:
             out = written(out)
             held.destroy()
@@ -185,11 +186,13 @@ def cut(data: bytes, spans: list[tuple[int, int]]) -> bytes:
 
 
 def cleaned(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """docs with all its columns and rows, the spans of test phrases cut from the text; other texts are untouched.
+    """docs with all its columns and rows, whatever their names, the spans of test phrases cut from the text.
 
-    The row's other columns travel as one struct, so that names can't clash and no join is needed.
+    Other texts are untouched, null ones stay null; rows that repeat each stay; spans that meet are cut as one. Very
+    long texts are searched whole. An empty table gives an empty result. The row's other columns travel as one struct,
+    so that names can't clash and no join is needed.
     """
     text_col = options.get("text_col", "text")
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col]).alias("row"), F.col(text_col).alias("text"))
-    found = occurrences(packed, benchmark, **{**options, "id_col": "row", "text_col": "text", "cutting": True})
-    return found.select(*[(F.col("text").cast("string") if c == text_col else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
+    source = docs.select(packed(docs, text_col).alias("row"), F.col(quoted(text_col)).alias("text"))
+    found = occurrences(source, benchmark, **{**options, "id_col": "row", "text_col": "text", "cutting": True})
+    return found.select(*unpacked(docs, text_col))

@@ -28,8 +28,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .common import binaries, small_batches, texts, written
+from .common import binaries, packed, quoted, small_batches, texts, unpacked, written
 from .edits import alike, character_classes, signatures, within
 from .graph import components
 
@@ -261,20 +262,20 @@ def _without(text: bytes, gone: dict[int, set[tuple[int, int]]]) -> tuple[bytes,
     return (b"\n".join([x for i, x in enumerate(lines) if i not in out]) if out else text), n, len(out)
 
 
-def deduplicated(docs: DataFrame, most: int = 1, least: int = 16, dense: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with all its columns and rows, lines that repeat an earlier one gone from the text; and two columns more.
+def deduplicated(docs: DataFrame, most: int = 1, least: int = 16, dense: int = 64, id_col: str = "doc_id", text_col: str = "text", counts: bool = True) -> DataFrame:
+    """docs with all its columns and rows, whatever their names, lines that repeat an earlier one gone from the text.
 
-    _lines and _removed count lines that aren't blank; columns of docs with these names give way to them. Null text
-    stays null. Rows that repeat an id count as one document: their equal lines at equal numbers are one occurrence. A
+    With `counts` two columns more, _lines and _removed, count lines that aren't blank; columns of docs with these names
+    give way to them. Null text stays null. Rows that repeat an id count as one document: their equal lines at equal numbers are one occurrence. A
     null id comes before all others, as one document. Lines under `least` characters go only if equal. Very long texts
     and lines are read whole. An empty table gives an empty result.
     """
     small_batches(docs.sparkSession)
-    docs = docs.drop("_lines", "_removed")
+    docs = docs.drop("_lines", "_removed") if counts else docs
     gone = removals(docs, most, least, dense, id_col, text_col)
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col]).alias("row"), F.col(id_col).alias("key"), F.col(text_col).cast("binary").alias("text"))
-    joined = packed.join(gone, F.col("key").eqNullSafe(F.col("id")), "left").select("row", "text", "gone")
-    kind = joined.schema["row"].dataType.simpleString()
+    source = docs.select(packed(docs, text_col).alias("row"), F.col(quoted(id_col)).alias("key"), F.col(quoted(text_col)).cast("binary").alias("text"))
+    joined = source.join(gone, F.col("key").eqNullSafe(F.col("id")), "left").select("row", "text", "gone")
+    schema = StructType([joined.schema["row"], joined.schema["text"]]).add("_lines", "long").add("_removed", "long")
 
     def run(batches):
         for batch in batches:
@@ -289,6 +290,5 @@ def deduplicated(docs: DataFrame, most: int = 1, least: int = 16, dense: int = 6
                 removed.append(b)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary()), pa.array(n, pa.int64()), pa.array(removed, pa.int64())], names=["row", "text", "_lines", "_removed"])
 
-    cleaned = joined.mapInArrow(run, f"row {kind}, text binary, _lines long, _removed long")
-    columns = [F.col("text").cast("string").alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns]
-    return cleaned.select(*columns, "_lines", "_removed")
+    cleaned = joined.mapInArrow(run, schema)
+    return cleaned.select(*unpacked(docs, text_col), *(["_lines", "_removed"] if counts else []))

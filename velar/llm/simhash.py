@@ -17,6 +17,7 @@ at most ceil(k/2) and floor(k/2) bits away. A point has a bounded number of memb
 
 from __future__ import annotations
 
+import uuid
 from itertools import combinations
 
 import numpy as np
@@ -26,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import jaccard
-from .common import LOWER, binaries, mapped, texts, written
+from .common import LOWER, binaries, mapped, quoted, texts, written
 from .graph import components
 
 BITS, BYTES, BLOCK = 64, 8, 1 << 16
@@ -140,5 +141,6 @@ def kept(docs: DataFrame, similarity: float | None = None, **options) -> DataFra
     """
     id_col = options.get("id_col", "doc_id")
     found = near_duplicates(docs, **options) if similarity is None else jaccard.near_duplicates(docs, similarity=similarity, **options)
-    gone = found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone")).distinct()
-    return docs.join(gone, docs[id_col] == F.col("_gone"), "left_anti")
+    name = f"_gone_{uuid.uuid4().hex}"  # no column of docs
+    gone = found.where(F.col(quoted(id_col)) != F.col("component_id")).select(F.col(quoted(id_col)).alias(name)).distinct()
+    return docs.join(gone, F.col(quoted(id_col)) == F.col(name), "left_anti")

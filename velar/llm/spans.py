@@ -24,8 +24,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .common import small_batches, word_pieces, written
+from .common import packed, quoted, small_batches, unpacked, word_pieces, written
 
 MINIMIZER = 7
 CHUNK_BYTES, FEWEST_CHUNKS = 8 << 20, 48
@@ -215,20 +216,20 @@ def repeated_spans(docs: DataFrame, width: int = 13, id_col: str = "doc_id", tex
     return found.join(written(first), "key").where("id > first_id").select("id", "mark", "start", "size", "first_id")
 
 
-def deduplicated(docs: DataFrame, width: int = 13, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with all its columns and rows; the text is its words that stay, joined by one space; and two columns more.
+def deduplicated(docs: DataFrame, width: int = 13, id_col: str = "doc_id", text_col: str = "text", counts: bool = True) -> DataFrame:
+    """docs with all its columns and rows, whatever their names; the text is its words that stay, joined by one space.
 
-    A word goes if it lies in a window of `width` words that also begins in a document with a smaller id. _words and
-    _removed count words. id_col must be a whole number. Rows that repeat an id are one document to each other: their
+    A word goes if it lies in a window of `width` words that also begins in a document with a smaller id. With `counts`
+    two columns more, _words and _removed, count words; columns of docs with these names give way. id_col must be a whole number. Rows that repeat an id are one document to each other: their
     windows don't repeat by that alone. Rows without an id neither lose words nor take them. Null text stays null. Very
-    long texts are read whole. Columns of docs named _words or _removed give way. An empty table gives an empty result.
+    long texts are read whole. An empty table gives an empty result.
     """
-    docs = docs.drop("_words", "_removed")
+    docs = docs.drop("_words", "_removed") if counts else docs
     spans = repeated_spans(docs, width, id_col, text_col)
     by_id = spans.groupBy("id", "mark").agg(F.collect_list(F.struct("start", "size")).alias("gone"))
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col]).alias("row"), F.col(id_col).cast("long").alias("key"), F.col(text_col).cast("binary").alias("text"))
+    source = docs.select(packed(docs, text_col).alias("row"), F.col(quoted(id_col)).cast("long").alias("key"), F.col(quoted(text_col)).cast("binary").alias("text"))
     same = (F.col("key") == F.col("id")) & (F.xxhash64("text") == F.col("mark"))
-    joined = packed.join(by_id, same, "left").select("row", "text", "gone")
+    joined = source.join(by_id, same, "left").select("row", "text", "gone")
 
     def run(batches):
         for batch in batches:
@@ -245,7 +246,6 @@ def deduplicated(docs: DataFrame, width: int = 13, id_col: str = "doc_id", text_
                 out.append(None if text is None else b" ".join(kept))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary()), pa.array(n, pa.int64()), pa.array(removed, pa.int64())], names=["row", "text", "_words", "_removed"])
 
-    kind = joined.schema["row"].dataType.simpleString()
-    cleaned = joined.mapInArrow(run, f"row {kind}, text binary, _words long, _removed long")
-    columns = [F.col("text").cast("string").alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns]
-    return cleaned.select(*columns, "_words", "_removed")
+    schema = StructType([joined.schema["row"], joined.schema["text"]]).add("_words", "long").add("_removed", "long")
+    cleaned = joined.mapInArrow(run, schema)
+    return cleaned.select(*unpacked(docs, text_col), *(["_words", "_removed"] if counts else []))

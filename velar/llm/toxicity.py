@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LETTERS, binaries, mapped, texts
+from .common import LETTERS, binaries, mapped, quoted, texts
 
 DIM = 1 << 18
 CACHE = 200_000  # words whose buckets a task remembers; it starts anew beyond
@@ -194,15 +194,19 @@ def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     return mapped(source, run, f"id {kind}, score double").withColumnRenamed("id", id_col)
 
 
-def flagged(docs: DataFrame, model: Model, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
-    """docs with all its columns and _toxic, true where the score reaches the threshold; rows without text are clean."""
+def kept(docs: DataFrame, model: Model, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows of docs that score below the threshold, with all columns, whatever their names.
+
+    Rows without text stay, those with an empty one are scored. Rows that repeat stay or go together. Very long texts
+    are scored whole. An empty table gives an empty result.
+    """
     held = docs.sparkSession.sparkContext.broadcast(model)
     features = Features()
 
     @F.pandas_udf("boolean")
-    def toxic(text):
+    def clean(text):
         import pandas as pd
 
-        return pd.Series([t is not None and held.value.score(features(bytes(t))) >= threshold for t in text])
+        return pd.Series([t is None or held.value.score(features(bytes(t))) < threshold for t in text], dtype="boolean")
 
-    return docs.withColumn("_toxic", toxic(F.col(text_col).cast("binary")))
+    return docs.where(clean(F.col(quoted(text_col)).cast("binary")))
