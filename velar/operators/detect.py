@@ -10,7 +10,6 @@ from __future__ import annotations
 from collections.abc import Iterable
 from functools import lru_cache
 
-from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -59,6 +58,8 @@ def _matches(text: str, has: str, wanted: list[R.Recognizer]) -> Column:
     """
     parts = []
     for i, r in enumerate(wanted):
+        if '"' in r.regex():
+            raise ValueError(f"{r.name}: a pattern can't hold a quotation mark")
         regex = f'r"{r.regex()}"'
         values = f"regexp_extract_all({text}, {regex}, {r.group})" if r.group else "cast(null as array<string>)"
         gates = [f"{has}.{r.gate}" if r.gate in ("digit", "digits") else f"contains({text}, '{r.gate}')"] if r.gate else []
@@ -126,8 +127,11 @@ def recognized(text_col: str, has: str, wanted: list[R.Recognizer], language: st
     def near(s: Column) -> Column:
         """Whether a context word of its recognizer is part of one of the tokens just before."""
         words = F.split(lookup([" ".join(r.near) for r in wanted], s["i"]), " ")
-        before = spans.piece(text, F.greatest(s["start"] - NEAR_CHARS, F.lit(0)), s["start"])
-        tokens = F.slice(F.reverse(F.split(F.lower(F.trim(before)), r"\s+")), 1, NEAR_TOKENS)
+        parts = lambda a: F.split(F.lower(F.trim(spans.piece(text, a, s["start"]))), r"\s+")
+        close = parts(F.greatest(s["start"] - NEAR_CHARS, F.lit(0)))
+        # all tokens but the first of a cut are whole; where these are too few, the whole text before is cut into tokens
+        enough = lambda t: F.when((F.size(t) > NEAR_TOKENS) | (s["start"] <= NEAR_CHARS), t).otherwise(parts(F.lit(0)))
+        tokens = F.slice(F.reverse(spans.let(close, enough)), 1, NEAR_TOKENS)
         return lookup([bool(r.near) for r in wanted], s["i"]) & F.exists(tokens, lambda t: F.exists(words, lambda w: F.contains(t, w)))
 
     def judged(s: Column) -> Column:
@@ -260,7 +264,7 @@ def with_spans(
     """
     chosen = tuple(known_categories(categories))
     allowed = tuple(sorted({a.strip().lower() for a in allow if a and a.strip()}))
-    built = _expressions(id(SparkContext._gateway), chosen, tuple(custom), allowed, bool(named), bool(proposed))
+    built = _expressions(blocks.sparkSession.sparkContext.applicationId, chosen, tuple(custom), allowed, bool(named), bool(proposed))
     none = F.array().cast(EMPTY)
     base = blocks.withColumn("_plain", plain(F.col(text_col))).withColumns({f"_{k}": F.coalesce(F.col(c), none) for k, c in (("named", named), ("proposed", proposed)) if c})
     base = base.withColumn("_has", features(F.col("_plain")))
@@ -272,10 +276,10 @@ def with_spans(
 
 
 @lru_cache(64)
-def _expressions(gateway: int, categories: tuple[str, ...], custom: tuple[str, ...], allowed: tuple[str, ...], named: bool, proposed: bool) -> list[tuple[str, Column]]:
+def _expressions(application: str, categories: tuple[str, ...], custom: tuple[str, ...], allowed: tuple[str, ...], named: bool, proposed: bool) -> list[tuple[str, Column]]:
     """The columns that with_spans() adds one after another; kept, as building them takes a second or more.
 
-    They read _plain, _has, language, _named and _proposed. gateway tells one Java process from another.
+    They read _plain, _has, language, _named and _proposed. application, an id that isn't given twice, tells one Java process from another.
     """
     text, language, none = F.col("_plain"), F.col("language"), F.array().cast(EMPTY)
     blank = F.coalesce(F.trim(text), F.lit("")) == ""

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable
+from dataclasses import dataclass
 
 ACCENTS = {"á": "[áa]", "é": "[ée]", "í": "[íi]", "ó": "[óo]", "ú": "[úu]", "ü": "[üu]"}
 START, END = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
@@ -15,11 +16,56 @@ START, END = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
 MARK = r"(?:\s+|[:#.]|n[ºo°](?!\p{L})|n(?![\p{L}\p{N}])|n[úu]m(?:ero)?(?!\p{L})|number(?!\p{L})){0,5}"
 
 
+#: Ways to write "number" in front of one, which labels name by #.
+NUMBER_SIGN = r"(?:n[ºo°]?\.?[ºo°]?|n[úu]m(?:ero)?\.?)"
+#: Classes of tokens that values are made of.
+CLASSES = {"letters": "[A-Z]", "digits": r"\d", "capital": r"\p{Lu}", "letter": r"\p{L}"}
+
+
+@dataclass(frozen=True)
+class Token:
+    """A token of a value: `least` to `most` characters of a class, each of `times` many tokens behind one of the signs `after`.
+
+    Without a lower bound, 0, the token may be missing. most None: any number. A blank among `after` is any white space,
+    and may be missing where `loose` is set.
+    """
+
+    kind: str
+    least: int
+    most: int | None
+    after: str = ""
+    loose: bool = False
+    times: int = 1
+
+    def pattern(self) -> str:
+        size = f"{{{max(1, self.least)},{'' if self.most is None else self.most}}}"
+        signs = "".join(r"\s" if c == " " else re.escape(c) for c in self.after)
+        one = (f"[{signs}]" + "?" * self.loose if signs else "") + CLASSES[self.kind] + size
+        return f"(?:{one}){{{min(self.least, 1)},{self.times}}}" if self.times > 1 or not self.least else one
+
+
+def sequence(*tokens: Token) -> str:
+    """A pattern for tokens one after another."""
+    return "".join(t.pattern() for t in tokens)
+
+
 def spelled(words: str) -> str:
-    """A pattern for one word or group of words."""
-    out = {".": r"\.?"} | ACCENTS
-    each = [rf"{w[0]}\." if re.fullmatch(r"\w\.", w) else "".join(out.get(c) or re.escape(c) for c in w) for w in words.split()]
-    return r"\s+".join(each)
+    """A pattern for one word or group of words; [word] may be missing, # says "number", `.?` is a stop that may be missing."""
+    out, each = {".": r"\.?"} | ACCENTS, []
+    for w in words.split():
+        bare = w.strip("[]")
+        if bare == "#":
+            one = NUMBER_SIGN
+        elif re.fullmatch(r"\w\.", bare):
+            one = rf"{bare[0]}\."
+        else:
+            one = "".join(out.get(c) or re.escape(c) for c in bare.replace(".?", "."))
+        each.append(rf"(?:{one}\s+)?" if w.startswith("[") else one + r"\s+")
+    if words.split()[-1].startswith("["):
+        last = each.pop()
+        each[-1] = each[-1].removesuffix(r"\s+") + rf"(?:\s+{last[3:].removesuffix(r'\s+)?')})?"
+        return "".join(each)
+    return "".join(each).removesuffix(r"\s+")
 
 
 def any_of(words: Iterable[str]) -> str:
@@ -37,6 +83,11 @@ def labelled(labels: Iterable[str], value: str, between: str = MARK) -> str:
     return rf"{START}(?iu:{any_of(labels)})(?![\p{{L}}\p{{N}}]){between}({value})"
 
 
+def words(first: str, more: str, most: int, **limits) -> str:
+    """A pattern for a first word and further ones, as phrase() takes them."""
+    return first + phrase(more, most, **limits)
+
+
 def phrase(word: str, most: int, join: str = r"\s+", particles: Iterable[str] = (), stops: Iterable[str] = (), least: int = 1) -> str:
     """A pattern for `least` to `most` words, each behind a join and any number of particles, none of them a stop word."""
     small = rf"(?:{any_of(particles)}\s+)*" if particles else ""
@@ -45,16 +96,21 @@ def phrase(word: str, most: int, join: str = r"\s+", particles: Iterable[str] =
 
 
 def tokens_of(words: Iterable[str]) -> list[str]:
-    """For each of the words one run of small letters that any text with it has as a token, in all its spellings."""
+    """For each of the words one run of small letters that any text with it has as a token, in all its spellings.
+
+    Optional words and number signs don't count; of the others the longest whole word does. Where all are abbreviations
+    with stops inside, they are one run without these, or a run for each letter with them.
+    """
     plain, out = str.maketrans("áéíóúü", "aeiouu"), set()
     for w in words:
-        runs = re.findall("[a-záéíóúñü]+", w.lower())
+        sure = [x.replace(".?", ".") for x in w.lower().split() if not x.startswith("[") and x != "#"]
+        whole = [r for x in sure if "." not in x.strip(".") for r in re.findall("[a-záéíóúñü]+", x)]
+        if whole:
+            best = max(whole, key=len)
+            out |= {best, best.translate(plain)}
+            continue
+        runs = re.findall("[a-záéíóúñü]+", sure[0]) if sure else []
         if not runs:
             raise ValueError(f"no letters in {w!r}")
-        best = max(runs, key=len)
-        if "." in w.strip("."):  # without its stops an abbreviation is one run
-            first = w.lower().split()[0]
-            out |= {"".join(re.findall("[a-záéíóúñü]+", first)), runs[0]}
-        else:
-            out |= {best, best.translate(plain)}
+        out |= {"".join(runs), runs[0]}
     return sorted(out)

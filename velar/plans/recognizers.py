@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from velar.plans.grammar import END, START, any_of, groups, labelled, phrase, tokens_of
+from velar.plans.grammar import END, NUMBER_SIGN, START, Token, any_of, groups, labelled, phrase, sequence, tokens_of, words
 
 THRESHOLD, BOOST, BOOSTED = 0.35, 0.35, 0.4
 
@@ -49,14 +49,14 @@ ES_ROLES = (
     "paciente, nombre, nombre del paciente, nombre de paciente, nombre y apellidos, apellidos, apellidos y nombre, cliente, interesado, interesada, titular, solicitante, "
     "demandante, demandado, demandada, denunciante, denunciado, denunciada, querellante, trabajador, trabajadora, empleado, empleada, contratante, arrendador, arrendadora, "
     "arrendatario, arrendataria, comprador, compradora, vendedor, vendedora, propietario, propietaria, destinatario, destinataria, remitente, beneficiario, beneficiaria, "
-    "asegurado, asegurada, tomador, tomadora, representante, apoderado, apoderada, firmante, usuario, usuaria, socio, socia, a la atención de, att., attn."
+    "asegurado, asegurada, tomador, tomadora, representante, apoderado, apoderada, firmante, usuario, usuaria, socio, socia, a la atención de, att., attn., atn."
 ).split(", ")
 EN_ROLES = (
     "patient, name, full name, client, claimant, defendant, plaintiff, complainant, applicant, appellant, respondent, witness, employee, employer, tenant, landlord, buyer, "
     "seller, purchaser, vendor, owner, holder, beneficiary, insured, policyholder, customer, signatory, attorney, guardian, next of kin, referred by, attention, attn."
 ).split(", ")
 ES_FORM_WORDS = "dni nie nhc cip nuss tis tel tfno sexo edad fecha domicilio correo historia episodio".split()
-ES_PARTICLES, EN_PARTICLES = "de del la las los y".split(), "van von de del la le di da of".split()
+ES_PARTICLES, EN_PARTICLES = "de del la las lo los y".split(), "van von de del la le di da of".split()
 ES_TITLES, EN_TITLES = ["D.", "Dña.", "Don", "Doña", "Sr.", "Sra."], "Mr Mrs Ms Miss Mx Dr Prof Sir Dame Lord Lady".split()
 ES_SIGNATURES = "dr. dra. doctor doctora fdo. firmado enf. d.u.e. prof. lcdo. lcda. ldo. lda.".split()
 EN_CLINICIANS = "Dr Doctor Consultant Physician Surgeon Nurse".split()
@@ -82,7 +82,7 @@ REGIONAL_BOARDS = ["Gerencia de Atención Primaria", "Gerencia de Servicios Sani
 #: Words that end the name of a department or centre: what a form puts after it.
 ES_SECTIONS = (
     "servicio unidad sección departamento consulta gerencia paciente nombre apellidos informe historia fecha dr dra fdo tel teléfono tfno nhc dni cip "
-    "ctra calle avda avenida plaza pza paseo camino urb barrio"
+    "ctra calle avda avenida plaza pza paseo camino urb barrio nº n num núm número"
 ).split()
 ES_MONTHS = "enero febrero marzo abril mayo junio julio agosto septiembre setiembre octubre noviembre diciembre".split()
 EN_MONTHS = (
@@ -90,11 +90,11 @@ EN_MONTHS = (
 ).split()
 
 # --- labels of the values behind them ---------------------------------------------------------------------------------
-ES_RECORD = ["nhc", "n.h.c.", "nº historia", "nº de historia", "nº historia clínica", "nº de historia clínica", "historia clínica", "hª", "h.ª", "hc"]
+ES_RECORD = ["nhc", "n.h.c.", "# [de] historia [clínica]", "historia clínica", "hª", "h.ª", "hc"]
 ES_EPISODE = ["episodio", "caso", "proceso", "ingreso"]
 ES_HEALTH_CARD = ["cip", "cip aut", "cip sns", "cip scs", "cip-aut", "cip-sns", "cip-scs", "cipa", "t.i.s.", "tarjeta sanitaria"]
-ES_REGISTRATION = ["colegiado", "colegiada", "nº col.", "nº colegiado", "nº colegiada", "nº de colegiado", "nº de colegiada", "n.º de colegiado"]
-ES_BIRTH = ["fecha de nacimiento", "fecha nacimiento", "fecha de nac.", "fecha nac.", "f. de nacimiento", "f. nacimiento", "f. de nac.", "f. nac.", "f.nac.", "nacido el", "nacida el"]
+ES_REGISTRATION = ["colegiado", "colegiada", "# [de] col.", "# [de] colegiado", "# [de] colegiada"]
+ES_BIRTH = ["fecha [de] nacimiento", "fecha [de] nac.", "f.? [de] nacimiento", "f.? [de] nac.", "f.nac.", "nacido [el]", "nacida [el]"]
 ES_CASE = (
     "expediente, expte., procedimiento, autos, diligencias, protocolo, póliza, contrato, factura, albarán, pedido, presupuesto, referencia, n.i.g., siniestro, ticket, caso"
 ).split(", ")
@@ -107,11 +107,28 @@ EN_CASE = "case, file, claim, matter, invoice, order, policy, contract, referenc
 # --- values -----------------------------------------------------------------------------------------------------------
 GAP = r"[\s\-]?"
 DATE, ISO = r"\d{1,2}[/\-.]\d{1,2}[/\-.](?:\d{4}|\d{2})", r"\d{4}-\d{2}-\d{2}"
-RECORD = r"(?:[A-Z]{1,3}[\s\-/]?|[\s\-/]?)\d{2,12}(?:[\-/]\d{1,10})?"
-LONG_RECORD = RECORD.replace("{2,12}", "{4,12}")
-CODE = r"(?:[A-Z]{1,6}[\s\-/]?)?\d{2,}(?:[\-/.]\d{1,6}){0,4}(?:[\-/][A-Z]{1,4})?"
-ES_NAME = r"\p{Lu}\p{L}+" + phrase(r"\p{Lu}\p{L}+", 6, "[ ,]+", ES_PARTICLES, ES_FORM_WORDS)
-EN_NAME = r"\p{Lu}[\p{L}'’\-]+" + phrase(r"\p{Lu}[\p{L}'’\-]+", 4, r"\s+", EN_PARTICLES)
+#: Values as tokens, with their limits: letters, then digits, then groups of digits behind a sign.
+RECORD = sequence(Token("letters", 0, 3), Token("digits", 2, 12, " -/", loose=True), Token("digits", 0, 10, "-/"))
+LONG_RECORD = sequence(Token("letters", 0, 3), Token("digits", 4, 12, " -/", loose=True), Token("digits", 0, 10, "-/"))
+CODE = sequence(Token("letters", 0, 6), Token("digits", 2, None, " -/", loose=True), Token("digits", 0, 6, "-/.", times=4), Token("letters", 0, 4, "-/"))
+ES_WORD, EN_WORD = sequence(Token("capital", 1, 1), Token("letter", 1, None)), r"\p{Lu}[\p{L}'’\-]+"
+ES_NAME = words(ES_WORD, ES_WORD, 6, join="[ ,]+", particles=ES_PARTICLES, stops=ES_FORM_WORDS)
+EN_NAME = words(EN_WORD, EN_WORD, 4, particles=EN_PARTICLES)
+#: What stands behind a street: numbers, floors and doors, each with a letter of its own.
+DOOR = rf"(?:(?:{NUMBER_SIGN}\s*)?\d{{1,4}}\s?[ºª°]?(?:\s?[A-Z](?![\p{{L}}\p{{N}}]))?|{any_of(ES_FLOORS)}(?:\s+[A-Z](?![\p{{L}}\p{{N}}]))?)"
+ES_ADDRESS = rf"{any_of(ES_STREETS)}\s+\p{{L}}[^,;\n\r]{{2,50}}(?:\s*[,\-]?\s*{DOOR}){{0,6}}"
+EN_ADDRESS = words(r"\d{1,5}[A-Z]?", r"[A-Z]\p{L}+", 4) + r"\s+" + any_of(EN_STREETS)
+#: Names of bodies: some capital words, in front of a company form or behind an office.
+BUSINESS, JOINED_FORM = r"\p{Lu}[\p{L}&]*", r"(?:\s*,\s*|\s+)"
+ES_COMPANY = words(BUSINESS, BUSINESS, 4, least=0) + JOINED_FORM + any_of(ES_COMPANY_FORMS)
+EN_COMPANY = rf"(?!{any_of(EN_TITLES)}{END})" + words(r"\p{Lu}[\p{L}&'’\-]+", r"\p{Lu}[\p{L}&'’\-]*", 4, least=0) + r"\s+" + any_of(EN_COMPANY_FORMS)
+_SEAT = dict(particles=[*ES_PARTICLES, "en"])
+ES_COURT = words(any_of(ES_OFFICES), r"\p{Lu}\w*", 6, **_SEAT) + rf"(?:\s+{NUMBER_SIGN}\s*\d{{1,4}}{phrase(r'\p{Lu}\w*', 4, least=0, **_SEAT)})?"
+EN_COURT = rf"(?:the\s+)?{any_of(EN_COURTS)}\s+Court(?:\s+of{phrase(EN_WORD, 3)})?"
+#: Departments and centres end before a word that a form puts after them; signatures go on over particles and initials.
+ES_DEPARTMENT = any_of(ES_DEPARTMENTS) + r"\s+de\s+" + words(r"\p{L}\w*", r"\p{L}\w*", 6, join=r"(?:\s*,\s*|\s+[ye]\s+|\s+)", stops=ES_SECTIONS, least=0)
+ES_CENTRE = r"(?<!historia )(?<!Historia )" + words(any_of(ES_CENTRES), r"\p{L}[\w\-]*", 7, particles=["de", "del", "la", "los"], stops=ES_SECTIONS)
+ES_SIGNED = words(any_of(ES_SIGNATURES) + r"\s*:?\s+\p{L}\w+", rf"(?:{any_of(ES_PARTICLES)}{END}|\p{{L}}\w+|\p{{L}}\.)", 5)
 TEXT_DATE = r"\d{1,2}\s+de\s+\p{L}+\s+(?:de\s+)?\d{4}"
 ORDINAL = r"(?:st|nd|rd|th)?"
 ES_MONTH, EN_MONTH = any_of(ES_MONTHS), any_of(EN_MONTHS) + r"\.?"
@@ -138,8 +155,8 @@ SPANISH = _SHARED + [
     _shape("plate", "plate", rf"\d{{4}}{GAP}[B-DF-HJ-NPR-TV-Z]{{3}}", 0.5, ("es_plate",), near="matrícula matricula vehículo vehiculo coche turismo furgoneta motocicleta remolque placa", gate="digit"),
     _shape("old_plate", "plate", r"[A-Z]{1,2}[\s\-]\d{4}[\s\-][A-Z]{1,2}", 0.3, ("es_plate",), near="matrícula matricula vehículo vehiculo coche turismo furgoneta motocicleta remolque placa", gate="digit"),
     _shape("land_registry", "land_registry", r"[A-Z0-9]{20}", 0.6, ("land_registry",), near="catastral catastro inmueble finca parcela referencia", cased=True, gate="digit"),
-    Recognizer("company", "organisation", rf"{START}\p{{Lu}}[\p{{L}}&]*{phrase(r'\p{Lu}[\p{L}&]*', 4, least=0)}\s*,?\s*{any_of(ES_COMPANY_FORMS)}{END}", 0.55, cased=True, gate="", words=tuple(sorted({*tokens_of(ES_COMPANY_FORMS), "scoop", "coop"}))),
-    Recognizer("court", "organisation", rf"{START}{any_of(ES_OFFICES)}{phrase(r'\p{Lu}\w*', 6, particles=[*ES_PARTICLES, 'en'])}(?:\s+n[ºo°]?\.?\s*\d{{1,4}})?", 0.6, cased=True, gate="", words=tuple(tokens_of(ES_OFFICES))),
+    Recognizer("company", "organisation", START + ES_COMPANY + END, 0.55, cased=True, gate="", words=tuple(sorted({*tokens_of(ES_COMPANY_FORMS), "scoop", "coop"}))),
+    Recognizer("court", "organisation", START + ES_COURT, 0.6, cased=True, gate="", words=tuple(tokens_of(ES_OFFICES))),
     _shape("health_card", "es_health_card", r"B{8}[A-Z]{2}\d{6}", 0.9, near="cip tis tarjeta sanitaria sns"),
     _shape("health_card_any", "es_health_card", r"[A-Z]{2,10}\d{6,14}", 0.2, near="cip tis tarjeta sanitaria sns"),
     _shape("date", "date", DATE, 0.6, gate="digit"),
@@ -150,12 +167,12 @@ SPANISH = _SHARED + [
     Recognizer("age_months", "birth_or_age", rf"{START}\d{{1,2}}\s+meses\s+de\s+edad{END}", 0.6, near=tuple("edad paciente varón varon mujer niño niña".split()), words=("meses",)),
     _shape("island_postcode", "place_or_postcode", r"3[58]\d{3}", 0.5, ("es_postcode",), near="cp c.p código postal dirección direccion domicilio calle municipio", gate="digit"),
     _shape("postcode", "place_or_postcode", r"\d{5}", 0.15, ("es_postcode",), near="cp c.p código postal dirección direccion domicilio calle municipio", gate="digit"),
-    Recognizer("street", "address", rf"{START}{any_of(ES_STREETS)}\s+\p{{L}}[^,;\n\r]{{2,50}}(?:,?\s*(?:n[ºo°]\.?\s*)?\d+[\wºª°\-]*(?:\s*[,\-]?\s*(?:{any_of(ES_FLOORS)}|\d+[ºª°]))*)?", 0.6, near=tuple("domicilio dirección direccion residente vive".split()), gate="", words=tuple(tokens_of(ES_STREETS))),
-    Recognizer("department", "department", rf"{START}{any_of(ES_DEPARTMENTS)}\s+de\s+\p{{L}}\w*{phrase(r'\p{L}\w*', 6, r'(?:\s*,\s*|\s+[ye]\s+|\s+)', (), ES_SECTIONS, 0)}", 0.55, gate="", words=tuple(tokens_of(ES_DEPARTMENTS))),
-    Recognizer("centre", "health_centre", rf"{START}{any_of(ES_CENTRES)}{phrase(r'\p{L}[\w\-]*', 7, particles=['de', 'del', 'la', 'los'], stops=ES_SECTIONS)}", 0.6, gate="", words=tuple(tokens_of(ES_CENTRES))),
+    Recognizer("street", "address", START + ES_ADDRESS, 0.6, near=tuple("domicilio dirección direccion residente vive".split()), gate="", words=tuple(tokens_of(ES_STREETS))),
+    Recognizer("department", "department", START + ES_DEPARTMENT, 0.55, gate="", words=tuple(tokens_of(ES_DEPARTMENTS))),
+    Recognizer("centre", "health_centre", START + ES_CENTRE, 0.6, gate="", words=tuple(tokens_of(ES_CENTRES))),
     Recognizer("centre_letters", "health_centre", rf"{START}{any_of(CENTRE_LETTERS)}{END}", 0.7, gate="", words=tuple(tokens_of(CENTRE_LETTERS))),
     Recognizer("regional_service", "health_centre", rf"{START}(?:{any_of(REGIONAL_SERVICES)}|{any_of(REGIONAL_BOARDS)}[^\n,;]{{0,40}})", 0.75, gate="", words=("canario", "gerencia")),
-    Recognizer("signature", "clinician", rf"{START}{any_of(ES_SIGNATURES)}\s*:?\s+\p{{L}}\w+(?:\s+(?:{any_of(ES_PARTICLES)}(?!\w)|\p{{L}}\w+|\p{{L}}\.)){{1,5}}", 0.7, gate="", words=tuple(tokens_of(ES_SIGNATURES))),
+    Recognizer("signature", "clinician", START + ES_SIGNED, 0.7, gate="", words=tuple(tokens_of(ES_SIGNATURES))),
     Recognizer("sex", "sex", rf"{START}sexo\s*:?\s*(?:{any_of(['varón', 'mujer', 'hombre', 'masculino', 'femenino'])}|[VMH]){END}", 0.85, gate="", words=("sexo",)),
     Recognizer("sex_phrase", "sex", rf"{START}{any_of(['varón', 'mujer', 'niño', 'niña'])}\s+de\s+\d{{1,3}}\s+(?:años|meses){END}", 0.5, words=("años", "meses")),
     Recognizer("role_name", "person", labelled(ES_ROLES, ES_NAME, r"\s*:\s*"), 0.85, group=1, cased=True, gate=":", words=tuple(tokens_of(ES_ROLES))),
@@ -181,7 +198,7 @@ ENGLISH = _SHARED + [
     Recognizer("uk_phone", "phone", r"(?<![\d/.\-])(?:\+44[\s.\-]?|0)(?:\d[\s.\-]?){9,10}(?![\d/])", 0.4, ("us_phone", "uk_phone"), near=tuple("phone tel telephone mobile cell call fax contact".split()), gate="digits"),
     _shape("uk_postcode", "place_or_postcode", r"[A-Z]{1,2}\d[A-Z\d]?\s?\d[A-Z]{2}", 0.6, ("uk_postcode", "us_zip"), True, gate="digit"),
     _shape("us_zip", "place_or_postcode", r"\d{5}-\d{4}", 0.55, ("uk_postcode", "us_zip"), True),
-    Recognizer("street", "address", rf"{START}\d{{1,5}}[A-Z]?{phrase(r'[A-Z]\p{L}+', 4)}\s+{any_of(EN_STREETS)}{END}\.?", 0.5, near=tuple("address street avenue road residing lives".split()), words=tuple(tokens_of(EN_STREETS))),
+    Recognizer("street", "address", START + EN_ADDRESS + END + r"\.?", 0.5, near=tuple("address street avenue road residing lives".split()), words=tuple(tokens_of(EN_STREETS))),
     _shape("date", "date", DATE, 0.4, near="date dated on signed issued due expiry expires", gate="digit"),
     _shape("iso_date", "date", ISO, 0.5, near="date dated on signed issued due expiry expires", gate="digit"),
     Recognizer("month_day", "date", START + EN_MONTH_DAY + END, 0.6, near=tuple("date dated on signed issued due expiry expires".split()), words=_months(EN_MONTHS)),
@@ -189,8 +206,8 @@ ENGLISH = _SHARED + [
     Recognizer("month", "date", rf"{START}{EN_MONTH}\s+\d{{4}}{END}", 0.45, near=tuple("date dated on signed issued due expiry expires".split()), words=_months(EN_MONTHS)),
     Recognizer("age", "birth_or_age", rf"{START}\d{{1,3}}[\s\-]*years?[\s\-]old{END}", 0.55, near=tuple("age aged old patient".split()), words=("old",)),
     Recognizer("aged", "birth_or_age", rf"{START}aged\s+\d{{1,3}}{END}", 0.55, near=tuple("age aged old patient".split()), words=("aged",)),
-    Recognizer("company", "organisation", rf"{START}(?!{any_of(EN_TITLES)}{END})\p{{Lu}}[\p{{L}}&'’\-]+{phrase(r'\p{Lu}[\p{L}&’\-]+', 4, least=0)}\s+{any_of(EN_COMPANY_FORMS)}{END}\.?", 0.45, near=tuple("company court hospital university ltd inc llc".split()), cased=True, gate="", words=tuple(tokens_of(EN_COMPANY_FORMS))),
-    Recognizer("court", "organisation", rf"{START}(?:the\s+)?{any_of(EN_COURTS)}\s+Court(?:\s+of{phrase(r'\p{Lu}\p{L}*', 3)})?{END}", 0.5, near=tuple("company court hospital university ltd inc llc".split()), cased=True, gate="", words=("court",)),
+    Recognizer("company", "organisation", START + EN_COMPANY + END + r"\.?", 0.45, near=tuple("company court hospital university ltd inc llc".split()), cased=True, gate="", words=tuple(tokens_of(EN_COMPANY_FORMS))),
+    Recognizer("court", "organisation", START + EN_COURT + END, 0.5, near=tuple("company court hospital university ltd inc llc".split()), cased=True, gate="", words=("court",)),
     Recognizer("role_name", "person", labelled(EN_ROLES, EN_NAME, r"\s*:\s*"), 0.85, group=1, cased=True, gate=":", words=tuple(tokens_of(EN_ROLES))),
     Recognizer("title_name", "person", rf"{START}{any_of(EN_TITLES)}\.?\s+({EN_NAME})", 0.7, group=1, cased=True, gate="", words=tuple(tokens_of(EN_TITLES))),
     Recognizer("clinician", "clinician", rf"{START}{any_of(EN_CLINICIANS)}\.?\s+({EN_NAME})", 0.7, group=1, cased=True, gate="", words=tuple(tokens_of(EN_CLINICIANS))),
@@ -208,7 +225,7 @@ _ES_CLINICIANS = (
 _EN_CLINICIANS = "dr., doctor, consultant, physician, surgeon, nurse, signed, signed by, attending, resident, registrar, gp, md, rn, reviewed by, seen by".split(", ")
 CLINICIAN_BEFORE = {k: rf"(?iuU){START}{any_of(words)}\s*:?\s*\z" for k, words in (("es", _ES_CLINICIANS), ("en", _EN_CLINICIANS))}
 BIRTH_BEFORE = {
-    "es": rf"(?iuU){any_of(['nacimiento', 'nacido', 'nacida', 'f. nac', 'f.nac', 'fecha de nac'])}",
+    "es": rf"(?iuU){any_of(['nacimiento', 'nacido', 'nacida', 'f.? [de] nac', 'f.nac', 'fecha [de] nac'])}",
     "en": rf"(?iuU){START}{any_of(['date of birth', 'd.o.b.', 'born', 'born on'])}",
 }
 CLINICIAN_REACH, BIRTH_REACH, CONTEXT_RADIUS = 40, 45, 70

@@ -43,6 +43,12 @@ def find_english(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("key", "block", "detector", "category", _hundredths(), F.col("text").alias("value"))
 
 
+def find_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is found in further forms of labels and values of both languages, and in texts that only look like data."""
+    tables = [_found(samples.texts(_table(spark, sf_dir, "customer"), "c_custkey", f"{k} forms")) for k in ("es", "en")]
+    return tables[0].unionByName(tables[1]).select("key", "block", "language", "detector", "category", _hundredths(), F.col("text").alias("value"))
+
+
 def _expected(table: str, key: str, language: str) -> str:
     return f"SELECT key, block, detector, category, score, value FROM ({samples.expected_sql(table, key, language)})"
 
@@ -422,12 +428,13 @@ def redact_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        find_spanish, find_english, detect_blocks, redact_approved, leftovers_of_letters, residuals_of_letters, audit_of_letters, second_pass, audit_all_categories, evaluate_texts, evaluate_reports,
+        find_spanish, find_english, find_forms, detect_blocks, redact_approved, leftovers_of_letters, residuals_of_letters, audit_of_letters, second_pass, audit_all_categories, evaluate_texts, evaluate_reports,
         allowed_and_own_terms, proposals, profiles_of_customers, shift_long_dates, page_texts, pages_for_ocr, letterheads, recognised_words, page_edits, cell_values, clipped_cells, read_files, redact_files,
     )
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "find_forms": " UNION ALL ".join(f"SELECT key, block, '{k}' AS language, detector, category, score, value FROM ({samples.expected_sql('customer', 'c_custkey', f'{k} forms')})" for k in ("es", "en")),
     "find_spanish": _expected("customer", "c_custkey", "es"),
     "find_english": _expected("customer", "c_custkey", "en"),
     "detect_blocks": _BLOCKS.format(samples.expected_sql("supplier", "s_suppkey", "es"), samples.expected_sql("supplier", "s_suppkey", "en")),

@@ -146,14 +146,64 @@ ENGLISH = [
     Template("case", "case_reference", 70, "invoice no. {}; end", f"'AB-' || {_pad('k % 100000', 5)}"),
     Template("passport", "passport", 85, "passport {}; end", f"'X' || {_pad('k % 10000000', 7)}"),
 ]
-TEMPLATES = {"es": SPANISH, "en": ENGLISH}
+_WHO = f"'Ana ' || {_capital()} || 'omez Ruiz'"
+_NEXT = "CAST(k % 9 + 1 AS STRING)"
+
+#: Further forms of labels and values, and texts in which nothing must be found (where: false).
+SPANISH_FORMS = [
+    Template("court", "organisation", 60, "ante el {}; fin", f"'Juzgado de lo Social nº ' || {_NEXT} || ' de Las Palmas'"),
+    Template("court", "organisation", 60, "ante el {}; fin", f"'Juzgado de Primera Instancia n.º ' || {_NEXT} || ' de Arrecife'"),
+    Template("court", "organisation", 60, "ante la {}; fin", "'Audiencia Provincial de Toledo'"),
+    Template("birth", "birth_or_age", 85, "F Nac.: {}; fin", f"{_DAY} || '/02/1980'"),
+    Template("birth", "birth_or_age", 85, "F. de nac. {}; fin", f"{_DAY} || '-02-1980'"),
+    Template("birth", "birth_or_age", 85, "FECHA NAC: {}; fin", f"{_DAY} || '.02.1980'"),
+    Template("birth", "birth_or_age", 85, "nacido {}; fin", f"{_DAY} || ' de marzo de 1980'"),
+    Template("role_name", "person", 85, "atn: {}; fin", _WHO),
+    Template("role_name", "person", 85, "A LA ATENCIÓN DE : {}; fin", _WHO),
+    Template("role_name", "person", 85, "Nombre y apellidos: {} DNI; fin", _WHO),
+    Template("record", "medical_record", 75, "n historia {}; fin", _pad("k", 5)),
+    Template("record", "medical_record", 75, "Nº de historia clínica: {}; fin", f"'AB-' || {_pad('k', 6)} || '/2'"),
+    Template("record", "medical_record", 75, "historia clínica nº {}; fin", _pad("k", 6)),
+    Template("record", "medical_record", 75, "N.H.C. {}; fin", _pad("k", 6)),
+    Template("registration", "professional_reg", 80, "n col {}; fin", _pad("k % 100000", 5)),
+    Template("registration", "professional_reg", 80, "Nº de col. {}; fin", f"'28/' || {_pad('k % 10000', 4)} || '/7'"),
+    Template("street", "address", 60, "en {}; fin", f"'Avda. Marítima, nº ' || {_NEXT} || ', 2ºB'"),
+    Template("street", "address", 60, "en {}; fin", f"'C/ Sol, ' || {_NEXT} || ', piso 3 dcha. C'"),
+    Template("case", "case_reference", 70, "expte. {}; fin", f"'2020/' || {_pad('k % 10000', 4)} || '-AB'"),
+    Template("company", "organisation", 55, "con {}, hoy", f"{_capital()} || 'ares Norte e Hijos, S.A.U'", shown="'Hijos, S.A.U'"),
+    Template("national_id", "es_national_id", 100, "documento {} vigente", f"'0' || substr({_pad('k', 7)}, 1, 1) || '.' || substr({_pad('k', 7)}, 2, 3) || '.' || substr({_pad('k', 7)}, 5, 3) || '-' || {_letter('k % 23')}"),
+    Template("national_id", "", 0, "documento {} vigente", f"{_pad('k', 8)} || {_letter('(k + 1) % 23')}", where="false"),
+    Template("foreigner_id", "", 0, "documento {} vigente", f"'X-' || {_pad('k', 7)} || '-' || {_letter('(k + 1) % 23')}", where="false"),
+    Template("phone", "", 0, "llamar al {} hoy", f"'5' || {_pad('k % 100000000', 8)}", where="false"),
+    Template("company_id", "", 0, "emisor {} activo", f"'B-' || {_COMPANY} || CAST((11 - ({_COMPANY_SUM}) % 10) % 10 AS STRING)", where="false"),
+    Template("plate", "", 0, "un coche {} rojo", f"{_pad('k % 10000', 4)} || ' AEI'", where="false"),
+    Template("land_registry", "", 0, "código {} dado", "'ABCDEFGHIJKLMNOPQRST'", where="false"),
+    Template("postcode", "", 0, "municipio {} norte", f"'99' || {_pad('k % 1000', 3)}", where="false"),
+    Template("age", "", 0, "lleva {} ya", "CAST(k % 80 + 18 AS STRING) || ' años de tratamiento'", where="false"),
+    Template("company", "", 0, "la palabra {} aquí", f"{_capital()} || 'NIEZUTE'", where="false"),
+    Template("centre", "", 0, "la {} previa", "'historia clínica'", where="false"),
+]
+ENGLISH_FORMS = [
+    Template("iban_digits", "iban", 100, "pay to {} now", f"'ES' || {_pad('98 - (k * 1000000 + 142800) % 97', 2)} || {_pad('k', 20)}"),
+    Template("court", "organisation", 50, "before {}; end", "'the Family Court of Leeds North'"),
+    Template("street", "address", 50, "at {}; end", f"{_NEXT} || 'B Old Mill Hill Road'"),
+    Template("record", "medical_record", 75, "Medical Record No: {}; end", f"'AB-' || {_pad('k', 6)} || '-1'"),
+    Template("birth", "birth_or_age", 85, "D.O.B. {}; end", f"'March ' || {_NEXT} || ', 1980'"),
+    Template("role_name", "person", 85, "NEXT OF KIN: {}; end", f"'Anna van ' || {_capital()} || 'mith'"),
+    Template("nhs", "", 0, "holder {} today", f"{_NHS} || CAST(({_NHS_CHECK} + 1) % 10 AS STRING)", where="false"),
+    Template("nino", "", 0, "holder {} today", f"'DQ' || {_pad('k % 1000000', 6)} || 'C'", where="false"),
+    Template("ssn", "", 0, "holder {} today", f"'000-' || CAST(10 + k % 89 AS STRING) || '-' || CAST(1000 + k % 9000 AS STRING)", where="false"),
+    Template("us_zip", "", 0, "near {} now", "CAST(10000 + k % 80000 AS STRING)", where="false"),
+    Template("us_phone", "", 0, "line {} busy", f"'112.555.' || {_pad('k % 10000', 4)}", where="false"),
+]
+TEMPLATES = {"es": SPANISH, "en": ENGLISH, "es forms": SPANISH_FORMS, "en forms": ENGLISH_FORMS}
 
 
 def texts(keys: DataFrame, key: str, language: str) -> DataFrame:
     """(key, block, text, language): for each key one text of each template, numbered by `block` from 0."""
     each: Column = F.array(*[F.struct(F.lit(i).alias("block"), F.expr(t.text()).alias("text")) for i, t in enumerate(TEMPLATES[language])])
     made = keys.select(F.col(key).cast("bigint").alias("k")).select("k", F.explode(each).alias("t"))
-    return made.select(F.col("k").alias("key"), "t.block", "t.text", F.lit(language).alias("language"))
+    return made.select(F.col("k").alias("key"), "t.block", "t.text", F.lit(language[:2]).alias("language"))
 
 
 def expected_sql(table: str, key: str, language: str) -> str:
