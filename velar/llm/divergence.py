@@ -25,6 +25,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -33,23 +34,24 @@ from .common import small_batches, word_pieces, written
 
 #: A term is a run of ASCII letters and bytes from 128 on; capital letters of ASCII are folded.
 TERMS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
-STRIPES = 200_000  # stripes a task holds before it spills them
-SHARED = 4  # documents of a spill that make its stripe one that other tasks are likely to have
+STRIPES = 300_000  # stripes a task holds before it spills them
+SHARED = 16  # documents of a spill that make its stripe one that other tasks are likely to have
 PAIRS = 1 << 20  # pairs of sources that are added up at a time
 UNIT = 1_000_000_000
 
 
-def _rows(stripes: dict, schema: pa.Schema, share: int) -> pa.RecordBatch:
-    langs, terms, dfs, sources, counts = [], [], [], [], []
-    for (lang, term, *_), stripe in stripes.items():
-        langs.append(lang)
-        terms.append(term)
+def _rows(stripes: dict, share: int) -> pa.RecordBatch:
+    dfs, sizes, sources, counts = [], [], [], []
+    for stripe in stripes.values():
         dfs.append(stripe.pop(None))
-        sources.append(list(stripe))
-        counts.append(list(stripe.values()))
-    shares = [share if n >= SHARED else -1 for n in dfs]
-    columns = (langs, terms, dfs, sources, counts, shares)
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types)], schema=schema)
+        sizes.append(len(stripe))
+        sources += stripe
+        counts += stripe.values()
+    offsets = pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32))
+    lists = [pa.ListArray.from_arrays(offsets, pa.array(x, t)) for x, t in ((sources, pa.string()), (counts, pa.int64()))]
+    langs, terms = (pa.array([k[i] for k in stripes], t) for i, t in ((0, pa.string()), (1, pa.binary())))
+    shares = np.where(np.array(dfs, np.int64) >= SHARED, share, -1).astype(np.int32)
+    return pa.RecordBatch.from_arrays([langs, terms, pa.array(dfs, pa.int64()), *lists, pa.array(shares)], schema=ARROW)
 
 
 SCHEMA = "lang string, term binary, df long, sources array<string>, counts array<long>, share int"
@@ -75,32 +77,65 @@ def stripes(docs: DataFrame, shares: int, most: int = STRIPES) -> DataFrame:
                         stripe[None] += 1
                         stripe[source] = stripe.get(source, 0) + n
                 if len(held) >= most:
-                    yield _rows(held, ARROW, share)
+                    yield _rows(held, share)
                     held = {}
-        yield _rows(held, ARROW, share)
+        yield _rows(held, share)
 
     return docs.mapInArrow(run, SCHEMA)
 
 
-def merged(rows: DataFrame, *more: str) -> DataFrame:
-    """Stripes of one (lang, term) put together, or of one (lang, term, share) where more names that."""
+def _starts(rows: pa.Table) -> np.ndarray:
+    """Where rows of another language, term or share begin."""
+    new = np.zeros(max(0, rows.num_rows - 1), bool)
+    for name in ("lang", "term", "share"):
+        column = rows.column(name)
+        new |= pc.not_equal(column.slice(1), column.slice(0, len(column) - 1)).to_numpy()
+    return np.flatnonzero(np.append(True, new)) if rows.num_rows else np.empty(0, np.int64)
+
+
+def _put_together(rows: pa.Table, starts: np.ndarray, least: int) -> pa.RecordBatch:
+    """One row for each run of rows that begins at the starts, of those with `least` documents in all."""
+    rows = rows.combine_chunks()
+    df = np.add.reduceat(rows.column("df").to_numpy(), starts) if len(starts) else np.empty(0, np.int64)
+    keep = df >= least
+    run = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, rows.num_rows)))
+    part = rows.filter(pa.array(keep[run])) if len(starts) and not keep.all() else rows
+    number = np.cumsum(keep) - 1  # of the runs that are kept
+    sources, counts = (part.column(n).combine_chunks() for n in ("sources", "counts"))
+    owner = np.repeat(number[run[keep[run]]], pc.list_value_length(sources).to_numpy())
+    coded = pc.dictionary_encode(sources.flatten())
+    codes, width = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), max(1, len(coded.dictionary))
+    keys, sums = _added(owner * width + codes, counts.flatten().to_numpy())
+    offsets = pa.array(np.searchsorted(keys, np.arange(keep.sum() + 1) * width).astype(np.int32))
+    lists = [pa.ListArray.from_arrays(offsets, x) for x in (coded.dictionary.take(pa.array(keys % width)), pa.array(sums))]
+    first = rows.take(pa.array(starts[keep]))
+    share = pa.array(np.full(first.num_rows, -1, np.int32))
+    columns = [first.column(n).combine_chunks() for n in ("lang", "term")]
+    return pa.RecordBatch.from_arrays([*columns, pa.array(df[keep]), *lists, share], schema=ARROW)
+
+
+def merged(rows: DataFrame, *more: str, least: int = 0) -> DataFrame:
+    """Stripes of one (lang, term) put together, or of one (lang, term, share) where more names that; with `least` documents.
+
+    Rows come sorted, a batch at a time; what the last key of a batch has so far waits as one row for the next batch.
+    """
 
     def run(batches):
-        held: dict = {}
+        waiting, key = None, None
         for batch in batches:
-            for lang, term, df, sources, counts, share in zip(*(c.to_pylist() for c in batch.columns)):
-                stripe = held.get((lang, term, share))
-                if stripe is None:
-                    held[lang, term, share] = {None: df, **dict(zip(sources, counts))}
-                    continue
-                stripe[None] += df
-                for source, n in zip(sources, counts):
-                    stripe[source] = stripe.get(source, 0) + n
-            if len(held) > 1 and len(held) >= STRIPES // 10:  # rows come sorted, so only the last key can go on
-                last, going = held.popitem()
-                yield _rows(held, ARROW, -1)
-                held = {last: going}
-        yield _rows(held, ARROW, -1)
+            here = pa.Table.from_batches([batch])
+            if here.num_rows:
+                if waiting is not None:
+                    back = waiting.set_column(5, "share", pa.array([key], pa.int32()))
+                    here = pa.concat_tables([pa.Table.from_batches([back]), here.cast(ARROW)])
+                starts = _starts(here)
+                key = here.column("share")[-1].as_py()
+                last = int(starts[-1])
+                if len(starts) > 1:
+                    yield _put_together(here.slice(0, last), starts[:-1], least)
+                waiting = _put_together(here.slice(last), np.array([0]), 0)
+        if waiting is not None and waiting.column("df")[0].as_py() >= least:
+            yield waiting
 
     keyed = rows if more else rows.withColumn("share", F.lit(-1))
     return keyed.repartition("lang", "term", *more).sortWithinPartitions("lang", "term", *more).mapInArrow(run, SCHEMA)
@@ -223,7 +258,7 @@ def audited(docs: DataFrame, least: int = 30, top: int = 50, shares: int = 64, m
     )
     folded = written(stripes(named, shares, most))
     together = folded.where("share < 0").unionByName(merged(folded.where("share >= 0"), "share"))
-    kept = merged(together).where(F.col("df") >= least)
+    kept = merged(together, least=least)
     total = F.aggregate("counts", F.lit(0).cast("long"), lambda a, n: a + n)
     kept = written(kept.select("lang", F.col("term").cast("string").alias("term"), "sources", "counts", total.alias("total")))
 
