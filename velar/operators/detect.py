@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from velar.functions import checks, spans
 from velar.functions.language import language_of, latin_words
+from velar.operators import terms
 from velar.plans import recognizers as R
 from velar.plans.catalog import ALIASES, GROUP_OF
 
@@ -155,9 +156,9 @@ def all_spans(text_col: str, has: str, language: str, categories: list[str], cus
     """Spans of all recognizers of a language that can give an asked category; only those are built into the plan."""
     wanted = [r for r in (R.ENGLISH if language == "en" else R.SPANISH) if _could(r, categories)]
     parts = [recognized(text_col, has, wanted, language, categories)] if wanted else []
-    terms = sorted({t.strip() for t in custom if t and t.strip()}, key=lambda t: (-len(t), t))
-    if terms and "custom_term" in categories:
-        pattern = r"(?iuU)(?<!\w)(?:" + "|".join(spans.literal(t, False) for t in terms) + r")(?!\w)"
+    listed = sorted({t.strip() for t in custom if t and t.strip()}, key=lambda t: (-len(t), t))
+    if listed and "custom_term" in categories:
+        pattern = r"(?iuU)(?<!\w)(?:" + "|".join(spans.literal(t, False) for t in listed) + r")(?!\w)"
         own = lambda s: span(s["start"], s["end"], F.lit("custom_term"), F.lit(1), F.lit(1.0), F.lit("custom"))
         parts.append(F.transform(spans.find_all(F.col(text_col), pattern), own))
     return F.flatten(F.array(*parts)) if parts else F.array().cast(EMPTY)
@@ -253,6 +254,8 @@ def with_spans(
     language_col: str | None = None,
     named: str | None = None,
     proposed: str | None = None,
+    own_terms: DataFrame | None = None,
+    allow_terms: DataFrame | None = None,
 ) -> DataFrame:
     """blocks with `language` and `spans`: the disjoint detections of each text. No shuffle, no Python.
 
@@ -260,11 +263,16 @@ def with_spans(
     asks for all of them, an empty list for none. allow holds whole texts, in any case, that are never detections.
     named and proposed are columns of spans of further layers, array<SPAN>: named entities of a model (layer 2) join the
     recognizers' spans; proposals of a language model (layer 3, see operators.layers) are resolved against the outcome.
-    Null and blank texts have no detections.
+    own_terms and allow_terms are tables of terms (column `term`) that do what custom and allow do, in one pass over the
+    texts and with a plan that doesn't grow with them. Null and blank texts have no detections.
     """
+    if own_terms is not None:
+        blocks = terms.with_places(blocks, own_terms, "_own", text_col, whole=True)
+    if allow_terms is not None:
+        blocks = terms.with_places(blocks, allow_terms, "_allowed", text_col, overlapping=True)
     chosen = tuple(known_categories(categories))
     allowed = tuple(sorted({a.strip().lower() for a in allow if a and a.strip()}))
-    built = _expressions(blocks.sparkSession.sparkContext.applicationId, chosen, tuple(custom), allowed, bool(named), bool(proposed))
+    built = _expressions(blocks.sparkSession.sparkContext.applicationId, chosen, tuple(custom), allowed, bool(named), bool(proposed), own_terms is not None, allow_terms is not None)
     none = F.array().cast(EMPTY)
     base = blocks.withColumn("_plain", plain(F.col(text_col))).withColumns({f"_{k}": F.coalesce(F.col(c), none) for k, c in (("named", named), ("proposed", proposed)) if c})
     base = base.withColumn("_has", features(F.col("_plain")))
@@ -272,11 +280,11 @@ def with_spans(
     base = base.withColumn("language", F.when(language == "en", "en").otherwise("es"))
     for name, expression in built:
         base = base.withColumn(name, expression)
-    return base.drop("_plain", "_has", "_named", "_proposed", "_raw", "_kept", "_all")
+    return base.drop("_plain", "_has", "_named", "_proposed", "_raw", "_kept", "_all", "_own", "_allowed")
 
 
 @lru_cache(64)
-def _expressions(application: str, categories: tuple[str, ...], custom: tuple[str, ...], allowed: tuple[str, ...], named: bool, proposed: bool) -> list[tuple[str, Column]]:
+def _expressions(application: str, categories: tuple[str, ...], custom: tuple[str, ...], allowed: tuple[str, ...], named: bool, proposed: bool, own: bool, places: bool) -> list[tuple[str, Column]]:
     """The columns that with_spans() adds one after another; kept, as building them takes a second or more.
 
     They read _plain, _has, language, _named and _proposed. application, an id that isn't given twice, tells one Java process from another.
@@ -285,12 +293,17 @@ def _expressions(application: str, categories: tuple[str, ...], custom: tuple[st
     blank = F.coalesce(F.trim(text), F.lit("")) == ""
 
     def of(k: str) -> Column:
-        own = all_spans("_plain", "_has", k, list(categories), list(custom))
-        return F.concat(own, outside_spans(text, F.col("_named"), k, list(categories), list(allowed))) if named else own
+        found = all_spans("_plain", "_has", k, list(categories), list(custom))
+        if own and "custom_term" in categories:
+            found = F.concat(found, F.transform("_own", lambda s: span(s["start"], s["end"], F.lit("custom_term"), F.lit(1), F.lit(1.0), F.lit("custom"))))
+        return F.concat(found, outside_spans(text, F.col("_named"), k, list(categories), list(allowed))) if named else found
 
     raw, found = F.when(blank, none).when(language == "en", of("en")).otherwise(of("es")), F.col("_raw")
     if allowed:
         found = F.filter(found, lambda s: ~F.lower(F.trim(spans.piece(text, s["start"], s["end"]))).isin(*allowed))
+    if places:
+        is_allowed = lambda s: spans.let(spans.trimmed(text, s["start"], s["end"]), lambda t: F.exists("_allowed", lambda p: (p["start"] == t["start"]) & (p["end"] == t["end"])))
+        found = F.filter(found, lambda s: ~is_allowed(s))
     clean = cleaned(text, F.col("_kept"), language)
     out = [("_raw", raw), ("_kept", resolved(text, found)), ("spans", clean)]
     if proposed:

@@ -7,23 +7,20 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from velar.functions import spans
+from velar.operators.terms import hits
 
 MOST_TERMS = 100
 
 
-def term_hits(blocks: DataFrame, terms: Iterable[str], keys: list[str], text_col: str = "text", most: int | None = MOST_TERMS) -> DataFrame:
+def term_hits(blocks: DataFrame, terms: Iterable[str] | DataFrame, keys: list[str], text_col: str = "text", most: int | None = MOST_TERMS) -> DataFrame:
     """(keys, term, start, end): every place of each literal term, in any letter case, inside words as well.
 
-    Terms are trimmed; the first `most` different ones count, None for all. Overlapping places of one term count once.
+    Terms are trimmed; of a list the first `most` different ones count, None for all; of a table (`term`) all count.
+    Overlapping places of one term count once. All terms are looked for in one pass (operators.terms).
     """
-    chosen = list(dict.fromkeys(t.strip() for t in terms if t and t.strip()))[:most]
-    text = F.col(text_col)
-    if not chosen:
-        return blocks.select(*keys, F.lit("").alias("term"), F.lit(0).alias("start"), F.lit(0).alias("end")).where("false")
-    found = F.array(*[F.struct(F.lit(t).alias("term"), spans.find_all(text, spans.literal(t)).alias("places")) for t in chosen])
-    each = blocks.select(*keys, F.explode(found).alias("f")).select(*keys, "f.term", F.explode("f.places").alias("p"))
-    return each.select(*keys, "term", "p.start", "p.end")
+    if not isinstance(terms, DataFrame):
+        terms = list(dict.fromkeys(t.strip() for t in terms if t and t.strip()))[:most]
+    return hits(blocks, terms, keys, text_col)
 
 
 def with_cell_context(cells: DataFrame, sheet: list[str]) -> DataFrame:

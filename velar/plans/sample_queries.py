@@ -339,6 +339,72 @@ _RECOGNISED = """SELECT l_orderkey, l_linenumber, 0 AS x0, CAST(round(l_linenumb
 FROM lineitem WHERE l_quantity * 2 >= 40"""
 
 
+def _boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines as words of a page for each order, at places from their keys."""
+    x, y = F.col("l_partkey") * 37 % 90, F.col("l_suppkey") * 13 % 60
+    cols = {"x0": x, "y0": y, "x1": x + 5, "y1": y + 4 + F.col("l_partkey") % 5}
+    words = _table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("page"), F.concat_ws("-", "l_linenumber", "l_partkey", "l_suppkey").alias("word"), *[c.cast("double").alias(k) for k, c in cols.items()])
+    return words
+
+
+def page_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words at places from keys in the order of reading, by lines, and by columns and lines."""
+    plain = geometry.reading_order(_boxes(spark, sf_dir), ["page"]).select("page", "word", "line", "word_no")
+    both = geometry.reading_order(_boxes(spark, sf_dir), ["page"], gutter=10).select("page", "word", F.col("column").alias("in_column"), F.col("line").alias("in_line"), F.col("word_no").alias("in_order"))
+    return plain.join(both, ["page", "word"])
+
+
+_BOXES = """w AS (SELECT l_orderkey AS page, l_linenumber || '-' || l_partkey || '-' || l_suppkey AS word, CAST(l_partkey * 37 % 90 AS DOUBLE) AS x0, CAST(l_suppkey * 13 % 60 AS DOUBLE) AS y0,
+  CAST(l_partkey * 37 % 90 + 5 AS DOUBLE) AS x1, CAST(l_suppkey * 13 % 60 + 4 + l_partkey % 5 AS DOUBLE) AS y1 FROM lineitem)"""
+
+
+def _islands_sql(name: str, source: str, by: str, first: str, reach: str, begins: str, out: str) -> str:
+    order = f"PARTITION BY {by} ORDER BY {first}, {reach}, x0, x1, word"
+    return f"""{name}_b AS (SELECT *, max({reach}) OVER ({order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reached FROM {source}),
+{name} AS (SELECT * EXCLUDE (reached), CAST(sum(CASE WHEN reached IS NOT NULL AND {begins} THEN 1 ELSE 0 END) OVER ({order} ROWS UNBOUNDED PRECEDING) AS INT) AS {out} FROM {name}_b)"""
+
+
+_LINES = f"""WITH {_BOXES},
+{_islands_sql("p", "w", "page", "y0", "y1", "(y0 + y1) / 2 >= reached", "line")},
+{_islands_sql("c", "w", "page", "x0", "x1", "x0 > reached + 10", "in_column")},
+{_islands_sql("q", "c", "page, in_column", "y0", "y1", "(y0 + y1) / 2 >= reached", "in_line")}
+SELECT p.page, p.word, p.line, CAST(row_number() OVER (PARTITION BY p.page ORDER BY p.line, p.x0, p.x1, p.y0, p.y1, p.word) - 1 AS INT) AS word_no, in_column, in_line,
+  CAST(row_number() OVER (PARTITION BY p.page ORDER BY in_column, in_line, p.x0, p.x1, p.y0, p.y1, p.word) - 1 AS INT) AS in_order
+FROM p JOIN q ON p.page = q.page AND p.word = q.word"""
+
+
+def pages_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as pages turned by quarters, of which every third is read by OCR: its words, turned back, in place of the page's."""
+    pages = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("page"), F.lit(100.0).alias("width"), F.lit(200.0).alias("height"), (F.col("o_custkey") % 4 * 90).cast("int").alias("rotation"), (F.col("o_orderkey") % 3 == 0).alias("needs_ocr"))
+    x = lambda n: (F.col("l_linenumber") * 22 + n).cast("double")
+    read = _table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("page"), F.concat(F.lit("ocr-"), F.col("l_linenumber")).alias("word"), (F.col("l_quantity").cast("double") * 2).alias("conf"), x(0).alias("x0"), x(2).alias("y0"), x(11).alias("x1"), x(13).alias("y1"))
+    found = geometry.with_recognised(_boxes(spark, sf_dir), pages, read, ["page"], dpi=144)
+    return found.select("page", "word", "by_ocr", *[F.round(F.col(c) * 10).cast("int").alias(c) for c in ("x0", "y0", "x1", "y1")])
+
+
+_READ = f"""WITH {_BOXES}, g AS (SELECT o_orderkey AS page, o_custkey % 4 AS turn, o_orderkey % 3 = 0 AS ocr FROM orders),
+s AS (SELECT l_orderkey AS page, 'ocr-' || l_linenumber AS word, turn, l_linenumber * 11.0 AS a, l_linenumber * 11.0 + 1 AS b, l_linenumber * 11.0 + 5.5 AS c, l_linenumber * 11.0 + 6.5 AS d
+  FROM lineitem JOIN g ON l_orderkey = page WHERE ocr AND l_quantity * 2 >= 40),
+u AS (SELECT page, word, true AS by_ocr, CASE turn WHEN 0 THEN a WHEN 1 THEN b WHEN 2 THEN 100 - c ELSE 100 - d END AS x0, CASE turn WHEN 0 THEN b WHEN 1 THEN 200 - c WHEN 2 THEN 200 - d ELSE a END AS y0,
+  CASE turn WHEN 0 THEN c WHEN 1 THEN d WHEN 2 THEN 100 - a ELSE 100 - b END AS x1, CASE turn WHEN 0 THEN d WHEN 1 THEN 200 - a WHEN 2 THEN 200 - b ELSE c END AS y1 FROM s
+  UNION ALL SELECT page, word, false, x0, y0, x1, y1 FROM w WHERE page NOT IN (SELECT page FROM g WHERE ocr))
+SELECT page, word, by_ocr, CAST(round(x0 * 10) AS INT) AS x0, CAST(round(y0 * 10) AS INT) AS y0, CAST(round(x1 * 10) AS INT) AS x1, CAST(round(y1 * 10) AS INT) AS y1 FROM u"""
+
+
+def benchmark_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each word of eight letters or more of the benchmark stands in each document, inside words as well: a table of terms."""
+    words = F.regexp_extract_all(F.translate(F.coalesce("text", F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit("[a-z]{8,}"), F.lit(0))
+    terms = _table(spark, sf_dir, "benchmark").select(F.explode(words).alias("term"))
+    found = search.term_hits(_table(spark, sf_dir, "documents"), terms, ["doc_id"])
+    return found.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("n"))
+
+
+_SMALL = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_BENCHMARK_TERMS = f"""WITH t AS (SELECT DISTINCT unnest(regexp_extract_all({_SMALL}, '[a-z]{{8,}}')) AS term FROM benchmark),
+d AS (SELECT doc_id, {_SMALL} AS x FROM documents)
+SELECT doc_id, term, CAST((length(x) - length(replace(x, term, ''))) / length(term) AS BIGINT) AS n FROM d JOIN t ON contains(x, term)"""
+
+
 def page_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rectangles of each order's span over its lines' boxes: a replacement stays only where there is a single one."""
     w = _table(spark, sf_dir, "lineitem").select(
@@ -428,12 +494,15 @@ def redact_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        find_spanish, find_english, find_forms, detect_blocks, redact_approved, leftovers_of_letters, residuals_of_letters, audit_of_letters, second_pass, audit_all_categories, evaluate_texts, evaluate_reports,
+        find_spanish, find_english, find_forms, page_lines, pages_read, benchmark_terms, detect_blocks, redact_approved, leftovers_of_letters, residuals_of_letters, audit_of_letters, second_pass, audit_all_categories, evaluate_texts, evaluate_reports,
         allowed_and_own_terms, proposals, profiles_of_customers, shift_long_dates, page_texts, pages_for_ocr, letterheads, recognised_words, page_edits, cell_values, clipped_cells, read_files, redact_files,
     )
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "page_lines": _LINES,
+    "pages_read": _READ,
+    "benchmark_terms": _BENCHMARK_TERMS,
     "find_forms": " UNION ALL ".join(f"SELECT key, block, '{k}' AS language, detector, category, score, value FROM ({samples.expected_sql('customer', 'c_custkey', f'{k} forms')})" for k in ("es", "en")),
     "find_spanish": _expected("customer", "c_custkey", "es"),
     "find_english": _expected("customer", "c_custkey", "en"),
