@@ -14,7 +14,8 @@ from velar.plans import samples
 from velar.plans.catalog import PROFILES, matching_profile
 from velar.sinks import ooxml as sink
 from velar.sources import ooxml
-from velar.sources.tables import written
+from velar.sources.tables import scratch, written
+from velar.streaming import documents
 
 FEW = ["email", "phone", "es_national_id", "iban"]
 
@@ -405,6 +406,32 @@ d AS (SELECT doc_id, {_SMALL} AS x FROM documents)
 SELECT doc_id, term, CAST((length(x) - length(replace(x, term, ''))) / length(term) AS BIGINT) AS n FROM d JOIN t ON contains(x, term)"""
 
 
+def held_users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as puts of their user's document, through a stream: how long each is held, and the shift it keeps meanwhile."""
+    schema = _table(spark, sf_dir, "events").schema
+    events = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]")
+    puts = events.select(F.col("user_id").alias("doc"), F.col("ts").cast("timestamp").alias("at"), F.lit("put").alias("action"), (F.col("event_id") % 151 + 30).cast("int").alias("days"))
+    name, store = documents.STORE
+    before, path = spark.conf.get(name), scratch(spark)
+    spark.conf.set(name, store)
+    try:
+        held = documents.held_documents(puts, minutes=30)
+        held.writeStream.format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(name, before)
+    shown = [F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSS").alias(c) for c in ("at", "opened")]
+    return spark.read.parquet(f"{path}/rows").select("doc", "event", *shown, "days")
+
+
+_HELD = """WITH e AS (SELECT user_id, epoch_us(ts) // 1000 AS t, CAST(event_id % 151 + 30 AS INT) AS days FROM events),
+p AS (SELECT *, lag(t) OVER (PARTITION BY user_id ORDER BY t) AS before FROM e),
+s AS (SELECT *, sum(CASE WHEN before IS NULL OR t - before >= 1800000 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY t ROWS UNBOUNDED PRECEDING) AS n FROM p),
+g AS (SELECT user_id, n, min(t) AS opened, max(t) + 1800000 AS goes, arg_min(days, t) AS days FROM s GROUP BY user_id, n),
+r AS (SELECT s.user_id, 'put' AS event, t AS moment, opened, g.days FROM s JOIN g ON s.user_id = g.user_id AND s.n = g.n
+  UNION ALL SELECT user_id, 'expired', goes, opened, days FROM g WHERE goes <= (SELECT max(t) FROM e))
+SELECT CAST(user_id AS VARCHAR) AS doc, event, strftime(make_timestamp(moment * 1000), '%Y-%m-%d %H:%M:%S.%g') AS at, strftime(make_timestamp(opened * 1000), '%Y-%m-%d %H:%M:%S.%g') AS opened, days FROM r"""
+
+
 def page_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rectangles of each order's span over its lines' boxes: a replacement stays only where there is a single one."""
     w = _table(spark, sf_dir, "lineitem").select(
@@ -494,12 +521,13 @@ def redact_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        find_spanish, find_english, find_forms, page_lines, pages_read, benchmark_terms, detect_blocks, redact_approved, leftovers_of_letters, residuals_of_letters, audit_of_letters, second_pass, audit_all_categories, evaluate_texts, evaluate_reports,
+        find_spanish, find_english, find_forms, held_users, page_lines, pages_read, benchmark_terms, detect_blocks, redact_approved, leftovers_of_letters, residuals_of_letters, audit_of_letters, second_pass, audit_all_categories, evaluate_texts, evaluate_reports,
         allowed_and_own_terms, proposals, profiles_of_customers, shift_long_dates, page_texts, pages_for_ocr, letterheads, recognised_words, page_edits, cell_values, clipped_cells, read_files, redact_files,
     )
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "held_users": _HELD,
     "page_lines": _LINES,
     "pages_read": _READ,
     "benchmark_terms": _BENCHMARK_TERMS,
