@@ -25,10 +25,11 @@ from velar.sources.markup import edited, elements, spliced, text_edit, without_a
 #: Members of packages that are private, by how their names begin or end; a member's date.
 PRIVATE = ("docprops/", "customxml/", "word/comments", "word/people", "word/printersettings/", "xl/comments", "xl/threadedcomments/", "xl/persons/", "xl/drawings/commentsdrawing", "xl/printersettings/")
 PRIVATE_END = ("/thumbnail.jpeg", "/thumbnail.jpg", "/thumbnail.png")
+LONGEST_ENTITY = 16  # bytes that one character takes at most, as an entity or otherwise
 FIRST_DATE = (1980, 1, 1, 0, 0, 0)
 GONE = {"del", "moveFrom", "commentRangeStart", "commentRangeEnd", "commentReference", "docVars", "dataBinding", "trackRevisions"}
 OPENED = {"ins", "moveTo", "customXml"}
-MOST_SEARCHED, LONGEST_TITLE = 100 << 20, 31
+PIECE, LONGEST_TITLE = 8 << 20, 31  # bytes of a member searched at a time; characters of a sheet's title
 Spans = list[tuple[int, int, str | None]]
 
 
@@ -182,15 +183,19 @@ def excel_redacted(members: dict[str, bytes], edits: dict[int, Spans]) -> dict[s
 
 
 def found_in_package(members: dict[str, bytes], texts: list[str]) -> list[str]:
-    """Those of the texts that some member still holds: as text in any letter case, or as UTF-8 or UTF-16 bytes."""
+    """Those of the texts that some member still holds: as text in any letter case, or as UTF-8 or UTF-16 bytes.
+
+    Members of any size are searched, in pieces that overlap by more than the longest text takes in any writing.
+    """
     left, out = [t.strip() for t in texts if t and t.strip()], set()
+    forms = {t: (t.casefold(), [t.encode(c, "ignore") for c in ("utf-8", "utf-16le", "utf-16be")]) for t in left}
+    lap = LONGEST_ENTITY * max(map(len, left), default=0) + LONGEST_ENTITY
     for name, data in members.items():
-        if len(data) > MOST_SEARCHED:
-            continue
-        plain = html.unescape(data.decode(errors="ignore")).casefold() if name.lower().endswith((".xml", ".rels", ".txt")) else ""
-        for t in left:
-            if t not in out and (t.casefold() in plain or any(t.encode(c, "ignore") in data for c in ("utf-8", "utf-16le", "utf-16be"))):
-                out.add(t)
+        is_text = name.lower().endswith((".xml", ".rels", ".txt"))
+        for at in range(0, len(data), PIECE):
+            piece = data[max(0, at - lap) : at + PIECE]
+            plain = html.unescape(piece.decode(errors="ignore")).casefold() if is_text else ""
+            out |= {t for t in left if t not in out and (forms[t][0] in plain or any(f in piece for f in forms[t][1]))}
     return [t for t in left if t in out]
 
 

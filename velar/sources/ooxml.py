@@ -11,6 +11,7 @@ import io
 import re
 import zipfile
 from collections.abc import Iterator
+from itertools import islice
 from xml.parsers.expat import ExpatError
 
 import pyarrow as pa
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 
 from velar.sources.markup import Element, elements
 
-MOST_BYTES, MOST_MEMBERS, MOST_CELLS = 500 << 20, 100_000, 100_000
+MOST_BYTES, MOST_MEMBERS, BATCH_BLOCKS = 500 << 20, 100_000, 10_000
 KINDS = ["docx", "xlsx"]
 UNREADABLE = (zipfile.BadZipFile, KeyError, ExpatError, AttributeError, ValueError, IndexError, NotImplementedError)
 BLOCKS = "path string, block_id int, origin string, sheet string, row int, col int, is_formula boolean, text string, kind string, number_format string, hidden boolean, error string"
@@ -176,9 +177,11 @@ def excel_blocks(members: dict[str, bytes]) -> Iterator[tuple]:
                         yield part, e, "header" if e.name.endswith("Header") else "footer", title, FIELDS.index(e.name), "LCR".index(letter), False, text, "text", "", hidden
 
 
-def blocks(found: DataFrame) -> DataFrame:
+def blocks(found: DataFrame, most_cells: int | None = None) -> DataFrame:
     """BLOCKS of files(): paragraphs with their origin; cells with sheet, row, column, what they show, and their format.
 
+    A workbook with more than most_cells blocks, if that is given, has one row with an error.
+
     Row 0 of a sheet is its title; its print headers and footers have the number of their field as row and that of
     their zone as column. Dates are ISO timestamps here; search.visible_value shows them as the sheet does.
     """
@@ -197,8 +200,8 @@ def blocks(found: DataFrame) -> DataFrame:
                         yield path, i, origin, None, None, None, None, "".join(map(run_text, runs)), None, None, None, None
                         i += 1
             else:
-                made = list(excel_blocks(members))
-                if len(made) > MOST_CELLS:
+                made = list(excel_blocks(members))  # whole, so that a broken file gives nothing but its error
+                if most_cells is not None and len(made) > most_cells:
                     yield (*none, "too many cells")
                     return
                 for i, (_, _, origin, *rest) in enumerate(made):
@@ -211,8 +214,8 @@ def blocks(found: DataFrame) -> DataFrame:
         names, types = zip(*(x.split() for x in BLOCKS.split(", ")))
         for batch in batches:
             for path, content, error in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                made = list(rows(path, content, error))
-                if made:
+                each = rows(path, content, error)
+                while made := list(islice(each, BATCH_BLOCKS)):
                     yield pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, k in zip(zip(*made), types)], names=list(names))
 
     return found.select("path", "content", "error").mapInArrow(run, BLOCKS)
