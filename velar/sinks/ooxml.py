@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from velar.functions.formulas import renamed
 from velar.operators.redact import BLOCK, SHORTEST_BLOCK
 from velar.sources import ooxml
 from velar.sources.markup import edited, elements, spliced, text_edit, without_attributes
@@ -30,6 +31,8 @@ FIRST_DATE = (1980, 1, 1, 0, 0, 0)
 GONE = {"del", "moveFrom", "commentRangeStart", "commentRangeEnd", "commentReference", "docVars", "dataBinding", "trackRevisions"}
 OPENED = {"ins", "moveTo", "customXml"}
 PIECE, LONGEST_TITLE = 8 << 20, 31  # bytes of a member searched at a time; characters of a sheet's title
+#: Elements whose text is a formula, in sheets, workbooks, charts and drawings.
+FORMULAS = {"f", "definedName", "formula1", "formula2", "formula"}
 Spans = list[tuple[int, int, str | None]]
 
 
@@ -129,6 +132,8 @@ def _title(text: str, taken: set[str]) -> str:
 def excel_redacted(members: dict[str, bytes], edits: dict[int, Spans]) -> dict[str, bytes]:
     """The members with edits of titles, cells and print headers made; links of cells and strings nobody shows are gone.
 
+    A new title is carried into all formulas that name the old one.
+
     Spans are places in what a block shows. Text cells are edited in part; numbers, dates and formulas become text as a
     whole: the first replacement, or blocks.
     """
@@ -156,8 +161,15 @@ def excel_redacted(members: dict[str, bytes], edits: dict[int, Spans]) -> dict[s
         new = dict(parts)
         text = "".join(f"&{letter}{new.get('LCR'.index(letter), old)}" for letter, old in ooxml.zones(e.text))
         changes.setdefault(part, []).append(text_edit(e, text))
-    for _, part, _ in ooxml.sheet_parts(members):
-        links = [(e.start, e.end, b"") for e in elements(members[part]) if e.name == "hyperlinks"]
+    renames, new_names = _renamed_sheets(members["xl/workbook.xml"], titles)
+    for name, data in members.items():
+        if name == "xl/workbook.xml" or not new_names or not re.match(r"xl/.*\.xml\Z", name):
+            continue
+        if more := _formula_edits(data, new_names):
+            changes.setdefault(name, []).extend(more)
+    sheets = {part for _, part, _ in ooxml.sheet_parts(members)}
+    for part in sheets | changes.keys():
+        links = [(e.start, e.end, b"") for e in elements(members[part]) if e.name == "hyperlinks"] if part in sheets else []
         out[part] = edited(members[part], changes.get(part, []) + links)
     if "xl/sharedStrings.xml" in members:
         shown: set[int] = set()
@@ -169,16 +181,34 @@ def excel_redacted(members: dict[str, bytes], edits: dict[int, Spans]) -> dict[s
         unseen = [e for e in strings if e.name == "t" and not e.empty and number[next(p for p in e.parents if p in number)] not in shown]
         out["xl/sharedStrings.xml"] = edited(members["xl/sharedStrings.xml"], [text_edit(e, "") for e in unseen])
     if titles:
-        book, renames = members["xl/workbook.xml"], []
-        sheets = [e for e in elements(book) if e.name == "sheet"]
-        taken = {e.attributes["name"].casefold() for e in sheets if e.attributes["name"] not in titles}
-        for e in sheets:
-            if (old := e.attributes["name"]) in titles:
-                new = _title(titles[old], taken)
-                taken.add(new.casefold())
-                tag = re.sub(rb"""(\sname\s*=\s*)("[^"]*"|'[^']*')""", lambda m, new=new: m[1] + quoteattr(new).encode(), book[e.start : e.inner_start], count=1)
-                renames.append((e.start, e.inner_start, tag))
-        out["xl/workbook.xml"] = edited(book, renames)
+        out["xl/workbook.xml"] = edited(members["xl/workbook.xml"], renames + _formula_edits(members["xl/workbook.xml"], new_names))
+    return out
+
+
+def _renamed_sheets(book: bytes, titles: dict[str, str]) -> tuple[list[tuple[int, int, bytes]], dict[str, str]]:
+    """Edits of the workbook's list of sheets, and each old title, in small letters, with its new one."""
+    sheets = [e for e in elements(book) if e.name == "sheet"] if titles else []
+    taken, edits, names = {e.attributes["name"].casefold() for e in sheets if e.attributes["name"] not in titles}, [], {}
+    for e in sheets:
+        if (old := e.attributes["name"]) in titles:
+            new = names[old.casefold()] = _title(titles[old], taken)
+            taken.add(new.casefold())
+            tag = re.sub(rb"""(\sname\s*=\s*)("[^"]*"|'[^']*')""", lambda m, new=new: m[1] + quoteattr(new).encode(), book[e.start : e.inner_start], count=1)
+            edits.append((e.start, e.inner_start, tag))
+    return edits, names
+
+
+def _formula_edits(data: bytes, names: dict[str, str]) -> list[tuple[int, int, bytes]]:
+    """Edits that give renamed sheets their new names in the formulas of a member: cells', names', rules', charts', pivots'."""
+    try:
+        found = elements(data)
+    except ExpatError:
+        return []
+    out = [text_edit(e, new) for e in found if e.name in FORMULAS and not e.empty and (new := renamed(e.text, names)) != e.text]
+    for e in found:
+        if e.name == "worksheetSource" and (new := names.get(e.attributes.get("sheet", "").casefold())):
+            tag = re.sub(rb"""(\ssheet\s*=\s*)("[^"]*"|'[^']*')""", lambda m, new=new: m[1] + quoteattr(new).encode(), data[e.start : e.inner_start], count=1)
+            out.append((e.start, e.inner_start, tag))
     return out
 
 
