@@ -266,8 +266,8 @@ def cell_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
 _CELLS = """WITH i AS (SELECT *, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS INT) AS r FROM lineitem),
 c AS (SELECT l_orderkey AS sheet, r AS row, 1 AS col, l_returnflag AS value FROM i
   UNION ALL SELECT l_orderkey, r, 2, l_linestatus FROM i UNION ALL SELECT l_orderkey, r, 4, CAST(l_suppkey AS VARCHAR) FROM i),
-x AS (SELECT c.*, CASE WHEN c.row > 1 AND c.col <> 2 THEN h.value END AS head, CASE WHEN c.col = 2 THEN l.value END AS near
-  FROM c LEFT JOIN c h ON h.sheet = c.sheet AND h.col = c.col AND h.row = 1 LEFT JOIN c l ON l.sheet = c.sheet AND l.row = c.row AND l.col = c.col - 1),
+x AS (SELECT *, CASE WHEN row > 1 AND col <> 2 THEN max(CASE WHEN row = 1 THEN value END) OVER (PARTITION BY sheet, col) END AS head,
+  CASE WHEN col = 2 THEN max(CASE WHEN col = 1 THEN value END) OVER (PARTITION BY sheet, row) END AS near FROM c),
 y AS (SELECT *, coalesce(head, near) AS label FROM x)
 SELECT sheet, row, col, CASE WHEN label IS NULL OR label = value THEN value ELSE label || ': ' || value END AS text,
   CAST(CASE WHEN label IS NULL OR label = value THEN 0 ELSE length(label) + 2 END AS INT) AS value_start,

@@ -13,6 +13,7 @@ from velar.operators import detect, geometry, layers, redact, search
 from velar.plans import samples
 from velar.plans.catalog import PROFILES, matching_profile
 from velar.sinks import ooxml as sink
+from velar.sinks import results
 from velar.sources import ooxml
 from velar.sources.tables import scratch, written
 from velar.streaming import documents
@@ -168,9 +169,48 @@ def second_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def audit_all_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Detections of every category in the customers' Spanish texts, and how many stand in even blocks, whose are approved."""
-    found = _found(samples.texts(_table(spark, sf_dir, "customer"), "c_custkey", "es"))
-    marked = found.groupBy("category").agg(F.count(F.lit(1)).alias("detected"), F.count_if(F.col("block") % 2 == 0).alias("redacted"))
-    return marked
+    found = written(_found(samples.texts(_table(spark, sf_dir, "customer"), "c_custkey", "es")))  # read twice below
+    return redact.audit(found, found.where("block % 2 = 0"), ["key", "block", "start", "category"])
+
+
+def detect_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns of conversations that each end with a sentence of personal data, another one for each turn: what is found."""
+    turns = _table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("key"), F.col("text").alias("said"))
+    made = samples.texts(turns, "key", "es").where(F.col("block") == F.col("key") % len(samples.SPANISH))
+    whole = made.join(turns, "key").withColumn("text", F.concat_ws("\n", "said", "text"))
+    found = _found(whole.drop("said"))
+    return found.select("key", "block", "detector", "category", _hundredths(), F.col("text").alias("value"))
+
+
+def contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Addresses of customers in long texts, with what stands around them, cut at words."""
+    far = F.repeat(F.lit("palabra "), 20)
+    k = F.col("c_custkey").cast("string")
+    text = F.concat(far, F.repeat(F.lit("x"), (F.col("c_custkey") % 9).cast("int")), F.lit(" escribir a u."), k, F.lit("@correo.example.org, gracias "), far)
+    docs = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"), F.lit(0).alias("block"), text.alias("text"), F.lit("es").alias("language"))
+    return _found(docs, categories=["email"]).select("key", "start", "end", "context")
+
+
+_CONTEXTS = r"""WITH t AS (SELECT c_custkey AS key, repeat('palabra ', 20) || repeat('x', CAST(c_custkey % 9 AS INT)) || ' escribir a ' AS a, 'u.' || c_custkey || '@correo.example.org' AS v, ', gracias ' || repeat('palabra ', 20) AS b FROM customer)
+SELECT key, CAST(length(a) AS INT) AS start, CAST(length(a) + length(v) AS INT) AS "end",
+  '…' || regexp_replace(right(a, 70), '^\S*\s', '') || v || regexp_replace(left(b, 70), '\s\S*$', '') || '…' AS context FROM t"""
+
+
+def results_of_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files without their addresses, written with their audits under generic names: what stands in the folder then."""
+    files = written(samples.office_files(_table(spark, sf_dir, "supplier"), "s_suppkey"))
+    found = written(detect.with_spans(_shown(files).withColumn("of_doc", F.lit("es")), categories=["email"], language_col="of_doc").select("path", "block_id", "text", "spans", "language"))
+    edits = found.select("path", "block_id", redact.edits_of(F.col("spans"), F.col("text"), F.col("language"), F.lit(0)).alias("edits")).where("size(edits) > 0")
+    audits = found.groupBy("path").agg(F.sum(F.size("spans")).alias("addresses"))
+    folder = scratch(spark)
+    results.write_results(sink.redacted_files(files, edits).select("path", "content", "error"), folder, audits)
+    kept = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.*").load(folder)
+    name = F.element_at(F.split("path", "/"), -1)
+    record = F.when(name == results.AUDIT, F.col("content").cast("string"))
+    return kept.select(name.alias("file"), record.alias("record")).groupBy("file", "record").agg(F.count(F.lit(1)).alias("n"))
+
+
+_RESULTS = """SELECT * FROM (VALUES ('redacted.docx', NULL), ('redacted.xlsx', NULL), ('audit.json', '{"addresses":3}'), ('audit.json', '{"addresses":2}')) AS t(file, record), (SELECT count(*) AS n FROM supplier)"""
 
 
 def evaluate_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -521,12 +561,15 @@ def redact_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        find_spanish, find_english, find_forms, held_users, page_lines, pages_read, benchmark_terms, detect_blocks, redact_approved, leftovers_of_letters, residuals_of_letters, audit_of_letters, second_pass, audit_all_categories, evaluate_texts, evaluate_reports,
+        find_spanish, find_english, find_forms, detect_turns, contexts, results_of_files, held_users, page_lines, pages_read, benchmark_terms, detect_blocks, redact_approved, leftovers_of_letters, residuals_of_letters, audit_of_letters, second_pass, audit_all_categories, evaluate_texts, evaluate_reports,
         allowed_and_own_terms, proposals, profiles_of_customers, shift_long_dates, page_texts, pages_for_ocr, letterheads, recognised_words, page_edits, cell_values, clipped_cells, read_files, redact_files,
     )
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "contexts": _CONTEXTS,
+    "results_of_files": _RESULTS,
+    "detect_turns": f"""SELECT key, block, detector, category, score, value FROM ({samples.expected_sql("(SELECT conv_id * 1000 + turn AS key FROM conversations)", "key", "es")}) WHERE block = key % {len(samples.SPANISH)}""",
     "held_users": _HELD,
     "page_lines": _LINES,
     "pages_read": _READ,
