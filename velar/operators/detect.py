@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from velar.functions import checks, spans
 from velar.functions.language import language_of, latin_words
+from velar.functions.stems import stem, stem_of
 from velar.operators import terms
 from velar.plans import recognizers as R
 from velar.plans.catalog import ALIASES, GROUP_OF
@@ -126,14 +127,16 @@ def recognized(text_col: str, has: str, wanted: list[R.Recognizer], language: st
         return out
 
     def near(s: Column) -> Column:
-        """Whether a context word of its recognizer is part of one of the tokens just before."""
+        """Whether a context word of its recognizer is part of one of the tokens just before, or a form of one."""
         words = F.split(lookup([" ".join(r.near) for r in wanted], s["i"]), " ")
+        stems = F.split(lookup([" ".join(sorted({stem_of(w, language) for w in r.near})) for r in wanted], s["i"]), " ")
         parts = lambda a: F.split(F.lower(F.trim(spans.piece(text, a, s["start"]))), r"\s+")
         close = parts(F.greatest(s["start"] - NEAR_CHARS, F.lit(0)))
         # all tokens but the first of a cut are whole; where these are too few, the whole text before is cut into tokens
         enough = lambda t: F.when((F.size(t) > NEAR_TOKENS) | (s["start"] <= NEAR_CHARS), t).otherwise(parts(F.lit(0)))
         tokens = F.slice(F.reverse(spans.let(close, enough)), 1, NEAR_TOKENS)
-        return lookup([bool(r.near) for r in wanted], s["i"]) & F.exists(tokens, lambda t: F.exists(words, lambda w: F.contains(t, w)))
+        alike = lambda t: F.exists(words, lambda w: F.contains(t, w)) | F.array_contains(stems, stem(t, language))
+        return lookup([bool(r.near) for r in wanted], s["i"]) & F.exists(tokens, alike)
 
     def judged(s: Column) -> Column:
         base, sure = lookup([r.score for r in wanted], s["i"]), lookup([r.sure for r in wanted], s["i"])

@@ -2,7 +2,8 @@
 
 A recognizer has one pattern for spans, or for a value behind a label (group 1, at the match's end). `check` names tests
 of velar.functions.checks, any of which must pass; `sure` raises the score of what passed to 1. `near` are words that
-raise the score by BOOST, to BOOSTED at least, where one of them is part of one of the five tokens before a span.
+raise the score by BOOST, to BOOSTED at least, where one of them is part of one of the five tokens before a span, or
+has the same stem as one.
 `cased` patterns tell capitals from small letters. A recognizer runs only on texts that can match: with one of the
 tokens `words`, if any are named, and past its `gate`: "digits" (six digits close together), "digit", a literal, or "".
 """

@@ -169,6 +169,9 @@ SPANISH_FORMS = [
     Template("registration", "professional_reg", 80, "Nº de col. {}; fin", f"'28/' || {_pad('k % 10000', 4)} || '/7'"),
     Template("street", "address", 60, "en {}; fin", f"'Avda. Marítima, nº ' || {_NEXT} || ', 2ºB'"),
     Template("street", "address", 60, "en {}; fin", f"'C/ Sol, ' || {_NEXT} || ', piso 3 dcha. C'"),
+    Template("phone", "phone", 80, "lo están llamando del {} hoy", f"'6' || {_pad('k % 100000000', 8)}"),
+    Template("phone", "phone", 80, "los móviles son {} y otros", f"'7' || {_pad('k % 100000000', 8)}"),
+    Template("street", "address", 95, "ambos viven en {}; fin", "'Paseo Alto ' || CAST(k % 90 + 1 AS STRING)"),
     Template("case", "case_reference", 70, "expte. {}; fin", f"'2020/' || {_pad('k % 10000', 4)} || '-AB'"),
     Template("company", "organisation", 55, "con {}, hoy", f"{_capital()} || 'ares Norte e Hijos, S.A.U'", shown="'Hijos, S.A.U'"),
     Template("national_id", "es_national_id", 100, "documento {} vigente", f"'0' || substr({_pad('k', 7)}, 1, 1) || '.' || substr({_pad('k', 7)}, 2, 3) || '.' || substr({_pad('k', 7)}, 5, 3) || '-' || {_letter('k % 23')}"),
