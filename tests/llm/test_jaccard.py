@@ -90,3 +90,31 @@ def test_joined_and_bands():
         missed += not (jaccard.bands(x[:180]) == jaccard.bands(x[20:])).any()
     assert missed <= 2
 
+
+
+def test_candidates_come_from_the_index_of_fingerprints(spark):
+    rng = random.Random(4)
+    words = [f"v{i}" for i in range(400)]
+    text = rng.choices(words, k=120)
+    near = [*text[:-1], "other"]
+    rows = [(0, " ".join(text)), (1, " ".join(near)), (2, " ".join(text[1:])), (3, " ".join(rng.choices(words, k=120)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = [jaccard.shingles(t.encode(), 5) for _, t in rows]
+    keys = [jaccard.set_key(s) for s in sets]
+    base = 0x0123456789ABCDEF
+    # 0 and 1: alike, two bits apart; 2: alike, but three bits from either; 3: not alike, with an equal fingerprint
+    prints = [[base, 11 << 40], [base ^ 1 << 3 ^ 1 << 60, 23 << 20], [base ^ 7 << 30, 57 << 10], [base, 99]]
+    nodes = spark.createDataFrame([(k, i, len(s), p) for i, (k, s, p) in enumerate(zip(keys, sets, prints))], "key long, least long, size long, prints array<long>")
+    got = {frozenset((r.a, r.b)) for r in jaccard.links(docs, nodes, 5, 0.8, 4 << 20).collect()}
+    assert got == {frozenset(keys[:2])}
+
+
+def test_fingerprints_are_the_bits_of_most_shingles():
+    rng = np.random.default_rng(6)
+    for n in (0, 1, 2, 3, 100, 5000):
+        x = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64) * np.uint64(3))
+        want = [2 * sum(int(g) >> b & 1 for g in x) > len(x) for b in range(64)]
+        got = np.frombuffer(int(jaccard.fingerprint(x)).to_bytes(8, "little", signed=True), np.uint8)
+        x = np.frombuffer(x.tobytes(), np.uint8).reshape(-1, 8)
+        assert np.unpackbits(got).tolist() == (2 * np.unpackbits(x, axis=1).sum(0, dtype=int) > len(x)).astype(int).tolist()
+        assert sum(want) == np.unpackbits(got).sum()

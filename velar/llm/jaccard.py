@@ -1,9 +1,12 @@
-"""Near-duplicates by the Jaccard similarity of word shingles: MinHash bands find candidates, whole sets decide.
-
-Texts of equal shingle sets are one node. A set has `BANDS` keys of `ROWS` minima each; two sets of similarity s share
-a key with probability 1 - (1 - s^4)^24, which is all but 3 in a million at 0.8. Sets that share a key are linked to
-the least one of the key, so that edges are linear in the sets however many share it, and the components of these
-edges hold every pair to look at. A component's sets meet once, in one task, where every pair of different true
+"""Near-duplicates by the Jaccard similarity of word shingles: SimHash fingerprints find candidates, whole sets decide.
+
+Texts of equal shingle sets are one node. A set has one fingerprint of all its shingles and `BANDS` seeded ones, each
+of a min-wise sample of `ROWS` of them. All go into one inverted index over byte positions, whose count filter and
+Hamming check say which are close (velar.llm.postings). Sets near to identity are close by the first one; two sets of
+similarity s draw the same sample, and so have an equal fingerprint, with probability s^3 for each seed: none of 18
+does at 0.8 for 3 pairs in a million. Equal fingerprints are one entry of the index, and sets that share one are linked
+to the least of them, so that edges are linear in the sets however many share it; the components of these edges hold
+every pair to look at. A component's sets meet once, in one task, where every pair of different true
 components is compared whole. A component of more than `room` bytes is dealt into blocks, and each two blocks meet in
 a task: what a task holds stays bounded, and no pair is left out. Time is quadratic only in a large component whose
 sets are mostly not alike; sets already joined are not compared with each other.
@@ -19,10 +22,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import postings
 from .common import LOWER, binaries, mapped, texts, written
 from .graph import components
 
-BANDS, ROWS, BLOCK = 24, 4, 1 << 12
+BANDS, ROWS, BLOCK = 18, 3, 1 << 12
 _SEEDS = np.random.default_rng(42).integers(1, 1 << 63, (3, BANDS * ROWS), np.uint64) * np.uint64(2) + np.uint64(1)
 _PLACES = np.random.default_rng(7).integers(1, 1 << 63, 64, np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -46,13 +50,21 @@ def shingles(text: bytes, ngram: int) -> np.ndarray:
     return np.unique(_mixed(out))
 
 
+def fingerprint(grams: np.ndarray) -> int:
+    """The set's own fingerprint, signed: a bit is set if over half of the shingles' hashes have it; zero if it is empty."""
+    counts = np.zeros(postings.BITS, np.int64)
+    for i in range(0, len(grams), BLOCK):
+        counts += np.unpackbits(grams[i : i + BLOCK].view(np.uint8)).reshape(-1, postings.BITS).sum(0, dtype=np.int64)
+    return int(np.packbits(2 * counts > len(grams)).view(np.int64)[0])
+
+
 def bands(grams: np.ndarray) -> np.ndarray:
-    """The keys of a set; all maxima if it is empty."""
+    """The seeded fingerprints of a set: each is the bits that over half of its ROWS min-wise drawn shingles have."""
     least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max)
     for i in range(0, len(grams), BLOCK):
         least = np.minimum(least, ((grams[i : i + BLOCK, None] ^ _SEEDS[0]) * _SEEDS[1]).min(0))
-    rows = _mixed(least + _SEEDS[2])  # a seed for each place keeps the bands' keys apart
-    return _mixed((rows * _SEEDS[0]).reshape(BANDS, ROWS).sum(1, dtype=np.uint64)).view(np.int64)
+    a, b, c = _mixed(least + _SEEDS[2]).reshape(BANDS, ROWS).T  # a seed for each place keeps the samples apart
+    return (a & b | a & c | b & c).view(np.int64)
 
 
 def set_key(grams: np.ndarray) -> int:
@@ -60,18 +72,18 @@ def set_key(grams: np.ndarray) -> int:
 
 
 def set_table(docs: DataFrame, ngram: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, key, size, bands): one row per row of docs; null text is an empty set."""
+    """(id, key, size, prints): one row per row of docs; prints are its fingerprints; null text is an empty set."""
     kind = dict(docs.select(F.col(id_col)).dtypes)[id_col]
 
     def run(batch: pa.RecordBatch):
         sets = [shingles(t, ngram) for t in binaries(batch.column(1))]
-        keys = np.concatenate([bands(s) for s in sets]) if sets else np.zeros(0, np.int64)
-        places = pa.array(np.arange(len(sets) + 1, dtype=np.int32) * BANDS)
+        prints = np.array([[fingerprint(s), *bands(s)] for s in sets], np.int64).reshape(-1)
+        places = pa.array(np.arange(len(sets) + 1, dtype=np.int32) * (1 + BANDS))
         columns = [batch.column(0), pa.array([set_key(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64())]
-        yield pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(places, pa.array(keys))], names=["id", "key", "size", "bands"])
+        yield pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(places, pa.array(prints))], names=["id", "key", "size", "prints"])
 
     source = texts(docs, id_col, text_col=text_col).withColumnRenamed(id_col, "id")
-    return mapped(source, run, f"id {kind}, key long, size long, bands array<long>")
+    return mapped(source, run, f"id {kind}, key long, size long, prints array<long>")
 
 
 def joined(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
@@ -107,10 +119,16 @@ def joined(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
 
 
 def links(docs: DataFrame, nodes: DataFrame, ngram: int, similarity: float, room: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(a, b): links between the keys of nodes (key, least, size, bands) that join all sets of that similarity."""
-    posts = nodes.select("key", F.explode("bands").alias("band"))
-    hubs = posts.groupBy("band").agg(F.min("key").alias("a"), F.max("key").alias("z")).where("a < z").select("band", "a")
-    edges = posts.join(hubs, "band").where("a < key").select("a", F.col("key").alias("b"))
+    """(a, b): links between the keys of nodes (key, least, size, prints) that join all sets of that similarity.
+
+    Candidates are the sets of which two fingerprints are at most two bits apart.
+    """
+    posts = nodes.select("key", F.explode("prints").alias("fp"))
+    hubs = written(posts.groupBy("fp").agg(F.min("key").alias("a"), F.max("key").alias("z")))
+    equal = posts.join(hubs.where("a < z").select("fp", "a"), "fp").where("a < key").select("a", F.col("key").alias("b"))
+    close = postings.links(hubs.select("fp")).select(F.col("a").alias("x"), F.col("b").alias("y"))
+    close = close.join(hubs.select(F.col("fp").alias("x"), "a"), "x").join(hubs.select(F.col("fp").alias("y"), F.col("a").alias("b")), "y")
+    edges = equal.unionByName(close.where("a != b").select("a", "b"))
     near = components(edges.distinct())
     members = written(nodes.join(near, nodes.key == near.node).select("key", "least", "size", "component"))
     blocks = members.groupBy("component").agg(F.ceil(F.sum(8 * F.col("size")) / F.lit(room)).cast("int").alias("blocks"))
@@ -148,7 +166,7 @@ def near_duplicates(docs: DataFrame, ngram: int = 5, similarity: float = 0.8, id
     result.
     """
     prints = written(set_table(docs, ngram, id_col, text_col))
-    nodes = written(prints.groupBy("key").agg(F.min("id").alias("least"), F.first("size").alias("size"), F.first("bands").alias("bands")))
+    nodes = written(prints.groupBy("key").agg(F.min("id").alias("least"), F.first("size").alias("size"), F.first("prints").alias("prints")))
     found = components(links(docs, nodes, ngram, similarity, room, id_col, text_col))
     roots = written(nodes.join(found, nodes.key == found.node, "left").select("key", "least", F.coalesce("component", "key").alias("component")))
     best = roots.groupBy("component").agg(F.min("least").alias("component_id"))
