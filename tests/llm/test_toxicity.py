@@ -61,3 +61,17 @@ def test_odd_rows(spark):
     assert toxicity.kept(docs, model).count() == docs.count()
     clash = docs.withColumn("score", docs.doc_id).withColumn("p", docs.doc_id)
     assert toxicity.scored(clash, model).columns == ["doc_id", "score"]
+
+
+def test_driver_gets_telling_buckets_only_and_the_same_model(spark):
+    rows, labels = planted()
+    labels = [x for x in labels if x[2] or x[0] % 3]
+    docs, marks = spark.createDataFrame(rows, DOCS), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    features, toxic = toxicity.Features(), {i for i, _, t in labels if t}
+    known = {i for i, _, _ in labels}
+    whole = [[features(r[1].encode()) for r in rows if r[0] in toxic], [features(r[1].encode()) for r in rows if r[0] not in known]]
+    keep = toxicity.select(*whole, 5.0)
+    *got, share = toxicity.training_rows(docs, marks, 3000, len(whole[1]))
+    assert 0 < keep.sum() < 100 and [[x.tolist() for x in side] for side in got] == [[x[keep[x]].tolist() for x in side] for side in whole]
+    want, model = toxicity.fit(*whole, share), toxicity.train(docs, marks, most_unlabelled=len(whole[1]))
+    assert np.array_equal(model.weights, want.weights) and model.bias == want.bias

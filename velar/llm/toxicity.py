@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LETTERS, binaries, mapped, quoted, texts
+from .common import LETTERS, binaries, mapped, quoted, texts, written
 
 DIM = 1 << 18
 CACHE = 200_000  # words whose buckets a task remembers; it starts anew beyond
@@ -62,13 +62,17 @@ def _margin(w, b, rows, at):
     return np.add.reduceat(w[rows], at[:-1]) + b
 
 
+def telling(a: np.ndarray, c: np.ndarray, positive: int, unlabelled: int, significance: float) -> np.ndarray:
+    """Buckets that a of the toxic rows have more often than c of the unlabelled ones, by so many standard errors."""
+    share = (a + c) / (positive + unlabelled)
+    error = np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / positive + 1 / unlabelled))
+    return (a / positive - c / unlabelled) / error > significance
+
+
 def select(positive: list[np.ndarray], unlabelled: list[np.ndarray], significance: float) -> np.ndarray:
-    """Buckets that occur in toxic rows more often than in unlabelled ones, by so many standard errors."""
-    a = np.bincount(np.concatenate(positive), minlength=DIM)
-    c = np.bincount(np.concatenate(unlabelled), minlength=DIM)
-    share = (a + c) / (len(positive) + len(unlabelled))
-    error = np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / len(positive) + 1 / len(unlabelled)))
-    return (a / len(positive) - c / len(unlabelled)) / error > significance
+    """The telling buckets of feature rows."""
+    a, c = (np.bincount(np.concatenate(rows), minlength=DIM) for rows in (positive, unlabelled))
+    return telling(a, c, len(positive), len(unlabelled), significance)
 
 
 def fit(
@@ -133,9 +137,22 @@ def fit(
     return Model(w.astype(np.float32), float(b - cut))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, most_toxic: int, most_unlabelled: int) -> tuple[list, list, float]:
+def _counted(batches):
+    """(bucket, a, c): how many toxic and how many other rows of a task have each bucket."""
+    counts = np.zeros((2, DIM), np.int64)
+    for batch in batches:
+        for p, f in zip(batch.column(0).to_pylist(), binaries(batch.column(1))):
+            counts[0 if p else 1, np.frombuffer(f, np.int32)] += 1  # a row has a bucket once
+    at = np.flatnonzero(counts.any(0))
+    yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(counts[0, at]), pa.array(counts[1, at])], names=["bucket", "a", "c"])
+
+
+def training_rows(docs: DataFrame, labels: DataFrame, most_toxic: int, most_unlabelled: int, significance: float = 5.0) -> tuple[list, list, float]:
     """Feature rows of at most so many toxic labelled documents and of so many without a label; the labels' toxic share.
 
+    The rows have telling buckets only: tasks count the buckets and drop the others, as whole rows of long texts would
+    fill the driver. fit() gives the same model from them as from whole rows.
+
     labels has doc_id and toxic, one row per label; null labels and null ids are left out. Documents without a label are
     topped up with labelled ones, whatever their label, where they are fewer than asked for. Documents are drawn by a
     hash of doc_id, so that a rerun takes the same ones; of rows that repeat an id one is taken.
@@ -157,8 +174,22 @@ def training_rows(docs: DataFrame, labels: DataFrame, most_toxic: int, most_unla
 
     kind = dict(docs.select("doc_id").dtypes)["doc_id"]
     chosen = texts(docs, "doc_id").join(F.broadcast(drawn), "doc_id").select("doc_id", "p", "text")  # at most the two bounds
-    once = mapped(chosen, run, f"doc_id {kind}, p boolean, f binary").groupBy("doc_id", "p").agg(F.min("f").alias("f"))
-    rows = once.toArrow()  # as Arrow, as rows of Python objects would take several times the memory
+    once = written(mapped(chosen, run, f"doc_id {kind}, p boolean, f binary").groupBy("doc_id", "p").agg(F.min("f").alias("f")))
+    number = {r["p"]: r["n"] for r in once.groupBy("p").agg(F.count(F.lit(1)).alias("n")).collect()}
+    keep = np.zeros(DIM, bool)
+    if len(number) == 2:
+        seen = once.select("p", "f").mapInArrow(_counted, "bucket int, a long, c long").groupBy("bucket").agg(F.sum("a").alias("a"), F.sum("c").alias("c")).toArrow()
+        counts = np.zeros((2, DIM), np.int64)
+        counts[:, seen.column("bucket").to_numpy()] = seen.column("a").to_numpy(), seen.column("c").to_numpy()
+        keep = telling(*counts, number[True], number[False], significance)
+    held = docs.sparkSession.sparkContext.broadcast(keep)
+
+    def cut(batch: pa.RecordBatch):
+        rows = [np.frombuffer(f, np.int32) for f in binaries(batch.column(2))]
+        rows = pa.array([x[held.value[x]].tobytes() for x in rows], pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), rows], names=["doc_id", "p", "f"])
+
+    rows = mapped(once, cut, f"doc_id {kind}, p boolean, f binary").toArrow()  # as Arrow, as rows of Python objects would take several times the memory
     keys, side, found = rows.column("doc_id").to_pylist(), rows.column("p").to_pylist(), rows.column("f")
     sides = {True: [], False: []}
     for i in sorted(range(len(keys)), key=lambda i: keys[i]):
@@ -166,14 +197,14 @@ def training_rows(docs: DataFrame, labels: DataFrame, most_toxic: int, most_unla
     return sides[True], sides[False], (total["toxic"] or 0) / total["n"]
 
 
-def train(docs: DataFrame, labels: DataFrame, most_toxic: int = 3000, most_unlabelled: int = 9000, prior: float | None = None, **options) -> Model:
+def train(docs: DataFrame, labels: DataFrame, most_toxic: int = 3000, most_unlabelled: int = 9000, prior: float | None = None, significance: float = 5.0, **options) -> Model:
     """A model from the documents that labels names as toxic and from documents without a label.
 
     prior is the share of toxic documents among those without a label; None takes it from the labels. The sample's two
     bounds are the only ones.
     """
-    positive, unlabelled, share = training_rows(docs, labels, most_toxic, most_unlabelled)
-    return fit(positive, unlabelled, share if prior is None else prior, **options)
+    positive, unlabelled, share = training_rows(docs, labels, most_toxic, most_unlabelled, significance)
+    return fit(positive, unlabelled, share if prior is None else prior, significance=significance, **options)
 
 
 def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
