@@ -137,7 +137,9 @@ _TERMS = " UNION ALL ".join(
 
 
 def _digits(key: str, size: int, factor: int, table: DataFrame) -> DataFrame:
-    return table.select(F.col(key).alias("key"), F.lpad((F.col(key) * factor % 10**size).cast("string"), size, "0").alias("digits"))
+    product = F.col(key).cast("decimal(19,0)") * F.lit(factor).cast("decimal(18,0)")  # larger than a bigint from some hundred thousand keys on
+    rest = (product % F.lit(10**size).cast("decimal(19,0)")).cast("string")
+    return table.select(F.col(key).alias("key"), F.lpad(rest, size, "0").alias("digits"))
 
 
 def check_national_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
