@@ -1,6 +1,6 @@
 """Registered queries over small tables with keys that larger tables have."""
 
-from velar.plans import queries
+from velar.plans import queries, sample_queries
 
 
 def test_keys_of_any_size_as_card_numbers(spark, tmp_path):
@@ -14,3 +14,11 @@ def test_keys_of_any_size_as_card_numbers(spark, tmp_path):
     for k in keys:
         digits = f"{k * 1299709 * 15485863 % 10**16:016}"
         assert (got[k].digits, got[k].valid) == (digits, luhn(digits))
+
+
+def test_words_of_a_turn_are_no_context_of_the_sentence_behind_it(spark, tmp_path):
+    turns = [(9, 15, "the thtish."), (509, 7, "theed, thtishtion"), (2691, 0, "asci. Ómentell en que."), (2691, 1, None)]
+    spark.createDataFrame(turns, "conv_id long, turn long, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = {r.key: (r.block, r.detector, r.score) for r in sample_queries.detect_turns(spark, str(tmp_path)).collect()}
+    assert got[509007] == (15, "health_card", 90) and got[2691000] == (4, "phone", 45)  # with "tis" and "tel" in the words before: 100 and 80
+    assert sorted(got) == [9015, 509007, 2691000, 2691001]

@@ -174,11 +174,14 @@ def audit_all_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def detect_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Turns of conversations that each end with a sentence of personal data, another one for each turn: what is found."""
+    """Turns of conversations that each end with a sentence of personal data, another one for each turn: what is found.
+
+    A line of signs stands between, as many as the tokens that may raise a score: only the sentence's own words do.
+    """
     turns = _table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("key"), F.col("text").alias("said"))
-    made = samples.texts(turns, "key", "es").where(F.col("block") == F.col("key") % len(samples.SPANISH))
-    whole = made.join(turns, "key").withColumn("text", F.concat_ws("\n", "said", "text"))
-    found = _found(whole.drop("said"))
+    made = samples.texts(turns, "key", "es", keep=("said",)).where(F.col("block") == F.col("key") % len(samples.SPANISH))
+    line = F.lit(" ".join("*" * detect.NEAR_TOKENS))
+    found = _found(made.withColumn("text", F.concat_ws("\n", "said", line, "text")).drop("said"))
     return found.select("key", "block", "detector", "category", _hundredths(), F.col("text").alias("value"))
 
 

@@ -202,11 +202,16 @@ ENGLISH_FORMS = [
 TEMPLATES = {"es": SPANISH, "en": ENGLISH, "es forms": SPANISH_FORMS, "en forms": ENGLISH_FORMS}
 
 
-def texts(keys: DataFrame, key: str, language: str) -> DataFrame:
-    """(key, block, text, language): for each key one text of each template, numbered by `block` from 0."""
+def spread(keys: DataFrame, key: str) -> DataFrame:
+    """The keys dealt over the session's cores: each gives many texts, so that a file too small to split is work for all."""
+    return keys.repartition(4 * keys.sparkSession.sparkContext.defaultParallelism, key)
+
+
+def texts(keys: DataFrame, key: str, language: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(key, block, text, language): for each key one text of each template, numbered by `block` from 0; and columns to keep."""
     each: Column = F.array(*[F.struct(F.lit(i).alias("block"), F.expr(t.text()).alias("text")) for i, t in enumerate(TEMPLATES[language])])
-    made = keys.select(F.col(key).cast("bigint").alias("k")).select("k", F.explode(each).alias("t"))
-    return made.select(F.col("k").alias("key"), "t.block", "t.text", F.lit(language[:2]).alias("language"))
+    made = spread(keys.select(F.col(key).cast("bigint").alias("k"), *keep), "k").select("k", *keep, F.explode(each).alias("t"))
+    return made.select(F.col("k").alias("key"), "t.block", "t.text", F.lit(language[:2]).alias("language"), *keep)
 
 
 def expected_sql(table: str, key: str, language: str) -> str:
@@ -250,7 +255,7 @@ REPORT = [
 
 def reports(keys: DataFrame, key: str) -> DataFrame:
     """(doc, text, truth): for each key a clinical report with seventeen values, and what they are."""
-    k = keys.select(F.col(key).cast("bigint").alias("k"))
+    k = spread(keys.select(F.col(key).cast("bigint").alias("k")), "k")
     parts = [x for before, _, sql in REPORT for x in (F.lit(before), F.expr(sql))]
     truth = F.array(*[F.struct(F.lit(c).alias("category"), F.expr(sql).alias("value")) for _, c, sql in REPORT])
     return k.select(F.col("k").alias("doc"), F.concat(*parts, F.lit(".\n")).alias("text"), truth.alias("truth"))
