@@ -80,4 +80,10 @@ def without_edges(text: Column, start: Column, end: Column, words: list[str], si
 
         return let(F.length(F.regexp_extract(part, ahead, 0)), cut)
 
-    return let(let(piece(text, start, end), tail_off), head_off)
+    # nothing goes where the first and the last token have a digit, as no word does, and no sign is at an end
+    far = rf"[\s{GLUED}{signs}]"
+    stays = rf"(?sU)\A(?!{far})(?=\S*\p{{Nd}})(?:.*\s)?\S*\p{{Nd}}\S*(?<!{far})\z"
+    if any(c.isdecimal() for w in words for c in w):
+        return let(let(piece(text, start, end), tail_off), head_off)
+    whole = F.struct(start.alias("start"), end.alias("end"))
+    return let(piece(text, start, end), lambda p: F.when(p.rlike(stays), whole).otherwise(let(let(p, tail_off), head_off)))

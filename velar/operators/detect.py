@@ -47,47 +47,52 @@ def _words(values: Iterable[str]) -> Column:
     return F.split(F.lit(" ".join(values)), " ")
 
 
-def features(text: Column) -> Column:
-    """struct<tokens,digit,digits>: what the gates of the recognizers look at."""
-    tokens = latin_words(text)
-    return F.struct(tokens.alias("tokens"), text.rlike(r"\p{Nd}").alias("digit"), text.rlike(SIX_DIGITS).alias("digits"))
+def features(text: Column, tokens: Column, cues: Iterable[str] = ()) -> Column:
+    """struct<cues,n,digits>: what the gates of the recognizers look at; cues are the tokens that recognizers name."""
+    known = F.array_distinct(F.filter(tokens, lambda t: t.isin(list(cues))))
+    n = F.length(F.regexp_replace(text, r"\P{Nd}+", ""))
+    return F.struct(known.alias("cues"), n.alias("n"), text.rlike(SIX_DIGITS).alias("digits"))
 
 
-def _matches(text: str, has: str, wanted: list[R.Recognizer]) -> Column:
-    """array<struct<i,gaps,hits,values>>: of each recognizer with matches in the column, by its number.
+def marked(text: str, has: str, wanted: list[R.Recognizer]) -> Column:
+    """array<struct<i,text>>: for each recognizer its number and the text with its matches marked, null without any.
 
-    One SQL text, as building as many Columns piece by piece takes seconds.
+    A line end, the match, a line end, the value, a line end stand for a match; a plain text holds no line end itself.
+    One SQL text, as building as many Columns piece by piece takes seconds. A column of its own and no part of a
+    function over arrays, so that Spark compiles it.
     """
     parts = []
     for i, r in enumerate(wanted):
         if '"' in r.regex():
             raise ValueError(f"{r.name}: a pattern can't hold a quotation mark")
         regex = f'r"{r.regex()}"'
-        values = f"regexp_extract_all({text}, {regex}, {r.group})" if r.group else "cast(null as array<string>)"
-        gates = [f"{has}.{r.gate}" if r.gate in ("digit", "digits") else f"contains({text}, '{r.gate}')"] if r.gate else []
+        gates = [f"{has}.n >= {r.least}"] if r.least else []
+        if r.gate and r.gate != "digit":
+            gates.append(f"{has}.digits" if r.gate == "digits" else f"contains({text}, '{r.gate}')")
         if r.words:
-            gates.insert(0, f"arrays_overlap({has}.tokens, split('{' '.join(r.words)}', ' '))")
-        found = f"struct({i} as i, split({text}, {regex}, -1) as gaps, h as hits, {values} as values)"
-        hits = f"get(transform(array(regexp_extract_all({text}, {regex}, 0)), h -> case when size(h) > 0 then {found} end), 0)"
-        parts.append(f"case when {' and '.join(gates) or 'true'} then {hits} end")
-    return F.expr(f"filter(array({', '.join(parts)}), m -> m is not null)")
+            words = ", ".join(f"'{w}'" for w in r.words)
+            gates.append(f"exists({has}.cues, t -> t in ({words}))")
+        gates.append(f"{text} rlike {regex}")
+        parts.append(f"case when {' and '.join(gates)} then struct({i} as i, regexp_replace({text}, {regex}, '\n$0\n${r.group}\n') as text) end")
+    return F.expr(f"array({', '.join(parts)})")
 
 
 def _places(m: Column) -> Column:
-    """array<struct<start,end,i>>: gaps and hits alternate, so that their lengths add up to places; a value ends its hit."""
-    steps = F.zip_with(
-        F.zip_with(F.slice(m["gaps"], F.lit(1), F.size(m["hits"])), m["hits"], lambda g, h: F.struct(F.length(g).alias("gap"), F.length(h).alias("size"))),
-        F.coalesce(m["values"], m["hits"]),
-        lambda x, v: x.withField("value", F.length(v)),
-    )
+    """array<struct<start,end,i>> of a marked text: gap, match, value, gap, ..., whose lengths add up to places; a value ends its match."""
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,i:int>>").alias("out"))
 
-    def step(acc: Column, x: Column) -> Column:
-        end = acc["at"] + x["gap"] + x["size"]
-        place = F.struct((end - x["value"]).alias("start"), end.alias("end"), m["i"].alias("i"))
-        return F.struct(end.alias("at"), F.array_append(acc["out"], place).alias("out"))
+    def found(sizes: Column) -> Column:
+        def step(acc: Column, k: Column) -> Column:
+            end = acc["at"] + F.get(sizes, k) + F.get(sizes, k + 1)
+            place = F.struct((end - F.get(sizes, k + 2)).alias("start"), end.alias("end"), m["i"].alias("i"))
+            return F.struct(end.alias("at"), F.array_append(acc["out"], place).alias("out"))
+
+        every = F.aggregate(F.sequence(F.lit(0), F.size(sizes) - 4, F.lit(3)), start, step, lambda acc: acc["out"])
+        end = F.get(sizes, F.lit(0)) + F.get(sizes, F.lit(1))
+        one = F.array(F.struct((end - F.get(sizes, F.lit(2))).alias("start"), end.alias("end"), m["i"].alias("i")))
+        return F.when(F.size(sizes) == 4, one).otherwise(every)
 
-    return F.aggregate(steps, start, step, lambda acc: acc["out"])
+    return spans.let(F.transform(F.split(m["text"], "\n", -1), F.length), found)
 
 
 def classified(category: Column, text: Column, start: Column, language: str) -> Column:
@@ -100,51 +105,54 @@ def classified(category: Column, text: Column, start: Column, language: str) ->
     )
 
 
-def recognized(text_col: str, has: str, wanted: list[R.Recognizer], language: str, categories: list[str]) -> Column:
-    """Spans of the recognizers: found, checked, classified, and above the threshold.
+def recognized(text_col: str, marks: Column, wanted: list[R.Recognizer], language: str, categories: list[str]) -> Column:
+    """Spans of the recognizers from the texts that marked() made: checked, classified, and above the threshold.
 
-    Each recognizer only adds its matches to the plan; what follows is written once for all of them.
+    Each recognizer only adds its marks to the plan; what follows is written once for all of them.
     """
-    text, matches = F.col(text_col), _matches(text_col, has, wanted)
-    tests: dict[tuple[str, ...], list[int]] = {}
-    for i, r in enumerate(wanted):
-        if r.check:
-            tests.setdefault(r.check, []).append(i)
-    
-    def lookup(values: list, i: Column) -> Column:
-        """The i-th of the values, which are of one kind."""
-        text = "array(" + ", ".join(f"'{v}'" if isinstance(v, str) else f"{v}d" if isinstance(v, float) else str(v).lower() for v in values) + ")"
-        return F.get(F.expr(text), i)
-
-    def passes(i: Column, value: Column) -> Column:
+    text = F.col(text_col)
+    matches = F.filter(marks, lambda m: m.isNotNull())
+    tests = list(dict.fromkeys(r.check for r in wanted if r.check))
+
+    def stems_of(r: R.Recognizer) -> list[str]:
+        return sorted({stem_of(w, language) for w in r.near})
+
+    listed = lambda words: "split('" + " ".join(words) + "', ' ')" if words else "cast(array() as array<string>)"
+    known = [
+        f"named_struct('name', '{r.name}', 'category', '{r.category}', 'score', {r.score}d, 'sure', {str(r.sure).lower()}, 'test', {tests.index(r.check) if r.check else -1}, 'near', {listed(r.near)}, 'stems', {listed(stems_of(r))})"
+        for r in wanted
+    ]
+    table = F.expr(f"array({', '.join(known)})")  # a literal: what the recognizers say, by number
+
+    def passes(test: Column, value: Column) -> Column:
         """Whether the value passes one of its recognizer's tests; one without tests passes."""
-        out = F.lit(True)
-        for names, ids in tests.items():
-            some = None
-            for c in names:
-                some = checks.CHECKS[c](value) if some is None else some | checks.CHECKS[c](value)
-            out = F.when(i.isin(ids), some).otherwise(out)
+        out = F.when(test < 0, True)
+        for i, names in enumerate(tests):
+            some = checks.CHECKS[names[0]](value)
+            for c in names[1:]:
+                some = some | checks.CHECKS[c](value)
+            out = out.when(test == i, some)
         return out
 
-    def near(s: Column) -> Column:
+    def near(r: Column, start: Column) -> Column:
         """Whether a context word of its recognizer is part of one of the tokens just before, or a form of one."""
-        words = F.split(lookup([" ".join(r.near) for r in wanted], s["i"]), " ")
-        stems = F.split(lookup([" ".join(sorted({stem_of(w, language) for w in r.near})) for r in wanted], s["i"]), " ")
-        parts = lambda a: F.split(F.lower(F.trim(spans.piece(text, a, s["start"]))), r"\s+")
-        close = parts(F.greatest(s["start"] - NEAR_CHARS, F.lit(0)))
+        parts = lambda a: F.split(F.lower(F.trim(spans.piece(text, a, start))), r"\s+")
+        close = parts(F.greatest(start - NEAR_CHARS, F.lit(0)))
         # all tokens but the first of a cut are whole; where these are too few, the whole text before is cut into tokens
-        enough = lambda t: F.when((F.size(t) > NEAR_TOKENS) | (s["start"] <= NEAR_CHARS), t).otherwise(parts(F.lit(0)))
+        enough = lambda t: F.when((F.size(t) > NEAR_TOKENS) | (start <= NEAR_CHARS), t).otherwise(parts(F.lit(0)))
         tokens = F.slice(F.reverse(spans.let(close, enough)), 1, NEAR_TOKENS)
-        alike = lambda t: F.exists(words, lambda w: F.contains(t, w)) | F.array_contains(stems, stem(t, language))
-        return lookup([bool(r.near) for r in wanted], s["i"]) & F.exists(tokens, alike)
+        alike = lambda t: F.exists(r["near"], lambda w: F.contains(t, w)) | F.array_contains(r["stems"], stem(t, language))
+        return (F.size(r["near"]) > 0) & F.exists(tokens, alike)
 
     def judged(s: Column) -> Column:
-        base, sure = lookup([r.score for r in wanted], s["i"]), lookup([r.sure for r in wanted], s["i"])
-        raised = F.least(F.greatest(base + R.BOOST, F.lit(R.BOOSTED)), F.lit(1.0))
-        score = F.round(F.when(sure, 1.0).when(near(s), raised).otherwise(base), 2)
-        stands = (s["start"] < s["end"]) & spans.let(spans.piece(text, s["start"], s["end"]), lambda v: passes(s["i"], v))
-        category = classified(lookup([r.category for r in wanted], s["i"]), text, s["start"], language)
-        return F.when(stands, span(s["start"], s["end"], category, F.lit(1), score, lookup([r.name for r in wanted], s["i"])))
+        def by(r: Column) -> Column:
+            raised = F.least(F.greatest(r["score"] + R.BOOST, F.lit(R.BOOSTED)), F.lit(1.0))
+            score = F.round(F.when(r["sure"], 1.0).when(near(r, s["start"]), raised).otherwise(r["score"]), 2)
+            stands = (s["start"] < s["end"]) & spans.let(spans.piece(text, s["start"], s["end"]), lambda v: passes(r["test"], v))
+            category = classified(r["category"], text, s["start"], language)
+            return F.when(stands, span(s["start"], s["end"], category, F.lit(1), score, r["name"]))
+
+        return spans.let(F.get(table, s["i"]), by)
 
     found = F.transform(F.flatten(F.transform(matches, _places)), judged)
     return F.filter(found, lambda s: s["category"].isin(categories) & (s["score"] >= R.THRESHOLD))
@@ -155,10 +163,16 @@ def _could(r: R.Recognizer, categories: list[str]) -> bool:
     return r.category in categories or also in categories
 
 
-def all_spans(text_col: str, has: str, language: str, categories: list[str], custom: list[str]) -> Column:
-    """Spans of all recognizers of a language that can give an asked category; only those are built into the plan."""
-    wanted = [r for r in (R.ENGLISH if language == "en" else R.SPANISH) if _could(r, categories)]
-    parts = [recognized(text_col, has, wanted, language, categories)] if wanted else []
+def wanted_of(language: str, categories: list[str]) -> list[R.Recognizer]:
+    """The recognizers of a language that can give an asked category; only those are built into the plan."""
+    return [r for r in (R.ENGLISH if language == "en" else R.SPANISH) if _could(r, categories)]
+
+
+def all_spans(text_col: str, marks: Column, language: str, categories: list[str], custom: list[str]) -> Column:
+    """Spans of all recognizers of a language that can give an asked category."""
+    wanted = wanted_of(language, categories)
+    # asked twice, so that the marks stay a column of their own
+    parts = [F.when(F.size(marks) > 0, recognized(text_col, marks, wanted, language, categories)).otherwise(F.array().cast(EMPTY))] if wanted else []
     listed = sorted({t.strip() for t in custom if t and t.strip()}, key=lambda t: (-len(t), t))
     if listed and "custom_term" in categories:
         pattern = r"(?iuU)(?<!\w)(?:" + "|".join(spans.literal(t, False) for t in listed) + r")(?!\w)"
@@ -278,12 +292,13 @@ def with_spans(
     built = _expressions(blocks.sparkSession.sparkContext.applicationId, chosen, tuple(custom), allowed, bool(named), bool(proposed), own_terms is not None, allow_terms is not None)
     none = F.array().cast(EMPTY)
     base = blocks.withColumn("_plain", plain(F.col(text_col))).withColumns({f"_{k}": F.coalesce(F.col(c), none) for k, c in (("named", named), ("proposed", proposed)) if c})
-    base = base.withColumn("_has", features(F.col("_plain")))
-    language = F.col(language_col) if language_col else language_of(F.col("_has.tokens"), F.col(text_col))
+    base = base.withColumn("_tokens", latin_words(F.col("_plain")))
+    base = base.withColumn("_has", features(F.col("_plain"), F.col("_tokens"), sorted({w for k in R.NOISE for r in wanted_of(k, list(chosen)) for w in r.words})))
+    language = F.col(language_col) if language_col else language_of(F.col("_tokens"), F.col(text_col))
     base = base.withColumn("language", F.when(language == "en", "en").otherwise("es"))
     for name, expression in built:
         base = base.withColumn(name, expression)
-    return base.drop("_plain", "_has", "_named", "_proposed", "_raw", "_kept", "_all", "_own", "_allowed")
+    return base.drop("_plain", "_tokens", "_has", "_named", "_proposed", "_marks", "_raw", "_kept", "_all", "_own", "_allowed")
 
 
 @lru_cache(64)
@@ -296,11 +311,13 @@ def _expressions(application: str, categories: tuple[str, ...], custom: tuple[st
     blank = F.coalesce(F.trim(text), F.lit("")) == ""
 
     def of(k: str) -> Column:
-        found = all_spans("_plain", "_has", k, list(categories), list(custom))
+        found = all_spans("_plain", F.col("_marks"), k, list(categories), list(custom))
         if own and "custom_term" in categories:
             found = F.concat(found, F.transform("_own", lambda s: span(s["start"], s["end"], F.lit("custom_term"), F.lit(1), F.lit(1.0), F.lit("custom"))))
         return F.concat(found, outside_spans(text, F.col("_named"), k, list(categories), list(allowed))) if named else found
 
+    es, en = (marked("_plain", "_has", wanted_of(k, list(categories))) for k in ("es", "en"))
+    marks = F.when(~blank, F.when(language == "en", en).otherwise(es))
     raw, found = F.when(blank, none).when(language == "en", of("en")).otherwise(of("es")), F.col("_raw")
     if allowed:
         found = F.filter(found, lambda s: ~F.lower(F.trim(spans.piece(text, s["start"], s["end"]))).isin(*allowed))
@@ -308,7 +325,7 @@ def _expressions(application: str, categories: tuple[str, ...], custom: tuple[st
         is_allowed = lambda s: spans.let(spans.trimmed(text, s["start"], s["end"]), lambda t: F.exists("_allowed", lambda p: (p["start"] == t["start"]) & (p["end"] == t["end"])))
         found = F.filter(found, lambda s: ~is_allowed(s))
     clean = cleaned(text, F.col("_kept"), language)
-    out = [("_raw", raw), ("_kept", resolved(text, found)), ("spans", clean)]
+    out = [("_marks", marks), ("_raw", raw), ("_kept", resolved(text, found)), ("spans", clean)]
     if proposed:
         more = F.filter(F.col("_proposed"), lambda s: s["category"].isin(*categories))
         out += [("_all", F.when(blank, F.col("spans")).otherwise(F.concat("spans", more))), ("_kept", resolved(text, F.col("_all"))), ("spans", clean)]

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from velar.functions import spans
 from velar.functions.dates import age_band, is_age, shift_date
 from velar.plans import recognizers as R
+from velar.sources.tables import written
 
 BLOCK, SHORTEST_BLOCK = "█", 4
 MOST_RESIDUALS, SHORTEST_RESIDUAL, EXAMPLES = 30, 4, 3
@@ -220,6 +221,7 @@ def evaluated(truth: DataFrame, found: DataFrame, doc: str, examples: int = EXAM
     right = F.filter("_b", lambda d: F.exists("_a", lambda t: meets(t["v"], d)))
     counts = both.select("category", F.size("_a").alias("truths"), F.size(missed).alias("lost"), F.size("_b").alias("detections"), F.size(right).alias("right"), F.transform(missed, lambda t: t["shown"]).alias("missed"))
     sums = [F.sum(c).alias(c) for c in ("truths", "lost", "detections", "right")]
+    counts = written(counts)  # read twice below, and the detections are not to be made twice
     narrow = counts.select("category", "truths", "lost", "detections", "right")
     total = narrow.rollup("category").agg(*sums).withColumn("covered", F.col("truths") - F.col("lost"))
     shown = counts.where(F.size("missed") > 0).select("category", F.explode("missed").alias("m"))

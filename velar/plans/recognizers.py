@@ -5,7 +5,8 @@ of velar.functions.checks, any of which must pass; `sure` raises the score of wh
 raise the score by BOOST, to BOOSTED at least, where one of them is part of one of the five tokens before a span, or
 has the same stem as one.
 `cased` patterns tell capitals from small letters. A recognizer runs only on texts that can match: with one of the
-tokens `words`, if any are named, and past its `gate`: "digits" (six digits close together), "digit", a literal, or "".
+tokens `words`, if any are named, past its `gate`: "digits" (six digits close together), "digit", a literal, or "", and
+with as many digits as any match holds, `least`.
 """
 
 from __future__ import annotations
@@ -15,6 +16,13 @@ from dataclasses import dataclass
 from velar.plans.grammar import END, NUMBER_SIGN, START, Token, any_of, groups, labelled, phrase, sequence, tokens_of, words
 
 THRESHOLD, BOOST, BOOSTED = 0.35, 0.35, 0.4
+#: Digits that a match of an identifier's form has at least, by name and category.
+LEAST_DIGITS = {
+    ("iban_digits", "iban"): 10, ("card", "payment_card"): 13, ("national_id", "es_national_id"): 8, ("foreigner_id", "es_national_id"): 7, ("social_security", "es_social_security"): 11,
+    ("phone", "phone"): 9, ("company_id", "es_company_tax_id"): 7, ("plate", "plate"): 4, ("old_plate", "plate"): 4, ("date", "date"): 4, ("iso_date", "date"): 8,
+    ("island_postcode", "place_or_postcode"): 5, ("postcode", "place_or_postcode"): 5, ("account", "iban"): 20, ("nhs", "uk_nhs"): 10, ("ssn", "us_ssn_itin"): 9,
+    ("ssn_plain", "us_ssn_itin"): 9, ("itin", "us_ssn_itin"): 9, ("us_phone", "phone"): 10, ("uk_phone", "phone"): 9, ("us_zip", "place_or_postcode"): 9,
+}
 
 
 @dataclass(frozen=True)
@@ -31,6 +39,11 @@ class Recognizer:
     gate: str = "digit"
     words: tuple[str, ...] = ()
 
+    @property
+    def least(self) -> int:
+        """How many digits a match has at least, by the parts of the pattern that say so outright."""
+        return max(LEAST_DIGITS.get((self.name, self.category), 0), {"digits": 6, "digit": 1}.get(self.gate, 0))
+
     def regex(self) -> str:
         """Classes of letters and digits, and letter case, cover all of Unicode."""
         return ("(?U)" if self.cased else "(?iuU)") + self.pattern
