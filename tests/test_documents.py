@@ -56,3 +56,46 @@ def test_put_touch_delete_and_expiry(run):
 def test_events_of_one_batch_and_nulls(run):
     got = run([("a", 70, "touch", None), ("a", 0, "put", 5), ("a", 10, "touch", None), (None, 1, "put", 3), ("z", 1, None, 3)])
     assert got == [("a", "put", 0, 0, 5), ("a", "touch", 10, 0, 5), ("a", "expired", 40, 0, 5), ("a", "unknown", 70, None, None)]
+
+
+def test_state_is_read_and_written_once_for_a_batch():
+    calls = []
+
+    class Fake:
+        value = None
+
+        def getValueState(self, *_):
+            return self
+
+        def exists(self):
+            calls.append("exists")
+            return self.value is not None
+
+        def get(self):
+            calls.append("get")
+            return self.value
+
+        def update(self, value):
+            calls.append("update")
+            self.value = value
+
+        def clear(self):
+            calls.append("clear")
+            self.value = None
+
+        def registerTimer(self, at):
+            calls.append(("timer", at))
+
+        def deleteTimer(self, at):
+            calls.append(("no timer", at))
+
+    fake, holder = Fake(), documents.Holder(1000)
+    holder.init(fake)
+    rows = list(holder.handled("a", [(k * 600, "put", k) for k in range(100)] + [(70_000, "put", 7), (70_001, "delete", None), (70_002, "put", 8)]))
+    assert len(rows) == 103 + 1 and fake.value == (70_002, 70_002, 71_002, 8) and calls == ["exists", "update", ("timer", 71_002)]
+    calls.clear()
+    list(holder.handled("a", [(70_500, "touch", None), (70_600, "touch", None)]))
+    assert fake.value == (70_002, 70_600, 71_600, 8) and calls == ["exists", "get", ("no timer", 71_002), "update", ("timer", 71_600)]
+    calls.clear()
+    list(holder.handled("a", [(80_000, "touch", None)]))
+    assert fake.value is None and calls == ["exists", "get", ("no timer", 71_600), "clear"]

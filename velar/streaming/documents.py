@@ -7,9 +7,6 @@ that was deleted or has expired leaves no state behind.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from typing import Any
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -18,11 +15,14 @@ from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 #: Fixed setting: the store that keeps timers.
 STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 HELD = StructType([StructField("opened", LongType()), StructField("touched", LongType()), StructField("goes", LongType()), StructField("days", IntegerType())])
-ROWS = "doc string, event string, at timestamp, opened timestamp, days int"
+ROWS = "doc string, event string, at long, opened long, days int"
 
 
 class Holder(StatefulProcessor):
-    """What happens to one document; times are milliseconds since 1970."""
+    """What happens to one document; times are milliseconds since 1970.
+
+    The state is read once and written once for all events of a document in a batch: each access is a message to the JVM.
+    """
 
     def __init__(self, keep: int):
         self.keep = keep
@@ -30,64 +30,63 @@ class Holder(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle, self.state = handle, handle.getValueState("document", HELD)
 
-    def _row(self, doc: str, event: str, at: int, opened: int | None, days: int | None) -> dict[str, Any]:
-        return {"doc": doc, "event": event, "at": at, "opened": opened, "days": days}
-
-    def _hold(self, opened: int, at: int, days: int | None, old: int | None) -> None:
-        if old is not None:
-            self.handle.deleteTimer(old)
-        self.state.update((opened, at, at + self.keep, days))
-        self.handle.registerTimer(at + self.keep)
-
-    def _forget(self, old: int) -> None:
-        self.handle.deleteTimer(old)
-        self.state.clear()
+    def _store(self, before: tuple | None, held: tuple | None) -> None:
+        """The document as it is now, and the one timer that it needs."""
+        goes, went = (x[2] if x is not None else None for x in (held, before))
+        if went is not None and went != goes:
+            self.handle.deleteTimer(went)
+        if held is not None and held != before:
+            self.state.update(held)
+        if goes is not None and goes != went:
+            self.handle.registerTimer(goes)
+        if held is None and before is not None:
+            self.state.clear()
 
-    def handled(self, doc: str, events: list[tuple[int, str, int | None]]) -> Iterator[dict[str, Any]]:
-        """One row for each event of a document, in order of time."""
+    def handled(self, doc: str, events: list[tuple[int, str, int | None]]) -> list[tuple[str, str, int, int | None, int | None]]:
+        """A row (doc, event, at, opened, days) for each event of a document, in order of time."""
+        before = tuple(self.state.get()) if self.state.exists() else None
+        held, out = before, []  # opened, touched, goes, days
         for at, action, days in sorted(events, key=lambda e: (e[0], e[1])):
-            held = self.state.get() if self.state.exists() else None
             if held is not None and at >= held[2]:  # it went before this came
-                yield self._row(doc, "expired", held[2], held[0], held[3])
-                self._forget(held[2])
+                out.append((doc, "expired", held[2], held[0], held[3]))
                 held = None
             if action == "put":
-                kept = held[3] if held is not None else days
-                self._hold(held[0] if held is not None else at, at, kept, held[2] if held is not None else None)
-                yield self._row(doc, "put", at, held[0] if held is not None else at, kept)
+                held = (at, at, at + self.keep, days) if held is None else (held[0], at, at + self.keep, held[3])
+                out.append((doc, "put", at, held[0], held[3]))
             elif held is None:
-                yield self._row(doc, "unknown", at, None, None)
+                out.append((doc, "unknown", at, None, None))
             elif action == "touch":
                 if at > held[1]:
-                    self._hold(held[0], at, held[3], held[2])
-                yield self._row(doc, "touch", at, held[0], held[3])
+                    held = (held[0], at, at + self.keep, held[3])
+                out.append((doc, "touch", at, held[0], held[3]))
             elif action == "delete":
-                self._forget(held[2])
-                yield self._row(doc, "deleted", at, held[0], held[3])
+                out.append((doc, "deleted", at, held[0], held[3]))
+                held = None
             else:
-                yield self._row(doc, "unknown", at, held[0], held[3])
+                out.append((doc, "unknown", at, held[0], held[3]))
+        self._store(before, held)
+        return out
 
     @staticmethod
-    def _frame(rows: list[dict[str, Any]]):
+    def _frame(rows: list[tuple]):
         import pandas as pd
 
-        out = pd.DataFrame(rows, columns=["doc", "event", "at", "opened", "days"])
-        for c in ("at", "opened"):
-            out[c] = pd.to_datetime(out[c], unit="ms")
-        return out.astype({"days": "Int32"})
+        columns = zip(*rows) if rows else ((),) * 5
+        types = ("object", "object", "int64", "Int64", "Int32")
+        return pd.DataFrame({n: pd.array(c, t) if t[0] == "I" else pd.Series(c, dtype=t) for n, c, t in zip(("doc", "event", "at", "opened", "days"), columns, types)})
 
     def handleInputRows(self, key, rows, timerValues):
-        events = []
+        events: list[tuple[int, str, int | None]] = []
         for part in rows:
-            events += [(int(r.at_ms), r.action, None if r.days != r.days or r.days is None else int(r.days)) for r in part.itertuples()]
-        yield self._frame(list(self.handled(key[0], events)))
+            days = [None if n is None or n != n else int(n) for n in part["days"].tolist()]
+            events += zip(part["at_ms"].tolist(), part["action"].tolist(), days)
+        yield self._frame(self.handled(key[0], events))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        out, at = [], expiredTimerInfo.getExpiryTimeInMs()
+        at = expiredTimerInfo.getExpiryTimeInMs()
         if self.state.exists() and (held := self.state.get())[2] <= at:
-            out.append(self._row(key[0], "expired", held[2], held[0], held[3]))
             self.state.clear()
-        yield self._frame(out)
+            yield self._frame([(key[0], "expired", held[2], held[0], held[3])])
 
     def close(self) -> None:
         pass
@@ -104,4 +103,5 @@ def held_documents(events: DataFrame, minutes: int = 30, late: str = "0 seconds"
     """
     timed = events.where("doc is not null and at is not null and action is not null").withWatermark("at", late)
     rows = timed.select(F.col("doc").cast("string").alias("doc"), "at", F.unix_millis("at").alias("at_ms"), "action", F.col("days").cast("int").alias("days"))
-    return rows.groupBy("doc").transformWithStateInPandas(statefulProcessor=Holder(minutes * 60_000), outputStructType=ROWS, outputMode="append", timeMode="eventTime")
+    told = rows.groupBy("doc").transformWithStateInPandas(statefulProcessor=Holder(minutes * 60_000), outputStructType=ROWS, outputMode="append", timeMode="eventTime")
+    return told.select("doc", "event", *[F.timestamp_millis(c).alias(c) for c in ("at", "opened")], "days")
