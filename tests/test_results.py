@@ -75,3 +75,20 @@ def test_search_across_pieces(monkeypatch):
         assert sink.found_in_package({"a.xml": data}, ["josé & garcía", "nobody"]) == ["josé & garcía"]
         raw = b"\0" * at + "Ana López".encode("utf-16le") + b"\0" * 90
         assert sink.found_in_package({"b.bin": raw}, ["Ana López", "ana"]) == ["Ana López"]
+
+
+def test_the_driver_gets_no_names_and_stored_files_are_read_by_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(results, "MOST_NAMES", 7)
+    out, writer = tmp_path / "out", results.FilesWriter(str(tmp_path / "out"), False)
+    task = lambda names: writer.write(iter([{"name": n, "content": n.encode()} for n in names]))
+    many = [task([f"{t}/{k}.txt" for k in range(100)] + [f"{t}/a\nb \u2028é.txt"]) for t in range(3)]
+    assert all(len(str(vars(m))) < 300 and m.n == 101 for m in many)
+    writer.commit([*many, None, task([])])
+    assert len(tree(out)) == 304 and not (out / "_unfinished" / writer.job).exists()
+    got = {r.name: bytes(r.content) for r in results.stored(spark, str(out)).collect()}
+    assert len(got) == 303 and all(c == n.encode() for n, c in got.items())
+    again = results.FilesWriter(str(tmp_path / "twice"), False)
+    two = [again.write(iter([{"name": f"{k + t * 49}", "content": b""} for k in range(50)])) for t in range(2)]  # 49 is in both
+    with pytest.raises(ValueError):
+        again.commit(two)
+    assert tree(tmp_path / "twice") == [] and results.stored(spark, str(tmp_path / "twice")).count() == 0

@@ -207,8 +207,8 @@ def results_of_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     audits = found.groupBy("path").agg(F.sum(F.size("spans")).alias("addresses"))
     folder = scratch(spark)
     results.write_results(sink.redacted_files(files, edits).select("path", "content", "error"), folder, audits)
-    kept = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.*").load(folder)
-    name = F.element_at(F.split("path", "/"), -1)
+    kept = results.stored(spark, folder)
+    name = F.element_at(F.split("name", "/"), -1)
     record = F.when(name == results.AUDIT, F.col("content").cast("string"))
     return kept.select(name.alias("file"), record.alias("record")).groupBy("file", "record").agg(F.count(F.lit(1)).alias("n"))
 

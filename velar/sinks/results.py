@@ -2,23 +2,31 @@
 
 Spark writes them by the format `velar_files`: a task writes its rows into a folder of its own, and only when all tasks
 have ended are their files moved to their places and a mark is left. A job that fails, or a task that is tried again,
-leaves no file behind. Folders are any that pyarrow.fs reaches: local ones, HDFS, S3.
+leaves no file behind. Folders are any that pyarrow.fs reaches: local ones, HDFS, S3. Each task also lists its files'
+names; the lists stay in a hidden folder. So neither names nor files are held on the driver, which goes through a list
+at a time, and stored() reads a folder's files without listing it there.
 """
 
 from __future__ import annotations
 
+import json
 import posixpath
 import uuid
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 #: Generic names of results.
 DOCUMENT, AUDIT, REJECTS, DONE = "redacted", "audit.json", "rejects.json", "_SUCCESS"
 FORMAT = "velar_files"
+#: The hidden folder of the lists, and how many names are compared at a time.
+LISTS, MOST_NAMES = ".files", 200_000
 
 
 def _folder(path: str):
@@ -40,8 +48,17 @@ def safe_name(name: str) -> str:
 
 @dataclass
 class Written(WriterCommitMessage):
-    files: list[tuple[str, str]]  # where a file lies, and its name
-    folder: str
+    folder: str  # of a task: its files by number, and the list of their names
+    n: int
+
+
+def _names(store, path: str) -> Iterator[str]:
+    """The names of a list, in the order of their numbers; the list is read piece by piece."""
+    with store.open_input_stream(path) as source:
+        rest = b""
+        while piece := source.read(1 << 20):
+            *lines, rest = (rest + bytes(piece)).split(b"\n")
+            yield from map(json.loads, lines)
 
 
 class FilesWriter(DataSourceWriter):
@@ -50,40 +67,64 @@ class FilesWriter(DataSourceWriter):
 
     def write(self, iterator: Iterator) -> Written:
         store, top = _folder(self.path)
-        folder, files = posixpath.join(top, "_unfinished", self.job, uuid.uuid4().hex), []
+        folder, n = posixpath.join(top, "_unfinished", self.job, uuid.uuid4().hex), 0
+        first = next(iterator, None)
+        if first is None:
+            return Written(folder, 0)
         store.create_dir(folder, recursive=True)
         try:
-            for k, row in enumerate(iterator):
-                place = posixpath.join(folder, str(k))
-                with store.open_output_stream(place) as out:
-                    out.write(bytes(row["content"] or b""))
-                files.append((place, safe_name(row["name"])))
+            with store.open_output_stream(posixpath.join(folder, "names")) as names:
+                for row in chain([first], iterator):
+                    with store.open_output_stream(posixpath.join(folder, str(n))) as out:
+                        out.write(bytes(row["content"] or b""))
+                    names.write(json.dumps(safe_name(row["name"])).encode() + b"\n")
+                    n += 1
         except BaseException:
             store.delete_dir(folder)
             raise
-        return Written(files, folder)
+        return Written(folder, n)
+
+    def _repeated(self, store, tasks: list[Written]) -> bool:
+        """Whether a name is there twice: by shares of the names, so that only one share is held."""
+        shares = -(-sum(m.n for m in tasks) // MOST_NAMES)
+        for share in range(shares):
+            seen: set[str] = set()
+            for m in tasks:
+                for name in _names(store, posixpath.join(m.folder, "names")):
+                    if shares == 1 or zlib.crc32(name.encode()) % shares == share:
+                        if name in seen:
+                            return True
+                        seen.add(name)
+        return False
 
     def commit(self, messages: list[Written | None]) -> None:
         store, top = _folder(self.path)
-        names = [n for m in messages if m for _, n in m.files]
-        if len(set(names)) < len(names):
+        tasks = [m for m in messages if m and m.n]
+        if self._repeated(store, tasks):
             self.abort(messages)
             raise ValueError("two files of one name")
         if self.overwrite:
             self._clear(store, top)
-        for m in messages:
-            for place, name in m.files if m else ():
-                target = posixpath.join(top, name)
-                store.create_dir(posixpath.dirname(target), recursive=True)
-                store.move(place, target)
-        store.delete_dir(posixpath.join(top, "_unfinished", self.job)) if any(messages) else None
+
+        def move(place: str, name: str) -> None:
+            target = posixpath.join(top, name)
+            store.create_dir(posixpath.dirname(target), recursive=True)
+            store.move(place, target)
+
+        for i, m in enumerate(tasks):
+            names = posixpath.join(m.folder, "names")
+            for k, name in enumerate(_names(store, names)):
+                move(posixpath.join(m.folder, str(k)), name)
+            move(names, posixpath.join(LISTS, f".{self.job}-{i}"))
+        store.delete_dir(posixpath.join(top, "_unfinished", self.job)) if tasks else None
+        store.create_dir(top, recursive=True)
         with store.open_output_stream(posixpath.join(top, DONE)):
             pass
 
     def _clear(self, store, top: str) -> None:
         from pyarrow import fs
 
-        for f in store.get_file_info(fs.FileSelector(top)):
+        for f in store.get_file_info(fs.FileSelector(top, allow_not_found=True)):
             if f.base_name != "_unfinished":
                 store.delete_dir(f.path) if f.type == fs.FileType.Directory else store.delete_file(f.path)
 
@@ -96,13 +137,37 @@ class FilesWriter(DataSourceWriter):
             store.delete_dir(folder)
 
 
+class NamesReader(DataSourceReader):
+    """The names in the lists of a folder, a task for each list."""
+
+    def __init__(self, path: str):
+        self.path = path.rstrip("/")
+
+    def partitions(self) -> list[InputPartition]:
+        from pyarrow import fs
+
+        store, top = _folder(self.path)
+        found = store.get_file_info(fs.FileSelector(posixpath.join(top, LISTS), allow_not_found=True))
+        return [InputPartition(f.path) for f in found] or [InputPartition(None)]
+
+    def read(self, partition: InputPartition) -> Iterator[tuple[str]]:
+        if partition.value is not None:
+            yield from ((name,) for name in _names(_folder(self.path)[0], partition.value))
+
+
 class Files(DataSource):
-    """Rows (name string, content binary) as files below `path`."""
+    """Rows (name string, content binary) as files below `path`; read, it gives their names."""
 
     @classmethod
     def name(cls) -> str:
         return FORMAT
 
+    def schema(self) -> str:
+        return "name string"
+
+    def reader(self, schema) -> NamesReader:
+        return NamesReader(self.options["path"])
+
     def writer(self, schema, overwrite: bool) -> FilesWriter:
         if [f.name for f in schema.fields] != ["name", "content"]:
             raise ValueError("rows must be (name, content)")
@@ -139,3 +204,18 @@ def write_results(results: DataFrame, path: str, audits: DataFrame | None = None
     spark.dataSource.register(Files)
     result_rows(results, audits).write.format(FORMAT).mode(mode).option("path", path).save()
 
+
+def stored(spark: SparkSession, path: str) -> DataFrame:
+    """(name, content) of the files that write_results() left below path: the tasks list and read them, a file at a time."""
+
+    def run(batches):
+        store, top = _folder(path.rstrip("/"))
+        for batch in batches:
+            for name in batch.column(0).to_pylist():
+                with store.open_input_stream(posixpath.join(top, name)) as source:
+                    content = source.read()
+                yield pa.RecordBatch.from_arrays([pa.array([name], pa.string()), pa.array([content], pa.binary())], names=["name", "content"])
+
+    spark.dataSource.register(Files)
+    names = spark.read.format(FORMAT).option("path", path).load()
+    return names.dropDuplicates(["name"]).mapInArrow(run, "name string, content binary")
