@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from velar.functions import spans
-from velar.plans import queries, recognizers, sample_queries
+from velar.plans import queries, recognizers, sample_queries, samples
 
 
 def test_keys_of_any_size_as_card_numbers(spark, tmp_path):
@@ -57,3 +57,12 @@ def test_least_digits_of_a_match_let_all_samples_pass():
         r = next(r for r in lists[language] if r.name == name)
         body = re.sub(r"\\p\{L\}\\p\{N\}_", r"\\w", r.pattern)
         assert re.search("(?i)" + body, value) and len(re.sub(r"\D", "", value)) >= r.least, name
+
+
+def test_detections_that_are_read_twice_are_made_once(spark, tmp_path):
+    spark.range(3).selectExpr("id as c_custkey").write.parquet(str(tmp_path / "customer.parquet"))
+    email = recognizers.SPANISH[0].regex()
+    for query in (sample_queries.evaluate_reports, sample_queries.redact_approved):
+        made = query(spark, str(tmp_path))
+        assert email not in made._jdf.queryExecution().optimizedPlan().toString(), query  # written before, by the query
+        assert made.count() in (16, 3 * len(samples.SPANISH))
